@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moderata.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moderata.llm.decontaminate import find_contamination
 
@@ -34,9 +40,17 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moderata.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), capacity=2048, end=0)
+
+
 QUERIES: dict[str, Query] = {
+    "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
