@@ -27,6 +27,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moderata.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moderata.llm.token_counts import count_tokens
 
@@ -75,6 +81,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_windows(rows.unionByName(planted)))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moderata.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moderata.llm.quality import quality
 
@@ -83,12 +95,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filters": op7_url_filters,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
