@@ -4,23 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moderata.llm import decontaminate, minhash
+from moderata.llm import decontaminate, minhash, packing, quality, suffix_dedup
 from moderata.llm.shared import materialised
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; the others stay as they are."""
+    return quality.keep_good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays, the smallest id: five-word shingles, similarity 0.8."""
     return minhash.drop_near_duplicates(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document of a smaller id also holds are cut out, in whole characters."""
+    return suffix_dedup.remove_repeated_passages(docs, length=50)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in occurrences of ten-word benchmark windows are cut out."""
     return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each document, laid into sequences of 2048."""
+    return packing.pack(docs, capacity=2048, end=0)
+
+
 STAGES = [
+    ("quality rules", quality_rules),
     ("minhash near-dedup", near_dedup),
+    ("suffix-array dedup", repeated_passages),
     ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: Min-max hashing, suffix orders and the tokenizer are not SQL; tests compare with brute force.
