@@ -208,8 +208,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     for part in parts[1:]:
         every = every.unionByName(part)
     joined = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *[F.max("text").alias("text")] * keep_text)
-    texts = docs.groupBy("id").agg(F.max("text").alias("text"))
-    return joined.drop("text").join(texts, joined["id"].eqNullSafe(texts["id"])).drop(texts["id"]).mapInArrow(_merge_blocks(keep_text), out).withColumnRenamed("id", id_col)
+    texts = docs.groupBy(F.col("id").alias("own")).agg(F.max("text").alias("text"))
+    joined = joined.drop("text").join(texts, F.col("id").eqNullSafe(F.col("own"))).drop("own")
+    return joined.mapInArrow(_merge_blocks(keep_text), out).withColumnRenamed("id", id_col)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], block: Phrases, keep_text: bool) -> Iterator[pa.RecordBatch]:
