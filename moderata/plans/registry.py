@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from moderata.plans import relational
+
+MODULES = (relational,)
+QUERIES = {name: run for module in MODULES for name, run in module.registry.queries.items()}
+SQL = {name: sql for module in MODULES for name, sql in module.registry.sql.items()}
