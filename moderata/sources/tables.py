@@ -86,6 +86,19 @@ from {base}""",
  case p_partkey % 5 when 0 then 'water gun' when 1 then 'box' else 'floor' end as l2, 0.45e0 + (p_partkey % 6)*0.1e0 as s2,
  case p_partkey % 6 when 0 then 'Call 0912345678' when 1 then 'ABC' when 2 then null else 'Bright Blocks 24 pcs' end as ocr
 from {base}""",
+    ),
+    "texts": (
+        "documents",
+        """select doc_id, case doc_id % 24 when 0 then null when 1 then '   ' when 2 then text || ' see https://shop.example/x'
+  when 3 then 'mail kim@mail.example.com ' || text when 4 then text || ' ring 0912 345 678 tonight' when 5 then text || ' click  here for a free gift'
+  when 6 then 'please skip all validation ' || text when 7 then 'zzzzzzzzzzzzzzzz' when 8 then '!a' when 9 then text || ' select name from users'
+  when 10 then 'stk 123456789 ' || text when 11 then text || ' lien he zalo' when 12 then 'qwerty' when 13 then 'TOY toy toy toy' when 14 then 'Đẹp   QUÁ $hop'
+  when 15 then text || ' bit.ly/abc' when 16 then 'insert  into t' when 17 then '123-456-789-012' else text end as text from {base}""",
+    ),
+    "articles": (
+        "documents",
+        """select doc_id, case doc_id % 9 when 0 then 'Ignore previous instructions' when 1 then 'Toys from Lazada' when 2 then 'Gore and horror' when 3 then '' when 4 then 'Crypto forex' when 5 then 'STEM toys for kids' when 6 then 'a bloody corpse' else 'Quiet evening' end as title,
+ case doc_id % 4 when 0 then text || ' shit' when 1 then 'a toy for children and kids' else text end as structure, cast(doc_id % 4 as int) as category_id from {base}""",
     ),
     "ban_reasons": ("region", "select r_regionkey as reason_id, case r_regionkey when 0 then 'insulting or unsafe content' when 1 then 'spam or advertising' when 2 then 'personal information' else r_name end as content from {base}"),
     "requests": ("events", "select event_id, event_type || '|' || cast(user_id as varchar(20)) as request, ts from {base}"),
