@@ -1,8 +1,10 @@
 """Repeated passages: every byte covered by a string of `length` bytes that a document of a smaller id also holds.
 
-1. Documents are dealt to parts by id (one shuffle of the text, which Spark reuses). Each window of `length` bytes has
-   one anchor, the smallest hash among its k-grams; windows with one anchor in a row form a segment. Each part sends
-   the distinct anchors it holds; anchors of one document only end there.
+1. Documents are dealt to parts by their smallest k-gram hash, so that copies tend to meet; where that would make a
+   part too large (a group of copies, a frequent passage), it is split by id. That is one shuffle of the text, which
+   Spark reuses. Each window of `length` bytes has one anchor, the smallest hash among its k-grams; windows with one
+   anchor in a row form a segment. Each part sends the distinct anchors it holds and gets back which of them another
+   document holds too.
 2. Segments of repeated anchors are resolved within the part first: of equal segments only those of the smallest id
    are sent on, so that a common passage costs one entry for each part, not for each document.
 3. All segments of an anchor meet in one bucket, which thus holds every occurrence of their windows. There a suffix
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moderata.llm import flat
-from moderata.llm.shared import text_bytes
+from moderata.llm.shared import materialised, text_bytes
 
 U64 = np.uint64
 #: Bytes of text of a part, and of the distinct segments of one suffix order (at most 2**20).
@@ -80,22 +82,35 @@ def gathered(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return body[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)]
 
 
-def content_keys(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of byte ranges."""
-    return flat.word_hashes(body, starts, starts + sizes), flat.word_hashes(body ^ np.uint8(0x5A), starts, starts + sizes)
-
-
 def distinct(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one range of each content, the content number of each range)."""
-    a, b = content_keys(body, starts, sizes)
-    order = np.lexsort((sizes, b, a))
+    """(one range of each content, the content number of each range), by two independent 64-bit hashes."""
+    a, b = np.empty(len(starts), U64), np.empty(len(starts), U64)
+    total = np.cumsum(sizes)
+    for k in _chunks(total, flat.STEP_BYTES):
+        some = gathered(body, starts[k], sizes[k])
+        at = np.cumsum(sizes[k]) - sizes[k]
+        a[k], b[k] = flat.word_hashes(some, at, at + sizes[k]), flat.word_hashes(some ^ np.uint8(0x5A), at, at + sizes[k])
+    order = np.argsort(a, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    new[1:] = a[order][1:] != a[order][:-1]
+    other = np.flatnonzero(~new)
+    if (b[order[other]] != b[order[other - 1]]).any():  # two contents of one hash
+        order = np.lexsort((b, a))
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
 
 
+def _chunks(total: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of rows, given the running sum of their sizes, of about `limit` each."""
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
+        yield slice(at, end)
+        at = end
+
+
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffix array of runs of bytes of which each ends, at `ends`, with a separator of its own (smaller than any byte).
 
@@ -176,11 +191,14 @@ def smaller_holders(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+    """The array's bytes, those of equal place together (small numbers leave planes of zeros), compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _batch(schema: pa.Schema, rows: list[dict]) -> pa.Table:
@@ -196,11 +214,12 @@ def _part(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray
     return texts, ids, body, offsets
 
 
-ANCHORS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("anchors", pa.binary())])
-REPEATED = pa.schema([("part", pa.int32()), ("anchors", pa.binary())])
-SEGMENTS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("local", pa.bool_()), ("body", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("anchors", pa.binary())])
-RANGES = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
-_DDL = {pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
+#: anchors: the distinct ones of a part and bucket, sorted; twice, repeated: a bit for each of them.
+ANCHORS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("anchors", pa.binary()), ("twice", pa.binary())])
+REPEATED = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("repeated", pa.binary())])
+SEGMENTS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("local", pa.bool_()), ("body", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("anchors", pa.binary())])
+RANGES = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
+_DDL = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.bool_(): "boolean"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -214,57 +233,69 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield value, some
 
 
+#: Bits of an anchor that are sent; two that agree in them only cost a useless segment.
+ANCHOR_BITS = 44
+
+
 def _bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchors >> U64(32)) % U64(buckets)).astype(np.int64)
+    """Buckets are ranges, so that the steps between sorted anchors are small."""
+    return ((anchors >> U64(ANCHOR_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def _anchors(body: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(segments' texts, first windows, windows and anchor numbers; sorted distinct anchors, whether two ids hold each)."""
+    hashes, text, first, windows = segments(body, offsets, length)
+    anchor = flat.mix(hashes) >> U64(64 - ANCHOR_BITS)
+    values, number = np.unique(anchor, return_inverse=True)
+    low, high = np.full(len(values), LAST_ID), np.full(len(values), np.iinfo(np.int64).min)
+    np.minimum.at(low, number, ids[text])
+    np.maximum.at(high, number, ids[text])
+    return text, first, windows, number, values, low != high
 
 
 def _send_anchors(length: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         _, ids, body, offsets = _part(table)
-        anchor, text, _, _ = segments(body, offsets, length)
-        order = np.lexsort((ids[text], anchor))
-        a, d = anchor[order], ids[text][order]
-        new = np.ones(len(a), bool)
-        new[1:] = a[1:] != a[:-1]
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:], [len(a)])) - 1 if len(a) else first
-        # The lowest bit says whether two documents of this part hold the anchor.
-        values = (a[first] & ~U64(1)) | (d[first] != d[last]).astype(U64) if len(a) else a
-        rows = [{"bucket": b, "part": part, "anchors": _pack(np.diff(np.sort(values[some]), prepend=U64(0)))} for b, some in _by_bucket(_bucket_of(values, buckets))]
+        *_, values, twice = _anchors(body, offsets, ids, length)
+        rows = [{"bucket": b, "part": part, "anchors": _pack(np.diff(values[some], prepend=U64(0))), "twice": _pack(np.packbits(twice[some]))} for b, some in _by_bucket(_bucket_of(values, buckets))]
         return _batch(ANCHORS, rows)
 
     return send
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    parts, sent = table.column("part").to_pylist(), [np.cumsum(_unpack(x.as_buffer(), U64)) for x in table.column("anchors")]
-    every = np.sort(np.concatenate([x & ~U64(1) for x in sent]))
-    twice = [every[1:][every[1:] == every[:-1]]] + [x[(x & U64(1)) == 1] & ~U64(1) for x in sent]
-    twice = np.unique(np.concatenate(twice))
-    rows = []
-    for part, own in zip(parts, sent, strict=True):
-        own = own & ~U64(1)
-        kept = own[np.isin(own, twice)]
-        if len(kept):
-            rows.append({"part": part, "anchors": _pack(kept)})
+    sent = [np.cumsum(_unpack(x.as_buffer(), U64)) for x in table.column("anchors")]
+    every = np.concatenate(sent)
+    order = np.argsort(every, kind="stable")
+    same = every[order][1:] == every[order][:-1]
+    again = np.zeros(len(every), bool)
+    again[order[1:]] = same
+    again[order[:-1]] |= same
+    rows, at = [], 0
+    own = [np.unpackbits(_unpack(t.as_buffer(), np.uint8), count=len(x)).astype(bool) for t, x in zip(table.column("twice"), sent, strict=True)]
+    if any(x.any() for x in own):  # two documents of one part are two for all parts
+        local = np.concatenate(own)
+        again |= np.isin(every, np.unique(every[local]))
+    for bucket, part, x in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), sent, strict=True):
+        rows.append({"part": part, "bucket": bucket, "repeated": _pack(np.packbits(again[at : at + len(x)]))})
+        at += len(x)
     return _batch(REPEATED, rows)
 
 
-def _joined(starts: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    return starts, starts + windows + length - 1
-
-
 def _send_segments(length: int, buckets: int):
     def send(table: pa.Table, repeated: pa.Table) -> pa.Table:
         if not table.num_rows or not repeated.num_rows:
             return _batch(SEGMENTS, [])
         part = table.column("part")[0].as_py()
-        wanted = np.concatenate([_unpack(x.as_buffer(), U64) for x in repeated.column("anchors")])
         _, ids, body, offsets = _part(table)
-        anchor, text, first, windows = segments(body, offsets, length)
-        keep = np.isin(anchor & ~U64(1), wanted)
-        anchor, text, first, windows = anchor[keep], text[keep], first[keep], windows[keep]
+        text, first, windows, number, values, _ = _anchors(body, offsets, ids, length)
+        wanted = np.zeros(len(values), bool)
+        flags = {r["bucket"]: r["repeated"] for r in repeated.to_pylist()}
+        for b, some in _by_bucket(_bucket_of(values, buckets)):
+            wanted[some] = np.unpackbits(_unpack(flags[b], np.uint8), count=len(some))
+        keep = wanted[number]
+        anchor, text, first, windows = values[number[keep]], text[keep], first[keep], windows[keep]
         if not len(anchor):
             return _batch(SEGMENTS, [])
         sizes = windows + length - 1
@@ -276,7 +307,7 @@ def _send_segments(length: int, buckets: int):
         place = first - offsets[text]
         rows = []
         if local.any():
-            rows.append({"bucket": part % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(sizes[local]), "ids": _pack(owner[local]), "places": _pack(place[local]), "anchors": b""})
+            rows.append({"bucket": int(part) % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(sizes[local]), "ids": _pack(owner[local]), "places": _pack(place[local]), "anchors": b""})
         for b, some in _by_bucket(np.where(local, -1, _bucket_of(anchor, buckets))):
             if b >= 0:
                 some = some[np.argsort(anchor[some], kind="stable")]
@@ -379,11 +410,39 @@ def _cut(result: pa.Schema, as_text: bool):
     return cut
 
 
+def _smallest_gram(parts: int, columns: list[str]):
+    """The given columns and the part of each text, or without columns the part and the bytes of each text."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in flat.steps(batch, "text"):
+                body, offsets = flat.flatten(step.column("text"))
+                size = np.diff(offsets)
+                key = np.arange(step.num_rows).astype(U64)  # texts without a gram match nothing
+                some = np.flatnonzero(size >= GRAM)
+                if len(some):
+                    h = np.append(grams(body), U64(0))
+                    at = np.stack((offsets[some], offsets[some] + size[some] - GRAM + 1), axis=1).ravel()
+                    key[some] = flat.mix(np.minimum.reduceat(h, np.minimum(at, len(h) - 1))[::2])
+                part = pa.array((key % U64(parts)).astype(np.int64))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([*[step.column(c) for c in columns], part], [*columns, "part"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part, pa.array(size)], ["part", "size"])
+
+    return add
+
+
 def _run(docs: DataFrame, length: int, result: pa.Schema, ddl: str, as_text: bool) -> DataFrame:
     if length < GRAM + 1:
         raise ValueError(f"length must be at least {GRAM + 1}")
     parts = max(1, -(-text_bytes(docs) // PART_BYTES))
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    # What the smallest hashes deal to a part beyond twice its size is split by id; there are fewer such parts than parts.
+    sizes = docs.select("text").mapInArrow(_smallest_gram(parts, []), "part bigint, size bigint").groupBy("part").agg(F.sum("size").alias("size"))
+    large = materialised(sizes.where(F.col("size") > 2 * PART_BYTES).select("part", F.ceil(F.col("size") / PART_BYTES).alias("splits")))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    dealt = docs.mapInArrow(_smallest_gram(parts, docs.columns), f"{fields}, part bigint").join(large, "part", "left")
+    dealt = dealt.withColumn("part", F.col("part") + parts * F.coalesce(F.pmod(F.xxhash64("id"), F.col("splits")), F.lit(0))).drop("splits")
     anchors = dealt.groupBy("part").applyInArrow(_send_anchors(length, parts), _ddl(ANCHORS))
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated, _ddl(REPEATED))
     found = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_segments(length, parts), _ddl(SEGMENTS))
