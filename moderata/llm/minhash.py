@@ -2,10 +2,14 @@
 
 Of each permutation both the smallest and the largest value over a document's shingles are kept, so that half the
 hash evaluations give the signature; a band takes minima and maxima of different permutations. Documents with the
-same shingle set are collapsed first. Of each band bucket every member is compared with the bucket's smallest id;
-the links found join documents into components, and only then are the pairs of a bucket that still lie in different
-components compared, so that a group of copies costs a multiple of its size and no candidate pair is left out.
-Every link is confirmed on the full shingle sets.
+same shingle set are collapsed first. Candidates are the pairs in a band bucket, in three rounds:
+
+1. each document with the smallest leader of its buckets: one pair for each document;
+2. where a bucket still holds several components, the most similar pairs of two components by their signatures;
+3. every pair of a bucket that still lies in two components and whose signatures allow the similarity.
+
+The links of each round, confirmed on the full shingle sets, join documents into components, so that a group of
+copies costs a multiple of its size, while each candidate pair is either confirmed, refuted, or within a component.
 """
 
 from __future__ import annotations
@@ -14,15 +18,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moderata.llm import flat
 from moderata.llm.shared import materialised
 
 U64 = np.uint64
-#: 64 permutations give 128 values: 32 bands of 4. A pair at similarity 0.8 is missed with probability 5e-8.
-PERMUTATIONS, BANDS, ROWS = 64, 32, 4
+#: 128 permutations give 256 values: 42 bands of 6. A pair at similarity 0.8 is missed with probability 3e-6.
+PERMUTATIONS, BANDS, ROWS = 128, 42, 6
+#: A pair is refuted without its sets if fewer of its 256 values agree than at 6 standard deviations below the
+#: similarity asked for (probability 1e-9).
+DEVIATIONS = 6
+#: Best pairs of two components that are confirmed in the second round, and members of a bucket in one group of the search.
+BEST, BLOCK = 4, 2048
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -43,25 +52,21 @@ def shingles(body: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return out, np.concatenate((at, [count.sum()]))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Band hashes, a row for each slice of distinct shingles; slices must not be empty."""
-    low = np.empty((len(offsets) - 1, PERMUTATIONS), U64)
-    high = np.empty_like(low)
+def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band hashes, a byte of each minimum and maximum), a row for each slice of distinct shingles; slices must not be empty."""
+    both = np.empty((len(offsets) - 1, 2 * PERMUTATIONS), U64)
     for k in range(PERMUTATIONS):
         x = values * _MULTIPLY[k]
         x ^= x >> U64(32)
-        low[:, k] = np.minimum.reduceat(x, offsets[:-1])
-        high[:, k] = np.maximum.reduceat(x, offsets[:-1])
-    # Row r of a band is the minimum or, for odd r, the maximum of another permutation each.
-    both = np.concatenate((low, high), axis=1)
-    bands = np.empty((len(low), BANDS), U64)
+        both[:, 2 * k] = np.minimum.reduceat(x, offsets[:-1])
+        both[:, (2 * k + PERMUTATIONS + 1) % (2 * PERMUTATIONS)] = np.maximum.reduceat(x, offsets[:-1])
+    bands = np.empty((len(both), BANDS), U64)
     for b in range(BANDS):
-        h = np.full(len(low), b + 1, U64)
+        h = np.full(len(both), b + 1, U64)
         for r in range(ROWS):
-            k = (b * ROWS // 2 + r // 2) % PERMUTATIONS if r % 2 == 0 else (b * ROWS // 2 + r // 2 + PERMUTATIONS // 2) % PERMUTATIONS
-            h = flat.mix(h + both[:, k + PERMUTATIONS * (r % 2)])
+            h = flat.mix(h + both[:, b * ROWS + r])
         bands[:, b] = h
-    return bands
+    return bands, (flat.mix(both) & U64(255)).astype(np.uint8)
 
 
 def _sketch(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -73,14 +78,16 @@ def _sketch(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 n = np.array([len(x) for x in sets], np.int64)
                 some = np.flatnonzero(n)
                 bands = np.zeros((len(n), BANDS), np.int64)
+                bytes_ = np.zeros((len(n), 2 * PERMUTATIONS), np.uint8)
                 keys = np.zeros((len(n), 2), np.int64)
                 if len(some):
                     every, at = np.concatenate(sets), np.concatenate(([0], np.cumsum(n[some])))
-                    bands[some] = signatures(every, at).view(np.int64)
+                    hashes, bytes_[some] = signatures(every, at)
+                    bands[some] = hashes.view(np.int64)
                     keys[some, 0] = np.add.reduceat(flat.mix(every), at[:-1]).view(np.int64)
                     keys[some, 1] = np.add.reduceat(flat.mix(every * U64(0xD6E8FEB86659FD93)), at[:-1]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, pa.array([x.tobytes() for x in bytes_], pa.binary())], ["id", "n", "k1", "k2", "bands", "signature"])
 
     return sketch
 
@@ -132,6 +139,37 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _search(percent: int, best_only: bool) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of one bucket in different components whose signatures and sizes allow the similarity."""
+    values = 2 * PERMUTATIONS
+    share = percent / 100
+    least = int(values * share - DEVIATIONS * (values * share * (1 - share)) ** 0.5)
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, n, component, asks = (table.column(c).to_numpy() for c in ("id", "n", "component", "asks"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), values)
+        found = [np.zeros((0, 5), np.int64)]
+        held = np.flatnonzero(~asks)
+        order = np.argsort(component[held], kind="stable")
+        held = held[order]
+        for i in np.flatnonzero(asks).tolist():
+            agree = (signature[held] == signature[i]).sum(axis=1)
+            fits = (agree >= least) & (component[held] != component[i]) & (100 * np.minimum(n[held], n[i]) >= percent * np.maximum(n[held], n[i]))
+            some, agree = held[fits], agree[fits]
+            if best_only and len(some):  # of each other component the most similar member
+                top = np.lexsort((-ids[some], agree, component[some]))
+                last = np.concatenate((component[some][top][1:] != component[some][top][:-1], [True]))
+                some, agree = some[top][last], agree[top][last]
+            if len(some):
+                mine = np.full(len(some), ids[i])
+                found.append(np.stack((np.minimum(mine, ids[some]), np.maximum(mine, ids[some]), np.minimum(component[i], component[some]), np.maximum(component[i], component[some]), agree), axis=1))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(out[:, k], pa.int64()) for k in range(5)], ["a", "b", "ca", "cb", "agree"])
+
+    return search
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept): groups of texts linked by shingle sets of similarity percent / 100 or more.
 
@@ -140,41 +178,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of the graph; rows without an id stay alone, with a null component, and are kept. Integer ids only.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sketches = materialised(source.mapInArrow(_sketch(width), "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
+    sketches = materialised(source.mapInArrow(_sketch(width), "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary"))
     named = sketches.where("id is not null and n > 0")
     # One representative for each set; copies are links to it.
-    first = named.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "bands")).alias("r"), F.max("id").alias("last"))
-    reps = first.select(F.col("r.id").alias("id"), "n", F.col("r.bands").alias("bands"))
-    copies = named.select("id", "k1", "k2", "n").join(first.where(F.col("last") > F.col("r.id")).select("k1", "k2", "n", F.col("r.id").alias("rep")), ["k1", "k2", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v")).where("u != v")
-    banded = reps.select("id", "n", F.explode("bands").alias("band"))
-    shared_bands = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1").select("band", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
-    members = materialised(banded.join(shared_bands, "band"))
-    fits = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+    first = materialised(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
+    copies = named.select("id", "k1", "k2", "n").join(first.where("last > rep").select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    copies = materialised(copies)
+    reps = named.join(copies.select(F.col("u").alias("id")).distinct(), "id", "left_anti")
+    banded = reps.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("band"))
+    leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1").select("band", "lead")
+    members = materialised(banded.join(leads, "band"))
+    signed = reps.select("id", "signature").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialised(pairs.distinct())
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # A repeated id stands for the set it was sketched with; sets of its other rows are tried as well.
-        sets = source.where("id is not null").join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id bigint, hashes binary").where(F.length("hashes") > 0)
-        sets = materialised(sets)
-        return materialised(
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("a_hashes")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("b_hashes")), "b")
-            .mapInArrow(_similar(percent), "u bigint, v bigint")
-        )
-
-    links = confirmed(members.where("id != lead").where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    groups = components(links)
-    # What the buckets still hold in different components: all but the largest component against every other one.
-    labelled = members.select("band", "id", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("band", "largest")
-    labelled = materialised(labelled.join(mixed, "band"))
-    odd = labelled.where("component != largest").select("band", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    rest = odd.join(labelled.select("band", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"), "largest"), "band")
-    rest = rest.where("a_c != b_c and (b_c = largest or a < b)").where(fits("a_n", "b_n"))
-    more = confirmed(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    groups = components(links.unionByName(more).unionByName(copies))
+        def sets(side: str) -> DataFrame:
+            # A repeated id stands for all its rows; each of their sets is tried.
+            wanted = pairs.select(F.col(side).alias("id")).distinct()
+            return source.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id bigint, hashes binary").where(F.length("hashes") > 0).select(F.col("id").alias(side), F.col("hashes").alias(f"{side}_hashes"))
+
+        return materialised(pairs.join(sets("b"), "b").join(sets("a"), "a").mapInArrow(_similar(percent), "u bigint, v bigint"))
+
+    def candidates(groups: DataFrame, best_only: bool) -> DataFrame:
+        labelled = members.select("band", "id", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
+        mixed = parts.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+        mixed = mixed.select("band", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        labelled = labelled.join(mixed, "band").join(signed, "id")
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        columns = ["band", "id", F.col("n").cast("bigint").alias("n"), "component", "signature"]
+        # All but the largest component ask, every member is held; large buckets in blocks of both.
+        asking = labelled.where("component != largest").select(*columns, own.alias("asker"), every.alias("holder"), F.lit(True).alias("asks"))
+        holding = labelled.select(*columns, every.alias("asker"), own.alias("holder"), F.lit(False).alias("asks"))
+        found = asking.unionByName(holding).groupBy("band", "asker", "holder").applyInArrow(_search(percent, best_only), "a bigint, b bigint, ca bigint, cb bigint, agree bigint")
+        found = found.groupBy("a", "b", "ca", "cb").agg(F.max("agree").alias("agree"))
+        if best_only:
+            found = found.withColumn("place", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b"))).where(F.col("place") <= BEST)
+        return materialised(found.select("a", "b"))
+
+    led = members.where("id != lead").groupBy("id").agg(F.min("lead").alias("a"))
+    links = confirmed(materialised(led.select("a", F.col("id").alias("b"))))
+    for best_only in (True, False):
+        links = links.unionByName(confirmed(candidates(components(links), best_only)))
+    groups = components(links.unionByName(copies))
     return (
         sketches.select("id", F.col("n").alias("n_shingles"))
         .join(groups, "id", "left")
