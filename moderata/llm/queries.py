@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moderata.llm import oracles
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -90,7 +92,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moderata.llm.quality import quality
 
-    return quality(_table(spark, sf_dir, "documents"))
+    return quality(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 QUERIES: dict[str, Query] = {
@@ -106,4 +108,4 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
