@@ -2,11 +2,11 @@
 
 Of each permutation both the smallest and the largest value over a document's shingles are kept, so that half the
 hash evaluations give the signature; a band takes minima and maxima of different permutations. Documents with the
-same shingle set are collapsed first. Candidates are the pairs in a band bucket, in three rounds:
+same shingle set are collapsed first. Candidates are the pairs in a band bucket, in two rounds:
 
 1. each document with the smallest leader of its buckets: one pair for each document;
-2. where a bucket still holds several components, the most similar pairs of two components by their signatures;
-3. every pair of a bucket that still lies in two components and whose signatures allow the similarity.
+2. where a bucket still holds several components, every pair of two components whose signatures allow the similarity;
+   the members of such pairs meet again with their shingle sets, in blocks of the bucket, and only links leave a block.
 
 The links of each round, confirmed on the full shingle sets, join documents into components, so that a group of
 copies costs a multiple of its size, while each candidate pair is either confirmed, refuted, or within a component.
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moderata.llm import flat
@@ -30,8 +30,10 @@ PERMUTATIONS, BANDS, ROWS = 128, 42, 6
 #: A pair is refuted without its sets if fewer of its 256 values agree than at 6 standard deviations below the
 #: similarity asked for (probability 1e-9).
 DEVIATIONS = 6
-#: Best pairs of two components that are confirmed in the second round, and members of a bucket in one group of the search.
-BEST, BLOCK = 4, 2048
+#: Members of a bucket in one group of the search; a larger bucket is searched block against block.
+BLOCK = 2048
+#: Bytes of a shingle's hash in the sets: two of a pair's shingles are confused with probability 1e-6.
+SET_BYTES = 5
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -97,22 +99,29 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for part in flat.steps(batch, "text"):
                 values = flat.distinct_slices(*shingles(*flat.flatten(part.column("text")), width))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in values], pa.binary())], ["id", "hashes"])
+                packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes() for x in values]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "hashes"])
 
     return sets
 
 
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+    return out.view(U64).ravel()
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate((a, b)))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            a_all, b_all = batch.column("a_hashes"), batch.column("b_hashes")
-            for i in range(batch.num_rows):
-                a, b = np.frombuffer(a_all[i].as_buffer(), U64), np.frombuffer(b_all[i].as_buffer(), U64)
-                both = np.sort(np.concatenate((a, b)))
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(a) + len(b) - common)
-            kept = batch.filter(pa.array(keep))
+            keep = [_alike(_unpacked(a.as_buffer()), _unpacked(b.as_buffer()), percent) for a, b in zip(batch.column("a_hashes"), batch.column("b_hashes"), strict=True)]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["u", "v"])
 
     return similar
@@ -139,37 +148,65 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _search(percent: int, best_only: bool) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of one bucket in different components whose signatures and sizes allow the similarity."""
-    values = 2 * PERMUTATIONS
-    share = percent / 100
+_MEMBER = "band bigint, asker int, holder int, id bigint, n bigint, component bigint, asks boolean, signature binary"
+
+
+def _candidates(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a block that ask, each with the rows of other components whose signatures and sizes allow the similarity."""
+    values, share = 2 * PERMUTATIONS, percent / 100
     least = int(values * share - DEVIATIONS * (values * share * (1 - share)) ** 0.5)
+    n, component, asks = (table.column(c).to_numpy() for c in ("n", "component", "asks"))
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, values)
+    held = np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks).tolist():
+        fits = (component[held] != component[i]) & (100 * np.minimum(n[held], n[i]) >= percent * np.maximum(n[held], n[i]))
+        some = held[fits]
+        some = some[(signature[some] == signature[i]).sum(axis=1) >= least]
+        if len(some):
+            yield i, some
+
+
+def _search(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """The rows of a block that are in a candidate pair."""
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, n, component, asks = (table.column(c).to_numpy() for c in ("id", "n", "component", "asks"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), values)
-        found = [np.zeros((0, 5), np.int64)]
-        held = np.flatnonzero(~asks)
-        order = np.argsort(component[held], kind="stable")
-        held = held[order]
-        for i in np.flatnonzero(asks).tolist():
-            agree = (signature[held] == signature[i]).sum(axis=1)
-            fits = (agree >= least) & (component[held] != component[i]) & (100 * np.minimum(n[held], n[i]) >= percent * np.maximum(n[held], n[i]))
-            some, agree = held[fits], agree[fits]
-            if best_only and len(some):  # of each other component the most similar member
-                top = np.lexsort((-ids[some], agree, component[some]))
-                last = np.concatenate((component[some][top][1:] != component[some][top][:-1], [True]))
-                some, agree = some[top][last], agree[top][last]
-            if len(some):
-                mine = np.full(len(some), ids[i])
-                found.append(np.stack((np.minimum(mine, ids[some]), np.maximum(mine, ids[some]), np.minimum(component[i], component[some]), np.maximum(component[i], component[some]), agree), axis=1))
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.table([pa.array(out[:, k], pa.int64()) for k in range(5)], ["a", "b", "ca", "cb", "agree"])
+        used = np.zeros(table.num_rows, bool)
+        for i, some in _candidates(table, percent):
+            used[i] = True
+            used[some] = True
+        return table.filter(pa.array(used)).select([x.split()[0] for x in _MEMBER.split(", ")])
 
     return search
 
 
+def _confirm(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links of a block, by the full sets; a pair that earlier links of the block have joined is not needed."""
+
+    def confirm(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sets = [_unpacked(x) for x in table.column("hashes").to_pylist()]
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        u, v = [], []
+        for i, some in _candidates(table, percent):
+            for j in some.tolist():
+                a, b = find(int(component[i])), find(int(component[j]))
+                if a != b and _alike(sets[i], sets[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    u.append(int(ids[i]))
+                    v.append(int(ids[j]))
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return confirm
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept): groups of texts linked by shingle sets of similarity percent / 100 or more.
 
@@ -189,37 +226,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1").select("band", "lead")
     members = materialised(banded.join(leads, "band"))
     signed = reps.select("id", "signature").distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        def sets(side: str) -> DataFrame:
-            # A repeated id stands for all its rows; each of their sets is tried.
-            wanted = pairs.select(F.col(side).alias("id")).distinct()
-            return source.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id bigint, hashes binary").where(F.length("hashes") > 0).select(F.col("id").alias(side), F.col("hashes").alias(f"{side}_hashes"))
-
-        return materialised(pairs.join(sets("b"), "b").join(sets("a"), "a").mapInArrow(_similar(percent), "u bigint, v bigint"))
-
-    def candidates(groups: DataFrame, best_only: bool) -> DataFrame:
-        labelled = members.select("band", "id", "n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
-        mixed = parts.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = mixed.select("band", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-        labelled = labelled.join(mixed, "band").join(signed, "id")
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        columns = ["band", "id", F.col("n").cast("bigint").alias("n"), "component", "signature"]
-        # All but the largest component ask, every member is held; large buckets in blocks of both.
-        asking = labelled.where("component != largest").select(*columns, own.alias("asker"), every.alias("holder"), F.lit(True).alias("asks"))
-        holding = labelled.select(*columns, every.alias("asker"), own.alias("holder"), F.lit(False).alias("asks"))
-        found = asking.unionByName(holding).groupBy("band", "asker", "holder").applyInArrow(_search(percent, best_only), "a bigint, b bigint, ca bigint, cb bigint, agree bigint")
-        found = found.groupBy("a", "b", "ca", "cb").agg(F.max("agree").alias("agree"))
-        if best_only:
-            found = found.withColumn("place", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b"))).where(F.col("place") <= BEST)
-        return materialised(found.select("a", "b"))
-
-    led = members.where("id != lead").groupBy("id").agg(F.min("lead").alias("a"))
-    links = confirmed(materialised(led.select("a", F.col("id").alias("b"))))
-    for best_only in (True, False):
-        links = links.unionByName(confirmed(candidates(components(links), best_only)))
+    # The sets of all that are in a bucket with others, once. The same plan at every size: the text is shuffled by id.
+    wanted = members.select("id").distinct()
+    sets = source.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(width), "id bigint, hashes binary").where(F.length("hashes") > 0)
+    sets = materialised(sets)
+
+    led = materialised(members.where("id != lead").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")))
+    own = led.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("b_hashes")).hint("merge"), "b")
+    both = own.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("a_hashes")).hint("merge"), "a")
+    links = materialised(both.mapInArrow(_similar(percent), "u bigint, v bigint"))
+
+    labelled = members.select("band", "id", "n").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("band", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    labelled = labelled.join(mixed, "band").join(signed, "id")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["id", F.col("n").cast("bigint").alias("n"), "component"]
+    # All but the largest component ask, every member is held; large buckets in blocks of both.
+    asking = labelled.where("component != largest").select("band", block.alias("asker"), every.alias("holder"), *columns, F.lit(True).alias("asks"), "signature")
+    holding = labelled.select("band", every.alias("asker"), block.alias("holder"), *columns, F.lit(False).alias("asks"), "signature")
+    found = materialised(asking.unionByName(holding).groupBy("band", "asker", "holder").applyInArrow(_search(percent), _MEMBER))
+    more = found.join(sets, "id").groupBy("band", "asker", "holder").applyInArrow(_confirm(percent), "u bigint, v bigint")
+    links = links.unionByName(materialised(more.distinct()))
     groups = components(links.unionByName(copies))
     return (
         sketches.select("id", F.col("n").alias("n_shingles"))
