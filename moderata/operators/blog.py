@@ -128,3 +128,59 @@ def as_html(markdown: Column) -> Column:
 
     bound = F.get(F.transform(F.array(lines), lambda all_: F.array_join(F.transform(all_, lambda x, i: line(all_, x, i)), "\n")), F.lit(0))
     return F.when(markdown.rlike(r"(?i)<(?:p|h[1-6]|ul|div)[\s>]"), markdown).otherwise(bound)
+
+
+# Vietnamese words that an English article may not hold, and what shows that a model repeated its prompt.
+VIETNAMESE_SIGNALS = (" mơ ", " mở bài ", " thân bài ", " kết bài ", " đồ chơi ", " phụ huynh ", " trẻ ", " không ", " tại sao ", " lời khuyên ", " vi sao ", " do choi ", " phu huynh ", " ket luan ")
+ECHOES = ("title/input:", "description:", "mở bài", "thân bài", "kết bài")
+
+
+def vietnamese(c: Column) -> Column:
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" "))
+    return padded.rlike("|".join(VIETNAMESE_SIGNALS))
+
+
+def echoed(html: Column) -> Column:
+    """Whether an article repeats parts of its prompt."""
+    low = F.lower(html)
+    return low.rlike("|".join(ECHOES)) | (low.contains("action:") & low.contains("promptstructure:")) | (low.contains('{"title"') & low.contains('"content"'))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def without_markers(html: Column, title: Column) -> Column:
+    """Without a leading heading that repeats the title, and paragraphs that name parts of the prompt."""
+    out = F.regexp_replace(html, F.concat(F.lit(r"(?i)^\s*<h1[^>]*>\s*"), _quoted(F.trim(title)), F.lit(r"\s*</h1>\s*")), F.lit(""))
+    out = F.regexp_replace(out, r"(?is)<p>\s*(?:title|description)\s*:\s*.*?</p>", "")
+    return F.trim(F.regexp_replace(out, r"(?i)<p>\s*(?:mở bài|thân bài|kết bài|than bai|ket bai)\s*:?\s*</p>", ""))
+
+
+def without_prompt_lines(html: Column, structure: Column) -> Column:
+    """Without list items, paragraphs and bullets that repeat a line of the prompt, and lists left empty."""
+    lines = F.filter(F.transform(F.split(F.coalesce(structure, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"^[ \-*\t]+|[ \-*\t]+$", "")), lambda x: x != "")
+
+    def cut(acc: Column, line: Column) -> Column:
+        word = _quoted(line)
+        acc = F.regexp_replace(acc, F.concat(F.lit(r"(?i)<(li|p)>\s*"), word, F.lit(r"\s*</\1>")), F.lit(""))
+        return F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?:^|\n)\s*[-*•]\s*"), word, F.lit(r"\s*(?:$|\n)")), F.lit("\n"))
+
+    return F.trim(F.regexp_replace(F.aggregate(lines, F.coalesce(html, F.lit("")), cut), r"(?i)<ul>\s*</ul>", ""))
+
+
+def parsed_article(raw: Column) -> Column:
+    """struct<title, content> of a completion: the whole text or its outermost object; null where none has both."""
+    body = F.regexp_replace(F.trim(raw), r"^```(?:json|html)?\s*|\s*```$", "")
+    fields = lambda c: F.from_json(c, "struct<title:string,content:string,blogContent:string>")
+    whole, inner = fields(body), fields(F.regexp_extract(body, r"(?s)(\{.*\})", 1))
+    found = F.when(whole["title"].isNotNull(), whole).otherwise(inner)
+    content = F.coalesce(found["content"], found["blogContent"])
+    return F.when(found["title"].isNotNull() & content.isNotNull(), F.struct(found["title"].alias("title"), content.alias("content")))
+
+
+def finished(html: Column, title: Column, structure: Column, s: Settings = DEFAULT) -> Column:
+    """struct<content, fault>: the article cut to its length and cleaned of its prompt, and why it may not be published."""
+    content = without_emoji(without_prompt_lines(without_markers(F.substring(as_html(html), 1, s.article_max), title), structure))
+    fault = F.when(echoed(content), "echo").when(incomplete(content, s), "incomplete").when(vietnamese(content), "vietnamese").otherwise(output_fault(content))
+    return F.struct(content.alias("content"), fault.alias("fault"))

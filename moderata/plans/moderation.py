@@ -91,7 +91,7 @@ def comment_prefilter(spark, sf):
 
 over_texts("detect_privacy_signal", V.personal)
 over_texts("truncate_fields", lambda c: F.substring(c, 1, 500), "substr(text, 1, 500)")
-over_texts("has_vi_signals", lambda c: F.exists(F.array(*[F.lit(f" {w} ") for w in ("va", "cua", "cho", "nhung", "khong")]), lambda w: F.contains(F.concat(F.lit(" "), B.checked(c), F.lit(" ")), w)))
+over_texts("has_vi_signals", B.vietnamese, "regexp_matches(' ' || lower(coalesce(text, '')) || ' ', '{}')".format("|".join(B.VIETNAMESE_SIGNALS)))
 
 
 _PARSED = """, body as (select *, regexp_replace(coalesce(primary_raw, secondary_raw), ',\\s*([\\]}])', '\\1', 'g') as j from review_verdicts),
@@ -294,6 +294,10 @@ over_articles("source_content_warning", lambda: B.unsafe_content(F.col("structur
 over_articles("output_validation", lambda: B.output_fault(F.col("structure")))
 over_articles("article_quality_gate", lambda: B.incomplete(F.concat(F.lit("<h2>x</h2><p>"), "structure")), "length('<h2>x</h2><p>' || structure) < 3000")
 over_articles("markdown_to_html", lambda: B.as_html(F.concat(F.lit("## "), "title", F.lit("\n- one\n- two\n"), "structure")))
+over_articles("strip_markers", lambda: B.without_markers(F.concat(F.lit("<h1>"), "title", F.lit("</h1><p>"), "structure", F.lit("</p>")), F.col("title")))
+over_articles("strip_prompt_leakage", lambda: B.without_prompt_lines(F.concat(F.lit("<ul><li>"), "title", F.lit("</li></ul><p>"), "structure", F.lit("</p>")), F.col("title")))
+over_articles("parse_article_json", lambda: B.parsed_article(F.to_json(F.struct("title", F.col("structure").alias("content"))))["content"], "case when title is not null and structure is not null then structure end")
+over_articles("finalize_articles", lambda: B.finished(F.concat(F.lit("## "), "title", F.lit("\n"), "structure"), F.col("title"), F.lit("- one\n- two"))["fault"])
 over_articles("validate_blog_requests", lambda: F.col("title").isNotNull() & F.length(F.trim("title")).between(1, 255) & F.length("structure").between(1, 5000) & (F.col("category_id") > 0), "length(trim(title)) between 1 and 255 and length(structure) between 1 and 5000 and category_id > 0")
 
 

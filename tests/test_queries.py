@@ -130,6 +130,15 @@ def test_markdown(spark):
     assert got[0]["v"] == "<h1>A</h1>\n<p>first <strong>bold</strong></p>\n<ul><li>x</li>\n<li>y</li></ul>\n<p>end</p>\n<h3>B</h3>\n<ul><li>z</li></ul>" and got[1]["v"] == "<p>kept</p>"
 
 
+def test_articles(spark):
+    rows = spark.createDataFrame([("<h1>My (Toy)</h1><p>Title: x</p><p>body</p>", "my (toy)", "- Why a+b?\n* two"), ("<ul><li>why a+b?</li></ul><p>two</p>\n- two\nrest", "t", "- Why a+b?\n* two"), (None, "t", None)], "h string, t string, s string")
+    got = rows.select(B.without_markers(F.col("h"), F.col("t")).alias("m"), B.without_prompt_lines(F.col("h"), F.col("s")).alias("p")).collect()
+    assert got[0]["m"] == "<p>body</p>" and got[1]["p"].strip() == "rest" and got[2]["p"] == ""
+    raw = ['{"title":"a","blogContent":"b"}', 'so: {"title":"a","content":"c"} ok', "none", None]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x string").select("i", B.parsed_article(F.col("x")).alias("v")).collect()
+    assert [r["v"] and tuple(r["v"]) for r in sorted(found)] == [("a", "b"), ("a", "c"), None, None]
+
+
 def test_claims_are_ordered_and_bounded(spark):
     rows = [(i, "Comment" if i % 2 else "Reply", "Pending", False, None, i) for i in range(40)]
     df = spark.createDataFrame(rows, "target_id long, target_type string, moderation_status string, is_deleted boolean, last_retry_at timestamp, created_at long")
