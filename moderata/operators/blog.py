@@ -184,3 +184,26 @@ def finished(html: Column, title: Column, structure: Column, s: Settings = DEFAU
     content = without_emoji(without_prompt_lines(without_markers(F.substring(as_html(html), 1, s.article_max), title), structure))
     fault = F.when(echoed(content), "echo").when(incomplete(content, s), "incomplete").when(vietnamese(content), "vietnamese").otherwise(output_fault(content))
     return F.struct(content.alias("content"), fault.alias("fault"))
+
+
+# What sends a blocked request to which suggestions.
+REVIEW_WORDS = ("review", "danh gia", "so sanh")
+BUYING_WORDS = ("mua", "buy", "gia", "price", "khuyen mai", "voucher")
+#: Our own suggestions by kind of request.
+SUGGESTIONS = {
+    "review": ("What to look for in a toy review", "Best loved toys by age", "Learning toys side by side", "Shopping for toys safely"),
+    "buying": ("How to choose and buy a toy", "Toys worth their price by age", "Learning toys on a budget", "A calm way to shop for busy parents"),
+    "other": ("What a good toy shop offers families", "Toys for each step of growing up", "Games that teach at home", "Picking toys that fit the age"),
+}
+
+
+def fallback_suggestions(title: Column, content: Column) -> Column:
+    plain = checked(F.concat_ws(" ", title, content))
+    options = {k: F.array(*[F.lit(x) for x in v]) for k, v in SUGGESTIONS.items()}
+    return F.when(plain.rlike("|".join(REVIEW_WORDS)), options["review"]).when(plain.rlike("|".join(BUYING_WORDS)), options["buying"]).otherwise(options["other"])
+
+
+def filled(suggested: Column, fallback: Column, n: int = 4) -> Column:
+    """The model's suggestions that are not blank, filled up from the fallback."""
+    some = F.filter(F.coalesce(suggested, F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+    return F.slice(F.concat(some, fallback), 1, n)

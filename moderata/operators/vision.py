@@ -112,3 +112,13 @@ def screened(images: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     stats = images.select("image.origin", "image.height", "image.width", "image.data").mapInPandas(_statistics, "origin string, brightness double, deviation double, sharpness double")
     fault = F.when(F.col("brightness").isNull(), "image_load_failed").when(F.col("brightness") < s.dark_below, "black_image").when(F.col("deviation") < s.flat_below, "uniform_image").when(F.col("sharpness") / (F.col("brightness") + 1) < s.blur_below, "blurry_image")
     return stats.withColumn("fault", fault)
+
+
+def with_text_verdicts(decisions: DataFrame, verdicts: DataFrame, least: int = 5) -> DataFrame:
+    """Approved images with enough recognised text take the text's verdict where that is no approval.
+
+    verdicts: (image_id, text_decision); a text without one is taken as approved.
+    """
+    rows = decisions.join(verdicts.select("image_id", "text_decision"), "image_id", "left")
+    takes = (F.col("decision") == "APPROVED") & (T.alnum_count(F.col("ocr")) >= least) & F.col("text_decision").isin("REJECTED", "MANUAL_REVIEW")
+    return rows.withColumn("decision", F.when(takes, F.col("text_decision")).otherwise(F.col("decision"))).drop("text_decision")

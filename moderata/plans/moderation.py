@@ -304,3 +304,31 @@ over_articles("validate_blog_requests", lambda: F.col("title").isNotNull() & F.l
 @query("scan_blog_requests", with_views("articles") + "select doc_id, title, cast(category_id as bigint) as category_id from articles")
 def scan_blog_requests(spark, sf):
     return view(spark, sf, "articles").select("doc_id", "title", F.col("category_id").cast("long").alias("category_id"))
+
+
+_KINDS = "case when regexp_matches(c, '{}') then '{}' when regexp_matches(c, '{}') then '{}' else '{}' end".format("|".join(B.REVIEW_WORDS), B.SUGGESTIONS["review"][0], "|".join(B.BUYING_WORDS), B.SUGGESTIONS["buying"][0], B.SUGGESTIONS["other"][0])
+
+
+@query("fallback_suggestions", with_views("articles") + f"select doc_id, {_KINDS} as value from (select doc_id, lower(title) as c from articles)")
+def fallback_suggestions(spark, sf):
+    return view(spark, sf, "articles").select("doc_id", F.get(B.fallback_suggestions(F.col("title"), F.lit("")), F.lit(0)).alias("value"))
+
+
+@query("suggestions_fill", with_views("articles") + f"select doc_id, concat_ws('|', nullif(trim(title), ''), 'a', 'b', 'c', case when trim(title) = '' then 'd' end) as value from articles")
+def suggestions_fill(spark, sf):
+    fallback = F.array(*[F.lit(x) for x in "abcd"])
+    return view(spark, sf, "articles").select("doc_id", F.array_join(B.filled(F.array("title", F.lit("  "), F.lit(None).cast("string")), fallback), "|").alias("value"))
+
+
+over_articles("join_rules_dim", lambda: B.first(B.hits(F.lower("title"), B.ANCHORS)), "list_filter([{}], lambda w: contains(lower(title), w))[1]".format(", ".join(f"'{w}'" for w in B.ANCHORS)))
+
+
+@query("ocr_override", f"{_VISION}select image_id, case when d = 'APPROVED' and length(regexp_replace(coalesce(ocr, ''), '[^a-zA-Z0-9]', '', 'g')) >= 5 and image_id % 3 = 0 then 'MANUAL_REVIEW' else d end as decision from (select *, case when coalesce({_GATE}, {_WEAPON}) is null and ocr is distinct from 'Call 0912345678' and {_FOUND} then 'APPROVED' else 'REJECTED' end as d from vision)")
+def ocr_override(spark, sf):
+    rows = _annotated(spark, sf)
+    verdicts = rows.select("image_id", F.when(F.col("image_id") % 3 == 0, "MANUAL_REVIEW").otherwise("APPROVED").alias("text_decision"))
+    return I.with_text_verdicts(rows.select("image_id", "decision", "ocr"), verdicts).select("image_id", "decision")
+
+
+registry.alias("ocr_verdict", "ocr_override")
+registry.alias("suggestions_for_blocked", "suggestions_fill")
