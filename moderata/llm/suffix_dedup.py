@@ -28,29 +28,33 @@ from moderata.llm import flat
 from moderata.llm.shared import materialised, text_bytes
 
 U64 = np.uint64
-#: Bytes of text of a part, and of the distinct segments of one suffix order (at most 2**20).
-PART_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
-GRAM = 12
+#: Bytes of text that are hashed at once: what a core's cache holds.
+HASH_BYTES = 1 << 17
+#: Bytes of text of a part, and of the distinct segments of one suffix order (small enough for a core's cache).
+PART_BYTES, BLOCK_BYTES = 8 << 20, 1 << 18
+#: Bytes of a k-gram. Shorter ones repeat by chance (at 0.2 GB of text, 12 bytes: half of all), longer ones are more anchors.
+GRAM = 20
 _SYMBOL = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
 _POSITION = U64((1 << 21) - 1)
 LAST_ID = np.iinfo(np.int64).max
 
 
 def grams(body: np.ndarray) -> np.ndarray:
-    """Hashes of all k-grams of 12 bytes, by doubling."""
+    """Hashes of all k-grams of 20 bytes, by doubling to 16 and adding 4."""
     h = _SYMBOL[body]
     h = h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:]
     h4 = h[:-2] * U64(0xC2B2AE3D27D4EB4F) + h[2:]
     h8 = h4[:-4] * U64(0x165667B19E3779F9) + h4[4:]
-    return flat.mix(h8[:-4] * U64(0x27D4EB2F165667C5) + h4[8:])
+    h16 = h8[:-8] * U64(0x27D4EB2F165667C5) + h8[8:]
+    return flat.mix(h16[:-4] * U64(0x85EBCA77C2B2AE63) + h4[16:])
 
 
 def segments(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, text number, first window, windows) of all segments; windows are places in body."""
     parts = []
     width = length - GRAM + 1
-    for a in range(0, max(0, len(body) - length + 1), flat.STEP_BYTES):
-        some = body[a : a + flat.STEP_BYTES + length - 1]
+    for a in range(0, max(0, len(body) - length + 1), HASH_BYTES):
+        some = body[a : a + HASH_BYTES + length - 1]
         if len(some) < length:
             break
         h = grams(some)
@@ -86,7 +90,7 @@ def distinct(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     """(one range of each content, the content number of each range), by two independent 64-bit hashes."""
     a, b = np.empty(len(starts), U64), np.empty(len(starts), U64)
     total = np.cumsum(sizes)
-    for k in _chunks(total, flat.STEP_BYTES):
+    for k in _chunks(total, HASH_BYTES):
         some = gathered(body, starts[k], sizes[k])
         at = np.cumsum(sizes[k]) - sizes[k]
         a[k], b[k] = flat.word_hashes(some, at, at + sizes[k]), flat.word_hashes(some ^ np.uint8(0x5A), at, at + sizes[k])
@@ -151,25 +155,27 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def common_windows(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix rows of each place, interval of each row): rows in one interval share at least `length` bytes."""
-    order = suffix_order(text, ends)
+    order = suffix_order(text, ends).astype(np.int32)
     n = len(order)
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     first = text[order].astype(np.int16)
     first[row[ends]] = -1
     parted = np.ones(n, bool)  # level 0: another first byte; separators are intervals of their own
     parted[1:] = (first[1:] != first[:-1]) | (first[1:] < 0)
     # The row of the rest of each suffix: the inverse of the last-to-first mapping of the transform.
     rest = row[np.minimum(order + 1, n - 1)]
-    open_ = np.flatnonzero(~parted)
+    open_ = np.flatnonzero(~parted).astype(np.int32)
+    after, before = rest[open_], rest[open_ - 1]
     for _ in range(1, length):
         if not len(open_):
             break
-        interval = np.cumsum(parted)
+        interval = np.cumsum(parted, dtype=np.int32)
         # c + w: the rows of the interval of w that c precedes; neighbours part where their w do.
-        apart = interval[rest[open_]] != interval[rest[open_ - 1]]
-        parted[open_[apart]] = True
-        open_ = open_[~apart]
+        same = interval[after] == interval[before]
+        if not same.all():
+            parted[open_[~same]] = True
+            open_, after, before = open_[same], after[same], before[same]
     return row, np.cumsum(parted) - 1
 
 
@@ -415,7 +421,7 @@ def _smallest_gram(parts: int, columns: list[str]):
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in flat.steps(batch, "text"):
+            for step in flat.steps(batch, "text", HASH_BYTES):
                 body, offsets = flat.flatten(step.column("text"))
                 size = np.diff(offsets)
                 key = np.arange(step.num_rows).astype(U64)  # texts without a gram match nothing
