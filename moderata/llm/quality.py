@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moderata.llm.shared import materialised
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -143,4 +145,5 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", limits: Limits | None
     # The verdict rides along with the whole row, so that nothing is joined and repeated ids are judged one by one.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
     judged = quality(rows, id_col="row", text_col="text", limits=limits)
-    return judged.where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    # Written first: a filter, or columns left out, would have the optimizer merge the stages and compute each chain many times.
+    return materialised(judged).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
