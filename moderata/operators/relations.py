@@ -78,7 +78,10 @@ def combined(texts: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def manual_review_notices(reviews: DataFrame, staff: DataFrame) -> DataFrame:
-    """One notice for each review and member of staff; the staff is a short list that Spark broadcasts by its size."""
+    """One notice for each review and member of staff.
+
+    Staff below Spark's broadcast threshold is broadcast; a longer list is paired with the reviews partition by partition.
+    """
     key = F.concat(F.lit("manual-review:review:"), F.col("review_id"), F.lit(":account:"), F.col("staff_id"))
     return reviews.join(staff.select(F.col("account_id").alias("staff_id"), "role_id"), F.lit(True), "inner").select("review_id", "staff_id", "role_id", key.alias("notice_key"))
 

@@ -275,8 +275,8 @@ registry.alias("pick_decision_reason", "aggregate_decision")
 
 @query("notify_manual_review", with_views("reviews", "accounts") + "select review_id, account_id as staff_id, 'manual-review:review:' || review_id || ':account:' || account_id as notice_key from (select review_id from reviews where moderation_status = 'ManualReview' and not is_deleted and review_id % 7 = 0) cross join (select account_id from accounts where role_id in (2, 3) and is_active and not is_deleted and account_id % 41 = 0)")
 def notify_manual_review(spark, sf):
-    reviews = S.active(view(spark, sf, "reviews")).where("moderation_status = 'ManualReview' and review_id % 7 = 0")
-    return R.manual_review_notices(reviews, S.staff(view(spark, sf, "accounts"), (2, 3)).where("account_id % 41 = 0")).select("review_id", "staff_id", "notice_key")
+    reviews = S.active(view(spark, sf, "reviews")).where("moderation_status = 'ManualReview'")
+    return R.manual_review_notices(reviews, S.staff(view(spark, sf, "accounts"), (2, 3))).select("review_id", "staff_id", "notice_key")
 
 
 @query("notification_delivery_count", with_views("reviews", "accounts") + "select review_id, count(*) as n from (select review_id from reviews where moderation_status = 'ManualReview' and not is_deleted and review_id % 7 = 0) cross join (select account_id from accounts where role_id in (2, 3) and is_active and not is_deleted and account_id % 41 = 0) group by review_id")
