@@ -7,7 +7,9 @@
    document holds too.
 2. Segments of repeated anchors are resolved within the part first: of equal segments only those of the smallest id
    are sent on, so that a common passage costs one entry for each part, not for each document.
-3. All segments of an anchor meet in one bucket, which thus holds every occurrence of their windows. There a suffix
+3. All segments of an anchor meet in one bucket, which thus holds every occurrence of their windows. An anchor of more
+   than HOT_SEGMENTS segments is split by its windows: each goes, as a hash of its bytes, to a bucket of its own, once for
+   each part except where the document of the part's smallest id repeats it. In a bucket of the others a suffix
    order and its Burrows-Wheeler mapping are built over the distinct segments, and intervals of common prefixes are
    extended backwards breadth-first, all of a level at once: level l finds the neighbours that share exactly l bytes,
    and the search ends at `length`. Rows that no level has parted are the occurrences of one window.
@@ -32,6 +34,8 @@ U64 = np.uint64
 HASH_BYTES = 1 << 17
 #: Bytes of text of a part, and of the distinct segments of one suffix order (small enough for a core's cache).
 PART_BYTES, BLOCK_BYTES = 8 << 20, 1 << 18
+#: Segments of an anchor over all parts from which its windows are dealt one by one: about one suffix order.
+HOT_SEGMENTS = 1 << 12
 #: Bytes of a k-gram. Shorter ones repeat by chance (at 0.2 GB of text, 12 bytes: half of all), longer ones are more anchors.
 GRAM = 20
 _SYMBOL = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
@@ -86,14 +90,20 @@ def gathered(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return body[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)]
 
 
-def distinct(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one range of each content, the content number of each range), by two independent 64-bit hashes."""
+def hashed(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each range."""
     a, b = np.empty(len(starts), U64), np.empty(len(starts), U64)
     total = np.cumsum(sizes)
     for k in _chunks(total, HASH_BYTES):
         some = gathered(body, starts[k], sizes[k])
         at = np.cumsum(sizes[k]) - sizes[k]
         a[k], b[k] = flat.word_hashes(some, at, at + sizes[k]), flat.word_hashes(some ^ np.uint8(0x5A), at, at + sizes[k])
+    return a, b
+
+
+def distinct(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one range of each content, the content number of each range), by their hashes."""
+    a, b = hashed(body, starts, sizes)
     order = np.argsort(a, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = a[order][1:] != a[order][:-1]
@@ -106,6 +116,16 @@ def distinct(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return order[new], number
 
 
+def held_by_smaller(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a smaller id has the same pair of hashes."""
+    order = np.lexsort((ids, b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    gone = np.empty(len(order), bool)
+    gone[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return gone
+
+
 def _chunks(total: np.ndarray, limit: int) -> Iterator[slice]:
     """Slices of rows, given the running sum of their sizes, of about `limit` each."""
     at = 0
@@ -220,9 +240,10 @@ def _part(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray
     return texts, ids, body, offsets
 
 
-#: anchors: the distinct ones of a part and bucket, sorted; twice, repeated: a bit for each of them.
-ANCHORS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("anchors", pa.binary()), ("twice", pa.binary())])
-REPEATED = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("repeated", pa.binary())])
+#: anchors: the distinct ones of a part and bucket, sorted; twice, repeated, hot: a bit for each of them; counts: segments,
+#: up to 65,535. Windows of hot anchors have no body, their hashes are in anchors and sizes.
+ANCHORS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("anchors", pa.binary()), ("twice", pa.binary()), ("counts", pa.binary())])
+REPEATED = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())])
 SEGMENTS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("local", pa.bool_()), ("body", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("anchors", pa.binary())])
 RANGES = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
 _DDL = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.bool_(): "boolean"}
@@ -263,30 +284,38 @@ def _send_anchors(length: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         _, ids, body, offsets = _part(table)
-        *_, values, twice = _anchors(body, offsets, ids, length)
-        rows = [{"bucket": b, "part": part, "anchors": _pack(np.diff(values[some], prepend=U64(0))), "twice": _pack(np.packbits(twice[some]))} for b, some in _by_bucket(_bucket_of(values, buckets))]
+        *_, number, values, twice = _anchors(body, offsets, ids, length)
+        counts = np.minimum(np.bincount(number, minlength=len(values)), 65_535).astype(np.uint16)
+        rows = [{"bucket": b, "part": part, "anchors": _pack(np.diff(values[some], prepend=U64(0))), "twice": _pack(np.packbits(twice[some])), "counts": _pack(counts[some])} for b, some in _by_bucket(_bucket_of(values, buckets))]
         return _batch(ANCHORS, rows)
 
     return send
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    sent = [np.cumsum(_unpack(x.as_buffer(), U64)) for x in table.column("anchors")]
-    every = np.concatenate(sent)
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    again = np.zeros(len(every), bool)
-    again[order[1:]] = same
-    again[order[:-1]] |= same
-    rows, at = [], 0
-    own = [np.unpackbits(_unpack(t.as_buffer(), np.uint8), count=len(x)).astype(bool) for t, x in zip(table.column("twice"), sent, strict=True)]
-    if any(x.any() for x in own):  # two documents of one part are two for all parts
-        local = np.concatenate(own)
-        again |= np.isin(every, np.unique(every[local]))
-    for bucket, part, x in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), sent, strict=True):
-        rows.append({"part": part, "bucket": bucket, "repeated": _pack(np.packbits(again[at : at + len(x)]))})
-        at += len(x)
-    return _batch(REPEATED, rows)
+def _repeated(hot_segments: int):
+    def find(table: pa.Table) -> pa.Table:
+        sent = [np.cumsum(_unpack(x.as_buffer(), U64)) for x in table.column("anchors")]
+        every = np.concatenate(sent)
+        order = np.argsort(every, kind="stable")
+        same = every[order][1:] == every[order][:-1]
+        edge = np.concatenate(([True], ~same))
+        total = np.add.reduceat(np.concatenate([_unpack(x.as_buffer(), np.uint16) for x in table.column("counts")]).astype(np.int64)[order], np.flatnonzero(edge))
+        hot = np.empty(len(every), bool)
+        hot[order] = (total > hot_segments)[np.cumsum(edge) - 1]
+        again = np.zeros(len(every), bool)
+        again[order[1:]] = same
+        again[order[:-1]] |= same
+        rows, at = [], 0
+        own = [np.unpackbits(_unpack(t.as_buffer(), np.uint8), count=len(x)).astype(bool) for t, x in zip(table.column("twice"), sent, strict=True)]
+        if any(x.any() for x in own):  # two documents of one part are two for all parts
+            local = np.concatenate(own)
+            again |= np.isin(every, np.unique(every[local]))
+        for bucket, part, x in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), sent, strict=True):
+            rows.append({"part": part, "bucket": bucket, "repeated": _pack(np.packbits(again[at : at + len(x)])), "hot": _pack(np.packbits(hot[at : at + len(x)]))})
+            at += len(x)
+        return _batch(REPEATED, rows)
+
+    return find
 
 
 def _send_segments(length: int, buckets: int):
@@ -296,11 +325,12 @@ def _send_segments(length: int, buckets: int):
         part = table.column("part")[0].as_py()
         _, ids, body, offsets = _part(table)
         text, first, windows, number, values, _ = _anchors(body, offsets, ids, length)
-        wanted = np.zeros(len(values), bool)
-        flags = {r["bucket"]: r["repeated"] for r in repeated.to_pylist()}
+        wanted, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        flags = {r["bucket"]: (r["repeated"], r["hot"]) for r in repeated.to_pylist()}
         for b, some in _by_bucket(_bucket_of(values, buckets)):
-            wanted[some] = np.unpackbits(_unpack(flags[b], np.uint8), count=len(some))
+            wanted[some], hot[some] = (np.unpackbits(_unpack(x, np.uint8), count=len(some)) for x in flags[b])
         keep = wanted[number]
+        split = hot[number[keep]]
         anchor, text, first, windows = values[number[keep]], text[keep], first[keep], windows[keep]
         if not len(anchor):
             return _batch(SEGMENTS, [])
@@ -314,7 +344,19 @@ def _send_segments(length: int, buckets: int):
         rows = []
         if local.any():
             rows.append({"bucket": int(part) % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(sizes[local]), "ids": _pack(owner[local]), "places": _pack(place[local]), "anchors": b""})
-        for b, some in _by_bucket(np.where(local, -1, _bucket_of(anchor, buckets))):
+        split &= ~local
+        if split.any():
+            n = windows[split]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            one, two = hashed(body, np.repeat(first[split], n) + inside, np.full(len(inside), length))
+            holder, at = np.repeat(owner[split], n), np.repeat(place[split], n) + inside
+            gone = held_by_smaller(one, two, holder)
+            if gone.any():
+                rows.append({"bucket": int(part) % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(np.full(gone.sum(), length)), "ids": _pack(holder[gone]), "places": _pack(at[gone]), "anchors": b""})
+            for b, some in _by_bucket(np.where(gone, -1, _bucket_of(flat.mix(one) >> U64(64 - ANCHOR_BITS), buckets))):
+                if b >= 0:
+                    rows.append({"bucket": b, "part": part, "local": False, "body": b"", "sizes": _pack(two[some]), "ids": _pack(holder[some]), "places": _pack(at[some]), "anchors": _pack(one[some])})
+        for b, some in _by_bucket(np.where(local | split, -1, _bucket_of(anchor, buckets))):
             if b >= 0:
                 some = some[np.argsort(anchor[some], kind="stable")]
                 rows.append({"bucket": b, "part": part, "local": False, "body": _pack(gathered(body, first[some], sizes[some])), "sizes": _pack(sizes[some].astype(np.uint16)), "ids": _pack(owner[some]), "places": _pack(place[some]), "anchors": _pack(anchor[some])})
@@ -325,14 +367,22 @@ def _send_segments(length: int, buckets: int):
 
 def _match(length: int):
     def match(table: pa.Table) -> pa.Table:
-        rows, got = [], []
+        rows, got, single = [], [], []
         for row in table.to_pylist():
             if row["local"]:
                 sizes, ids, place = _unpack(row["sizes"], np.int64), row["ids"], _unpack(row["places"], np.int64)
                 rows.append({"part": row["part"], "ids": ids, "starts": row["places"], "ends": _pack(place + sizes)})
+            elif not row["body"]:
+                one, two, ids = _unpack(row["anchors"], U64), _unpack(row["sizes"], U64), _unpack(row["ids"], np.int64)
+                single.append((one, two, ids, _unpack(row["places"], np.int64), np.full(len(ids), row["part"])))
             else:
                 body, sizes = _unpack(row["body"], np.uint8), _unpack(row["sizes"], np.uint16).astype(np.int64)
                 got.append((body, sizes, _unpack(row["ids"], np.int64), _unpack(row["places"], np.int64), _unpack(row["anchors"], U64), np.full(len(sizes), row["part"])))
+        if single:
+            one, two, ids, place, part = (np.concatenate(x) for x in zip(*single, strict=True))
+            gone = np.flatnonzero(held_by_smaller(one, two, ids))
+            for p, some in _by_bucket(part[gone]) if len(gone) else ():
+                rows.append({"part": p, "ids": _pack(ids[gone[some]]), "starts": _pack(place[gone[some]]), "ends": _pack(place[gone[some]] + length)})
         if got:
             body, sizes, ids, place, anchor, part = (np.concatenate(x) for x in zip(*got, strict=True))
             starts = np.cumsum(sizes) - sizes
@@ -439,7 +489,7 @@ def _smallest_gram(parts: int, columns: list[str]):
     return add
 
 
-def _run(docs: DataFrame, length: int, result: pa.Schema, ddl: str, as_text: bool) -> DataFrame:
+def _run(docs: DataFrame, length: int, result: pa.Schema, ddl: str, as_text: bool, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     if length < GRAM + 1:
         raise ValueError(f"length must be at least {GRAM + 1}")
     parts = max(1, -(-text_bytes(docs) // PART_BYTES))
@@ -450,13 +500,13 @@ def _run(docs: DataFrame, length: int, result: pa.Schema, ddl: str, as_text: boo
     dealt = docs.mapInArrow(_smallest_gram(parts, docs.columns), f"{fields}, part bigint").join(large, "part", "left")
     dealt = dealt.withColumn("part", F.col("part") + parts * F.coalesce(F.pmod(F.xxhash64("id"), F.col("splits")), F.lit(0))).drop("splits")
     anchors = dealt.groupBy("part").applyInArrow(_send_anchors(length, parts), _ddl(ANCHORS))
-    repeated = anchors.groupBy("bucket").applyInArrow(_repeated, _ddl(REPEATED))
+    repeated = anchors.groupBy("bucket").applyInArrow(_repeated(hot_segments), _ddl(REPEATED))
     found = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_segments(length, parts), _ddl(SEGMENTS))
     ranges = found.groupBy("bucket").applyInArrow(_match(length), _ddl(RANGES))
     return dealt.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_cut(result, as_text), ddl)
 
 
-def repeated_passages(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(id, n_bytes, spans, kept): the maximal byte ranges to remove from each text, and the bytes outside them.
 
     A byte goes if a string of `length` bytes around it also starts in a document of a smaller id, judged on the input.
@@ -466,7 +516,7 @@ def repeated_passages(docs: DataFrame, *, length: int = 50, id_col: str = "doc_i
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     result = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span), ("kept", pa.binary())])
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return _run(rows, length, result, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary", False).withColumnRenamed("id", id_col)
+    return _run(rows, length, result, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary", False, hot_segments).withColumnRenamed("id", id_col)
 
 
 def remove_repeated_passages(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
