@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from moderata.llm import flat
 
@@ -180,6 +181,7 @@ def shard_hits(body: np.ndarray, offsets: np.ndarray, block: Phrases) -> tuple[n
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
+SPANS_TYPE = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
@@ -187,8 +189,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
     spans: byte ranges of the maximal runs of hit words, white space between them included; items: ids of the items
     with occurring windows, sorted as strings. Null or empty texts have no words and no hits; a null item id counts
-    as the empty string; repeated ids are rows of their own (with several benchmark blocks, ids should be distinct);
-    an empty benchmark hits nothing. Other columns of the inputs are not read.
+    as the empty string; repeated ids are rows of their own; an empty benchmark hits nothing. Other columns of the
+    inputs are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -196,21 +198,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // block_bytes))
-    out = f"id {kind}, n_words bigint, n_hit bigint, spans {SPANS}, items array<string>" + ", text string" * keep_text
-    parts = []
+    out = f"id {kind}, n_words bigint, n_hit bigint, spans {SPANS}, items array<string>"
+    found = docs
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         sent = spark.sparkContext.broadcast(phrases([(r["item_id"], r["text"]) for r in rows], window))
-        parts.append(docs.mapInArrow(lambda batches, sent=sent: _scan(batches, sent.value, keep_text), out))
-    if blocks == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    joined = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *[F.max("text").alias("text")] * keep_text)
-    texts = docs.groupBy(F.col("id").alias("own")).agg(F.max("text").alias("text"))
-    joined = joined.drop("text").join(texts, F.col("id").eqNullSafe(F.col("own"))).drop("own")
-    return joined.mapInArrow(_merge_blocks(keep_text), out).withColumnRenamed("id", id_col)
+        carry = keep_text or k < blocks - 1  # every block is judged on the input text
+        found = found.mapInArrow(lambda batches, sent=sent, carry=carry: _scan(batches, sent.value, carry), out + ", text string" * carry)
+    return found.withColumnRenamed("id", id_col)
+
+
+def _earlier(spans: pa.Array, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words in the spans that earlier blocks have found."""
+    owner = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
+    flat_spans = spans.flatten()
+    a, b = (x.to_numpy(zero_copy_only=False) + offsets[owner] for x in flat_spans.flatten())
+    edge = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(edge, np.searchsorted(starts, a), 1)
+    np.add.at(edge, np.searchsorted(ends, b) + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _spans(rows: int, offsets: np.ndarray, before: np.ndarray, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> pa.Array:
+    """The maximal runs of hit words of each text, as byte ranges."""
+    text = np.searchsorted(before, np.arange(len(starts)), side="right") - 1
+    edge = np.zeros(len(starts) + 1, bool)
+    edge[before] = True
+    first = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1])))) if len(hit) else np.zeros(0, np.int64)
+    last = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False])))) if len(hit) else first
+    owner = text[first] if len(first) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()),
+        pa.StructArray.from_arrays([pa.array(starts[first] - offsets[owner], pa.int64()), pa.array(ends[last] - offsets[owner], pa.int64())], ["start", "end"]),
+    )
 
 
 def _scan(batches: Iterator[pa.RecordBatch], block: Phrases, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -218,72 +238,53 @@ def _scan(batches: Iterator[pa.RecordBatch], block: Phrases, keep_text: bool) ->
         for part in flat.steps(batch, "text", SHARD_BYTES):
             body, offsets = flat.flatten(part.column("text"))
             before, starts, ends, hit, pairs = shard_hits(body, offsets, block)
+            items: list[set[str]] = [set() for _ in range(part.num_rows)]
+            if "spans" in part.schema.names:
+                hit = hit | _earlier(part.column("spans"), offsets, starts, ends)
+                items = [set(x) for x in part.column("items").to_pylist()]
             upto = np.concatenate(([0], np.cumsum(hit)))
-            text = np.searchsorted(before, np.arange(len(starts)), side="right") - 1
-            edge = np.zeros(len(starts) + 1, bool)
-            edge[before] = True
-            first = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1])))) if len(hit) else np.zeros(0, np.int64)
-            last = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False])))) if len(hit) else first
-            owner = text[first] if len(first) else np.zeros(0, np.int64)
-            span_at = np.searchsorted(owner, np.arange(part.num_rows + 1))
-            spans = pa.ListArray.from_arrays(
-                pa.array(span_at, pa.int32()),
-                pa.StructArray.from_arrays([pa.array(starts[first] - offsets[owner], pa.int64()), pa.array(ends[last] - offsets[owner], pa.int64())], ["start", "end"]),
-            )
-            items: list[list[str]] = [[] for _ in range(part.num_rows)]
+            spans = _spans(part.num_rows, offsets, before, starts, ends, hit)
             for pair in pairs.tolist():
-                items[pair // len(block.names)].append(block.names[pair % len(block.names)])
+                items[pair // len(block.names)].add(block.names[pair % len(block.names)])
             columns = [part.column("id"), pa.array(np.diff(before), pa.int64()), pa.array(np.diff(upto[before]), pa.int64()), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             names = ["id", "n_words", "n_hit", "spans", "items"]
             yield pa.RecordBatch.from_arrays(columns + [part.column("text")] * keep_text, names + ["text"] * keep_text)
 
 
-def _merge_blocks(keep_text: bool):
-    """Spans of several benchmark blocks, merged and counted again."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                body = flat.LOWER[np.frombuffer((row["text"] or "").encode(), np.uint8)]
-                starts, ends, _ = flat.word_bounds(body, np.array([0, len(body)]), flat.ALNUM)
-                a, b = np.array([s["start"] for s in row["spans"]], np.int64), np.array([s["end"] for s in row["spans"]], np.int64)
-                cut = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(cut, np.searchsorted(starts, a), 1)
-                np.add.at(cut, np.searchsorted(ends, b) + 1, -1)
-                hit = np.cumsum(cut[:-1]) > 0
-                first, last = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1]))), np.flatnonzero(hit & ~np.concatenate((hit[1:], [False])))
-                rows.append({"id": row["id"], "n_words": row["n_words"], "n_hit": int(hit.sum()), "spans": [{"start": s, "end": e} for s, e in zip(starts[first].tolist(), ends[last].tolist(), strict=True)], "items": row["items"], "text": row["text"]})
-            names = ["id", "n_words", "n_hit", "spans", "items"] + ["text"] * keep_text
-            kinds = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=False)], names)
-
-    return merge
-
-
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = 10) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, every column kept, with the hit words cut out of the text.
 
-    A text without hits (null included) is returned as it is. One pass over the rows, no shuffle; a benchmark of
-    several blocks is cut block by block, so a window that only arises where an earlier block was cut may be cut too.
+    A text without hits (null included) is returned as it is. One pass over the rows, no shuffle; every block of the
+    benchmark is judged on the input text, and what any of them hits is cut at the end.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    blocks = max(1, -(-size // block_bytes))
+    spans = max(["spans", *docs.columns], key=len) + "_"  # no column has that name
+    given = docs.schema
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         sent = spark.sparkContext.broadcast(phrases([(r["item_id"], r["text"]) for r in rows], window))
-        docs = docs.mapInArrow(lambda batches, sent=sent: _cut(batches, sent.value, text_col), docs.schema)
+        last = k == blocks - 1
+        docs = docs.mapInArrow(lambda batches, sent=sent, last=last: _cut(batches, sent.value, text_col, spans, last), given if last else StructType([*given, StructField(spans, SPANS_TYPE)]))
     return docs
 
 
-def _cut(batches: Iterator[pa.RecordBatch], block: Phrases, column: str) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], block: Phrases, column: str, spans: str, last_block: bool) -> Iterator[pa.RecordBatch]:
+    """The rows with the hit words of all blocks cut out; before the last block, with these words as spans in one more column."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         for part in flat.steps(batch, column, SHARD_BYTES):
             body, offsets = flat.flatten(part.column(at))
             before, starts, ends, hit, _ = shard_hits(body, offsets, block)
+            if spans in part.schema.names:
+                hit = hit | _earlier(part.column(spans), offsets, starts, ends)
+                part = part.select([n for n in part.schema.names if n != spans])
+            if not last_block:
+                found = _spans(part.num_rows, offsets, before, starts, ends, hit)
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, spans])
+                continue
             text = np.searchsorted(before, np.flatnonzero(hit), side="right") - 1
             if len(text):
                 values = part.column(at).to_pylist()
