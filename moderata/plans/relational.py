@@ -168,7 +168,7 @@ def sink_status_update(spark, sf):
 select r.review_id, coalesce(t <> comment, false) as changed, case when t <> comment then t else comment end as comment from reviews r left join changes using (review_id)""")
 def sink_text_update(spark, sf):
     rows = view(spark, sf, "reviews")
-    changes = rows.where("review_id % 2 = 0").select("review_id", F.trim("comment").alias("comment"))
+    changes = rows.join(view(spark, sf, "texts_proposed_for"), "review_id", "left_semi").select("review_id", F.trim("comment").alias("comment"))
     return S.updated_text(rows, changes, "review_id").select("review_id", "changed", "comment")
 
 
@@ -176,7 +176,7 @@ def sink_text_update(spark, sf):
  cast(case when f and retry_count + 1 < 3 then timestamp '{COMMENTS_AT}' else last_retry_at end as varchar) as last_retry_at from (select *, target_id % 3 = 0 as f from comments)""")
 def retry_state_fold(spark, sf):
     rows = view(spark, sf, "comments")
-    return S.retried(rows, rows.where("target_id % 3 = 0"), "target_id", COMMENTS_AT).select("target_id", F.col("retry_count").cast("long").alias("retry_count"), "moderation_status", text("last_retry_at"))
+    return S.retried(rows, view(spark, sf, "failed_comments"), "target_id", COMMENTS_AT).select("target_id", F.col("retry_count").cast("long").alias("retry_count"), "moderation_status", text("last_retry_at"))
 
 
 @query("pipeline_failure_escalation", with_views("review_logs") + "select log_id, attempt, case when attempt > 5 then 'ManualReview' else 'Pending' end as next_status from (select log_id, row_number() over (partition by review_id order by log_id) as attempt from review_logs where result like '%llm_call_failed%')")
@@ -186,7 +186,7 @@ def pipeline_failure_escalation(spark, sf):
 
 @query("join_reviewer_name", with_views("reviews", "accounts") + "select review_id, coalesce(account_name, 'Customer') as account_name from reviews left join (select * from accounts where account_id % 5 <> 0) a using (account_id)")
 def join_reviewer_name(spark, sf):
-    return R.reviewer_names(view(spark, sf, "reviews"), view(spark, sf, "accounts").where("account_id % 5 <> 0")).select("review_id", "account_name")
+    return R.reviewer_names(view(spark, sf, "reviews"), view(spark, sf, "accounts")).select("review_id", "account_name")
 
 
 @query("join_review_images", with_views("reviews", "review_images") + "select r.review_id, i.image_id from reviews r left join (select * from review_images where not is_deleted) i using (review_id)")
@@ -288,7 +288,7 @@ def notification_delivery_count(spark, sf):
 def notify_rejection(spark, sf):
     key = F.concat(F.lit("rejected:review:"), "review_id").alias("notice_key")
     rows = S.active(view(spark, sf, "reviews"))
-    return R.new_by_key(rows.where("moderation_status = 'Rejected'").select(key), rows.where("review_id % 3 = 0").select(key), "notice_key")
+    return R.new_by_key(rows.where("moderation_status = 'Rejected'").select(key), view(spark, sf, "sent_rejections"), "notice_key")
 
 
 registry.alias("sink_notifications", "notify_rejection")
@@ -297,12 +297,12 @@ registry.alias("sink_notifications", "notify_rejection")
 @query("notify_account_locked", with_views("bans") + "select account_id from bans where is_banned and account_id % 2 <> 0")
 def notify_account_locked(spark, sf):
     bans = view(spark, sf, "bans")
-    return R.new_by_key(bans.where("is_banned").select("account_id"), bans.where("account_id % 2 = 0").select("account_id"), "account_id")
+    return R.new_by_key(bans.where("is_banned").select("account_id"), view(spark, sf, "told_accounts"), "account_id")
 
 
 @query("upsert_violation_rows", with_views("violations", "bans") + ", c as (select account_id, cast(violation_count as bigint) as n from bans where account_id % 3 = 0) select account_id, n from c union all select distinct account_id, 0 from violations where account_id not in (select account_id from c)")
 def upsert_violation_rows(spark, sf):
-    return R.with_counter_rows(view(spark, sf, "violations"), view(spark, sf, "bans").where("account_id % 3 = 0")).select("account_id", F.col("violation_count").cast("long").alias("n"))
+    return R.with_counter_rows(view(spark, sf, "violations"), view(spark, sf, "bans")).select("account_id", F.col("violation_count").cast("long").alias("n"))
 
 
 @query("semi_join_claimed", with_views("comments", "text_verdicts") + "select count(*) as n from text_verdicts where review_id in (select target_id from comments where not is_deleted and moderation_status = 'Pending')")

@@ -102,6 +102,11 @@ from {base}""",
     ),
     "ban_reasons": ("region", "select r_regionkey as reason_id, case r_regionkey when 0 then 'insulting or unsafe content' when 1 then 'spam or advertising' when 2 then 'personal information' else r_name end as content from {base}"),
     "requests": ("events", "select event_id, event_type || '|' || cast(user_id as varchar(20)) as request, ts from {base}"),
+    # What the given tables have no column for: earlier notices, failed attempts and proposed texts.
+    "sent_rejections": ("orders", "select 'rejected:review:' || cast(o_orderkey as varchar(20)) as notice_key from {base} where o_orderkey % 3 = 0 and o_orderkey % 17 <> 0"),
+    "told_accounts": ("customer", "select c_custkey as account_id from {base} where c_custkey % 2 = 0"),
+    "failed_comments": ("conversations", "select conv_id*100+turn as target_id from {base} where (conv_id*100+turn) % 3 = 0"),
+    "texts_proposed_for": ("orders", "select o_orderkey as review_id from {base} where o_orderkey % 2 = 0"),
 }
 
 

@@ -13,6 +13,8 @@ def tables(spark, tmp_path_factory):
     orders = [(k, 1 + k % 60, "FOP"[k % 3], datetime.date(1998, 6, 1)) for k in range(1, 200)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date").write.parquet(f"{folder}/orders.parquet")
     spark.createDataFrame([(k, f"name {k}") for k in range(1, 50)], "c_custkey long, c_name string").write.parquet(f"{folder}/customer.parquet")
+    events = [(i, 40 + i % 20, "error", datetime.datetime(2024, 3, 1)) for i in range(60)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{folder}/events.parquet")
     return folder, orders
 
 
@@ -24,3 +26,14 @@ def test_every_manual_review_is_sent_to_every_member_of_staff(spark, tables):
     assert sorted(got) == sorted((r, a, f"manual-review:review:{r}:account:{a}") for r in reviews for a in staff)
     counts = registry.QUERIES["notification_delivery_count"](spark, folder).collect()
     assert {r["review_id"]: r["n"] for r in counts} == {r: len(staff) for r in reviews}
+
+
+def test_every_account_with_a_name_gives_it(spark, tables):
+    folder, orders = tables
+    got = {r["review_id"]: r["account_name"] for r in registry.QUERIES["join_reviewer_name"](spark, folder).collect()}
+    assert got == {k: f"name {a}" if a < 50 else "Customer" for k, a, *_ in orders}
+
+
+def test_every_counter_comes_out_with_its_count(spark, tables):
+    got = sorted((r["account_id"], r["n"]) for r in registry.QUERIES["upsert_violation_rows"](spark, tables[0]).collect())
+    assert got == [(k, k % 300) for k in range(1, 50)] + [(k, 0) for k in range(50, 60)]
