@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,22 +132,31 @@ def unlocked(bans: DataFrame, as_of: str) -> DataFrame:
 
 
 def reused_requests(requests: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Each request with the time of the answer that it reuses: that of the first equal one of the last reuse_seconds; a reuse does not prolong it."""
-    span = s.reuse_seconds * 1_000_000
-    when = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = F.array_sort(F.collect_list(F.struct(when.alias("at"), "event_id")))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<event_id:bigint,anchor:bigint>>").alias("out"))
+    """Each request with the time of the answer that it reuses: that of the first equal one of the last reuse_seconds; a reuse does not prolong it.
 
-    def step(acc: Column, x: Column) -> Column:
-        anchor = F.when(acc["anchor"].isNull() | (x["at"] - acc["anchor"] > span), x["at"]).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), anchor.alias("anchor")))).alias("out"))
-
-    # A day is far longer than a reuse: requests more than that apart start anew, so a frequent request is many groups.
-    gap = Window.partitionBy("request").orderBy("ts", "event_id")
-    fresh = requests.withColumn("previous", F.lag(when).over(gap)).withColumn("fresh", (F.col("previous").isNull() | (when - F.col("previous") > span)).cast("long"))
-    runs = fresh.withColumn("run", F.sum("fresh").over(gap.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy("request", "run").agg(F.aggregate(events, start, step)["out"].alias("out"))
-    return folded.select("request", F.explode("out").alias("o")).select("o.event_id", "request", "o.anchor")
+    The distinct times of a request stream through one task in order, with one anchor as state; events are joined to them.
+    """
+    rows = requests.select("event_id", "request", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    times = rows.select(F.col("request").alias("own"), F.col("at").alias("time")).distinct().repartition("own").sortWithinPartitions("own", "time")
+    anchors = times.mapInArrow(_anchors(s.reuse_seconds * 1_000_000), "own string, time bigint, anchor bigint")
+    same = F.col("request").eqNullSafe(F.col("own")) & F.col("at").eqNullSafe(F.col("time"))
+    return rows.join(anchors, same).select("event_id", "request", "anchor")
+
+
+def _anchors(span: int):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        request, anchor, begun = None, None, False
+        for batch in batches:
+            out = []
+            for own, time in zip(batch.column("own").to_pylist(), batch.column("time").to_pylist(), strict=True):
+                if not begun or own != request:
+                    request, anchor, begun = own, None, True
+                if anchor is None or time - anchor > span:
+                    anchor = time
+                out.append(anchor)
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("time"), pa.array(out, pa.int64())], ["own", "time", "anchor"])
+
+    return fold
 
 
 def review_log_rows(verdicts: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from moderata.operators import relations as R
 from moderata.plans import registry
 
 
@@ -37,3 +39,16 @@ def test_every_account_with_a_name_gives_it(spark, tables):
 def test_every_counter_comes_out_with_its_count(spark, tables):
     got = sorted((r["account_id"], r["n"]) for r in registry.QUERIES["upsert_violation_rows"](spark, tables[0]).collect())
     assert got == [(k, k % 300) for k in range(1, 50)] + [(k, 0) for k in range(50, 60)]
+
+
+def test_a_steady_request_is_not_one_array(spark):
+    rows = [(i, "hot", i // 2 * 7) for i in range(20_000)] + [(20_000 + i, None if i % 2 else "b", i * 170) for i in range(50)]
+    df = spark.createDataFrame(rows, "event_id long, request string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    out, anchor = R.reused_requests(df), {}
+    want = {}
+    for i, request, t in rows:
+        if request not in anchor or t - anchor[request] > 300:
+            anchor[request] = t
+        want[i] = (request, anchor[request] * 1_000_000)
+    assert {r["event_id"]: (r["request"], r["anchor"]) for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
