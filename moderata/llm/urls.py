@@ -79,6 +79,17 @@ def _index(rules: Sequence[Rule], frequency: dict[str, int]) -> dict[str, list[t
     return index
 
 
+def token_counts(urls: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(token, count): how many URLs hold each of the wanted tokens, block by block of the list; only sums are shuffled."""
+    found = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
+    out = None
+    for k in range(0, len(wanted), BLOCK_RULES):
+        block = urls.sparkSession.createDataFrame([(t,) for t in wanted[k : k + BLOCK_RULES]], "token string")
+        counts = found.join(F.broadcast(block), "token", "left_semi").groupBy("token").count()
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], patterns: Sequence[Rule] = PATTERNS, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict): the longest fitting host rule decides, else any fitting pattern blocks, else allow.
 
@@ -90,9 +101,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], patterns: Sequence[Rule
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     every = [*rules, *patterns]
     wanted = sorted({t for r in every for t in r.literals})
-    counts = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    counts = counts.join(F.broadcast(spark.createDataFrame([(t,) for t in wanted[:BLOCK_RULES]], "token string")), "token", "left_semi").groupBy("token").count()
-    frequency = {r["token"]: r["count"] for r in counts.collect()} if wanted else {}  # at most as many as the rules have tokens
+    frequency = {r["token"]: r["count"] for r in token_counts(urls, wanted).collect()} if wanted else {}  # at most as many as the rules have tokens
     state = "id {}, url string, host string, path string, rule string, rule_length int, verdict string, blocked boolean".format(kind)
 
     def judge(batches: Iterator[pa.RecordBatch], index: dict[str, list[tuple[Rule, re.Pattern]]]) -> Iterator[pa.RecordBatch]:
