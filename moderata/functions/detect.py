@@ -96,16 +96,18 @@ def username_like(token: Column) -> Column:
 
 def social_contact(c: Column) -> Column:
     """How a comment asks for contact elsewhere (a code), or null."""
-    plain = T.normalize(c)
-    platform = plain.rlike(rf"(?iU)\b{PLATFORM}\b")
-    channel = plain.rlike("|".join(CHANNELS))
-    named = lambda pattern: F.exists(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)), username_like)
-    return (
-        F.when(c.rlike(HANDLE), "social_handle")
-        .when(c.rlike(DISCORD_TAG) & plain.contains("discord"), "discord_tag")
-        .when((platform | channel) & plain.rlike(INTENT), "social_intent")
-        .when(named(NAME_AFTER) | named(NAME_BEFORE), "social_username")
-    )
+    def judged(plain: Column) -> Column:
+        platform = plain.rlike(rf"(?iU)\b{PLATFORM}\b")
+        channel = plain.rlike("|".join(CHANNELS))
+        named = lambda pattern: F.exists(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)), username_like)
+        return (
+            F.when(c.rlike(HANDLE), "social_handle")
+            .when(c.rlike(DISCORD_TAG) & plain.contains("discord"), "discord_tag")
+            .when((platform | channel) & plain.rlike(INTENT), "social_intent")
+            .when(platform & (named(NAME_AFTER) | named(NAME_BEFORE)), "social_username")
+        )
+
+    return T.let(T.normalize(c), judged)
 
 
 def repeated_unit(token: Column) -> Column:
@@ -123,62 +125,79 @@ def gibberish_token(token: Column) -> Column:
 
 def meaningless(c: Column) -> Column:
     """Why a comment says nothing (a code), or null."""
-    plain = T.normalize(c)
-    compact = F.regexp_replace(plain, r"(?U)\s+", "")
-    tokens = F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
-    distinct = F.array_distinct(tokens)
-    most = F.array_max(F.transform(distinct, lambda d: F.size(F.filter(tokens, lambda t: t == d))))
-    short = F.forall(distinct, lambda d: F.length(d) <= 8)
-    phrase = (F.size(tokens) >= 3) & short & ((F.size(distinct) == 1) | ((F.size(tokens) >= 4) & (F.size(distinct) <= 2) & (most / F.size(tokens) >= 0.75)))
-    only = F.get(tokens, F.lit(0))
-    lone = (F.size(tokens) == 1) & (F.length(only) >= 4) & (only.isin(*KEYBOARD_WALKS) | only.rlike(r"^(.)\1{5,}$") | repeated_unit(only))
-    words = F.filter(tokens, lambda t: t.rlike("^[a-z]+$"))
-    medium = F.filter(words, lambda t: F.length(t) >= 4)
-    odd = F.filter(medium, gibberish_token)
-    letters = F.aggregate(words, F.lit(0), lambda a, t: a + F.length(t))
-    return (
-        F.when(compact == "", F.lit(None))
-        .when(compact.rlike(r"(?U)^[\W_]{4,}$"), "symbols_only")
-        .when(phrase, "repeated_phrase")
-        .when(lone, "junk_token")
-        .when((F.size(odd) >= 2) & (letters >= 12) & (F.size(odd) / F.size(medium) >= 0.6), "gibberish")
-    )
+    def judged(plain: Column, tokens: Column, distinct: Column) -> Column:
+        compact = F.regexp_replace(plain, r"(?U)\s+", "")
+        most = F.array_max(F.transform(distinct, lambda d: F.size(F.filter(tokens, lambda t: t == d))))
+        short = F.forall(distinct, lambda d: F.length(d) <= 8)
+        phrase = (F.size(tokens) >= 3) & short & ((F.size(distinct) == 1) | ((F.size(tokens) >= 4) & (F.size(distinct) <= 2) & (most / F.size(tokens) >= 0.75)))
+        only = F.get(tokens, F.lit(0))
+        lone = (F.size(tokens) == 1) & (F.length(only) >= 4) & (only.isin(*KEYBOARD_WALKS) | only.rlike(r"^(.)\1{5,}$") | repeated_unit(only))
+        return (
+            F.when(compact == "", F.lit(None))
+            .when(compact.rlike(r"(?U)^[\W_]{4,}$"), "symbols_only")
+            .when(phrase, "repeated_phrase")
+            .when(lone, "junk_token")
+            .when(T.let(F.filter(tokens, lambda t: t.rlike("^[a-z]+$")), gibberish), "gibberish")
+        )
+
+    def gibberish(words: Column) -> Column:
+        medium = F.size(F.filter(words, lambda t: F.length(t) >= 4))
+        letters = F.aggregate(words, F.lit(0), lambda a, t: a + F.length(t))
+        odd = F.size(F.filter(words, gibberish_token))
+        return (letters >= 12) & T.let(odd, lambda n: (n >= 2) & (n / medium >= 0.6))
+
+    with_tokens = lambda plain, tokens: T.let(F.array_distinct(tokens), lambda distinct: judged(plain, tokens, distinct))
+    return T.let(T.normalize(c), lambda plain: T.let(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)), lambda tokens: with_tokens(plain, tokens)))
 
 
 def bad_emoji(c: Column) -> Column:
     """The category of blocked emoji that dominate a comment without other words, or null."""
     anyof = "[" + "".join(BAD_EMOJI) + "]"
-    hits = F.length(c) - F.length(F.regexp_replace(c, anyof, ""))
-    tokens = F.regexp_extract_all(T.normalize(F.regexp_replace(c, anyof, " ")), F.lit("[a-z0-9]+"), F.lit(0))
-    meaning = F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t))
-    visible = F.length(F.regexp_replace(c, r"(?U)\s", ""))
-    dominant = (F.size(tokens) == 0) | (hits >= F.greatest(F.lit(2), F.size(tokens))) | (hits * 3 >= F.greatest(F.lit(1), visible))
     of = lambda kind: c.rlike("[" + "".join(e for e, k in BAD_EMOJI.items() if k == kind) + "]")
-    return F.when((hits > 0) & (F.size(tokens) < 4) & (meaning < 16) & dominant, F.when(of("violent"), "violent").when(of("offensive"), "offensive").otherwise("adult"))
+    kind = F.when(of("violent"), "violent").when(of("offensive"), "offensive").otherwise("adult")
+
+    def judged(tokens: Column) -> Column:
+        hits = F.length(c) - F.length(F.regexp_replace(c, anyof, ""))
+        meaning = F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t))
+        visible = F.length(F.regexp_replace(c, r"(?U)\s", ""))
+        dominant = (F.size(tokens) == 0) | (hits >= F.greatest(F.lit(2), F.size(tokens))) | (hits * 3 >= F.greatest(F.lit(1), visible))
+        return F.when((F.size(tokens) < 4) & (meaning < 16) & dominant, kind)
+
+    tokens = F.regexp_extract_all(T.normalize(F.regexp_replace(c, anyof, " ")), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(c.rlike(anyof), T.let(tokens, judged))
+
+
+#: The columns of the stages; each is used more than once, so the optimizer keeps them apart.
+_STAGES = ("_first", "_why", "_body", "_clean", "_empty", "_emoji", "_social")
 
 
 def _staged(df: DataFrame, column: str, s: Settings) -> DataFrame:
-    """The row with the sanitised text and its normal forms, each computed once (a stage for each)."""
-    df = df.withColumn("_first", T.sanitized(F.col(column), s))
-    return df.withColumn("_body", F.col("_first")["text"]).withColumn("_blank", F.coalesce("_body", F.lit("")).rlike(r"(?U)^\s*$"))
+    """The row with the sanitised text and why it is refused, each computed once."""
+    # Packed in an array: the optimizer would take a struct apart and compute it once for each field.
+    df = df.withColumn("_first", F.array(T.sanitized(F.col(column), s)))
+    first = F.element_at("_first", 1)
+    return df.withColumn("_why", first["reason"]).withColumn("_body", first["text"])
 
 
 def _without_stages(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c in ("_first", "_body", "_blank", "_clean", "_profane", "_pattern", "_empty", "_emoji", "_social")])
+    return df.drop(*[c for c in df.columns if c in _STAGES])
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")).rlike(r"(?U)^\s*$")
 
 
 def with_review_reason(df: DataFrame, column: str, name: str, s: Settings = DEFAULT) -> DataFrame:
     """A column that says why a review text is rejected before any model sees it (a code), or null."""
     body = F.col("_body")
-    df = _staged(df, column, s).withColumn("_clean", T.clean(body))
-    df = df.withColumn("_profane", T.profane(body) | T.profane(F.col("_clean"))).withColumn("_pattern", F.coalesce(sensitive(body), sensitive(F.col("_clean"))))
+    both = lambda x: F.when(T.profane(body) | T.profane(x), "profanity").otherwise(F.coalesce(sensitive(body), sensitive(x)))
+    df = _staged(df, column, s)
     reason = (
-        F.when(F.col("_first")["reason"].isNotNull(), F.col("_first")["reason"])
-        .when(F.col("_blank"), "empty")
+        F.when(F.col("_why").isNotNull(), F.col("_why"))
+        .when(_blank(body), "empty")
         .when(T.alnum_count(body) < 2, "too_short")
-        .when(T.dominated(body, s), "repeat_share")
-        .when(F.col("_profane"), "profanity")
-        .otherwise(F.col("_pattern"))
+        .when((body != F.col(column)) & T.dominated(body, s), "repeat_share")
+        .otherwise(T.let(T.clean(body), both))
     )
     return _without_stages(df.withColumn(name, reason))
 
@@ -186,21 +205,24 @@ def with_review_reason(df: DataFrame, column: str, name: str, s: Settings = DEFA
 def with_comment_verdict(df: DataFrame, column: str, name: str, s: Settings = DEFAULT) -> DataFrame:
     """A column struct<category, reason> of a rejected comment, or null."""
     body = F.col("_body")
-    df = _staged(df, column, s).withColumn("_empty", meaningless(body)).withColumn("_emoji", bad_emoji(body)).withColumn("_social", social_contact(body))
+    df = _staged(df, column, s)
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     verdict = lambda category, reason: F.struct(as_column(category).alias("category"), as_column(reason).alias("reason"))
+    named = lambda category, reason: T.let(reason, lambda x: F.when(x.isNotNull(), verdict(category, x)))
     found = (
-        F.when(F.col("_first")["reason"].isNotNull(), verdict("spam", F.col("_first")["reason"]))
-        .when(F.col("_blank"), verdict("spam", "empty"))
-        .when(T.dominated(body, s), verdict("spam", "repeat_share"))
-        .when(F.col("_empty").isNotNull(), verdict("spam", F.col("_empty")))
-        .when(F.col("_emoji").isNotNull(), verdict(F.col("_emoji"), "bad_emoji"))
-        .when(body.rlike(URL), verdict("spam", "url"))
-        .when(F.col("_social").isNotNull(), verdict("spam", F.col("_social")))
-        .when(email(body), verdict("privacy", "email"))
-        .when(phone_candidate(body), verdict("privacy", "phone"))
-        .when(bank_number(body), verdict("privacy", "bank"))
-        .when(address(body), verdict("privacy", "address"))
-        .when(T.profane(body), verdict("offensive", "profanity"))
-    )
+        F.when(F.col("_why").isNotNull(), verdict("spam", F.col("_why")))
+        .when(_blank(body), verdict("spam", "empty"))
+        .when((body != F.col(column)) & T.dominated(body, s), verdict("spam", "repeat_share"))
+        .otherwise(F.coalesce(
+            named("spam", meaningless(body)),
+            T.let(bad_emoji(body), lambda x: F.when(x.isNotNull(), verdict(x, "bad_emoji"))),
+            F.when(body.rlike(URL), verdict("spam", "url")),
+            named("spam", social_contact(body)),
+            F.when(email(body), verdict("privacy", "email"))
+            .when(phone_candidate(body), verdict("privacy", "phone"))
+            .when(bank_number(body), verdict("privacy", "bank"))
+            .when(address(body), verdict("privacy", "address"))
+            .when(T.profane(body), verdict("offensive", "profanity")),
+        ))
+    )
     return _without_stages(df.withColumn(name, found))

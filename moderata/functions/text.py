@@ -6,6 +6,7 @@ Java's classes are ASCII unless (?U) is set; every pattern that must see Vietnam
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,17 +22,23 @@ NUMBER_WORDS = {
 }
 # English words whose "ow" stays.
 OW_WORDS = (
-    "below how now low show grow slow down town brown flower power allow window yellow shadow row blow snow "
-    "throw crow know bow cow own owner ownership showing growing knowing lower lowest"
-).split()
+    "below", "how", "now", "low", "show", "grow", "slow", "down", "town", "brown", "flower", "power", "allow", "window", "yellow", "shadow", "row", "blow", "snow",
+    "throw", "crow", "know", "bow", "cow", "own", "owner", "ownership", "showing", "growing", "knowing", "lower", "lowest",
+)
 # Profanity by tier, as it is searched.
 PROFANE_WORDS = ("cặc", "lồn", "địt", "đéo", "buồi", "chó đẻ", "khốn nạn", "mất dạy", "cức", "cứk")
 PROFANE_PATTERNS = (
-    r"con\s*cac", r"con\s*kac", r"con\s*cak", r"con\s*cax", "kac", "cak", "cax", r"con\s*cko(?:['’`]?s)?", "loz", "lozl", "l0n", "djt",
-    r"dit\s*me", r"dit\s*cu", r"dit\s*con", "de0", r"cho\s*de", r"do\s*con\s*cho", "dmm", "dcm", "clm", "clmm", r"an\s*cuc", r"an\s*cuk", r"cuc\s*cut", r"nhu\s*cuc",
+    r"\bcon\s*cac\b", r"\bcon\s*kac\b", r"\bcon\s*cak\b", r"\bcon\s*cax\b", r"\bkac\b", r"\bcak\b", r"\bcax\b", r"\bcon\s*cko(?:['’`]?s)?\b", r"\bloz\b", r"\blozl\b", r"\bl0n\b", r"\bdjt\b",
+    r"\bdit\s*me\b", r"\bdit\s*cu\b", r"\bdit\s*con\b", r"\bde0\b", r"\bcho\s*de\b", r"\bdo\s*con\s*cho\b", r"\bdmm\b", r"\bdcm\b", r"\bclm\b", r"\bclmm\b", r"\ban\s*cuc\b", r"\ban\s*cuk\b", r"\bcuc\s*cut\b", r"\bnhu\s*cuc\b",
 )
 SPACED_PHRASES = (("con", "cac"), ("con", "kac"), ("con", "cak"), ("con", "cax"), ("cho", "de"))
 SPACED_WORDS = ("kac", "cak", "cax", "djt")
+# Accents typed as signs after a vowel, tone marks after an apostrophe, and words spelled out letter by letter.
+TYPED_ACCENTS = (r"(?<=[eoa])\^", r"(?<=[oua])\+", r"(?<=[oua])\*")
+TONE_SUFFIX = r"['`][sfrxj1-589]\b"
+TONE_DIGIT = r"(?<=[a-zA-Z])[1-589]\b"
+SPELLED_GUN, SPELLED_PHONE = r"\bg\s+un\b", r"\bs\s+d\s+t\b"
+SINGLE_LETTERS = r"\b([a-hj-np-z0-9])\s+([a-hj-np-z0-9])\b"
 
 
 def _decompositions() -> tuple[str, str, list[tuple[str, str]]]:
@@ -53,6 +60,11 @@ _SINGLE, _BASE, _LONGER = _decompositions()
 _MARKS = r"[\p{Mn}&&[^︀-️]]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c: Column) -> Column:
     """White space in one space each, none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
@@ -84,20 +96,20 @@ def numbers_as_digits(c: Column) -> Column:
 def clean(c: Column) -> Column:
     """The deep normal form: typed accents and tone suffixes undone, letters and digits only, spelled-out numbers and letters joined."""
     out = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
-    out = F.regexp_replace(out, r"(?<=[eoa])\^", "")
-    out = F.regexp_replace(out, r"(?<=[oua])\+", "")
-    out = F.regexp_replace(out, r"(?<=[oua])\*", "")
-    kept = "^(?:" + "|".join(OW_WORDS) + ")$|^(?:" + "|".join(w for w in OW_WORDS if len(w) > 3) + ")"
-    out = F.array_join(F.transform(F.split(squeeze(out), " "), lambda w: F.when(w.rlike(kept), w).otherwise(F.regexp_replace(w, "(?<=[oua])w", ""))), " ")
+    for accent in TYPED_ACCENTS:
+        out = F.regexp_replace(out, accent, "")
+    # Words that keep their "ow" are matched whole and put back; from any other word a "w" after o, u or a goes.
+    kept = "(?:" + "|".join(OW_WORDS) + r")(?!\S)|(?:" + "|".join(w for w in OW_WORDS if len(w) > 3) + r")\S*"
+    out = F.regexp_replace(squeeze(out), rf"((?<!\S)(?:{kept}))|(?<=[oua])w", "$1")
     out = F.replace(F.replace(out, F.lit("đ"), F.lit("d")), F.lit("dd"), F.lit("d"))
     out = F.regexp_replace(out, r"[\^+*\\]", "")
-    out = F.regexp_replace(out, r"['`][sfrxj1-589]\b", "")
+    out = F.regexp_replace(out, TONE_SUFFIX, "")
     out = F.regexp_replace(out, r"(?U)['`](?=\s|$)", "")
     out = F.regexp_replace(out, "(?<=[a-zA-Z])['`](?=[a-zA-Z])", "")
-    out = F.regexp_replace(unmarked(out), r"(?<=[a-zA-Z])[1-589]\b", "")
+    out = F.regexp_replace(unmarked(out), TONE_DIGIT, "")
     out = numbers_as_digits(squeeze(F.regexp_replace(out, r"(?U)[^\p{L}\p{N}\s]", "")))
-    out = F.regexp_replace(F.regexp_replace(out, r"\bg\s+un\b", "gun"), r"\bs\s+d\s+t\b", "sdt")
-    return squeeze(F.regexp_replace(out, r"\b([a-hj-np-z0-9])\s+([a-hj-np-z0-9])\b", "$1$2"))
+    out = F.regexp_replace(F.regexp_replace(out, SPELLED_GUN, "gun"), SPELLED_PHONE, "sdt")
+    return squeeze(F.regexp_replace(out, SINGLE_LETTERS, "$1$2"))
 
 
 def alnum_count(c: Column) -> Column:
@@ -134,20 +146,29 @@ def runs(c: Column) -> Column:
     return F.zip_with(whole, one, lambda w, g: F.struct(g.alias("g"), (F.length(w) / F.length(g)).cast("int").alias("n")))
 
 
+#: What the long way of `sanitized` is for: four equal characters in a row, or any emoji or joiner.
+_UNEVEN = rf"(?s)(.)\1{{3}}|{_JOINER}|{_EMOJI[1:]}"
+
+
 def sanitized(c: Column, s: Settings = DEFAULT) -> Column:
     """struct<text, reason>: runs cut to three; or the text as it was, with the reason why it is refused."""
-    found = runs(c)
     limit = lambda x: F.when(is_emoji(x["g"]), s.emoji_run_limit).otherwise(s.run_limit)
-    long = F.filter(found, lambda x: x["n"] > limit(x))
-    emojis = F.aggregate(F.filter(found, lambda x: is_emoji(x["g"])), F.lit(0), lambda a, x: a + F.least(x["n"], F.lit(s.kept_run)))
-    reason = (
-        F.when(c.isNull() | (c == ""), F.lit(None))
-        .when(dominated(c, s), "repeat_share")
-        .when(F.size(long) > 0, F.when(is_emoji(F.get(long, F.lit(0))["g"]), "emoji_run").otherwise("char_run"))
-        .when(emojis > s.emoji_limit, "emoji_total")
+    both = lambda text, reason: F.struct(text.alias("text"), reason.cast("string").alias("reason"))
+
+    def judged(found: Column) -> Column:
+        long = F.filter(found, lambda x: x["n"] > limit(x))
+        emojis = F.aggregate(F.filter(found, lambda x: is_emoji(x["g"])), F.lit(0), lambda a, x: a + F.least(x["n"], F.lit(s.kept_run)))
+        first = F.get(long, F.lit(0))
+        reason = F.when(first.isNotNull(), F.when(is_emoji(first["g"]), "emoji_run").otherwise("char_run")).when(emojis > s.emoji_limit, "emoji_total")
+        short = F.array_join(F.transform(found, lambda x: F.repeat(x["g"], F.least(x["n"], F.lit(s.kept_run)))), "")
+        return let(reason, lambda r: both(F.when(r.isNull(), short).otherwise(c), r))
+
+    return (
+        F.when(c.isNull() | (c == ""), both(c, F.lit(None)))
+        .when(dominated(c, s), both(c, F.lit("repeat_share")))
+        .when(~c.rlike(_UNEVEN), both(c, F.lit(None)))
+        .otherwise(let(runs(c), judged))
     )
-    short = F.array_join(F.transform(found, lambda x: F.repeat(x["g"], F.least(x["n"], F.lit(s.kept_run)))), "")
-    return F.struct(F.when(reason.isNull() & c.isNotNull(), short).otherwise(c).alias("text"), reason.alias("reason"))
 
 
 def _between(words: tuple[str, ...]) -> str:
@@ -156,11 +177,10 @@ def _between(words: tuple[str, ...]) -> str:
 
 def profane(c: Column) -> Column:
     """Severe profanity: marked words anywhere, plain and spaced-out spellings between word edges of the normal form."""
-    plain = normalize(c)
-    worded = r"(?iU)\b(?:" + "|".join(PROFANE_PATTERNS) + r")\b"
+    worded = "(?iU)" + "|".join(PROFANE_PATTERNS)
     spaced = r"(?iU)(?<![a-z0-9])(?:" + "|".join(_between(p) for p in (*SPACED_PHRASES, *((w,) for w in SPACED_WORDS))) + r")(?![a-z0-9])"
     marked = F.lower(c).rlike("|".join(PROFANE_WORDS))
-    return F.coalesce(marked | plain.rlike(worded) | plain.rlike(spaced), F.lit(False))
+    return F.coalesce(marked | let(normalize(c), lambda plain: plain.rlike(worded) | plain.rlike(spaced)), F.lit(False))
 
 
 def plain_title(c: Column) -> Column:

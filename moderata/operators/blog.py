@@ -35,66 +35,103 @@ def checked(c: Column, strip: bool = True) -> Column:
 
 
 def hits(c: Column, words: tuple[str, ...]) -> Column:
-    """The words that a text contains, in the order of the list."""
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+    """The words that a text contains, in the order of the list; the text is computed once, not for each word."""
+    return T.let(c, lambda x: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w)))
 
 
 def first(found: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
+def _branded(plain: Column) -> Column:
+    padded = F.concat(F.lit(" "), plain, F.lit(" "))
+    return T.let(padded, lambda x: first(F.filter(F.array(*[F.lit(b) for b in BRANDS]), lambda b: F.contains(x, F.concat(F.lit(" "), b, F.lit(" "))))))
+
+
 def brand(c: Column) -> Column:
     """The first brand that stands as words of its own."""
-    padded = F.concat(F.lit(" "), checked(c), F.lit(" "))
-    return first(F.filter(F.array(*[F.lit(b) for b in BRANDS]), lambda b: F.contains(padded, F.concat(F.lit(" "), b, F.lit(" ")))))
+    return _branded(checked(c))
+
+
+def _themed(plain: Column) -> Column:
+    def judged(bad: Column) -> Column:
+        good = F.size(hits(plain, EDUCATIONAL))
+        graphic = first(F.filter(bad, lambda w: w.isin(*GRAPHIC)))
+        many = (F.size(bad) >= 2) & T.let(good, lambda n: (n == 0) | (F.size(bad) >= 3) & (n <= 1))
+        return F.coalesce(graphic, F.when(many, first(bad)))
+
+    return T.let(hits(plain, UNSAFE_THEMES), judged)
 
 
 def unsafe_theme(c: Column) -> Column:
-    plain = checked(c)
-    bad, good = hits(plain, UNSAFE_THEMES), F.size(hits(plain, EDUCATIONAL))
-    graphic = first(F.filter(bad, lambda w: w.isin(*GRAPHIC)))
-    return F.when(graphic.isNotNull(), graphic).when(((F.size(bad) >= 2) & (good == 0)) | ((F.size(bad) >= 3) & (good <= 1)), first(bad))
+    return T.let(checked(c), _themed)
+
+
+def _unsafe(c: Column, stripped: Column) -> Column:
+    def judged(plain: Column) -> Column:
+        tokens = F.split(plain, " ")
+        short = T.let(tokens, lambda t: F.coalesce(*[F.when(F.array_contains(t, w), F.lit(w)) for w in UNSAFE_TOKENS]))
+        matched = F.coalesce(*[F.nullif(F.regexp_extract(plain, rf"(?iU)\b{p}\b", 0), F.lit("")) for p in UNSAFE_PATTERNS])
+        # The patterns one by one only where any of them matches.
+        return F.coalesce(short, F.when(plain.rlike(r"(?iU)\b(?:" + "|".join(UNSAFE_PATTERNS) + r")\b"), matched))
+
+    plain = F.when(F.lower(c).rlike(VIETNAMESE), checked(c, strip=False)).otherwise(stripped)
+    return F.when(T.profane(c), "hard_profanity").otherwise(T.let(plain, judged))
 
 
 def unsafe_content(c: Column) -> Column:
     """What is unsafe: severe profanity, a short token, or the text that a pattern matched; else null."""
-    plain = F.when(F.lower(c).rlike(VIETNAMESE), checked(c, strip=False)).otherwise(checked(c))
-    tokens = F.split(plain, " ")
-    short = F.coalesce(*[F.when(F.array_contains(tokens, w), F.lit(w)) for w in UNSAFE_TOKENS])
-    matched = F.coalesce(*[F.nullif(F.regexp_extract(plain, rf"(?iU)\b{p}\b", 0), F.lit("")) for p in UNSAFE_PATTERNS])
-    return F.when(T.profane(c), "hard_profanity").otherwise(F.coalesce(short, matched))
+    return _unsafe(c, checked(c))
+
+
+def _kind(name: str, word: Column) -> Column:
+    return F.struct(F.lit(name).alias("kind"), word.alias("keyword"))
+
+
+def _safe(c: Column, plain: Column) -> Column:
+    found = lambda name, word: T.let(word, lambda w: F.when(w.isNotNull(), _kind(name, w)))
+    return F.coalesce(
+        found("prompt_injection", first(hits(plain, INJECTIONS))), found("external_brand", _branded(plain)), found("unsafe_theme", _themed(plain)), found("unsafe_content", _unsafe(c, plain))
+    )
 
 
 def safety(title: Column, structure: Column) -> Column:
     """struct<kind, keyword> of the first violation of a request, or null."""
-    c = context(title, structure)
-    kind = lambda name, word: F.struct(F.lit(name).alias("kind"), word.alias("keyword"))
-    injected, named, theme, unsafe = first(hits(checked(c), INJECTIONS)), brand(c), unsafe_theme(c), unsafe_content(c)
-    return F.when(injected.isNotNull(), kind("prompt_injection", injected)).when(named.isNotNull(), kind("external_brand", named)).when(theme.isNotNull(), kind("unsafe_theme", theme)).when(unsafe.isNotNull(), kind("unsafe_content", unsafe))
+    return T.let(context(title, structure), lambda c: T.let(checked(c), lambda plain: _safe(c, plain)))
+
+
+def _aim(plain: Column, category_id: Column, s: Settings) -> Column:
+    as_ = lambda d, x: F.struct(F.lit(d).alias("decision"), x.cast("double").alias("score"))
+
+    def judged(anchors: Column) -> Column:
+        score = F.least(F.lit(1.0), (anchors * s.anchor_weight + F.when(category_id > 0, s.category_bonus).otherwise(0.0)) / F.size(F.split(plain, " ")))
+        off = (anchors == 0) & (F.size(hits(plain, OFF_TOPIC)) > 0)
+        return F.when(off, as_("block", F.lit(0.9))).otherwise(T.let(score, lambda x: F.when(x >= s.intent_pass, as_("pass", x)).otherwise(as_("review", x))))
+
+    return F.when(plain == "", as_("block", F.lit(0.95))).otherwise(T.let(F.size(hits(plain, ANCHORS)), judged))
 
 
 def intent(title: Column, structure: Column, category_id: Column, s: Settings = DEFAULT) -> Column:
     """struct<decision, score>: how much a request is about toys and parents."""
-    plain = checked(context(title, structure))
-    anchors, off = F.size(hits(plain, ANCHORS)), F.size(hits(plain, OFF_TOPIC))
-    score = F.least(F.lit(1.0), (anchors * s.anchor_weight + F.when(category_id > 0, s.category_bonus).otherwise(0.0)) / F.size(F.split(plain, " ")))
-    as_ = lambda d, x: F.struct(F.lit(d).alias("decision"), x.cast("double").alias("score"))
-    return F.when(plain == "", as_("block", F.lit(0.95))).when((off > 0) & (anchors == 0), as_("block", F.lit(0.9))).when(score >= s.intent_pass, as_("pass", score)).otherwise(as_("review", score))
+    return T.let(checked(context(title, structure)), lambda plain: _aim(plain, category_id, s))
 
 
 def screened(title: Column, structure: Column, category_id: Column, s: Settings = DEFAULT) -> Column:
     """struct<status, kind, keyword> of a request: blank fields, blocked emoji, intent, safety."""
-    c = context(title, structure)
     out = lambda status, kind, word: F.struct(F.lit(status).alias("status"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), word.cast("string").alias("keyword"))
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
-    emoji, aim, unsafe = first(hits(c, HARD_EMOJI)), intent(title, structure, category_id, s), safety(title, structure)
-    return (
-        F.when(blank(title) | blank(structure), out("blocked", "validation_error", F.lit(None)))
-        .when(emoji.isNotNull(), out("blocked", "emoji", emoji))
-        .when(aim["decision"] == "block", out("blocked", "off_topic", F.lit(None)))
-        .when(unsafe.isNotNull(), out("blocked", unsafe["kind"], unsafe["keyword"]))
-        .otherwise(out("accepted", aim["decision"], F.lit(None)))
-    )
+    none = F.lit(None)
+
+    def safe(c: Column, plain: Column, aim: Column) -> Column:
+        return F.when(aim["decision"] == "block", out("blocked", "off_topic", none)).otherwise(
+            T.let(_safe(c, plain), lambda x: F.when(x.isNotNull(), out("blocked", x["kind"], x["keyword"])).otherwise(out("accepted", aim["decision"], none)))
+        )
+
+    def judged(c: Column) -> Column:
+        toned = lambda emoji: F.when(emoji.isNotNull(), out("blocked", "emoji", emoji)).otherwise(T.let(checked(c), lambda plain: T.let(_aim(plain, category_id, s), lambda aim: safe(c, plain, aim))))
+        return T.let(first(hits(c, HARD_EMOJI)), toned)
+
+    return F.when(blank(title) | blank(structure), out("blocked", "validation_error", none)).otherwise(T.let(context(title, structure), judged))
 
 
 def without_emoji(c: Column) -> Column:
@@ -103,8 +140,8 @@ def without_emoji(c: Column) -> Column:
 
 def output_fault(c: Column) -> Column:
     """Why a finished article may not be published, or null."""
-    cleaned = without_emoji(c)
-    return F.coalesce(unsafe_content(cleaned), F.when(F.size(hits(checked(cleaned), HATE)) > 0, "hate_content"))
+    hateful = lambda plain: F.when(F.size(hits(plain, HATE)) > 0, "hate_content")
+    return T.let(without_emoji(c), lambda x: T.let(checked(x), lambda plain: F.coalesce(_unsafe(x, plain), hateful(plain))))
 
 
 def incomplete(html: Column, s: Settings = DEFAULT) -> Column:
@@ -182,8 +219,8 @@ def parsed_article(raw: Column) -> Column:
 def finished(html: Column, title: Column, structure: Column, s: Settings = DEFAULT) -> Column:
     """struct<content, fault>: the article cut to its length and cleaned of its prompt, and why it may not be published."""
     content = without_emoji(without_prompt_lines(without_markers(F.substring(as_html(html), 1, s.article_max), title), structure))
-    fault = F.when(echoed(content), "echo").when(incomplete(content, s), "incomplete").when(vietnamese(content), "vietnamese").otherwise(output_fault(content))
-    return F.struct(content.alias("content"), fault.alias("fault"))
+    fault = lambda x: F.when(echoed(x), "echo").when(incomplete(x, s), "incomplete").when(vietnamese(x), "vietnamese").otherwise(output_fault(x))
+    return T.let(content, lambda x: F.struct(x.alias("content"), fault(x).alias("fault")))
 
 
 # What sends a blocked request to which suggestions.
