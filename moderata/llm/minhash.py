@@ -30,10 +30,8 @@ PERMUTATIONS, BANDS, ROWS = 128, 42, 6
 #: A pair is refuted without its sets if fewer of its 256 values agree than at 6 standard deviations below the
 #: similarity asked for (probability 1e-9).
 DEVIATIONS = 6
-#: Members of a bucket in one group of the search; a larger bucket is searched block against block.
-BLOCK = 2048
-#: Bytes of a shingle's hash in the sets: two of a pair's shingles are confused with probability 1e-6.
-SET_BYTES = 5
+#: Members of a bucket, and their shingles, in one group of the search; a larger bucket is searched block against block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -99,16 +97,14 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for part in flat.steps(batch, "text"):
                 values = flat.distinct_slices(*shingles(*flat.flatten(part.column("text")), width))
-                packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes() for x in values]
+                packed = [x.tobytes() for x in values]  # all 64 bits of every hash
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "hashes"])
 
     return sets
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
-    return out.view(U64).ravel()
+    return np.frombuffer(data, U64)
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -211,8 +207,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_shingles, component_id, kept): groups of texts linked by shingle sets of similarity percent / 100 or more.
 
     component_id is the smallest id reachable through links, kept marks the document with that id. A text without
-    words (null, empty, white space) has no shingles and is linked with nothing. Rows that share an id are one node
-    of the graph; rows without an id stay alone, with a null component, and are kept. Integer ids only.
+    words (null, empty, white space) has no shingles and is linked with nothing. One row for each row; rows that share
+    an id are one node of the graph; rows without an id stay alone, with a null component, and are kept. An empty table
+    gives an empty result. Integer ids only. Other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sketches = materialised(source.mapInArrow(_sketch(width), "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary"))
@@ -237,16 +234,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = materialised(both.mapInArrow(_similar(percent), "u bigint, v bigint"))
 
     labelled = members.select("band", "id", "n").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("members"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.select("band", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    largest = F.max_by(F.struct("component", "size", "shingles"), F.struct("size", "component"))
+    mixed = parts.groupBy("band").agg(largest.alias("largest"), F.sum("size").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda size, shingles: F.greatest(F.lit(1), F.ceil(size / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("band", F.col("largest.component").alias("largest"), blocks(F.col("members") - F.col("largest.size"), F.col("shingles") - F.col("largest.shingles")).alias("askers"), blocks(F.col("members"), F.col("shingles")).alias("holders"))
     labelled = labelled.join(mixed, "band").join(signed, "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    block = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     columns = ["id", F.col("n").cast("bigint").alias("n"), "component"]
-    # All but the largest component ask, every member is held; large buckets in blocks of both.
-    asking = labelled.where("component != largest").select("band", block.alias("asker"), every.alias("holder"), *columns, F.lit(True).alias("asks"), "signature")
-    holding = labelled.select("band", every.alias("asker"), block.alias("holder"), *columns, F.lit(False).alias("asks"), "signature")
+    # All but the largest component ask, every member is held; large buckets in blocks of both, so that a bucket costs its
+    # members times the blocks of those that ask, and no more than its members where few are left to ask.
+    asking = labelled.where("component != largest").select("band", block("askers").alias("asker"), every("holders").alias("holder"), *columns, F.lit(True).alias("asks"), "signature")
+    holding = labelled.select("band", every("askers").alias("asker"), block("holders").alias("holder"), *columns, F.lit(False).alias("asks"), "signature")
     found = materialised(asking.unionByName(holding).groupBy("band", "asker", "holder").applyInArrow(_search(percent), _MEMBER))
     more = found.join(sets, "id").groupBy("band", "asker", "holder").applyInArrow(_confirm(percent), "u bigint, v bigint")
     links = links.unionByName(materialised(more.distinct()))

@@ -231,21 +231,26 @@ def _batch(schema: pa.Schema, rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
 
-def _part(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(row order, ids, bytes, offsets) of a part; a missing id sorts last."""
+def _part(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, ids, row numbers, bytes, offsets) of a part; a missing id sorts last.
+
+    Rows are numbered by the hash of id and text, as their order may change from one step to the next; only rows equal in
+    both share a number.
+    """
     table = table.combine_chunks()
+    rows = np.unique(table.column("row").to_numpy(), return_inverse=True)[1]
     ids = table.column("id").combine_chunks().fill_null(LAST_ID).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     body, offsets = flat.flatten(texts)
-    return texts, ids, body, offsets
+    return texts, ids, rows, body, offsets
 
 
 #: anchors: the distinct ones of a part and bucket, sorted; twice, repeated, hot: a bit for each of them; counts: segments,
 #: up to 65,535. Windows of hot anchors have no body, their hashes are in anchors and sizes.
 ANCHORS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("anchors", pa.binary()), ("twice", pa.binary()), ("counts", pa.binary())])
 REPEATED = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())])
-SEGMENTS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("local", pa.bool_()), ("body", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("anchors", pa.binary())])
-RANGES = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
+SEGMENTS = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("local", pa.bool_()), ("body", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("anchors", pa.binary())])
+RANGES = pa.schema([("part", pa.int64()), ("rows", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
 _DDL = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.bool_(): "boolean"}
 
 
@@ -283,7 +288,7 @@ def _anchors(body: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int
 def _send_anchors(length: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        _, ids, body, offsets = _part(table)
+        _, ids, _, body, offsets = _part(table)
         *_, number, values, twice = _anchors(body, offsets, ids, length)
         counts = np.minimum(np.bincount(number, minlength=len(values)), 65_535).astype(np.uint16)
         rows = [{"bucket": b, "part": part, "anchors": _pack(np.diff(values[some], prepend=U64(0))), "twice": _pack(np.packbits(twice[some])), "counts": _pack(counts[some])} for b, some in _by_bucket(_bucket_of(values, buckets))]
@@ -323,7 +328,7 @@ def _send_segments(length: int, buckets: int):
         if not table.num_rows or not repeated.num_rows:
             return _batch(SEGMENTS, [])
         part = table.column("part")[0].as_py()
-        _, ids, body, offsets = _part(table)
+        _, ids, numbers, body, offsets = _part(table)
         text, first, windows, number, values, _ = _anchors(body, offsets, ids, length)
         wanted, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
         flags = {r["bucket"]: (r["repeated"], r["hot"]) for r in repeated.to_pylist()}
@@ -337,29 +342,29 @@ def _send_segments(length: int, buckets: int):
         sizes = windows + length - 1
         _, number = distinct(body, first, sizes)
         least = np.full(number.max() + 1, LAST_ID)
-        owner = ids[text]
+        owner, row = ids[text], numbers[text]
         np.minimum.at(least, number, owner)
         local = owner > least[number]  # a smaller id of this part holds the same segment
         place = first - offsets[text]
         rows = []
         if local.any():
-            rows.append({"bucket": int(part) % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(sizes[local]), "ids": _pack(owner[local]), "places": _pack(place[local]), "anchors": b""})
+            rows.append({"bucket": int(part) % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(sizes[local]), "ids": b"", "rows": _pack(row[local]), "places": _pack(place[local]), "anchors": b""})
         split &= ~local
         if split.any():
             n = windows[split]
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             one, two = hashed(body, np.repeat(first[split], n) + inside, np.full(len(inside), length))
-            holder, at = np.repeat(owner[split], n), np.repeat(place[split], n) + inside
+            holder, held, at = np.repeat(owner[split], n), np.repeat(row[split], n), np.repeat(place[split], n) + inside
             gone = held_by_smaller(one, two, holder)
             if gone.any():
-                rows.append({"bucket": int(part) % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(np.full(gone.sum(), length)), "ids": _pack(holder[gone]), "places": _pack(at[gone]), "anchors": b""})
+                rows.append({"bucket": int(part) % buckets, "part": part, "local": True, "body": b"", "sizes": _pack(np.full(gone.sum(), length)), "ids": b"", "rows": _pack(held[gone]), "places": _pack(at[gone]), "anchors": b""})
             for b, some in _by_bucket(np.where(gone, -1, _bucket_of(flat.mix(one) >> U64(64 - ANCHOR_BITS), buckets))):
                 if b >= 0:
-                    rows.append({"bucket": b, "part": part, "local": False, "body": b"", "sizes": _pack(two[some]), "ids": _pack(holder[some]), "places": _pack(at[some]), "anchors": _pack(one[some])})
+                    rows.append({"bucket": b, "part": part, "local": False, "body": b"", "sizes": _pack(two[some]), "ids": _pack(holder[some]), "rows": _pack(held[some]), "places": _pack(at[some]), "anchors": _pack(one[some])})
         for b, some in _by_bucket(np.where(local | split, -1, _bucket_of(anchor, buckets))):
             if b >= 0:
                 some = some[np.argsort(anchor[some], kind="stable")]
-                rows.append({"bucket": b, "part": part, "local": False, "body": _pack(gathered(body, first[some], sizes[some])), "sizes": _pack(sizes[some].astype(np.uint16)), "ids": _pack(owner[some]), "places": _pack(place[some]), "anchors": _pack(anchor[some])})
+                rows.append({"bucket": b, "part": part, "local": False, "body": _pack(gathered(body, first[some], sizes[some])), "sizes": _pack(sizes[some].astype(np.uint16)), "ids": _pack(owner[some]), "rows": _pack(row[some]), "places": _pack(place[some]), "anchors": _pack(anchor[some])})
         return _batch(SEGMENTS, rows)
 
     return send
@@ -370,21 +375,21 @@ def _match(length: int):
         rows, got, single = [], [], []
         for row in table.to_pylist():
             if row["local"]:
-                sizes, ids, place = _unpack(row["sizes"], np.int64), row["ids"], _unpack(row["places"], np.int64)
-                rows.append({"part": row["part"], "ids": ids, "starts": row["places"], "ends": _pack(place + sizes)})
+                sizes, place = _unpack(row["sizes"], np.int64), _unpack(row["places"], np.int64)
+                rows.append({"part": row["part"], "rows": row["rows"], "starts": row["places"], "ends": _pack(place + sizes)})
             elif not row["body"]:
                 one, two, ids = _unpack(row["anchors"], U64), _unpack(row["sizes"], U64), _unpack(row["ids"], np.int64)
-                single.append((one, two, ids, _unpack(row["places"], np.int64), np.full(len(ids), row["part"])))
+                single.append((one, two, ids, _unpack(row["rows"], np.int64), _unpack(row["places"], np.int64), np.full(len(ids), row["part"])))
             else:
                 body, sizes = _unpack(row["body"], np.uint8), _unpack(row["sizes"], np.uint16).astype(np.int64)
-                got.append((body, sizes, _unpack(row["ids"], np.int64), _unpack(row["places"], np.int64), _unpack(row["anchors"], U64), np.full(len(sizes), row["part"])))
+                got.append((body, sizes, _unpack(row["ids"], np.int64), _unpack(row["rows"], np.int64), _unpack(row["places"], np.int64), _unpack(row["anchors"], U64), np.full(len(sizes), row["part"])))
         if single:
-            one, two, ids, place, part = (np.concatenate(x) for x in zip(*single, strict=True))
+            one, two, ids, own, place, part = (np.concatenate(x) for x in zip(*single, strict=True))
             gone = np.flatnonzero(held_by_smaller(one, two, ids))
             for p, some in _by_bucket(part[gone]) if len(gone) else ():
-                rows.append({"part": p, "ids": _pack(ids[gone[some]]), "starts": _pack(place[gone[some]]), "ends": _pack(place[gone[some]] + length)})
+                rows.append({"part": p, "rows": _pack(own[gone[some]]), "starts": _pack(place[gone[some]]), "ends": _pack(place[gone[some]] + length)})
         if got:
-            body, sizes, ids, place, anchor, part = (np.concatenate(x) for x in zip(*got, strict=True))
+            body, sizes, ids, own, place, anchor, part = (np.concatenate(x) for x in zip(*got, strict=True))
             starts = np.cumsum(sizes) - sizes
             out = [[], [], [], []]
             order = np.argsort(anchor, kind="stable")
@@ -411,12 +416,12 @@ def _match(length: int):
                 begin, finish = np.flatnonzero(begin), np.flatnonzero(finish)
                 owner = some[np.searchsorted(to, begin, side="right") - 1]
                 out[0].append(part[owner])
-                out[1].append(ids[owner])
+                out[1].append(own[owner])
                 out[2].append(place[owner] + inside[begin])
                 out[3].append(place[owner] + inside[finish] + length)
-            part, ids, begin, finish = (np.concatenate(x) for x in out)
+            part, own, begin, finish = (np.concatenate(x) for x in out)
             for p, some in _by_bucket(part):
-                rows.append({"part": p, "ids": _pack(ids[some]), "starts": _pack(begin[some]), "ends": _pack(finish[some])})
+                rows.append({"part": p, "rows": _pack(own[some]), "starts": _pack(begin[some]), "ends": _pack(finish[some])})
         return _batch(RANGES, rows)
 
     return match
@@ -437,20 +442,19 @@ def _cut(result: pa.Schema, as_text: bool):
     def cut(table: pa.Table, ranges: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result.empty_table()
-        texts, ids, body, offsets = _part(table)
+        texts, _, rows, body, offsets = _part(table)
         some = ranges.to_pylist()
         join = lambda name: np.concatenate([np.zeros(0, np.int64), *[_unpack(r[name], np.int64) for r in some]])
-        owner, begin, finish = join("ids"), join("starts"), join("ends")
+        owner, begin, finish = join("rows"), join("starts"), join("ends")
         order = np.argsort(owner, kind="stable")
         owner, begin, finish = owner[order], begin[order], finish[order]
-        low, high = np.searchsorted(owner, ids), np.searchsorted(owner, ids, side="right")
+        low, high = np.searchsorted(owner, rows), np.searchsorted(owner, rows, side="right")
         kept, size, spans = [], np.diff(offsets), []
-        for i in range(len(ids)):
+        for i in range(len(rows)):
             own = body[offsets[i] : offsets[i + 1]]
             b, f = begin[low[i] : high[i]], finish[low[i] : high[i]]
             if len(b):
-                fits = f <= len(own)  # rows that share an id are told apart by their windows below
-                b, f = flat.merged(b[fits], f[fits])
+                b, f = flat.merged(b, f)
                 if as_text:
                     b, f = _whole_characters(own, b, f)
             spans.append([{"start": x, "end": y} for x, y in zip(b.tolist(), f.tolist(), strict=True)])
@@ -498,7 +502,7 @@ def _run(docs: DataFrame, length: int, result: pa.Schema, ddl: str, as_text: boo
     large = materialised(sizes.where(F.col("size") > 2 * PART_BYTES).select("part", F.ceil(F.col("size") / PART_BYTES).alias("splits")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     dealt = docs.mapInArrow(_smallest_gram(parts, docs.columns), f"{fields}, part bigint").join(large, "part", "left")
-    dealt = dealt.withColumn("part", F.col("part") + parts * F.coalesce(F.pmod(F.xxhash64("id"), F.col("splits")), F.lit(0))).drop("splits")
+    dealt = dealt.withColumn("part", F.col("part") + parts * F.coalesce(F.pmod(F.xxhash64("id"), F.col("splits")), F.lit(0))).drop("splits").withColumn("row", F.xxhash64("id", "text"))
     anchors = dealt.groupBy("part").applyInArrow(_send_anchors(length, parts), _ddl(ANCHORS))
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated(hot_segments), _ddl(REPEATED))
     found = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_send_segments(length, parts), _ddl(SEGMENTS))
@@ -510,8 +514,9 @@ def repeated_passages(docs: DataFrame, *, length: int = 50, id_col: str = "doc_i
     """(id, n_bytes, spans, kept): the maximal byte ranges to remove from each text, and the bytes outside them.
 
     A byte goes if a string of `length` bytes around it also starts in a document of a smaller id, judged on the input.
-    Matches never cross documents; equal ids are not smaller than each other; a missing id counts as the largest. Null
-    and empty texts have no bytes. Integer ids; rows that share an id should share their text. Other columns are not read.
+    One row for each row. Matches never cross documents; equal ids, of the same or of different texts, are not smaller than
+    each other; a missing id counts as the largest. Null and empty texts have no bytes; an empty table gives an empty
+    result. Integer ids. Other columns are not read.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     result = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", span), ("kept", pa.binary())])
@@ -522,7 +527,8 @@ def repeated_passages(docs: DataFrame, *, length: int = 50, id_col: str = "doc_i
 def remove_repeated_passages(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, every column kept, without repeated passages; ranges are narrowed to whole characters.
 
-    Null texts stay null; the smallest id keeps a passage.
+    Null texts stay null; the smallest id keeps a passage, and rows of that id, or without any id, cut nothing from each
+    other. Repeated rows stay repeated; an empty table stays empty.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
