@@ -3,13 +3,15 @@
 A page is cut at block tags into a flat list of text blocks. A block's features are its word count and link density,
 those of the blocks before and after it, and where it stands (in an article, in a part that its tag, class, id or role
 names as boilerplate, in a heading). A decision tree, trained on the labelled blocks of TRAINING below, says which
-blocks are main text. Pages are independent rows: no shuffle.
+blocks are main text; where no article marks it, the neighbours decide about short lines. Pages are independent rows:
+no shuffle, and a page is read once from left to right, whatever is left open in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +28,19 @@ BOILERPLATE_TAGS = frozenset("aside button dialog footer form label menu nav".sp
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored sponsors subscribe tags toolbar topbar widget widgets".split()
 )
+#: In a class name, what makes a word in it say something about the page's state rather than about the part ("has-sidebar").
+STATE_WORDS = frozenset("has no not with without is are can open opened closed enabled disabled result results".split())
 BOILERPLATE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
+#: Of these the rest of the page is theirs if their end is missing; of the others only the tag itself is left out then.
+RAW = ("script", "style")
+#: Parts of the page as a whole: their classes describe the page.
+ROOTS = ("html", "body", "main", "article")
+
 _SKIP = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in SKIPPED}
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<!--|<[!?]", re.DOTALL)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|[!?])")
+_TAG_EDGE = re.compile(r"=\s*([\"'])|>")
 
 
 @dataclass
@@ -52,15 +62,56 @@ def _named(attributes: str) -> bool:
         if name.lower() == "role":
             if value.strip() in BOILERPLATE_ROLES:
                 return True
-        elif any(w in BOILERPLATE_WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
+            continue
+        for token in value.split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if not BOILERPLATE_WORDS.isdisjoint(words) and STATE_WORDS.isdisjoint(words):
+                return True
     return False
 
 
+class _Tags:
+    """The ends of tags and of skipped elements in a page; what is not found once is never looked for again, so a page is read once."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Behind the `>` of the tag whose name ends at `at`; a quoted value may hold one. -1 if there is none."""
+        while True:
+            edge = None if ">" in self.missing else _TAG_EDGE.search(self.page, at)
+            if not edge:
+                self.missing.add(">")
+                return -1
+            if not edge[1]:
+                return edge.end()
+            closing = self.find(edge[1], edge.end())
+            at = edge.end() if closing < 0 else closing + 1
+
+    def skipped(self, name: str, at: int) -> int:
+        """Behind the end tag of a skipped element; -1 if there is none."""
+        if name in self.missing:
+            return -1
+        found = _SKIP[name].search(self.page, at)
+        if not found:
+            self.missing.add(name)
+            return -1
+        return found.end()
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; scripts, styles, comments and markup are left out."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, article, boilerplate, heading
+    opened: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
     links = 0
 
@@ -75,25 +126,24 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, len(text.split()), linked, article, boilerplate, heading))
         pieces = []
 
-    at = 0
+    tags, at = _Tags(page), 0
     while at < len(page):
-        tag = _OPEN_TAG.search(page, at)
-        if not tag:
+        tag = _MARKUP.search(page, at)
+        end = len(page) if not tag else tags.end(tag.end()) if tag[2] else tags.find("-->" if tag[0] == "<!--" else ">", tag.end())
+        if not tag or tag[2] and end < 0:  # no tag is closed from here on: the rest is text
             pieces.append((page[at:], links > 0))
             break
         if tag.start() > at:
             pieces.append((page[at : tag.start()], links > 0))
-        at = tag.end()
-        name = tag[2]
-        if name is None:
-            end = page.find("-->" if tag[0] == "<!--" else ">", at)
+        if not tag[2]:
             at = len(page) if end < 0 else end + (3 if tag[0] == "<!--" else 1)
             continue
-        name, closing = name.lower(), bool(tag[1])
-        if name in _SKIP and not closing and not tag[3].rstrip().endswith("/"):
-            if name != "head":  # what a head holds is skipped one by one, as its end may be missing
-                end = _SKIP[name].search(page, at)
-                at = end.end() if end else len(page)
+        at, attributes = end, page[tag.end() : end - 1]
+        name, closing = tag[2].lower(), bool(tag[1])
+        if name in _SKIP:
+            if not closing and name != "head" and not attributes.rstrip().endswith("/"):  # what a head holds is skipped one by one
+                end = tags.skipped(name, at)
+                at = end if end >= 0 else len(page) if name in RAW else at
             continue
         if name == "a":
             links = max(0, links - 1) if closing else 1
@@ -103,15 +153,17 @@ def blocks(page: str) -> list[Block]:
         if name not in CONTAINERS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while opened[name]:  # elements left open inside end with it
+                inner = stack.pop()[0]
+                opened[inner] -= 1
+                if inner == name:
                     break
-        elif not tag[3].rstrip().endswith("/"):
+        elif not attributes.rstrip().endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             _, article, boilerplate, _ = stack[-1] if stack else ("", False, False, False)
-            own = name in BOILERPLATE_TAGS or name == "header" and not article or _named(tag[3])
+            own = name in BOILERPLATE_TAGS or name == "header" and not article or name not in ROOTS and _named(attributes)
+            opened[name] += 1
             stack.append((name, article or name in ("article", "main"), boilerplate or own, len(name) == 2 and name[0] == "h" and name[1].isdigit()))
     flush()
     return out
@@ -136,6 +188,10 @@ TRAINING: tuple[tuple[tuple[bool, str], ...], ...] = (
     ((False, "<ul><li><a href=/>Up</a></li></ul>"), (False, "<div>Thursday</div>"), (True, "<article><h2>Notes</h2>"), (True, "<p>Da.</p>"), (True, "<p><a href=/k>here</a></p>"), (True, f"<p>{_LONG}</p>"), (True, "<p>An end.</p></article>")),
     ((True, "<main><p>One word.</p>"), (True, "<p>Then <a href=/>two links</a> <a href=/>in it</a></p>"), (True, "<ul><li><a href=/>first</a></li><li><a href=/>second</a></li></ul></main>"),),
     ((False, "<p><a href=/>Home</a></p>"), (False, "<p><a href=/>Map</a></p>"), (True, "<h1>On walking</h1>"), (True, f"<p>{_LONG}</p>"), (True, "<blockquote>Slowly, said the other.</blockquote>"), (True, f"<div>{_LONG}</div>")),
+    # Nothing but the neighbours tells these lines apart: as long, as free of links, in no article.
+    ((False, "<div><a href=/>Up one page</a></div>"), (False, "<div>Thursday the first of May</div>"), (False, "<div><a href=/m>A map of the place</a></div>"), (True, f"<div>{_LONG}</div>"), (True, "<div>And so it went on.</div>"), (True, f"<div>{_LONG}{_LONG}</div>"), (False, "<div><a href=/n>The next one</a></div>"), (False, "<div>Read by many this week</div>"), (False, "<div><a href=/o>One more</a></div>")),
+    ((False, "<p><a href=/a>All of them</a></p>"), (False, "<p>Ten stories that you missed</p>"), (False, "<p><a href=/b>See the list</a></p>"), (True, f"<p>{_LONG}</p>"), (True, "<p>Nobody knew what to say then.</p>"), (True, f"<p>{_LONG}</p>"), (True, "<p>It was late.</p>"), (True, f"<p>{_LONG}{_LONG}</p>")),
+    ((False, "<td><a href=/>Start</a></td>"), (False, "<td>Our shop is open all day</td>"), (False, "<td><a href=/q>Questions</a></td>"), (False, "<td>Prices from nine a month on</td>"), (False, "<td><a href=/r>Rooms</a></td>"), (True, f"<td>{_LONG}</td>"), (True, "<td>He laughed and went out again.</td>"), (True, f"<td>{_LONG}</td>")),
     ((True, f"<p>{_LONG}</p>"),),
     ((False, f"<form>{_LONG}</form>"), (True, f"<article>{_LONG}</article>"), (False, f"<div>{_LONG}</div>"), (False, "<div>Four more words follow</div>")),
     ((False, f"<div role='banner'>{_LONG}</div>"), (False, "<ul><li><a href=/>Go</a></li></ul>"), (True, f"<td>{_LONG}</td>"), (True, f"<td>{_LONG}{_LONG}</td>"), (False, f"<div class='comments'><div>{_LONG}</div></div>"), (False, "<p>All rights reserved</p>")),
@@ -161,24 +217,32 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
-    """A tree by Gini impurity; of equal splits the first column, and its lowest limit, wins."""
+#: Columns that splits are looked for in: where a block stands first, and where that doesn't decide, the text around it.
+WHERE, TEXT = (7, 6, 9), (0, 1, 2, 3, 4, 5, 8)
+
+
+def _split(x: np.ndarray, y: np.ndarray, columns: tuple[int, ...]) -> tuple[int, float] | None:
+    """The split with the least Gini impurity; of equal ones the first column, and its lowest limit, wins."""
     share = float(y.mean())
-    if depth == 0 or share in (0.0, 1.0):
-        return Tree(share=share)
-    best = (share * (1 - share) - 1e-9, -1, 0.0)
-    for column in range(x.shape[1] - 1, -1, -1):
+    found, least = None, share * (1 - share) - 1e-9
+    for column in columns:
         values = np.unique(x[:, column])
         for limit in (values[1:] + values[:-1]) / 2:
             goes = x[:, column] < limit
             a, b = y[goes].mean(), y[~goes].mean()
             score = goes.mean() * a * (1 - a) + (~goes).mean() * b * (1 - b)
-            if score < best[0] - 1e-9:
-                best = (score, column, float(limit))
-    if best[1] < 0:
+            if score < least - 1e-9:
+                found, least = (column, float(limit)), score
+    return found
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> Tree:
+    share = float(y.mean())
+    found = None if depth == 0 or share in (0.0, 1.0) else _split(x, y, WHERE) or _split(x, y, TEXT)
+    if not found:
         return Tree(share=share)
-    goes = x[:, best[1]] < best[2]
-    return Tree(best[1], best[2], share, grow(x[goes], y[goes], depth - 1), grow(x[~goes], y[~goes], depth - 1))
+    goes = x[:, found[0]] < found[1]
+    return Tree(*found, share, grow(x[goes], y[goes], depth - 1), grow(x[~goes], y[~goes], depth - 1))
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +273,9 @@ def main_text(page: str, tree: Tree) -> str:
 def extract(pages: DataFrame, tree: Tree | None = None, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars): the main text of each whole page, its blocks joined by line feeds.
 
-    One row for each row. A null or empty page, or one without main text, has an empty text. Other columns are not read.
+    One row for each row, repeated rows and ids too; an empty table gives an empty result. A null or empty page, or one
+    without main text, has an empty text. What is malformed (a tag, quote or element that nothing ends) costs only itself;
+    scripts and styles run to the end of the page where theirs is missing. Other columns are not read.
     """
     tree = tree or train()
     kind = pages.schema[id_col].dataType.simpleString()
