@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import urllib.parse
 import uuid
@@ -29,6 +30,8 @@ FRAME_MAGIC = 0xFD2FB528
 FILE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 64 << 20, 2 << 20, 32 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: The target of a page without a URL; a URL that reads the same is written with its first letter encoded.
+NO_URL = "about:blank"
 
 
 def digest(payload: bytes) -> str:
@@ -36,6 +39,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def target(url: str | None) -> str:
+    """A URL as a header value that `url_of` turns back into exactly the same text."""
+    if url is None:
+        return NO_URL
+    out = urllib.parse.quote(url, safe="!#$&'()*+,/:;=?@[]~")
+    return f"%{ord(out[0]):02X}{out[1:]}" if out == NO_URL else out
+
+
+def url_of(value: str) -> str | None:
+    return None if value == NO_URL else urllib.parse.unquote(value)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """A response record, or a revisit record that keeps only the HTTP header; both name digest and length of the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -45,7 +60,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", name(page_id)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", urllib.parse.quote(url or "about:blank", safe="!#$%&'()*+,/:;=?@[]~")),
+        ("WARC-Target-URI", target(url)),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
         *([("WARC-Profile", PROFILE), ("WARC-Refers-To", name(refers_to))] if revisit else []),
         ("Content-Type", "application/http;msgtype=response"),
@@ -69,40 +84,74 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def parse(data: bytes) -> dict:
-    """The fields of one record, with its headers, lengths and digest checked."""
+def _page_id(name: str) -> int | None:
+    """The page_id in a record's name; null for names that other writers give."""
+    found = re.fullmatch(r"<?urn:page:(-?\d+)>?", name)
+    return int(found[1]) if found else None
+
+
+def _digest_differs(name: str, payload: bytes) -> bool:
+    """Whether a digest header in base32 or hex names another payload; algorithms unknown here are not judged."""
+    algorithm, _, value = name.partition(":")
+    if algorithm.lower() not in ("sha1", "md5", "sha256"):
+        return False
+    own = hashlib.new(algorithm.lower(), payload).digest()
+    return value.upper().rstrip("=") not in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
+
+
+def parse(data: bytes) -> dict | None:
+    """The fields of one record, with its headers, lengths and digests checked; null for a record that holds no page.
+
+    Pages are in response, revisit and resource records; others (warcinfo, request, metadata, conversion, continuation)
+    are only checked. A payload digest is computed where the record names none in base32.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
-    if not gap or version not in (b"WARC/1.0", b"WARC/1.1"):
+    if not gap or not re.fullmatch(rb"WARC/(0\.1[78]|1\.[01])", version):
         raise Invalid("no WARC header")
     fields = _fields(lines)
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-target-uri", "warc-payload-digest"):
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise Invalid(f"no {name}")
+    if not fields["content-length"].isdecimal():
+        raise Invalid("content-length is no number")
     length = int(fields["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise Invalid(f"record of {len(rest) - 4} bytes, not {length}")
-    http, gap, payload = rest[:length].partition(b"\r\n\r\n")
-    if not gap or not http.startswith(b"HTTP/"):
-        raise Invalid("no HTTP header")
-    size = int(_fields(http.partition(b"\r\n")[2])["content-length"])
-    kind, sha1 = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-    if kind not in ("response", "revisit") or kind == "revisit" and (payload or fields.get("warc-profile") != PROFILE or "warc-refers-to" not in fields):
+    block, kind, named = rest[:length], fields["warc-type"], fields.get("warc-payload-digest", "")
+    if "warc-block-digest" in fields and _digest_differs(fields["warc-block-digest"], block):
+        raise Invalid("block differs from its digest")
+    if kind not in ("response", "revisit", "resource"):
+        return None
+    if "warc-target-uri" not in fields:
+        raise Invalid("no warc-target-uri")
+    http, gap, payload = block.partition(b"\r\n\r\n") if kind != "resource" and block.startswith(b"HTTP/") else (b"", b"-", block)
+    if not gap or kind == "revisit" and "warc-profile" not in fields:
         raise Invalid(f"bad {kind} record")
-    if kind == "response" and (len(payload) != size or digest(payload) != sha1):
+    size = _fields(http.partition(b"\r\n")[2]).get("content-length") if http else None
+    if kind == "revisit":
+        if payload or not named or "warc-refers-to" not in fields:
+            raise Invalid("bad revisit record")
+    elif size is not None and len(payload) != int(size) or named and _digest_differs(named, payload):
         raise Invalid("payload differs from its length or digest")
-    page = lambda x: int(n) if (n := x.removeprefix("<urn:page:").removesuffix(">")) else None
+    base32 = re.fullmatch("sha1:([A-Z2-7]{32})", named)
     return {
-        "page_id": page(fields["warc-record-id"]),
-        "url": None if fields["warc-target-uri"] == "about:blank" else urllib.parse.unquote(fields["warc-target-uri"]),
-        "payload_bytes": size,
-        "payload_digest": sha1,
+        "page_id": _page_id(fields["warc-record-id"]),
+        "url": url_of(fields["warc-target-uri"].removeprefix("<").removesuffix(">")),
+        "payload_bytes": int(size) if kind == "revisit" and size is not None else len(payload),
+        "payload_digest": base32[1] if base32 else named.partition(":")[2] if kind == "revisit" else digest(payload),
         "record_type": kind,
-        "refers_to": page(fields["warc-refers-to"]) if kind == "revisit" else None,
-        "payload": payload if kind == "response" else None,
+        "refers_to": _page_id(fields["warc-refers-to"]) if kind == "revisit" else None,
+        "payload": payload if kind != "revisit" else None,
     }
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI; Spark's names of object stores are those of the same stores here."""
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
+
+
 class Writer:
     """One archive; its dictionary is trained on the records before SAMPLE_BYTES, a bounded sample."""
 
@@ -177,7 +226,9 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> Data
 
     Columns page_id, url, html (null: empty). Of pages with equal payloads of at least least_bytes bytes the one with
     the largest page_id is written in full; the others refer to it (pages that share that id are all in full). Pages
-    without a page_id refer to the largest one, or are in full if there is none. Other columns are not read.
+    without a page_id refer to the largest one, or are in full if there is none. Any URL comes back as it was, null and
+    the empty one too. One record for each row, repeated rows too; an empty table gives no archive. Other columns are not
+    read.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary"))))
@@ -186,7 +237,7 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> Data
     rows = rows.join(whole, "sha", "left").select("page_id", "url", "html", "whole")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(path)
+        store, base = _store(path)
         store.create_dir(base, recursive=True)
         writer = None
         for batch in batches:
@@ -211,24 +262,23 @@ RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_byt
 def read_archives(manifest: DataFrame, root: str, *, with_payload: bool = True) -> DataFrame:
     """The records of the archives of a manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload].
 
-    An archive that breaks the format, or holds another number of records than its manifest says, fails the job.
-    root: a URI of the file system that the paths are of.
+    One row for each page record of each archive, none for an empty manifest. An archive that breaks the format, or holds
+    another number of records than its manifest says, fails the job. root: a URI of the file system that the paths are of.
     """
     schema = RECORD if with_payload else RECORD.remove(len(RECORD) - 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(root)
+        store, _ = _store(root)
         for batch in batches:
             for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows, size, seen = [], 0, 0
                 with store.open_input_stream(path) as stream:
                     for data in read_archive(stream):
                         row = parse(data)
-                        if not with_payload:
-                            del row["payload"]
-                        rows.append(row)
                         seen += 1
-                        size += len(data)
+                        if row:
+                            rows.append({k: row[k] for k in schema.names})
+                            size += len(data)
                         if size >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, size = [], 0
