@@ -15,8 +15,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A unit that may not be cut off from its neighbours: empty, or white space at an end.
 _OPEN = f"^$|^[{_SPACE}]|[{_SPACE}]$"
-#: Units that a Python worker remembers; it forgets all at this number.
-REMEMBERED = 300_000
+#: Bytes of units and their ids that a Python worker remembers, about (it forgets all at this size), and characters of the
+#: longest unit that is worth it: longer ones seldom come again.
+REMEMBERED_BYTES, REMEMBERED_LENGTH = 64 << 20, 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -48,6 +49,7 @@ class Bpe:
         self.by_units = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec.get("post_processor") and not any(" " in s or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for s, t in zip(self.special, spec.get("added_tokens", []), strict=True))
         self.fast = self._fast(spec["model"]) if self.by_units else None
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _fast(self, model: dict):
         vocab, merges = model["vocab"], model["merges"]
@@ -68,13 +70,17 @@ class Bpe:
         return np.array(ids, np.uint32).tobytes()
 
     def _remembered(self, units: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if self.known_bytes > REMEMBERED_BYTES:
             self.known.clear()
+            self.known_bytes = 0
         known, out = self.known, []
         for unit in units:
             ids = known.get(unit)
             if ids is None:
-                ids = known[unit] = self._encode(unit)
+                ids = self._encode(unit)
+                if len(unit) <= REMEMBERED_LENGTH:
+                    known[unit] = ids
+                    self.known_bytes += 200 + len(unit) + len(ids)  # with the objects around them
             out.append(ids)
         return out
 

@@ -36,7 +36,7 @@ def test_any_split_gives_the_same_passages(spark, hot_segments):
 def test_no_bucket_holds_a_hot_anchor_whole():
     buckets, parts = 16, 6
     rows = texts(300)[:300]
-    tables = [pa.table({"id": [i for i, _ in rows if i % parts == p], "text": [t for i, t in rows if i % parts == p], "part": pa.array([p] * 50, pa.int64())}) for p in range(parts)]
+    tables = [pa.table({"id": [i for i, _ in rows if i % parts == p], "text": [t for i, t in rows if i % parts == p], "part": pa.array([p] * 50, pa.int64()), "row": pa.array([i for i, _ in rows if i % parts == p], pa.int64())}) for p in range(parts)]
     sent = pa.concat_tables([suffix_dedup._send_anchors(50, buckets)(t) for t in tables])
     by_bucket = [sent.filter(pa.array([b == k for b in sent.column("bucket").to_pylist()])) for k in range(buckets)]
     flags = pa.concat_tables([suffix_dedup._repeated(100)(t) for t in by_bucket if t.num_rows])
