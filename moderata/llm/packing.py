@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moderata.llm import bpe, flat
 from moderata.llm.shared import materialised
+from moderata.llm.token_counts import CHUNK, OVERLAP
 
 STEP_BYTES = 4 << 20
 #: Documents are placed by falling length; lengths of one band (a share of the capacity) propose at the same time.
 BANDS = 64
-#: Intervals that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Ranks of a length that are joined with their intervals as one group.
+RANKS = 1 << 15
 
 
 def sweeps(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -74,6 +76,19 @@ def sweeps(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple
     return out
 
 
+def _encoded(model: bpe.Bpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, offsets); a text beyond a chunk is encoded by overlapping chunks."""
+    _, offsets = flat.flatten(texts)
+    long = np.diff(offsets) > CHUNK
+    ids, at = model.encode(pc.if_else(pa.array(long), "", texts))
+    if not long.any():
+        return ids, at
+    parts = [ids[at[i] : at[i + 1]] for i in range(len(texts))]
+    for i in np.flatnonzero(long).tolist():
+        parts[i] = np.concatenate([np.array(x, np.uint32) for _, x in model.splices(texts[i].as_py(), CHUNK, OVERLAP)])
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each document's ids and `end`, cut to the capacity; the first piece takes the rest."""
 
@@ -81,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end: int, id_col:
         model = bpe.load(tokenizer)
         for batch in batches:
             for part in flat.steps(batch, "text", STEP_BYTES):
-                ids, at = model.encode(part.column("text"))
+                ids, at = _encoded(model, part.column("text"))
                 row, piece, start, length, crc, every = [], [], [], [], [], []
                 for i in range(part.num_rows):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(end)).astype("<u4")
@@ -124,8 +139,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = 2048,
 
     classes = counts.groupBy("length").agg(F.sum("n").alias("n")).coalesce(1)
     placed = materialised(classes.mapInArrow(sweep, "on_length bigint, first_rank bigint, n bigint, first_sequence bigint, offset bigint"))
-    if placed.count() <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
-    ranked = cut.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
-    joined = ranked.join(placed, (F.col("length") == F.col("on_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
+    # The rank is joined in stretches, so that a frequent length is no hot key; nothing is broadcast by hand.
+    last = F.col("first_rank") + F.col("n") - 1
+    placed = placed.withColumn("on_stretch", F.explode(F.sequence(F.floor(F.col("first_rank") / RANKS), F.floor(last / RANKS))))
+    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")  # rows equal in all four are interchangeable
+    ranked = cut.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
+    ranked = ranked.withColumn("stretch", F.floor(F.col("rank") / RANKS))
+    joined = ranked.join(placed, (F.col("length") == F.col("on_length")) & (F.col("stretch") == F.col("on_stretch")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") <= last))
     return joined.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("offset"))
