@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows of whole turns.
 
-Prefix sums of turn tokens lay each conversation on a line; a grid of the target budget cuts it into windows of the
-turns that lie inside one cell, and a turn that crosses a grid line is a window of its own. A window repeats the
-conversation's system turn and as many turns before it as fit the history budget; repeated turns carry no loss.
+Prefix sums of turn tokens lay each conversation on a line; a grid, of what the budget leaves beside system turn and
+history, cuts it into windows of the turns that lie inside one cell, and a turn that crosses a grid line is a window of
+its own. A window repeats the conversation's system turn and as many turns before it as fit the history budget; repeated
+turns carry no loss.
 The sums are two-level (blocks of turns first) and windows are bounded by the budgets, so that a very long
 conversation is worked on by many tasks.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moderata.llm import bpe, flat
+from moderata.llm.shared import materialised
 
 #: Turns of a conversation that are summed together before the sums are.
 BLOCK_TURNS = 256
@@ -63,16 +65,18 @@ def format_windows(conversations: DataFrame, tokenizer: str | None = None, *, bu
     """(conv_id, first_turn, n_repeated, text, loss): the formatted windows of each conversation.
 
     first_turn: place (from 0) of the window's first own turn; n_repeated: turns before it in the text (system and
-    history); loss: code point ranges of the assistant texts, each in exactly one window. A window's own turns have
-    at most `budget` tokens, or are one turn. Turns go by turn, role, text (nulls first); null texts and roles are
-    empty, rows without a conv_id are one conversation, repeated rows are turns of their own; only the first turn
-    counts as the system turn. Other columns are not read.
+    history); loss: code point ranges of the assistant texts, each in exactly one window. A window has at most `budget`
+    tokens, system turn and history included, unless it is one turn that is too long, or the system turn leaves less
+    than a quarter of the budget, which a window's own turns have in any case. Turns go by turn, role, text (nulls
+    first); null texts and roles are empty, rows without a conv_id are one conversation, repeated rows are turns of
+    their own; only the first turn counts as the system turn. An empty table has no windows. Other columns are not read.
+    The tokens are counted once and written to the shared folder.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("said"))
     rows = rows.withColumn("escaped", escape(F.col("said")))
     rows = rows.select("conv_id", "turn", "role", "escaped", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SAYS), "escaped", F.lit(CLOSE)).alias("shown"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.mapInArrow(_tokens(tokenizer or bpe.default_path()), f"{fields}, tokens bigint")
+    rows = materialised(rows.mapInArrow(_tokens(tokenizer or bpe.default_path()), f"{fields}, tokens bigint"))
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 40))))
     order = [F.col("turn").asc_nulls_first(), "role", "escaped"]
     inside = Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -82,13 +86,17 @@ def format_windows(conversations: DataFrame, tokenizer: str | None = None, *, bu
     blocks = blocks.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
     rows = rows.select("conv_id", "role", "escaped", "shown", (F.col("n0") + F.col("place") - 1).alias("n"), (F.col("t0") + F.col("own")).alias("end"), "tokens").withColumn("start", F.col("end") - F.col("tokens"))
-    cell = F.floor(F.col("start") / budget)
-    crossing = F.floor((F.col("end") - 1) / budget) > cell
+    first = rows.where("n = 0 and role = 'system'").select(F.col("conv_id").alias("g_conv"), F.col("tokens").alias("system_tokens"))
+    rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("g_conv")), "left").drop("g_conv")
+    grid = F.greatest(F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(max(1, budget // 4)))
+    rows = materialised(rows.withColumn("grid", grid).drop("system_tokens"))
+    cell = F.floor(F.col("start") / F.col("grid"))
+    crossing = F.floor((F.col("end") - 1) / F.col("grid")) > cell
     rows = rows.withColumn("cell", cell).withColumn("window", F.when(crossing, 2 * F.col("cell") + 1).otherwise(2 * F.col("cell")))
     turn = F.struct("n", "role", F.length("escaped").alias("size"), F.length("shown").alias("length"), "shown")
-    windows = rows.groupBy("conv_id", "window").agg(F.min("n").alias("first_turn"), F.min("start").alias("from"), F.sort_array(F.collect_list(turn)).alias("turns"))
+    windows = rows.groupBy("conv_id", "window").agg(F.min("n").alias("first_turn"), F.min("start").alias("from"), F.min("grid").alias("grid"), F.sort_array(F.collect_list(turn)).alias("turns"))
     # Turns before a window's first one that lie wholly inside the history budget: in its own cell or one before.
-    reach = windows.select(F.col("conv_id").alias("w_conv"), F.col("window").alias("w"), "from", "first_turn", F.explode(F.sequence(F.greatest(F.floor((F.col("from") - history) / budget), F.lit(0)), F.floor(F.col("from") / budget))).alias("w_cell"))
+    reach = windows.select(F.col("conv_id").alias("w_conv"), F.col("window").alias("w"), "from", "first_turn", F.explode(F.sequence(F.greatest(F.floor((F.col("from") - history) / F.col("grid")), F.lit(0)), F.floor(F.col("from") / F.col("grid")))).alias("w_cell"))
     near = rows.where(F.col("tokens") <= history).select("conv_id", "cell", "start", "end", "n", "role", turn.alias("turn"))
     near = near.where("n > 0 or role != 'system'")
     found = near.join(reach, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("cell") == F.col("w_cell")) & (F.col("n") < F.col("first_turn")) & (F.col("start") >= F.col("from") - history) & (F.col("end") <= F.col("from")))

@@ -17,10 +17,12 @@ from moderata.llm import bpe, quality, queries  # noqa: E402
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     r = random.Random(12)
-    words = ["the", "of", "and", "to", "a", "in", "is"] * 3 + ["".join(r.choices("abcdefghijéü", k=r.randint(2, 8))) for _ in range(400)]
-    say = lambda n: " ".join(r.choices(words, k=n))
+    common = quality.WORD_SHARES["en"]  # as often as in the language; with fewer the quality stage rightly rejects the texts
+    words = [*common, *["".join(r.choices("abcdefghijéü", k=r.randint(5, 9))) for _ in range(400)]]
+    weights = [*common.values(), *[(1 - sum(common.values())) / 400] * 400]
+    say = lambda n: " ".join(r.choices(words, weights, k=n))
     passage, leak = say(60), say(14)
-    docs = [(i, say(r.randint(70, 160)), "en", "s", 1) for i in range(30)]
+    docs = [(i, say(r.randint(120, 200)), "en", "s", 1) for i in range(30)]
     docs += [(100 + i, f"{say(80)} {passage} {say(60)}", "en", "s", 1) for i in range(6)]
     docs += [(200 + i, docs[i][1] + " " + say(2), "en", "s", 1) for i in range(5)]
     docs += [(300, docs[3][1], "en", "s", 1), (301, None, "en", "s", 1), (302, "", None, None, None), (303, f"{say(90)} {leak} {say(90)}", "en", "s", 1), (304, "## $$ %% " * 60, "en", "s", 1), (305, say(3000), "en", "s", 1)]

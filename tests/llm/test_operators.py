@@ -251,6 +251,10 @@ def test_chat_windows(spark, budget, history):
         assert len(turns) - w["n_repeated"] == 1 or len(model.whole.encode(own).ids) <= budget
         if by[w["conv_id"]][0][0] == "system":
             assert turns[0][0] == "system"
+        # The whole window keeps to the budget, unless it is one long turn or the system turn takes too much of it.
+        system = len(model.whole.encode(w["text"][: turns[0][3] + len(chat.CLOSE)]).ids) if turns[0][0] == "system" else 0
+        if len(turns) - w["n_repeated"] > 1 and system + history <= budget - budget // 4:
+            assert len(model.whole.encode(w["text"]).ids) <= budget
     assert chat.digests(chat.format_windows(frame.where("turn < -5"))).count() == 0
 
 
