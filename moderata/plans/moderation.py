@@ -11,85 +11,97 @@ from moderata.operators import relations as R
 from moderata.operators import selection as S
 from moderata.operators import verdicts as V
 from moderata.operators import vision as I
+from moderata.plans import duck as Q
 from moderata.plans.define import Registry
 from moderata.plans.relational import REVIEWS_AT
 from moderata.sources.tables import view, with_views
 
 registry = Registry()
 query = registry.query
-_TEXTS = with_views("texts")
+_TEXTS = f"{with_views('texts')}, given as (select doc_id, text, {Q.plain('text')} as p, {Q.normal('text')} as nn from texts), forms as (select *, {Q.plain('nn')} as n from given)\n"
 
 
 def over_texts(name, column, sql=None):
-    """A query with one value for each text."""
+    """A query with one value for each text; its SQL sees the text, its plain form p, its normal form nn, and the plain form n of that."""
 
     def run(spark, sf):
         return view(spark, sf, "texts").select("doc_id", column(F.col("text")).alias("value"))
 
-    query(name, sql and f"{_TEXTS}select doc_id, {sql} as value from texts")(run)
+    query(name, sql and f"{_TEXTS}select doc_id, {sql} as value from forms")(run)
 
 
-def re2(pattern: str) -> str:
-    """The pattern as DuckDB reads it: flags of Java left out, quotes doubled."""
-    return pattern.replace("(?iU)", "(?i)").replace("'", "''")
+def counted(items: str) -> str:
+    return f"len({items})"
 
 
-def found(pattern: str) -> str:
-    return f"regexp_matches(text, '{re2(pattern)}')"
-
-
-_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_NORMAL = rf"regexp_replace(replace(strip_accents(replace(translate(lower(regexp_replace(coalesce(text, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')), '@$013457|', 'asoieasti'), 'đ', 'd')), 'đ', 'd'), '{_SPACE}+', ' ', 'g')"
-
-over_texts("normalize_vi", T.normalize, _NORMAL)
-over_texts("clean_normalize", T.clean)
-over_texts("number_words_to_digits", lambda c: T.numbers_as_digits(T.normalize(c)))
-over_texts("normalize_check", B.checked)
+_TOKENS = "regexp_extract_all(nn, '[a-z0-9]+')"
+over_texts("normalize_vi", T.normalize, "nn")
+over_texts("clean_normalize", T.clean, Q.clean("text"))
+over_texts("number_words_to_digits", lambda c: T.numbers_as_digits(T.normalize(c)), Q.digits("nn"))
+over_texts("normalize_check", B.checked, Q.checked("text"))
 over_texts("has_vi_diacritic", lambda c: F.lower(c).rlike(B.VIETNAMESE), f"regexp_matches(lower(text), '{B.VIETNAMESE}')")
-over_texts("split_graphemes", lambda c: F.size(T.graphemes(c)))
-over_texts("is_emoji", lambda c: F.size(F.filter(T.graphemes(c), T.is_emoji)))
-over_texts("sanitize_text", lambda c: F.to_json(T.sanitized(c)))
-over_texts("run_length_compress", lambda c: T.sanitized(c)["text"])
-over_texts("emoji_totals", lambda c: F.aggregate(F.filter(T.runs(c), lambda x: T.is_emoji(x["g"])), F.lit(0), lambda a, x: a + F.least(x["n"], F.lit(3))))
-over_texts("has_hard_profanity", T.profane)
+over_texts("split_graphemes", lambda c: F.size(T.graphemes(c)).cast("long"), counted(Q.graphemes("text")))
+over_texts("is_emoji", lambda c: F.size(F.filter(T.graphemes(c), T.is_emoji)).cast("long"), counted(f"list_filter({Q.graphemes('text')}, lambda g: {Q.is_emoji('g')})"))
+over_texts("has_hard_profanity", T.profane, Q.profane("text", "n"))
 over_texts("normalize_title", T.plain_title, r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'))")
-over_texts("meaningful_char_count", lambda c: T.alnum_count(c).cast("long"), r"length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g'))")
+over_texts("meaningful_char_count", lambda c: T.alnum_count(c).cast("long"), Q.alnum_count("text"))
 over_texts("extract_digits", lambda c: F.regexp_replace(c, "[^0-9]", ""), "regexp_replace(text, '[^0-9]', '', 'g')")
-over_texts("char_dominance_ratio", lambda c: F.coalesce(T.dominance(c), F.lit(0.0)), "coalesce((select max(n) from (select count(*) as n from (select unnest(string_split(text, '')) as ch) where ch <> '' group by ch)) / nullif(length(text), 0)::double, 0.0)")
-over_texts("token_repetition_stats", lambda c: F.size(F.array_distinct(F.regexp_extract_all(T.normalize(c), F.lit("[a-z0-9]+"), F.lit(0)))).cast("long"), f"len(list_distinct(regexp_extract_all({_NORMAL}, '[a-z0-9]+')))")
+over_texts("char_dominance_ratio", lambda c: F.coalesce(T.dominance(c), F.lit(0.0)), Q.dominance("text"))
+over_texts("token_repetition_stats", lambda c: F.size(F.array_distinct(F.regexp_extract_all(T.normalize(c), F.lit("[a-z0-9]+"), F.lit(0)))).cast("long"), f"len(list_distinct({_TOKENS}))")
 over_texts("request_hash", lambda c: T.request_hash(F.col("doc_id"), c, F.lit("x")), "sha256(cast(doc_id as varchar) || '|' || coalesce(text, '') || '|x')")
 over_texts("hash_variant", lambda c: T.hash_choice(F.col("doc_id").cast("string"), ["calm", "bright", "brisk"]), "list_extract(['calm', 'bright', 'brisk'], (('0x' || substr(sha256(cast(doc_id as varchar)), 1, 8))::bigint % 3 + 1)::int)")
-over_texts("detect_url", lambda c: c.rlike(D.URL), found(D.URL))
-over_texts("detect_email", D.email)
-over_texts("detect_phone_vn", lambda c: c.rlike(D.PHONE))
-over_texts("detect_phone_candidate", D.phone_candidate)
-over_texts("detect_bank_cue", lambda c: c.rlike(D.BANK))
-over_texts("detect_bank_number", D.bank_number)
-over_texts("detect_address", D.address)
-over_texts("detect_sql_text", lambda c: c.rlike(D.SQL_TEXT), found(D.SQL_TEXT))
-over_texts("detect_social_promo", lambda c: c.rlike(D.SOCIAL))
-over_texts("detect_spam_phrase", lambda c: c.rlike(D.PROMOTION), found(D.PROMOTION))
-over_texts("detect_injection", lambda c: c.rlike(D.INJECTION), found(D.INJECTION))
-over_texts("sensitive_pattern_first", D.sensitive)
-over_texts("detect_social_contact", D.social_contact)
-over_texts("detect_meaningless", D.meaningless)
-over_texts("detect_bad_emoji", D.bad_emoji)
-over_texts("repeated_unit_token", lambda c: F.exists(F.split(T.normalize(c), " "), D.repeated_unit))
-over_texts("gibberish_tokens", lambda c: F.size(F.filter(F.regexp_extract_all(T.normalize(c), F.lit("[a-z]+"), F.lit(0)), D.gibberish_token)))
-over_texts("looks_like_username", lambda c: D.username_like(F.regexp_extract(c, r"^\S*", 0)))
-
-
-@query("review_prefilter")
+over_texts("detect_url", lambda c: c.rlike(D.URL), Q.has("p", D.URL))
+over_texts("detect_email", D.email, f"coalesce({Q.email('p')}, false)")
+over_texts("detect_phone_vn", lambda c: c.rlike(D.PHONE), Q.has("p", D.PHONE))
+over_texts("detect_phone_candidate", D.phone_candidate, Q.phone_candidate("p"))
+over_texts("detect_bank_cue", lambda c: c.rlike(D.BANK), Q.has("p", D.BANK))
+over_texts("detect_bank_number", D.bank_number, Q.bank_number("p", "n"))
+over_texts("detect_address", D.address, f"case when text is not null then {Q.address('text')} end")
+over_texts("detect_sql_text", lambda c: c.rlike(D.SQL_TEXT), Q.has("p", D.SQL_TEXT))
+over_texts("detect_social_promo", lambda c: c.rlike(D.SOCIAL), f"({Q.has('p', D.SOCIAL.replace('|@' + chr(92) + 'w{3,}', ''))} or {Q.has('p', r'\w@\w{3,}')})")
+over_texts("detect_spam_phrase", lambda c: c.rlike(D.PROMOTION), Q.has("p", D.PROMOTION))
+over_texts("detect_injection", lambda c: c.rlike(D.INJECTION), Q.has("p", D.INJECTION))
+over_texts("sensitive_pattern_first", D.sensitive, Q.sensitive("p"))
+over_texts("detect_social_contact", D.social_contact, Q.social_contact("p", "n"))
+over_texts("detect_meaningless", D.meaningless, Q.meaningless("nn"))
+over_texts("detect_bad_emoji", D.bad_emoji, Q.bad_emoji("text"))
+over_texts("repeated_unit_token", lambda c: F.exists(F.split(T.normalize(c), " "), D.repeated_unit), f"len(list_filter(string_split(nn, ' '), lambda t: {Q.repeated_unit('t')})) > 0")
+over_texts("gibberish_tokens", lambda c: F.size(F.filter(F.regexp_extract_all(T.normalize(c), F.lit("[a-z]+"), F.lit(0)), D.gibberish_token)).cast("long"), counted(f"list_filter(regexp_extract_all(nn, '[a-z]+'), lambda t: {Q.gibberish_token('t')})"))
+over_texts("looks_like_username", lambda c: D.username_like(F.regexp_extract(c, r"^\S*", 0)), f"(select {Q.username_like('w')} from (select regexp_extract(text, '^[^ \t\n\r\f\v]*') as w))")
+over_texts("detect_privacy_signal", V.personal, Q.personal("text", "p", "n"))
+
+_SANE = f"{with_views('texts')},\n{Q.sanitized('texts', 'doc_id', 'text')}\n"
+
+
+@query("sanitize_text", _SANE + "select doc_id, body, why from sane")
+def sanitize_text(spark, sf):
+    return view(spark, sf, "texts").select("doc_id", F.array(T.sanitized(F.col("text"))).alias("s")).select("doc_id", F.element_at("s", 1)["text"].alias("body"), F.element_at("s", 1)["reason"].alias("why"))
+
+
+@query("run_length_compress", f"{with_views('texts')},\n{Q.runs('texts', 'doc_id', 'text')}\nselect doc_id, string_agg(repeat(g, least(n, 3)::int), '' order by i) as value from texts left join runs using (doc_id) group by doc_id, text is null")
+def run_length_compress(spark, sf):
+    """Runs of equal graphemes cut to three."""
+    short = lambda x: F.repeat(x["g"], F.least(x["n"], F.lit(3)))
+    return view(spark, sf, "texts").select("doc_id", F.array_join(F.transform(T.runs(F.col("text")), short), "").alias("value"))
+
+
+@query("emoji_totals", f"{with_views('texts')},\n{Q.runs('texts', 'doc_id', 'text')}\nselect doc_id, case when text is not null then coalesce(sum(least(n, 3)) filter ({Q.is_emoji('g')}), 0)::bigint end as value from texts left join runs using (doc_id) group by doc_id, text")
+def emoji_totals(spark, sf):
+    """Emoji that are left when runs are cut to three."""
+    total = F.aggregate(F.filter(T.runs(F.col("text")), lambda x: T.is_emoji(x["g"])), F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.lit(3)))
+    return view(spark, sf, "texts").select("doc_id", total.alias("value"))
+
+
+@query("review_prefilter", f"{with_views('texts')},\n{Q.review_reasons('texts', 'doc_id', 'text')}\nselect doc_id, found as value from reasons")
 def review_prefilter(spark, sf):
     return D.with_review_reason(view(spark, sf, "texts"), "text", "value").select("doc_id", "value")
 
 
-@query("comment_prefilter")
+@query("comment_prefilter", f"{with_views('texts')},\n{Q.comment_reasons('texts', 'doc_id', 'text')}\nselect doc_id, category, reason from reasons")
 def comment_prefilter(spark, sf):
-    return D.with_comment_verdict(view(spark, sf, "texts"), "text", "value").select("doc_id", F.to_json("value").alias("value"))
+    return D.with_comment_verdict(view(spark, sf, "texts"), "text", "value").select("doc_id", "value.category", "value.reason")
 
 
-over_texts("detect_privacy_signal", V.personal)
 over_texts("truncate_fields", lambda c: F.substring(c, 1, 500), "substr(text, 1, 500)")
 over_texts("has_vi_signals", B.vietnamese, "regexp_matches(' ' || lower(coalesce(text, '')) || ' ', '{}')".format("|".join(B.VIETNAMESE_SIGNALS)))
 
@@ -282,22 +294,135 @@ def _context():
 
 _DUCK_CTX = "trim(trim(title) || chr(10) || trim(structure))"
 over_articles("blog_context", _context, _DUCK_CTX)
-over_articles("gate_hard_emoji", lambda: B.first(B.hits(_context(), B.HARD_EMOJI)), "list_filter([{}], lambda e: contains({}, e))[1]".format(", ".join(f"'{e}'" for e in B.HARD_EMOJI), _DUCK_CTX))
-over_articles("detect_prompt_injection", lambda: B.first(B.hits(B.checked(_context()), B.INJECTIONS)))
-over_articles("detect_external_brand", lambda: B.brand(_context()))
-over_articles("detect_unsafe_theme", lambda: B.unsafe_theme(_context()))
-over_articles("detect_unsafe_content", lambda: B.unsafe_content(_context()))
-over_articles("classify_intent", lambda: F.to_json(B.intent(F.col("title"), F.col("structure"), F.col("category_id"))))
-over_articles("safety_check", lambda: F.to_json(B.safety(F.col("title"), F.col("structure"))))
-over_articles("screen_blog_requests", lambda: F.to_json(B.screened(F.col("title"), F.col("structure"), F.col("category_id"))))
-over_articles("source_content_warning", lambda: B.unsafe_content(F.col("structure")).isNotNull())
-over_articles("output_validation", lambda: B.output_fault(F.col("structure")))
-over_articles("article_quality_gate", lambda: B.incomplete(F.concat(F.lit("<h2>x</h2><p>"), "structure")), "length('<h2>x</h2><p>' || structure) < 3000")
-over_articles("markdown_to_html", lambda: B.as_html(F.concat(F.lit("## "), "title", F.lit("\n- one\n- two\n"), "structure")))
-over_articles("strip_markers", lambda: B.without_markers(F.concat(F.lit("<h1>"), "title", F.lit("</h1><p>"), "structure", F.lit("</p>")), F.col("title")))
-over_articles("strip_prompt_leakage", lambda: B.without_prompt_lines(F.concat(F.lit("<ul><li>"), "title", F.lit("</li></ul><p>"), "structure", F.lit("</p>")), F.col("title")))
-over_articles("parse_article_json", lambda: B.parsed_article(F.to_json(F.struct("title", F.col("structure").alias("content"))))["content"], "case when title is not null and structure is not null then structure end")
-over_articles("finalize_articles", lambda: B.finished(F.concat(F.lit("## "), "title", F.lit("\n"), "structure"), F.col("title"), F.lit("- one\n- two"))["fault"])
+_ARTICLES = f"{with_views('articles')},\n{Q.article_forms(_DUCK_CTX)}\n"
+_SOURCE = f"{with_views('articles')},\nforms as (select *, {Q.checked('structure')} as k, {Q.plain(Q.normal('structure'))} as n from articles)\n"
+over_articles("gate_hard_emoji", lambda: B.first(B.hits(_context(), B.HARD_EMOJI)), f"({Q.hits(_DUCK_CTX, B.HARD_EMOJI)})[1]")
+
+
+def over_requests(name, columns, sql, source=_ARTICLES):
+    """A query with several values for each article request; its SQL sees the context c, its checked form k, and n, the plain form of its normal form."""
+
+    def run(spark, sf):
+        # Packed in an array: the optimizer would take a struct apart and compute it once for each field.
+        found = view(spark, sf, "articles").select("doc_id", F.array(F.struct(*[c.alias(k) for k, c in columns().items()])).alias("found"))
+        return found.select("doc_id", *[F.element_at("found", 1)[k].alias(k) for k in columns()])
+
+    query(name, f"{source}select doc_id, {', '.join(f'{v} as {k}' for k, v in sql.items())} from forms")(run)
+
+
+def over_found(name, column, fields, sql, source=_ARTICLES):
+    """The same for the fields of one struct."""
+
+    def run(spark, sf):
+        found = view(spark, sf, "articles").select("doc_id", F.array(column()).alias("found"))
+        return found.select("doc_id", *[F.element_at("found", 1)[k].alias(k) for k in fields])
+
+    query(name, f"{source}select doc_id, {', '.join(f'{v} as {k}' for k, v in zip(fields, sql, strict=True))} from forms")(run)
+
+
+_DECISION, _SCORE = Q.aim("k")
+_INJECTED, _UNSAFE = f"({Q.hits('k', B.INJECTIONS)})[1]", Q.unsafe("c", "k", "n")
+_KIND_OF = f"case when {_INJECTED} is not null then 'prompt_injection' when {Q.branded('k')} is not null then 'external_brand' when {Q.themed('k')} is not null then 'unsafe_theme' when {_UNSAFE} is not null then 'unsafe_content' end"
+_WORD_OF = f"coalesce({_INJECTED}, {Q.branded('k')}, {Q.themed('k')}, {_UNSAFE})"
+over_requests("detect_prompt_injection", lambda: {"value": B.first(B.hits(B.checked(_context()), B.INJECTIONS))}, {"value": _INJECTED})
+over_requests("detect_external_brand", lambda: {"value": B.brand(_context())}, {"value": Q.branded("k")})
+over_requests("detect_unsafe_theme", lambda: {"value": B.unsafe_theme(_context())}, {"value": Q.themed("k")})
+over_requests("detect_unsafe_content", lambda: {"value": B.unsafe_content(_context())}, {"value": _UNSAFE})
+over_found("classify_intent", lambda: B.intent(F.col("title"), F.col("structure"), F.col("category_id")), ["decision", "score"], [_DECISION, _SCORE])
+over_found("safety_check", lambda: B.safety(F.col("title"), F.col("structure")), ["kind", "keyword"], [_KIND_OF, _WORD_OF])
+_EMOJI_OF = f"({Q.hits('c', B.HARD_EMOJI)})[1]"
+_BLANK = "coalesce(trim(title), '') = '' or coalesce(trim(structure), '') = ''"
+_SCREENED = (
+    f"{_ARTICLES}, judged as (select *, {_DECISION} as d, {_KIND_OF} as x, {_WORD_OF} as w, {_EMOJI_OF} as e, {_BLANK} as b from forms),\n"
+    "screened as (select doc_id, title, case when b or e is not null or d = 'block' or x is not null then 'blocked' else 'accepted' end as status, case when b then 'validation_error' when e is not null then 'emoji' when d = 'block' then 'off_topic' else coalesce(x, d) end as kind, case when b then null when e is not null then e when d = 'block' then null else w end as keyword from judged)\n"
+)
+
+
+@query("screen_blog_requests", _SCREENED + "select doc_id, status, kind, keyword from screened")
+def screen_blog_requests(spark, sf):
+    return _screened(spark, sf).select("doc_id", "status", "kind", "keyword")
+
+
+def _screened(spark, sf):
+    found = view(spark, sf, "articles").withColumn("found", F.array(B.screened(F.col("title"), F.col("structure"), F.col("category_id")))).withColumn("f", F.element_at("found", 1))
+    return found.select("doc_id", "title", "structure", "category_id", "f.status", "f.kind", "f.keyword")
+
+
+over_requests("source_content_warning", lambda: {"value": B.unsafe_content(F.col("structure")).isNotNull()}, {"value": f"{Q.unsafe('structure', 'k', 'n')} is not null"}, _SOURCE)
+_BARE = "[" + "".join(B.HARD_EMOJI) + "]"
+_OUT = f"{with_views('articles')},\nforms as (select *, {Q.checked('c')} as k, {Q.plain(Q.normal('c'))} as n from (select *, regexp_replace(structure, '{_BARE}', '', 'g') as c from articles))\n"
+over_requests("output_validation", lambda: {"value": B.output_fault(F.col("structure"))}, {"value": f"coalesce({_UNSAFE}, case when len({Q.hits('k', B.HATE)}) > 0 then 'hate_content' end)"}, _OUT)
+
+
+def _page(title, structure):
+    """A finished article in HTML, as the gates see it."""
+    return F.when(F.col("category_id") == 3, structure).otherwise(F.concat(F.lit("<h2>"), title, F.lit("</h2><p>"), structure, F.lit("</p>")))
+
+
+_DUCK_PAGE = "case when category_id = 3 then structure else '<h2>' || title || '</h2><p>' || structure || '</p>' end"
+over_articles("article_quality_gate", lambda: T.let(_page(F.col("title"), F.col("structure")), lambda x: B.echoed(x) | B.incomplete(x)), f"(select regexp_matches(lower(x), '{'|'.join(B.ECHOES)}') or (contains(lower(x), 'action:') and contains(lower(x), 'promptstructure:')) or (contains(lower(x), '{{\"title\"') and contains(lower(x), '\"content\"')) or length(x) < 3000 or not contains(lower(x), '<h2') or not contains(lower(x), '<p') from (select {_DUCK_PAGE} as x))")
+_LINES = "list_filter(list_transform(string_split(m, chr(10)), lambda x: trim(regexp_replace(x, '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g'))), lambda x: x <> '')"
+_BULLET = "coalesce(regexp_matches({x}, '^[-*]\\s+'), false)"
+_LINE = (
+    f"case when {_BULLET.format(x='x')} then case when i = 1 or not {_BULLET.format(x='a[i - 1]')} then '<ul>' else '' end || '<li>' || regexp_replace(x, '^[-*]\\s+', '') || '</li>' || case when i = len(a) or not {_BULLET.format(x='a[i + 1]')} then '</ul>' else '' end"
+    " when regexp_matches(x, '^(#{1,3})\\s+') then '<h' || length(regexp_extract(x, '^(#{1,3})\\s+', 1)) || '>' || regexp_replace(x, '^#{1,3}\\s+', '') || '</h' || length(regexp_extract(x, '^(#{1,3})\\s+', 1)) || '>' else '<p>' || x || '</p>' end"
+)
+
+
+def as_html(m: str) -> str:
+    return f"(select case when regexp_matches(m, '(?i)<(?:p|h[1-6]|ul|div)[\\s>]') then m else array_to_string(list_transform(a, lambda x, i: {_LINE}), chr(10)) end from (select m, {_LINES} as a from (select {m} as m)))"
+
+
+_MARKDOWN = "'## ' || title || chr(10) || '- one' || chr(10) || '- two' || chr(10) || structure"
+over_articles("markdown_to_html", lambda: B.as_html(F.concat(F.lit("## "), F.col("title"), F.lit("\n- one\n- two\n"), F.col("structure"))), as_html(_MARKDOWN))
+
+
+def without_markers(x: str, title: str) -> str:
+    headless = f"case when regexp_matches(lower({x}), '^\\s*<h1[^>]*>\\s*') and starts_with(regexp_replace(lower({x}), '^\\s*<h1[^>]*>\\s*', ''), lower(trim({title})) || '</h1>') then substr({x}, length({x}) - length(regexp_replace(lower({x}), '^\\s*<h1[^>]*>\\s*', '')) + length(trim({title})) + 6) else {x} end"
+    out = f"regexp_replace({headless}, '(?is)<p>\\s*(?:title|description)\\s*:\\s*.*?</p>', '', 'g')"
+    return f"trim(regexp_replace({out}, '(?i)<p>\\s*(?:mở bài|thân bài|kết bài|than bai|ket bai)\\s*:?\\s*</p>', '', 'g'))"
+
+
+over_articles("strip_markers", lambda: B.without_markers(F.concat(F.lit("<h1>"), F.col("title"), F.lit("</h1><p>title: x</p><p>"), F.col("structure"), F.lit("</p>")), F.col("title")), without_markers("'<h1>' || title || '</h1><p>title: x</p><p>' || structure || '</p>'", "title"))
+
+
+def _regex_quoted(c: str) -> str:
+    return f"regexp_replace({c}, '([\\\\.+*?\\[^\\]$(){{}}=!<>|:#-])', '\\\\\\1', 'g')"
+
+
+def without_prompt_line(x: str, line: str) -> str:
+    word = _regex_quoted(line)
+    out = f"regexp_replace(regexp_replace({x}, '(?i)<li>\\s*' || {word} || '\\s*</li>', '', 'g'), '(?i)<p>\\s*' || {word} || '\\s*</p>', '', 'g')"
+    out = f"regexp_replace({out}, '(?i)(?:^|\\n)\\s*[-*•]\\s*' || {word} || '\\s*(?:$|\\n)', chr(10), 'g')"
+    return f"case when {line} = '' then {x} else {out} end"
+
+
+over_articles("strip_prompt_leakage", lambda: B.without_prompt_lines(F.concat(F.lit("<ul><li>"), F.col("title"), F.lit("</li></ul><p>"), F.col("structure"), F.lit("</p>")), F.col("title")), f"trim(regexp_replace({without_prompt_line("'<ul><li>' || title || '</li></ul><p>' || structure || '</p>'", "regexp_replace(title, '^[ *\\t-]+|[ *\\t-]+$', '', 'g')")}, '(?i)<ul>\\s*</ul>', '', 'g'))")
+
+
+def _completion():
+    """Raw completions of all kinds: plain, fenced, in a sentence, with the other field name, broken, none."""
+    said, other = F.to_json(F.struct("title", F.col("structure").alias("content"))), F.to_json(F.struct("title", F.col("structure").alias("blogContent")))
+    kind = F.col("doc_id") % 6
+    return F.when(kind == 0, said).when(kind == 1, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("here: "), other, F.lit(" ok"))).when(kind == 3, F.col("structure")).when(kind == 4, other)
+
+
+over_articles("parse_article_json", lambda: B.parsed_article(_completion())["content"], "case when title is not null and doc_id % 6 in (0, 1, 2, 4) then structure end")
+_FINAL = (
+    f"{with_views('articles')},\ntext_of as (select doc_id, {as_html(chr(39) + '## ' + chr(39) + ' || title || chr(10) || structure')} as h, title from articles),\n"
+    f"cleaned as (select doc_id, regexp_replace(trim(regexp_replace({without_prompt_line(without_prompt_line(without_markers('substr(h, 1, 10000)', 'title'), chr(39) + 'one' + chr(39)), chr(39) + 'two' + chr(39))}, '(?i)<ul>\\s*</ul>', '', 'g')), '{_BARE}', '', 'g') as c from text_of),\n"
+    f"forms as (select *, {Q.checked('c')} as k, {Q.plain(Q.normal('c'))} as n, lower(c) as low from cleaned)\n"
+    f"select doc_id, case when regexp_matches(low, '{'|'.join(B.ECHOES)}') or (contains(low, 'action:') and contains(low, 'promptstructure:')) or (contains(low, '{{\"title\"') and contains(low, '\"content\"')) then 'echo' when length(c) < 3000 or not contains(low, '<h2') or not contains(low, '<p') then 'incomplete'"
+    f" when regexp_matches(' ' || low || ' ', '{'|'.join(B.VIETNAMESE_SIGNALS)}') then 'vietnamese' else coalesce({_UNSAFE}, case when len({Q.hits('k', B.HATE)}) > 0 then 'hate_content' end) end as value from forms"
+)
+
+
+@query("finalize_articles", _FINAL)
+def finalize_articles(spark, sf):
+    done = B.finished(F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.col("structure")), F.col("title"), F.lit("- one\n- two"))
+    return view(spark, sf, "articles").select("doc_id", F.array(done).alias("done")).select("doc_id", F.element_at("done", 1)["fault"].alias("value"))
+
+
 over_articles("validate_blog_requests", lambda: F.col("title").isNotNull() & F.length(F.trim("title")).between(1, 255) & F.length("structure").between(1, 5000) & (F.col("category_id") > 0), "length(trim(title)) between 1 and 255 and length(structure) between 1 and 5000 and category_id > 0")
 
 
