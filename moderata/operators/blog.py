@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moderata.config import DEFAULT, Settings
@@ -244,3 +244,159 @@ def filled(suggested: Column, fallback: Column, n: int = 4) -> Column:
     """The model's suggestions that are not blank, filled up from the fallback."""
     some = F.filter(F.coalesce(suggested, F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
     return F.slice(F.concat(some, fallback), 1, n)
+
+
+def read_suggestions(raw: Column) -> Column:
+    """The list of suggestions in a completion, or null where there is none."""
+    body = F.trim(F.regexp_replace(F.regexp_replace(raw, "```json", ""), "```", ""))
+    said = F.get_json_object(body, "$.suggestions")
+    return F.from_json(F.when(said.startswith("["), said), "array<string>")
+
+
+def suggestions_for_blocked(requests: DataFrame, completions: DataFrame, key: str) -> DataFrame:
+    """(key, suggestions): four topics for each blocked request, the model's first, filled up by kind of request.
+
+    requests: key, status, title, structure; completions: key, raw.
+    """
+    rows = requests.where("status = 'blocked'").join(completions.select(key, "raw"), key, "left")
+    return rows.select(key, filled(read_suggestions(F.col("raw")), fallback_suggestions(F.col("title"), F.col("structure"))).alias("suggestions"))
+
+
+def first_rule(texts: DataFrame, rules: DataFrame, column: str, limit: int = 1000) -> DataFrame:
+    """The texts with the first rule, by rule_id, whose word they contain, or null.
+
+    The rules become an array in the plan, so no text is shuffled; more than `limit` of them are refused.
+    """
+    rows = rules.orderBy("rule_id").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rules")
+    words = tuple(x["word"].lower() for x in rows)
+    return texts.withColumn("rule", first(hits(F.lower(F.coalesce(F.col(column), F.lit(""))), words)) if words else F.lit(None).cast("string"))
+
+
+# What sends a request to which topic, in this order (the last one is for all others), and the angles of the topics.
+TOPIC_WORDS = {
+    "toy-safety": ("toy safety", "safe toy", "an toàn", "hazard", "choking", "certification"),
+    "educational-toys": ("educational", "learn through play", "phát triển trí tuệ", "learning toy"),
+    "outdoor-toys": ("outdoor", "ngoài trời", "active play", "backyard"),
+    "stem-toys": ("stem", "steam", "robotics", "coding toy", "science kit"),
+    "toys-for-toddlers": ("toddler", "1-3 years", "preschool", "infant", "mầm non"),
+    "parent-shopping-guide": (),
+}
+TOPIC_ANGLES = {
+    "toy-safety": "risk prevention and age-appropriate safety",
+    "educational-toys": "skill-building through purposeful play",
+    "outdoor-toys": "active play, movement, and social confidence",
+    "stem-toys": "hands-on problem solving and curiosity",
+    "toys-for-toddlers": "safe sensory play and early milestones",
+    "parent-shopping-guide": "smart shopping decisions for long-term value",
+}
+#: Our own wording of sections, calls to action and titles by topic, and of the styles that a request is dealt.
+TOPIC_SECTIONS = {
+    "toy-safety": ("Where toys go wrong at each age", "Reading labels, materials and seams", "What to check before a toy comes home"),
+    "educational-toys": ("Words, numbers and ideas through play", "A toy for what your child learns now", "Games for a spare quarter of an hour"),
+    "outdoor-toys": ("What fresh air does for body and mood", "Toys that stand rain and rough hands", "Playing safely in yard, park and on the balcony"),
+    "stem-toys": ("Building and asking why, year by year", "Kits for makers, coders and young scientists", "Helping without taking over"),
+    "toys-for-toddlers": ("Steps that the youngest are taking", "Simple, sturdy and safe for small hands", "Short games for short patience"),
+    "parent-shopping-guide": ("What a toy is worth beside its price", "Questions to ask at the shelf", "A toy box with something of everything"),
+}
+TOPIC_CALLS = {
+    "toy-safety": "Look through our toys with clear ages and trusted materials.",
+    "educational-toys": "Find toys that make learning part of every day.",
+    "outdoor-toys": "See toys for running, climbing and playing together.",
+    "stem-toys": "Choose a kit for the next question your child asks.",
+    "toys-for-toddlers": "Meet the toys that small hands like best.",
+    "parent-shopping-guide": "Let our guide help you choose with a calm mind.",
+}
+TOPIC_TITLES = {
+    "toy-safety": ("Safe Toys: What Every Family Should Check", "Choosing Toys That Fit the Age and Do No Harm", "A Short Course in Spotting Safe Toys"),
+    "educational-toys": ("Toys That Teach While Children Play", "Learning Toys That Match Your Child", "From Play to Progress with the Right Toys"),
+    "outdoor-toys": ("Outdoor Toys That Keep Children Moving", "Sturdy Toys for Days in the Open", "How Outdoor Play Helps Children Grow"),
+    "stem-toys": ("Science Toys for Curious Children", "Choosing Building and Coding Kits by Age", "Learning by Making: Ideas for Young Inventors"),
+    "toys-for-toddlers": ("First Toys: Safe Choices for the Youngest", "What to Buy for Toddlers, and What Not", "Toys That Help the First Steps Along"),
+    "parent-shopping-guide": ("Shopping for Toys with a Plan", "What a Good Toy Is Worth", "Toys That Last: A Guide for Parents"),
+}
+OPENINGS = ("a scene from a family's day", "a surprising fact about play", "a belief that is not quite true", "a short list of points")
+STRUCTURES = ("problem, reasons, solutions, list, end", "goals, ages, mistakes, steps", "benefits, comparison, choice, end", "questions, tips, small wins, call")
+CALL_STYLES = ("friendly", "expert", "brief", "warm")
+DEFAULT_TITLE = "A Guide to Choosing Toys for Children"
+
+
+def topic(title: Column, structure: Column) -> Column:
+    """The first topic of whose words a request holds one."""
+    low = F.lower(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(structure, F.lit(""))))
+
+    def judged(x: Column) -> Column:
+        cases = None
+        for name, words in TOPIC_WORDS.items():
+            if words:
+                hit = x.rlike("|".join(words))
+                cases = F.when(hit, name) if cases is None else cases.when(hit, name)
+        return cases.otherwise(next(reversed(TOPIC_WORDS)))
+
+    return T.let(low, judged)
+
+
+def _by_topic(name: Column, table: dict[str, object]) -> Column:
+    value = lambda x: F.array(*[F.lit(y) for y in x]) if isinstance(x, tuple) else F.lit(x)
+    return F.create_map(*[y for k, v in table.items() for y in (F.lit(k), value(v))])[name]
+
+
+def topic_profile(title: Column, structure: Column) -> Column:
+    """struct<topic, angle, sections, call> of a request."""
+    return T.let(topic(title, structure), lambda t: F.struct(t.alias("topic"), _by_topic(t, TOPIC_ANGLES).alias("angle"), _by_topic(t, TOPIC_SECTIONS).alias("sections"), _by_topic(t, TOPIC_CALLS).alias("call")))
+
+
+def writing_strategy(title: Column, structure: Column, tone: Column) -> Column:
+    """struct<opening, structure, call_style, profile>: always the same styles for the same request."""
+    seed = F.concat_ws("|", F.coalesce(title, F.lit("")), F.lit(""), F.coalesce(structure, F.lit("")), F.coalesce(tone, F.lit("")))
+    pick = lambda what, options: T.hash_choice(F.concat(seed, F.lit(f"|{what}")), list(options)).alias
+    return F.struct(pick("intro", OPENINGS)("opening"), pick("structure", STRUCTURES)("structure"), pick("cta", CALL_STYLES)("call_style"), topic_profile(title, structure).alias("profile"))
+
+
+def english_title(proposed: Column) -> Column:
+    trimmed = F.trim(F.coalesce(proposed, F.lit("")))
+    return F.when((trimmed == "") | vietnamese(trimmed), DEFAULT_TITLE).otherwise(trimmed)
+
+
+def rewritten_title(proposed: Column, given: Column, structure: Column) -> Column:
+    """The proposed title, the default one for none or a Vietnamese one, and a title of the topic where it repeats the request's."""
+    seed = F.concat_ws("|", F.coalesce(given, F.lit("")), F.lit(""), F.coalesce(structure, F.lit("")))
+    number = F.conv(F.substring(F.sha2(seed, 256), 1, 8), 16, 10).cast("long")
+    own = T.let(_by_topic(topic(given, structure), TOPIC_TITLES), lambda options: F.element_at(options, (number % F.size(options) + 1).cast("int")))
+    return T.let(english_title(proposed), lambda x: F.when(T.plain_title(x) == T.plain_title(given), own).otherwise(x))
+
+
+#: Our own text around the sections: what a fallback article opens, goes on and ends with, and what fills up a short one.
+ARTICLE_OPENING = "<p>{intro}</p><blockquote><p><strong>In short:</strong> safety and age come first, then what a child can make of a toy.</p></blockquote><h2>Why it matters</h2><p>" + " ".join((
+    "Play is how children learn to speak, to move and to get along with others.", "A toy that fits their age keeps them busy longer and frightens or bores them less.", "A toy that doesn't fit is soon forgotten, and at worst it is a danger.",
+    "Choosing with some care therefore saves money as well as worry, and it turns an idle hour into one that is remembered.",
+)) + "</p><h2>How to choose</h2><ul>"
+ARTICLE_POINTS = ("Think of your child's age, interests and abilities first", "Prefer sound materials to a low price", "Take toys that can be played with in more than one way")
+ARTICLE_MIDDLE = "</ul><p><strong>Before you pay:</strong></p><ul><li>Is the material named and tested?</li><li>Is it neither too easy nor too hard?</li><li>Will somebody have time to play along?</li></ul><p>" + " ".join((
+    "Small parts belong to older children only; toys with batteries need a lid that is screwed on and a sound that doesn't hurt.", "Soft toys should survive the washing machine, wooden ones should have no splinters, and paint should stay where it is.",
+    "A mix of toys for moving, for making and for thinking serves a child better than many of one kind.", "What leaves room for invention is played with for years.",
+)) + "</p><h2>For every family's day</h2><p>" + " ".join((
+    "If time is short, a quarter of an hour of undivided play does more than an afternoon beside a screen.", "If there is room, let there be something to climb, to push or to throw.", "Quiet children often like blocks, colours and picture books;",
+    "lively ones like pretend play, balls and kits that keep their hands busy.", "Brothers and sisters need toys that allow them to join in, each at their own level.", "And a toy that rests in a cupboard for a month comes back as a new one.",
+)) + "</p><h2>In the end</h2><p>Buying a toy is a small decision that is made often. Safety, age and a thought for what comes next make it a good one.</p>"
+ARTICLE_FILLING = "<p>" + " ".join((
+    "It helps to look through the toy box every few weeks and to ask of each thing whether it is still played with, whether it is whole, and whether it could make another child happy.", "What is left can be put out in turns, so that no shelf is too full and nothing is overlooked.",
+    "Children who help with this learn to choose, to part with things and to look after what they keep.",
+)) + "</p><p>" + " ".join((
+    "While playing, questions go further than answers: What are you building? What happens if this part is missing? Who lives in that house?", "They invite a child to tell, to count and to plan, and they show that somebody is listening.",
+    "Praise what was tried rather than what was finished, and let mistakes stand until the child finds them.", "In this way a simple toy can accompany a family for a long time, and what was learned with it stays when the toy is gone.",
+)) + "</p>"
+
+
+def fallback_article(title: Column, structure: Column, tone: Column, s: Settings = DEFAULT) -> Column:
+    """An article without a model: the topic's sections among eight points at most, filled up where it would be too short."""
+    intro = "This article helps parents to find toys that are safe, fit the age and are worth playing with."
+
+    def built(profile: Column) -> Column:
+        points = F.slice(F.concat(profile["sections"], F.array(*[F.lit(x) for x in ARTICLE_POINTS])), 1, 8)
+        items = F.array_join(F.transform(points, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
+        end = F.concat(F.lit("<p>With a "), F.lower(F.coalesce(tone, F.lit("calm"))), F.lit(" and thoughtful hand, every day's play can become a memory.</p><p><strong>Next:</strong> "), profile["call"], F.lit("</p>"))
+        return F.concat(F.lit(ARTICLE_OPENING.format(intro=intro)), items, F.lit(ARTICLE_MIDDLE), end)
+
+    return T.let(T.let(topic_profile(title, structure), built), lambda x: F.when(F.length(x) < s.article_min, F.concat(x, F.lit(ARTICLE_FILLING))).otherwise(x))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moderata.config import DECISIONS, DEFAULT, STATUSES, Settings
+from moderata.config import DECISIONS, DEFAULT, STAFF_ROLES, STATUSES, Settings
 from moderata.operators.selection import active, at
 
 
@@ -80,13 +80,52 @@ def combined(texts: DataFrame, images: DataFrame) -> DataFrame:
     return out.select("review_id", decision_of(level).alias("decision"), F.when(F.col("text_level") == level, F.col("reason")).otherwise(F.col("image_reason")).alias("reason"))
 
 
-def manual_review_notices(reviews: DataFrame, staff: DataFrame) -> DataFrame:
-    """One notice for each review and member of staff.
+def manual_review_notices(reviews: DataFrame, staff: DataFrame, roles: tuple[int, ...] = STAFF_ROLES) -> DataFrame:
+    """(review_id, role_id, receivers, payload, notice_key): one notice for each review and role that has staff.
 
-    Staff below Spark's broadcast threshold is broadcast; a longer list is paired with the reviews partition by partition.
+    Notices are addressed to a role and resolved when its members read them (`inbox`), so that their number is that of
+    the reviews times that of the roles, however many members a role has. Staff is counted once for each role.
     """
-    key = F.concat(F.lit("manual-review:review:"), F.col("review_id"), F.lit(":account:"), F.col("staff_id"))
-    return reviews.join(staff.select(F.col("account_id").alias("staff_id"), "role_id"), F.lit(True), "inner").select("review_id", "staff_id", "role_id", key.alias("notice_key"))
+    members = staff.groupBy("role_id").agg(F.count("*").alias("receivers"))
+    addressed = reviews.select("review_id", F.explode(F.array(*[F.lit(x) for x in roles])).alias("role_id"))
+    key = F.concat(F.lit("manual-review:review:"), F.col("review_id"), F.lit(":role:"), F.col("role_id"))
+    return addressed.join(members, "role_id").select("review_id", "role_id", "receivers", F.to_json(F.struct("review_id")).alias("payload"), key.alias("notice_key"))
+
+
+def inbox(notices: DataFrame, members: DataFrame) -> DataFrame:
+    """The notices of the given members: an equal join on the role."""
+    return members.select("account_id", "role_id").join(notices, "role_id").select("account_id", "review_id", "notice_key")
+
+
+def all_targets(comments: DataFrame, replies: DataFrame) -> DataFrame:
+    """(target_type, target_id, account_id, moderation_status) of both tables."""
+    rows = lambda df, kind: df.select(F.lit(kind).alias("target_type"), "target_id", "account_id", "moderation_status")
+    return rows(active(comments), "Comment").unionByName(rows(active(replies), "Reply"))
+
+
+def exact_reason(rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    """The rows with the smallest reason_id of exactly their reason_content; null where there is none."""
+    exact = reasons.groupBy(F.col("content").alias("reason_content")).agg(F.min("reason_id").alias("reason_id"))
+    return rows.join(exact, "reason_content", "left")
+
+
+def default_reason(reasons: DataFrame, preferred: str) -> DataFrame:
+    """The one reason that stands for all others: the preferred content first, then the smallest id."""
+    return reasons.orderBy(F.col("content") != preferred, "reason_id").limit(1)
+
+
+def decision_reasons(texts: DataFrame, images: DataFrame) -> DataFrame:
+    """(review_id, reason, reason_from): what brought the final decision, the text before the images."""
+    final = combined(texts, images).select("review_id", "decision", "reason")
+    own = texts.select("review_id", F.col("decision").alias("text_decision"))
+    return final.join(own, "review_id").select("review_id", "reason", F.when(F.col("decision") == F.col("text_decision"), "text").otherwise("image").alias("reason_from"))
+
+
+def rejection_notices(reviews: DataFrame, sent: DataFrame) -> DataFrame:
+    """(account_id, title, payload, notice_key): the rows to append to the notifications, one for each rejected review not yet told."""
+    key = F.concat(F.lit("rejected:review:"), "review_id")
+    rows = active(reviews).where("moderation_status = 'Rejected'").select("account_id", F.lit("Review rejected").alias("title"), F.to_json(F.struct("review_id")).alias("payload"), key.alias("notice_key"))
+    return new_by_key(rows, sent, "notice_key")
 
 
 def new_by_key(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -108,21 +147,42 @@ def lockouts(violations: DataFrame, threshold: int, days: int, cap: int = DEFAUL
     """(account_id, n, locks, until): the counter, the number of locks and the end of the last one after all violations in order.
 
     A violation adds one, up to the cap; from the threshold on it sets the lock's end `days` later. The first violation
-    after that end finds the counter reset. Only (account, time, id) is shuffled and folded, in time order.
+    after that end finds the counter reset. Only (account, time, id) is shuffled; a task streams its accounts in time
+    order and holds one account's state, so that a frequent account is no array in memory.
     """
-    span = days * 86_400_000_000
-    events = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("locks"), F.lit(None).cast("long").alias("until"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = acc["until"].isNotNull() & (acc["until"] <= x["at"])
-        n = F.least(F.when(over, 0).otherwise(acc["n"]) + 1, F.lit(cap)).cast("long")
-        locked = n >= threshold
-        fresh = over | acc["until"].isNull()
-        return F.struct(n.alias("n"), (acc["locks"] + F.when(locked & fresh, 1).otherwise(0)).cast("long").alias("locks"), F.when(locked, x["at"] + span).when(~over, acc["until"]).cast("long").alias("until"))
-
-    folded = violations.groupBy("account_id").agg(F.aggregate(events, start, step).alias("s"))
-    return folded.select("account_id", "s.n", "s.locks", "s.until")
+    rows = violations.select("account_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id").repartition("account_id").sortWithinPartitions("account_id", "at", "event_id")
+    return rows.mapInArrow(_locked(threshold, days * 86_400_000_000, cap), "account_id bigint, n bigint, locks bigint, until bigint")
+
+
+def _locked(threshold: int, span: int, cap: int):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, account, n, locks, until = False, None, 0, 0, None
+        done: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["account_id", "n", "locks", "until"])
+
+        for batch in batches:
+            for own, at_ in zip(batch.column("account_id").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if not begun or own != account:
+                    if begun:
+                        done.append((account, n, locks, until))
+                    begun, account, n, locks, until = True, own, 0, 0, None
+                over = until is not None and until <= at_
+                n = min((0 if over else n) + 1, cap)
+                if n >= threshold:
+                    locks += until is None or over
+                    until = at_ + span
+                elif over:
+                    until = None
+            yield emit()
+            done.clear()
+        if begun:
+            done.append((account, n, locks, until))
+        yield emit()
+
+    return fold
 
 
 def unlocked(bans: DataFrame, as_of: str) -> DataFrame:

@@ -29,6 +29,14 @@ def deadline_expired(df: DataFrame, as_of: str) -> DataFrame:
     return active(df).where((F.col("moderation_status") == "ManualReview") & (F.col("manual_review_deadline") <= at(as_of)))
 
 
+def expired_targets(comments: DataFrame, as_of: str) -> DataFrame:
+    """(target_type, target_id, overdue_minutes): comments and replies whose review by a person is overdue."""
+    late = deadline_expired(comments, as_of)
+    overdue = F.floor((F.unix_micros(at(as_of)) - F.unix_micros(F.col("manual_review_deadline").cast("timestamp"))) / 60_000_000).alias("overdue_minutes")
+    kinds = [late.where(F.col("target_type") == kind).select("target_type", "target_id", overdue) for kind in ("Comment", "Reply")]
+    return kinds[0].unionByName(kinds[1])
+
+
 def ban_expired(bans: DataFrame, as_of: str) -> DataFrame:
     return bans.where(F.col("is_banned") & (F.col("expires_at") <= at(as_of)))
 
@@ -89,6 +97,11 @@ def status_of(decision: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])[decision]
 
 
+def model_version(decided_by: Column, text_model: str, image_model: str) -> Column:
+    """The model that a decision came from, or null where none was asked."""
+    return F.when(decided_by.startswith("llm"), text_model).when(decided_by.startswith("vision"), image_model)
+
+
 def updated_status(rows: DataFrame, changes: DataFrame, key: str, as_of: str, s: Settings = DEFAULT) -> DataFrame:
     """The next snapshot: changed rows take their new status; the deadline is set for manual review and reset otherwise."""
     changed = changes.select(F.col(key), F.col("moderation_status").alias("new_status"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,53 @@ def with_verdicts(rows: DataFrame, completions: DataFrame, key: str, first: str
     return rows.join(found, key, "left").withColumn("verdict", F.coalesce("verdict", failed))
 
 
+def providers_as_rows(completions: DataFrame, key: str) -> DataFrame:
+    """(key, provider, completion): one row for each answer that a provider gave."""
+    rows = completions.select(key, F.explode(F.create_map(F.lit("primary"), "primary_raw", F.lit("secondary"), "secondary_raw")).alias("provider", "completion"))
+    return rows.where("completion is not null")
+
+
+def reviewed(rows: DataFrame, completions: DataFrame, key: str, first: str = "primary_raw", second: str = "secondary_raw") -> DataFrame:
+    """The rows with the model's verdict and who decided: the model, or its failure."""
+    return with_verdicts(rows, completions, key, first, second).withColumn("decided_by", F.when(F.array_contains(F.col("verdict")["flags"], "llm_call_failed"), "llm_error").otherwise("llm"))
+
+
+def with_flag(flags: Column, flag: str) -> Column:
+    """The flags with one more, which is there once."""
+    return F.when(F.array_contains(flags, flag), flags).otherwise(F.concat(flags, F.array(F.lit(flag))))
+
+
+def read_ocr(raw: Column) -> Column:
+    """The verdict on recognised text: a call that failed, or an answer that can't be read, approves the image with a mark of its own."""
+    passed = lambda flag: fixed_verdict("APPROVED", 0.85, "clean", flag, "passed the local checks")
+    # What is no JSON object counts as a failed call.
+    return F.when(raw.isNull(), passed("ocr_llm_skipped_on_error")).otherwise(
+        T.let(parsed(raw), lambda v: F.when(v.isNull(), passed("ocr_llm_skipped_on_error")).when(F.array_contains(v["flags"], "llm_parse_error"), passed("ocr_llm_parse_fallback")).otherwise(v))
+    )
+
+
+def prompt(rating: Column, content: Column, cleaned: Column) -> Column:
+    """What a model is asked about a review: rating, text, the decoded text where it differs, the instruction."""
+    block = lambda title, x: F.concat(F.lit(f"{title}\n---\n"), x, F.lit("\n---"))
+    body = F.coalesce(content, F.lit(""))
+    decoded = F.when((cleaned != "") & (F.trim(cleaned) != F.trim(body)), block("Decoded text:", cleaned))
+    return F.concat_ws("\n", F.concat(F.lit("Rating: "), rating.cast("string"), F.lit("/5")), block("Text:", body), decoded, F.lit("Answer with one JSON object."))
+
+
+def score_with(prompts: DataFrame, model: Callable[[pd.Series], pd.Series], key: str = "review_id", column: str = "prompt") -> DataFrame:
+    """(key, completion): what a model answers to the prompts, batch by batch; null where it gives no answer.
+
+    model: prompts to raw completions. It is sent to the tasks, so what it loads should be loaded on its first call.
+    """
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({key: frame[key], "completion": model(frame[column])})
+
+    kind = prompts.schema[key].dataType.simpleString()
+    return prompts.select(key, column).mapInPandas(answer, f"{key} {kind}, completion string")
+
+
 def with_business_rules(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The verdict after the overrides that lift an approval to manual review; each adds a flag and a part of the reason.
 
@@ -101,8 +151,7 @@ def forced(v: Column, comment: Column) -> Column:
         | T.profane(comment)
         | _holds(F.lower(F.coalesce(v["reason"], F.lit(""))), REJECT_REASONS)
     )
-    own = F.lit("force_reject_violation")
-    flags = F.when(F.array_contains(v["flags"], own), v["flags"]).otherwise(F.concat(v["flags"], F.array(own)))
+    flags = with_flag(v["flags"], "force_reject_violation")
     reason = F.when(F.coalesce(v["reason"], F.lit("")) == "", "clear violation").otherwise(v["reason"])
     out = verdict(F.lit("REJECTED"), F.greatest(v["confidence"], F.lit(0.95)), v["category"], flags, reason)
     return F.when((v["decision"] != "REJECTED") & shown, out).otherwise(v)

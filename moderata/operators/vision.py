@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from moderata.config import DEFAULT, Settings
 from moderata.functions import detect as D
 from moderata.functions import text as T
+from moderata.operators import verdicts as V
 
 # Likelihoods in order, and the words that labels are searched for.
 LIKELIHOODS = ("UNKNOWN", "VERY_UNLIKELY", "UNLIKELY", "POSSIBLE", "LIKELY", "VERY_LIKELY")
@@ -64,7 +65,8 @@ def decided(annotations: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(…, decision, flag, reason): gates, labels, then the recognised text as it is and cleaned, then whether a toy is seen."""
     labels, ocr = F.col("labels"), F.col("ocr")
     rows = annotations.withColumn("violation", F.coalesce(safe_search(F.col("adult"), F.col("violence"), F.col("racy")), label_violation(labels, s)))
-    rows = rows.withColumn("text_reason", F.when(F.coalesce(ocr, F.lit("")) != "", F.coalesce(F.when(T.profane(ocr) | T.profane(T.clean(ocr)), F.lit("profanity")), D.sensitive(ocr), D.sensitive(T.clean(ocr)))))
+    found = lambda cleaned: F.coalesce(F.when(T.profane(ocr) | T.profane(cleaned), F.lit("profanity")), D.sensitive(ocr), D.sensitive(cleaned))
+    rows = rows.withColumn("text_reason", F.when(F.coalesce(ocr, F.lit("")) != "", T.let(T.clean(ocr), found)))
     flag = F.when(F.col("violation").isNotNull(), "hard_violation").when(F.col("text_reason") == "profanity", "text_profanity").when(F.col("text_reason").isNotNull(), "text_violation").when(~toy_found(labels, s), "no_toy_label")
     reason = F.coalesce("violation", "text_reason", F.when(~toy_found(labels, s), top_labels(labels, 5)).otherwise(top_labels(labels, 3)))
     return rows.withColumn("flag", flag).withColumn("reason", reason).withColumn("decision", F.when(flag.isNull(), "APPROVED").otherwise("REJECTED")).drop("violation", "text_reason")
@@ -112,11 +114,48 @@ def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def screened(images: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Spark's image rows with brightness, deviation, sharpness and what is wrong with the picture, or null."""
-    stats = images.select("image.origin", "image.height", "image.width", "image.data").mapInPandas(_statistics, "origin string, brightness double, deviation double, sharpness double")
+    return faulty(pixel_statistics(images), s)
+
+
+def pixel_statistics(images: DataFrame) -> DataFrame:
+    """(origin, brightness, deviation, sharpness) of Spark's image rows; nulls for a picture that could not be read."""
+    return images.select("image.origin", "image.height", "image.width", "image.data").mapInPandas(_statistics, "origin string, brightness double, deviation double, sharpness double")
+
+
+def faulty(stats: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     fault = F.when(F.col("brightness").isNull(), "image_load_failed").when(F.col("brightness") < s.dark_below, "black_image").when(F.col("deviation") < s.flat_below, "uniform_image").when(F.col("sharpness") / (F.col("brightness") + 1) < s.blur_below, "blurry_image")
     return stats.withColumn("fault", fault)
 
 
+def unreadable(files: DataFrame, faults: DataFrame, key: str) -> DataFrame:
+    """(key, decision, flag): files that gave no picture, among them those that the reader left out, are rejected."""
+    read = faults.select(key, F.coalesce("fault", F.lit("")).alias("fault"))
+    rows = files.join(read, key, "left").where(F.coalesce("fault", F.lit("image_load_failed")) == "image_load_failed")
+    return rows.select(key, F.lit("REJECTED").alias("decision"), F.lit("image_load_failed").alias("flag"))
+
+
+def judged_images(images: DataFrame, faults: DataFrame, annotations: DataFrame, completions: DataFrame) -> DataFrame:
+    """(image_id, review_id, decision, flag, reason): load and quality, then annotations, then the verdict on recognised text.
+
+    images: image_id, review_id, file_id; faults: (file_id, fault) of every file that was read; annotations: as `decided`
+    gives them; completions: (image_id, raw) of the model that read the recognised text.
+    """
+    read = faults.select("file_id", F.coalesce("fault", F.lit("")).alias("fault"))
+    rows = images.join(read, "file_id", "left").withColumn("fault", F.coalesce("fault", F.lit("image_load_failed")))
+    seen = annotations.select("image_id", F.col("decision").alias("seen"), F.col("flag").alias("seen_flag"), F.col("reason").alias("seen_reason"), "ocr")
+    said = completions.select("image_id", "raw")
+    rows = rows.join(seen, "image_id", "left").join(said, "image_id", "left").withColumn("said", F.array(V.read_ocr(F.col("raw")))).withColumn("said", F.element_at("said", 1))
+    overruled = (F.col("seen") == "APPROVED") & (T.alnum_count(F.col("ocr")) >= 5) & (F.col("said")["decision"] != "APPROVED")
+    as_ = lambda decision, flag, reason: F.struct(decision.alias("decision"), flag.alias("flag"), reason.alias("reason"))
+    final = (
+        F.when(F.col("fault") != "", as_(F.lit("REJECTED"), F.col("fault"), F.col("fault")))
+        .when(F.col("seen").isNull(), as_(F.lit("MANUAL_REVIEW"), F.lit("vision_api_failed"), F.lit("no annotation")))
+        .when(overruled, as_(F.col("said")["decision"], F.lit("vision_ocr_llm"), F.concat(F.lit("text in the image: "), F.col("said")["reason"])))
+        .otherwise(as_(F.col("seen"), F.col("seen_flag"), F.col("seen_reason")))
+    )
+    return rows.withColumn("final", final).select("image_id", "review_id", "final.decision", "final.flag", "final.reason")
+
+
 def with_text_verdicts(decisions: DataFrame, verdicts: DataFrame, least: int = 5) -> DataFrame:
     """Approved images with enough recognised text take the text's verdict where that is no approval.
 

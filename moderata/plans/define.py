@@ -26,10 +26,6 @@ class Registry:
 
         return add
 
-    def alias(self, name: str, of: str) -> None:
-        """A second operator that the same query shows."""
-        self.queries[name], self.sql[name] = self.queries[of], self.sql[of]
-
 
 def text(column: str) -> Column:
     """The column as text, under its name."""

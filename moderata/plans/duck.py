@@ -225,11 +225,11 @@ def sanitized(source: str, key: str, c: str) -> str:
     """CTEs up to sane(key, why, body): the sanitised text, or the text as it was and why it is refused."""
     s = DEFAULT
     folded = (
-        f"judged as (select {key}, arg_min(case when {is_emoji('g')} then 'emoji_run' else 'char_run' end, i) filter (n > case when {is_emoji('g')} then {s.emoji_run_limit} else {s.run_limit} end) as long,"
+        f"weighed as (select {key}, arg_min(case when {is_emoji('g')} then 'emoji_run' else 'char_run' end, i) filter (n > case when {is_emoji('g')} then {s.emoji_run_limit} else {s.run_limit} end) as long,"
         f" coalesce(sum(least(n, {s.kept_run})) filter ({is_emoji('g')}), 0) as emojis, string_agg(repeat(g, least(n, {s.kept_run})::int), '' order by i) as short from runs group by {key})"
     )
     why = f"case when coalesce({c}, '') = '' then null when {dominated(c)} then 'repeat_share' when long is not null then long when emojis > {s.emoji_limit} then 'emoji_total' end"
-    return f"{runs(source, key, c)},\n{folded},\nsane as (select {key}, why, case when why is null and {c} <> '' then short else {c} end as body from (select s.{key}, s.{c}, j.short, {why} as why from {source} s left join judged j using ({key})))"
+    return f"{runs(source, key, c)},\n{folded},\nsane as (select {key}, why, case when why is null and {c} <> '' then short else {c} end as body from (select s.{key}, s.{c}, j.short, {why} as why from {source} s left join weighed j using ({key})))"
 
 
 def blank(c: str) -> str:

@@ -14,6 +14,7 @@ from moderata.operators import vision as I
 from moderata.plans import duck as Q
 from moderata.plans.define import Registry
 from moderata.plans.relational import REVIEWS_AT
+from moderata.sources.shared import written_once
 from moderata.sources.tables import view, with_views
 
 registry = Registry()
@@ -112,9 +113,9 @@ verdicts as (select review_id, coalesce(case when j is null then null else d end
 """
 
 
-def _flat(df, key="review_id"):
+def _flat(df, key="review_id", *more):
     v = F.col("verdict")
-    return df.select(key, v["decision"].alias("decision"), v["confidence"].alias("confidence"), v["category"].alias("category"), F.array_join(v["flags"], ",").alias("flags"))
+    return df.select(key, v["decision"].alias("decision"), v["confidence"].alias("confidence"), v["category"].alias("category"), F.array_join(v["flags"], ",").alias("flags"), *[v[k].alias(k) for k in more])
 
 
 @query("join_verdict_fallback", with_views("review_verdicts") + _PARSED + "select review_id, decision, confidence, category, flags from verdicts")
@@ -122,22 +123,52 @@ def join_verdict_fallback(spark, sf):
     return _flat(V.with_verdicts(view(spark, sf, "reviews").select("review_id"), view(spark, sf, "review_verdicts"), "review_id"))
 
 
-registry.alias("parse_verdict_json", "join_verdict_fallback")
-registry.alias("scan_model_verdicts", "join_verdict_fallback")
-registry.alias("review_verdict", "join_verdict_fallback")
-_RULED = _PARSED + f""", counted as (select r.review_id, coalesce(n, 0) as n from reviews r left join (select account_id, count(*) as n from reviews where not is_deleted and moderation_status = 'Rejected' and updated_at >= timestamp '{REVIEWS_AT}' - interval '300' day group by 1) using (account_id)),
-ruled as (select *, decision = 'APPROVED' and confidence < 0.7 as low, decision = 'APPROVED' and confidence >= 0.7 and contains(flags, 'health_concern') as health, decision = 'APPROVED' and n >= 2 as rep from verdicts join counted using (review_id))
-select review_id, case when low or health or rep then 'MANUAL_REVIEW' else decision end as decision, confidence, category,
- concat_ws(',', nullif(flags, ''), case when low then 'override:low_confidence:' || printf('%.2f', confidence) || '<0.7' end, case when health then 'override:health_concern_flag' end, case when rep then 'override:repeat_offender:' || n || '_rejected_in_30d' end) as flags from ruled"""
+_PRIMARY = with_views("review_verdicts") + _PARSED.replace("coalesce(primary_raw, secondary_raw)", "primary_raw")
 
 
-@query("apply_business_rules", with_views("review_verdicts", "reviews") + _RULED)
+@query("parse_verdict_json", _PRIMARY + "select v.review_id, case when j is not null then decision end as decision, case when j is not null then confidence end as confidence, case when j is not null then category end as category, case when j is not null then v.flags end as flags from verdicts v join fields using (review_id)")
+def parse_verdict_json(spark, sf):
+    return _flat(view(spark, sf, "review_verdicts").select("review_id", V.parsed(F.col("primary_raw")).alias("verdict")))
+
+
+@query("scan_model_verdicts", with_views("review_verdicts") + "select review_id, 'primary' as provider, primary_raw as completion from review_verdicts where primary_raw is not null union all select review_id, 'secondary', secondary_raw from review_verdicts where secondary_raw is not null")
+def scan_model_verdicts(spark, sf):
+    return V.providers_as_rows(view(spark, sf, "review_verdicts"), "review_id")
+
+
+_DECIDED_BY = "case when contains(flags, 'llm_call_failed') then 'llm_error' else 'llm' end"
+
+
+@query("review_verdict", with_views("review_verdicts") + _PARSED + f"select review_id, decision, confidence, category, flags, {_DECIDED_BY} as decided_by from verdicts")
+def review_verdict(spark, sf):
+    rows = V.reviewed(view(spark, sf, "reviews").select("review_id"), view(spark, sf, "review_verdicts"), "review_id")
+    return rows.select("review_id", *[F.col("verdict")[k].alias(k) for k in ("decision", "confidence", "category")], F.array_join(F.col("verdict")["flags"], ",").alias("flags"), "decided_by")
+
+
+_SWAPPED = _PARSED.replace("coalesce(primary_raw, secondary_raw)", "coalesce(secondary_raw, primary_raw)")
+_OF_COMMENTS = with_views("review_verdicts", "comments") + _SWAPPED
+_VERDICT_OF = "coalesce(v.decision, 'MANUAL_REVIEW') as decision, coalesce(v.confidence, 0.0) as confidence, coalesce(v.category, 'ambiguous') as category, coalesce(v.flags, 'llm_call_failed') as flags, coalesce(v.reason, 'no completion') as reason"
+
+
+@query("comment_verdict", _OF_COMMENTS + f"select target_id, {_VERDICT_OF} from comments c left join verdicts v on v.review_id = c.target_id")
+def comment_verdict(spark, sf):
+    """The model's verdict of every comment, the second provider asked first."""
+    rows = V.reviewed(view(spark, sf, "comments").select("target_id"), _completions(spark, sf), "target_id", "secondary_raw", "primary_raw")
+    return _flat(rows, "target_id", "reason")
+
+
+_RULED = _PARSED + f""", counted as (select r.review_id, coalesce(n, 0) as n from reviews r left join (select account_id, count(*) as n from reviews where not is_deleted and moderation_status = 'Rejected' and updated_at >= timestamp '{REVIEWS_AT}' - interval '30' day group by 1) using (account_id)),
+ruled as (select *, decision = 'APPROVED' and confidence < 0.7 as low, decision = 'APPROVED' and confidence >= 0.7 and contains(flags, 'health_concern') as health, decision = 'APPROVED' and n >= 2 as rep from verdicts join counted using (review_id)),
+settled as (select review_id, case when low or health or rep then 'MANUAL_REVIEW' else decision end as decision, confidence, category,
+ concat_ws(',', nullif(flags, ''), case when low then 'override:low_confidence:' || printf('%.2f', confidence) || '<0.7' end, case when health then 'override:health_concern_flag' end, case when rep then 'override:repeat_offender:' || n || '_rejected_in_30d' end) as flags,
+ case when low or health or rep then 'for review: ' || concat_ws('; ', case when low then 'low confidence' end, case when health then 'health concern' end, case when rep then 'rejected before: ' || n end) else reason end as reason from ruled)
+"""
+
+
+@query("apply_business_rules", with_views("review_verdicts", "reviews") + _RULED + "select review_id, decision, confidence, category, flags from settled")
 def apply_business_rules(spark, sf):
-    reviews = view(spark, sf, "reviews")
-    since = F.lit(REVIEWS_AT).cast("timestamp") - F.expr("interval 300 days")
-    counts = S.active(reviews).where((F.col("moderation_status") == "Rejected") & (F.col("updated_at") >= since)).groupBy("account_id").agg(F.count("*").alias("n"))
-    rows = V.with_verdicts(reviews.select("review_id", "account_id"), view(spark, sf, "review_verdicts"), "review_id").join(counts, "account_id", "left").withColumn("recent_rejected_count", F.coalesce("n", F.lit(0)))
-    return _flat(V.with_business_rules(rows))
+    rows = R.with_recent_rejects(view(spark, sf, "reviews").select("review_id", "account_id", "is_deleted", "moderation_status", "updated_at"), REVIEWS_AT)
+    return _flat(V.with_business_rules(V.with_verdicts(rows, view(spark, sf, "review_verdicts"), "review_id")))
 
 
 def _as_verdict(spark, sf):
@@ -150,21 +181,24 @@ def confidence_guard(spark, sf):
     return _flat(_as_verdict(spark, sf).withColumn("verdict", V.guarded(F.col("verdict"))))
 
 
-_SHOWN = "(lower(trim(category)) in {c} or regexp_matches(lower(flag), '{f}') or regexp_matches(lower(reason), '{r}'))".format(c=V.REJECT_CATEGORIES, f="|".join(V.REJECT_FLAGS), r="|".join(V.REJECT_REASONS))
+_WITH_COMMENT = f"{with_views('text_verdicts')}, given as (select *, {Q.plain('comment')} as p, {Q.normal('comment')} as nn from text_verdicts), forms as (select *, {Q.plain('nn')} as n from given)\n"
+_SHOWN = Q.forced("category", "flag", "reason", "comment", "n")
 
 
-@query("force_reject_policy", with_views("text_verdicts") + f"select review_id, case when {_SHOWN} then 'REJECTED' else decision end as decision, case when decision <> 'REJECTED' and {_SHOWN} then greatest(confidence, 0.95) else confidence end as confidence, category, concat_ws(',', nullif(flag, ''), case when decision <> 'REJECTED' and {_SHOWN} then 'force_reject_violation' end) as flags from text_verdicts")
+@query("force_reject_policy", _WITH_COMMENT + f"select review_id, case when {_SHOWN} then 'REJECTED' else decision end as decision, case when decision <> 'REJECTED' and {_SHOWN} then greatest(confidence, 0.95) else confidence end as confidence, category, concat_ws(',', nullif(flag, ''), case when decision <> 'REJECTED' and {_SHOWN} then 'force_reject_violation' end) as flags from forms")
 def force_reject_policy(spark, sf):
-    return _flat(_as_verdict(spark, sf).withColumn("verdict", V.forced(F.col("verdict"), F.lit("a fine toy"))))
+    return _flat(_as_verdict(spark, sf).withColumn("verdict", V.forced(F.col("verdict"), F.col("comment"))))
 
 
-registry.alias("flags_append", "force_reject_policy")
+@query("flags_append", with_views("text_verdicts") + "select review_id, concat_ws(',', nullif(flag, ''), case when flag <> 'health_concern' then 'health_concern' end) as flags from text_verdicts")
+def flags_append(spark, sf):
+    return _as_verdict(spark, sf).select("review_id", F.array_join(V.with_flag(F.col("verdict")["flags"], "health_concern"), ",").alias("flags"))
 
 
-@query("map_reason_category", with_views("text_verdicts") + f"select review_id, case when lower(trim(category)) in {V.PRIVACY_CATEGORIES} or regexp_matches(lower(flag), '{'|'.join(V.PRIVACY_TOKENS)}') or regexp_matches(lower(reason), '{'|'.join(V.PRIVACY_TOKENS)}') then 'privacy' when lower(trim(category)) in {V.SPAM_CATEGORIES} then 'spam' else 'conduct' end as value from text_verdicts")
+@query("map_reason_category", _WITH_COMMENT + f"select review_id, {Q.reason_category('category', 'flag', 'reason', 'comment', 'p', 'n')} as value from forms")
 def map_reason_category(spark, sf):
     v = F.col("verdict")
-    return _as_verdict(spark, sf).select("review_id", V.reason_category(v["category"], v["flags"], v["reason"], F.lit("a fine toy")).alias("value"))
+    return _as_verdict(spark, sf).select("review_id", V.reason_category(v["category"], v["flags"], v["reason"], F.col("comment")).alias("value"))
 
 
 @query("coerce_decision", with_views("review_verdicts") + "select review_id, case when upper(trim(d)) in ('APPROVED', 'REJECTED') then upper(trim(d)) else 'MANUAL_REVIEW' end as value from (select review_id, primary_raw->>'$.decision' as d from review_verdicts where primary_raw is not null)")
@@ -172,49 +206,81 @@ def coerce_decision(spark, sf):
     return view(spark, sf, "review_verdicts").where("primary_raw is not null").select("review_id", V.coerced(F.get_json_object("primary_raw", "$.decision")).alias("value"))
 
 
-@query("project_model_version", with_views("text_verdicts") + "select review_id, case when flag like 'c%' then 'model-1' end as value from text_verdicts")
+@query("project_model_version", with_views("text_verdicts") + "select review_id, case when decided_by like 'llm%' then 'text-1' when decided_by like 'vision%' then 'image-1' end as value from text_verdicts")
 def project_model_version(spark, sf):
-    return view(spark, sf, "text_verdicts").select("review_id", F.when(F.col("flag").startswith("c"), "model-1").alias("value"))
+    return view(spark, sf, "text_verdicts").select("review_id", S.model_version(F.col("decided_by"), "text-1", "image-1").alias("value"))
+
+
+_PROMPT = f"concat_ws(chr(10), 'Rating: ' || rating || '/5', 'Text:' || chr(10) || '---' || chr(10) || b || chr(10) || '---', case when k <> '' and trim(k) <> trim(b) then 'Decoded text:' || chr(10) || '---' || chr(10) || k || chr(10) || '---' end, 'Answer with one JSON object.')"
+_PROMPTS = f"{with_views('reviews')}, prompts as (select review_id, {_PROMPT} as prompt from (select review_id, rating, coalesce(comment, '') as b, {Q.clean('comment')} as k from reviews))\n"
 
 
-@query("build_model_prompt", with_views("reviews") + "select review_id, concat_ws(chr(10), 'Rating: ' || rating || '/5', 'Text: ' || coalesce(comment, ''), 'Answer with one JSON object.') as value from reviews")
+@query("build_model_prompt", _PROMPTS + "select review_id, prompt as value from prompts")
 def build_model_prompt(spark, sf):
-    return view(spark, sf, "reviews").select("review_id", F.concat_ws("\n", F.concat(F.lit("Rating: "), "rating", F.lit("/5")), F.concat(F.lit("Text: "), F.coalesce("comment", F.lit(""))), F.lit("Answer with one JSON object.")).alias("value"))
+    return _prompts(spark, sf).withColumnRenamed("prompt", "value")
+
+
+def _prompts(spark, sf):
+    return view(spark, sf, "reviews").select("review_id", V.prompt(F.col("rating"), F.col("comment"), T.clean(F.col("comment"))).alias("prompt"))
+
+
+@query("score_with", _PROMPTS + """select review_id, case when length(prompt) % 7 <> 0 then '{"decision":"' || case when contains(prompt, 'https') then 'REJECTED' else 'APPROVED' end || '"}' end as completion from prompts""")
+def score_with(spark, sf):
+    """The batch scorer with a model that needs no network."""
+
+    def model(prompts):
+        said = prompts.map(lambda x: '{"decision":"' + ("REJECTED" if "https" in x else "APPROVED") + '"}')
+        return said.where(prompts.str.len() % 7 != 0, None)
+
+    return V.score_with(_prompts(spark, sf), model)
 
 
 def _completions(spark, sf):
     return view(spark, sf, "review_verdicts").withColumnRenamed("review_id", "target_id")
 
 
-@query("classify_comments")
+def _classified(kept: str) -> str:
+    """CTEs up to classified, over the comments that `kept` keeps."""
+    low = "v_decision = 'APPROVED' and v_confidence < 0.7"
+    shown = Q.forced("v_category", "v_flags", "v_reason", "comment", "n")
+    return (
+        f"{_OF_COMMENTS}, chosen as (select * from comments where {kept}),\n{Q.comment_reasons('chosen', 'target_id', 'comment')},\n"
+        f"asked as (select c.*, {Q.plain('c.comment')} as p, {Q.normal('c.comment')} as nn, f.category as f_category, f.reason as f_reason, {_VERDICT_OF.replace(' as ', ' as v_').replace('as v_confidence', 'as v0_confidence')} from chosen c join reasons f using (target_id) left join verdicts v on v.review_id = c.target_id),\n"
+        f"asked2 as (select *, v0_confidence as v_confidence, {Q.plain('nn')} as n from asked),\n"
+        f"guarded as (select * replace (case when {low} then 'MANUAL_REVIEW' else v_decision end as v_decision, concat_ws(',', nullif(v_flags, ''), case when {low} then 'override:low_confidence:' || printf('%.2f', v_confidence) || '<0.7' end) as v_flags, case when {low} then trim(v_reason || ' [low_confidence]') else v_reason end as v_reason) from asked2),\n"
+        f"classified as (select target_type, target_id, account_id, comment, p, n, case when f_reason <> '' then 'REJECTED' when {shown} then 'REJECTED' else v_decision end as decision,"
+        f" case when f_reason <> '' then 1.0 when v_decision <> 'REJECTED' and {shown} then greatest(v_confidence, 0.95) else v_confidence end as confidence, case when f_reason <> '' then f_category else v_category end as category,"
+        f" case when f_reason <> '' then 'rule_' || f_reason else concat_ws(',', nullif(v_flags, ''), case when v_decision <> 'REJECTED' and {shown} then 'force_reject_violation' end) end as flags,"
+        f" case when f_reason <> '' then f_reason when v_decision <> 'REJECTED' and {shown} and v_reason = '' then 'clear violation' else v_reason end as reason from guarded)\n"
+    )
+
+
+@query("classify_comments", _classified("true") + "select target_id, decision, confidence, category, flags from classified")
 def classify_comments(spark, sf):
     return _flat(V.classified_comments(view(spark, sf, "comments"), _completions(spark, sf)), "target_id")
 
 
-registry.queries["comment_verdict"] = classify_comments
+_JUDGED = (
+    f"{with_views('review_verdicts', 'reviews')}{_RULED},\n{Q.review_reasons('reviews', 'review_id', 'comment')},\n"
+    f"judged as (select r.review_id, r.is_deleted, case when {Q.blank('r.comment')} then 'APPROVED' when found is not null then 'REJECTED' else s.decision end as decision, case when {Q.blank('r.comment')} or found is not null then 1.0 else s.confidence end as confidence,"
+    f" case when {Q.blank('r.comment')} then 'clean' when found is not null then 'rule' else s.category end as category, case when {Q.blank('r.comment')} then 'empty_comment' when found is not null then 'rule_' || found else s.flags end as flags,"
+    f" case when {Q.blank('r.comment')} then 'no comment' when found is not null then found else s.reason end as reason from reviews r join reasons using (review_id) join settled s using (review_id))\n"
+)
 
 
-@query("review_text_pipeline")
+@query("review_text_pipeline", _JUDGED + "select review_id, decision, confidence, category, flags from judged")
 def review_text_pipeline(spark, sf):
     reviews = view(spark, sf, "reviews")
     return _flat(V.judged_reviews(reviews, view(spark, sf, "review_verdicts"), R.recent_rejects(reviews, REVIEWS_AT)))
 
 
-@query("moderate_reviews")
-def moderate_reviews(spark, sf):
-    """Text and image verdicts of all reviews that are not deleted, their status and the reason for it."""
-    reviews = S.active(view(spark, sf, "reviews"))
-    texts = V.judged_reviews(reviews, view(spark, sf, "review_verdicts"), R.recent_rejects(reviews, REVIEWS_AT)).select("review_id", "verdict.decision", "verdict.reason")
-    images = _annotated(spark, sf).select("image_id", "review_id", "decision", F.col("reason"))
-    return R.combined(texts, images).withColumn("moderation_status", S.status_of(F.col("decision")))
-
-
-@query("moderate_comments")
+@query("moderate_comments", _classified("not is_deleted") + f", told as (select target_type, target_id, account_id, decision, case decision when 'APPROVED' then 'Approved' when 'REJECTED' then 'Rejected' else 'ManualReview' end as moderation_status, case when decision = 'REJECTED' then {Q.reason_category('category', 'flags', 'reason', 'comment', 'p', 'n')} end as reason_category from classified)\nselect t.*, (select count(*) from told x where x.decision = 'REJECTED' and x.account_id = t.account_id) as violations from told t")
 def moderate_comments(spark, sf):
     """Verdict, status and ban reason of every comment, and the violations of its account so far in the batch."""
     done = V.classified_comments(S.active(view(spark, sf, "comments")), _completions(spark, sf))
     v = F.col("verdict")
     rows = done.select("target_type", "target_id", "account_id", v["decision"].alias("decision"), S.status_of(v["decision"]).alias("moderation_status"), F.when(v["decision"] == "REJECTED", V.reason_category(v["category"], v["flags"], v["reason"], F.col("comment"))).alias("reason_category"))
+    rows = written_once(rows)  # both the rows and their counts read it
     counts = rows.where("decision = 'REJECTED'").groupBy("account_id").agg(F.count("*").alias("violations"))
     return rows.join(counts, "account_id", "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
 
@@ -268,7 +334,11 @@ def vision_decide(spark, sf):
     return _annotated(spark, sf).select("image_id", "flag", "decision")
 
 
-registry.alias("scan_vision_annotations", "vision_decide")
+@query("scan_vision_annotations", f"{_VISION}select image_id, adult, violence, racy, 2 as n_labels, l1 as first_label, s1 as first_score, ocr from vision")
+def scan_vision_annotations(spark, sf):
+    """Annotations with their nested types: a map of likelihoods, an array of labels, the recognised text."""
+    nested = view(spark, sf, "vision").select("image_id", F.create_map(*[x for k in ("adult", "violence", "racy") for x in (F.lit(k), F.col(k))]).alias("safe_search"), _labels().alias("labels"), "ocr")
+    return nested.select("image_id", *[F.col("safe_search")[k].alias(k) for k in ("adult", "violence", "racy")], F.size("labels").alias("n_labels"), F.get("labels", F.lit(0))["description"].alias("first_label"), F.get("labels", F.lit(0))["score"].alias("first_score"), "ocr")
 
 
 @query("join_vision_results", with_views("vision", "review_images") + f"select image_id, coalesce(case when v.image_id is null then null when coalesce({_GATE}, {_WEAPON}) is null and ocr is distinct from 'Call 0912345678' and {_FOUND} then 'APPROVED' else 'REJECTED' end, 'MANUAL_REVIEW') as decision from review_images left join vision v using (image_id)")
@@ -276,7 +346,103 @@ def join_vision_results(spark, sf):
     return I.with_annotations(view(spark, sf, "review_images").select("image_id"), _annotated(spark, sf)).select("image_id", "decision")
 
 
-registry.queries["review_image_pipeline"] = join_vision_results
+def _image_rows(spark, sf):
+    """The pictures as rows of Spark's image source."""
+    none = F.lit(None).cast("int")
+    return view(spark, sf, "pictures").select(F.struct(F.col("file_id").cast("string").alias("origin"), "height", F.col("height").alias("width"), F.when(F.col("height") > 0, F.lit(1)).otherwise(none).alias("nChannels"), F.unhex("pixels").alias("data")).alias("image"))
+
+
+def _faults(spark, sf):
+    return I.screened(_image_rows(spark, sf)).withColumn("file_id", F.col("origin").cast("long"))
+
+
+_BYTES = "low_ as (select *, ('0x' || low)::int as a, ('0x' || high)::int as b, ('0xc' || substr(md5(cast(file_id as varchar)), 1, 1))::int as tone from pictures)"
+_RAMP = "(select {f}(v) from (select unnest(range(64, 191, 2)) as v))"
+_STATS = f"{with_views('pictures')}, {_BYTES}, stats as (select file_id, kind, case kind when 0 then 0.0 when 1 then tone::double when 2 then (a + b) / 2 when 3 then {_RAMP.format(f='avg')} end as brightness, case kind when 0 then 0.0 when 1 then 0.0 when 2 then (b - a) / 2 when 3 then {_RAMP.format(f='stddev_pop')} end as deviation from low_),\nfaults as (select file_id, case when brightness is null then 'image_load_failed' when brightness < 20 then 'black_image' when deviation < 10 then 'uniform_image' when kind = 3 then 'blurry_image' end as fault from stats)\n"
+
+
+@query("image_pixel_stats", _STATS + "select file_id, brightness, deviation, case when kind in (0, 1) then 0.0 end as flat_sharpness from stats")
+def image_pixel_stats(spark, sf):
+    """Mean and deviation of the gray values; the sharpness of a picture without any edge is 0 (that of others is tested with pictures)."""
+    stats = I.pixel_statistics(_image_rows(spark, sf))
+    return stats.select(F.col("origin").cast("long").alias("file_id"), F.round("brightness", 9).alias("brightness"), F.round("deviation", 9).alias("deviation"), F.when(F.round("deviation", 9) == 0, F.round("sharpness", 9)).alias("flat_sharpness"))
+
+
+@query("image_quality_screen", _STATS + "select file_id, fault from faults")
+def image_quality_screen(spark, sf):
+    return _faults(spark, sf).select("file_id", "fault")
+
+
+@query("image_load_failures", _STATS + "select file_id, 'REJECTED' as decision, 'image_load_failed' as flag from faults where fault = 'image_load_failed'")
+def image_load_failures(spark, sf):
+    readable = _faults(spark, sf).where("fault is distinct from 'image_load_failed'")  # as a reader that drops what is no picture
+    return I.unreadable(view(spark, sf, "image_files").select("file_id"), readable, "file_id")
+
+
+_FILES = with_views("image_files")
+
+
+def _files(spark, sf):
+    return view(spark, sf, "image_files").select("file_id", "path", "length", F.unhex("head").alias("content"))
+
+
+@query("scan_image_files", f"{_FILES}select file_id, path, length, head from image_files")
+def scan_image_files(spark, sf):
+    return _files(spark, sf).select("file_id", "path", "length", F.hex(F.substring("content", 1, 4)).alias("head"))
+
+
+@query("image_size_gate", f"{_FILES}select file_id, case when length < 10240 then 'too_small' when length > 5242880 then 'too_large' when not (head like 'FFD8FF%' or head in ('89504E47', '52494646')) then 'unknown_format' end as refused from image_files")
+def image_size_gate(spark, sf):
+    return I.size_gate(_files(spark, sf)).select("file_id", "refused")
+
+
+_OCR = "case when raw is null then 'APPROVED' when not starts_with(raw, '{') then 'APPROVED' else raw->>'$.decision' end"
+_OCR_FLAG = "case when raw is null then 'ocr_llm_skipped_on_error' when not starts_with(raw, '{') then 'ocr_llm_parse_fallback' else coalesce(raw->>'$.flags[0]', '') end"
+
+
+@query("ocr_verdict", with_views("ocr_completions") + f"select image_id, {_OCR} as decision, case when raw is null or not starts_with(raw, '{{') then 0.85 else (raw->>'$.confidence')::double end as confidence, {_OCR_FLAG} as flag from ocr_completions")
+def ocr_verdict(spark, sf):
+    said = view(spark, sf, "ocr_completions").select("image_id", F.array(V.read_ocr(F.col("raw"))).alias("v")).withColumn("v", F.element_at("v", 1))
+    return said.select("image_id", "v.decision", "v.confidence", F.array_join("v.flags", ",").alias("flag"))
+
+
+def _judged_images(spark, sf):
+    return I.judged_images(S.active(view(spark, sf, "review_images")), _faults(spark, sf), _annotated(spark, sf), view(spark, sf, "ocr_completions"))
+
+
+_SEEN_FLAG = f"case when coalesce({_GATE}, {_WEAPON}) is not null then 'hard_violation' when ocr = 'Call 0912345678' then 'text_violation' when not {_FOUND} then 'no_toy_label' end"
+_TOP = "l1 || '(' || printf('%.2f', s1) || '), ' || l2 || '(' || printf('%.2f', s2) || ')'"
+_IMAGE_PIPELINE = (
+    _STATS.replace("with pictures", ", pictures")
+    + with_views("vision", "review_images", "ocr_completions").replace("with vision", ", vision")
+    + f""", seen as (select image_id, {_SEEN_FLAG} as seen_flag, coalesce({_GATE}, {_WEAPON}, case when ocr = 'Call 0912345678' then 'phone' end, {_TOP}) as seen_reason, ocr from vision),
+said as (select image_id, {_OCR} as said, case when raw is null or not starts_with(raw, '{{') then '' else raw->>'$.reason' end as said_reason from ocr_completions),
+joined as (select i.image_id, i.review_id, case when f.file_id is null then 'image_load_failed' else f.fault end as fault, s.image_id is not null as has, seen_flag, seen_reason, ocr, said, said_reason from review_images i left join faults f using (file_id) left join seen s using (image_id) left join said using (image_id) where not i.is_deleted),
+over_ as (select *, has and seen_flag is null and length(regexp_replace(coalesce(ocr, ''), '[^a-zA-Z0-9]', '', 'g')) >= 5 and said <> 'APPROVED' as overruled from joined),
+final_images as (select image_id, review_id, case when fault is not null then 'REJECTED' when not has then 'MANUAL_REVIEW' when overruled then said when seen_flag is null then 'APPROVED' else 'REJECTED' end as decision, case when fault is not null then fault when not has then 'vision_api_failed' when overruled then 'vision_ocr_llm' else seen_flag end as flag,
+ case when fault is not null then fault when not has then 'no annotation' when overruled then 'text in the image: ' || said_reason else seen_reason end as reason from over_)
+"""
+)
+
+
+@query("review_image_pipeline", "with" + _IMAGE_PIPELINE.lstrip(", ").replace("pictures as", " pictures as", 1) + "select image_id, review_id, decision, flag, reason from final_images")
+def review_image_pipeline(spark, sf):
+    """Every image of a review, not deleted: load and quality, annotations, the verdict on its text."""
+    return _judged_images(spark, sf)
+
+
+@query("moderate_reviews", _JUDGED + _IMAGE_PIPELINE + """, level_of as (select *, case decision when 'REJECTED' then 2 when 'MANUAL_REVIEW' then 1 else 0 end as lv from final_images),
+worst as (select review_id, max(lv) as image_level, arg_min(reason, (2 - lv) * 1000000000000 + image_id) as image_reason from level_of group by review_id),
+both_ as (select j.review_id, case j.decision when 'REJECTED' then 2 when 'MANUAL_REVIEW' then 1 else 0 end as lv, j.reason, image_level, image_reason from judged j left join worst using (review_id) where not j.is_deleted),
+final as (select *, greatest(lv, coalesce(image_level, 0)) as level from both_)
+select review_id, ['APPROVED', 'MANUAL_REVIEW', 'REJECTED'][level + 1] as decision, case when lv = level then reason else image_reason end as reason, ['Approved', 'ManualReview', 'Rejected'][level + 1] as moderation_status from final""")
+def moderate_reviews(spark, sf):
+    """Text and image verdicts of all reviews that are not deleted, their status and the reason for it."""
+    reviews = S.active(view(spark, sf, "reviews"))
+    every = view(spark, sf, "reviews")
+    texts = V.judged_reviews(reviews, view(spark, sf, "review_verdicts"), R.recent_rejects(every, REVIEWS_AT)).select("review_id", "verdict.decision", "verdict.reason")
+    images = _judged_images(spark, sf).select("image_id", "review_id", "decision", "reason")
+    return R.combined(texts, images).withColumn("moderation_status", S.status_of(F.col("decision")))
 
 
 def over_articles(name, column, sql=None):
@@ -445,15 +611,67 @@ def suggestions_fill(spark, sf):
     return view(spark, sf, "articles").select("doc_id", F.array_join(B.filled(F.array("title", F.lit("  "), F.lit(None).cast("string")), fallback), "|").alias("value"))
 
 
-over_articles("join_rules_dim", lambda: B.first(B.hits(F.lower("title"), B.ANCHORS)), "list_filter([{}], lambda w: contains(lower(title), w))[1]".format(", ".join(f"'{w}'" for w in B.ANCHORS)))
+@query("join_rules_dim", with_views("texts", "rules") + "select doc_id, (select arg_min(lower(word), rule_id) from rules where contains(lower(coalesce(text, '')), lower(word))) as rule from texts")
+def join_rules_dim(spark, sf):
+    return B.first_rule(view(spark, sf, "texts").select("doc_id", "text"), view(spark, sf, "rules"), "text").select("doc_id", "rule")
 
 
-@query("ocr_override", f"{_VISION}select image_id, case when d = 'APPROVED' and length(regexp_replace(coalesce(ocr, ''), '[^a-zA-Z0-9]', '', 'g')) >= 5 and image_id % 3 = 0 then 'MANUAL_REVIEW' else d end as decision from (select *, case when coalesce({_GATE}, {_WEAPON}) is null and ocr is distinct from 'Call 0912345678' and {_FOUND} then 'APPROVED' else 'REJECTED' end as d from vision)")
+@query("ocr_override", with_views("vision", "ocr_completions") + f"select image_id, case when d = 'APPROVED' and length(regexp_replace(coalesce(ocr, ''), '[^a-zA-Z0-9]', '', 'g')) >= 5 then said else d end as decision from (select *, {_OCR} as said, case when {_SEEN_FLAG} is null then 'APPROVED' else 'REJECTED' end as d from vision join ocr_completions using (image_id))")
 def ocr_override(spark, sf):
     rows = _annotated(spark, sf)
-    verdicts = rows.select("image_id", F.when(F.col("image_id") % 3 == 0, "MANUAL_REVIEW").otherwise("APPROVED").alias("text_decision"))
+    verdicts = ocr_verdict(spark, sf).select("image_id", F.col("decision").alias("text_decision"))
     return I.with_text_verdicts(rows.select("image_id", "decision", "ocr"), verdicts).select("image_id", "decision")
 
 
-registry.alias("ocr_verdict", "ocr_override")
-registry.alias("suggestions_for_blocked", "suggestions_fill")
+_FALLBACK = "case when regexp_matches(m, '{}') then {} when regexp_matches(m, '{}') then {} else {} end".format("|".join(B.REVIEW_WORDS), Q.listed(B.SUGGESTIONS["review"]), "|".join(B.BUYING_WORDS), Q.listed(B.SUGGESTIONS["buying"]), Q.listed(B.SUGGESTIONS["other"]))
+
+
+@query("suggestions_for_blocked", _SCREENED + ", " + with_views("suggestion_completions").removeprefix("with ") + f", asked as (select doc_id, raw, {Q.checked(chr(97) + '.title || ' + chr(39) + ' ' + chr(39) + ' || a.structure')} as m from screened s join articles a using (doc_id) join suggestion_completions using (doc_id) where status = 'blocked'),\nsaid as (select *, case doc_id % 5 when 2 then ['one ' || doc_id, 'two'] when 3 then ['a', 'b', 'c', 'd', 'e'] else [] end as own from asked)\nselect doc_id, array_to_string(list_concat(own, {_FALLBACK})[1:4], '|') as suggestions from said")
+def suggestions_for_blocked(spark, sf):
+    found = B.suggestions_for_blocked(_screened(spark, sf), view(spark, sf, "suggestion_completions"), "doc_id")
+    return found.select("doc_id", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+_TOPIC = "case " + " ".join(f"when regexp_matches(m, '{'|'.join(words)}') then '{name}'" for name, words in B.TOPIC_WORDS.items() if words) + f" else '{list(B.TOPIC_WORDS)[-1]}' end"
+_TOPICS = f"{with_views('articles')}, topics as (select *, {_TOPIC} as topic from (select *, lower(coalesce(title, '') || chr(10) || coalesce(structure, '')) as m from articles))\n"
+
+
+def _per_topic(table) -> str:
+    return "case topic " + " ".join(f"when '{k}' then {Q.listed(v) if isinstance(v, tuple) else Q.quoted(v)}" for k, v in table.items()) + " end"
+
+
+def _picked(seed: str, options: str) -> str:
+    return f"({options})[(('0x' || substr(sha256({seed}), 1, 8))::bigint % len({options}) + 1)::int]"
+
+
+_SEED = "coalesce(title, '') || '||' || coalesce(structure, '')"
+
+
+@query("topic_profile", _TOPICS + f"select doc_id, topic, {_per_topic(B.TOPIC_ANGLES)} as angle, array_to_string({_per_topic(B.TOPIC_SECTIONS)}, '|') as sections, {_per_topic(B.TOPIC_CALLS)} as call from topics")
+def topic_profile(spark, sf):
+    rows = view(spark, sf, "articles").select("doc_id", F.array(B.topic_profile(F.col("title"), F.col("structure"))).alias("p")).withColumn("p", F.element_at("p", 1))
+    return rows.select("doc_id", "p.topic", "p.angle", F.array_join("p.sections", "|").alias("sections"), "p.call")
+
+
+@query("writing_strategy", _TOPICS + f"select doc_id, {_picked(_SEED + ' || ' + chr(39) + '|Warm|intro' + chr(39), Q.listed(B.OPENINGS))} as opening, {_picked(_SEED + ' || ' + chr(39) + '|Warm|structure' + chr(39), Q.listed(B.STRUCTURES))} as structure, {_picked(_SEED + ' || ' + chr(39) + '|Warm|cta' + chr(39), Q.listed(B.CALL_STYLES))} as call_style, {_per_topic(B.TOPIC_ANGLES)} as angle from topics")
+def writing_strategy(spark, sf):
+    rows = view(spark, sf, "articles").select("doc_id", F.array(B.writing_strategy(F.col("title"), F.col("structure"), F.lit("Warm"))).alias("s")).withColumn("s", F.element_at("s", 1))
+    return rows.select("doc_id", "s.opening", "s.structure", "s.call_style", F.col("s.profile.angle").alias("angle"))
+
+
+_PROPOSED = "case doc_id % 4 when 0 then null when 1 then title || '!' when 2 then 'Cho con đồ chơi vui' else ' A new title ' end"
+_PLAIN_TITLE = r"trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query("rewrite_title", _TOPICS + f", proposed as (select *, case when trim(coalesce(x, '')) = '' or contains(' ' || lower(x) || ' ', ' đồ chơi ') then {Q.quoted(B.DEFAULT_TITLE)} else trim(x) end as own from (select *, {_PROPOSED} as x from topics))\nselect doc_id, case when {_PLAIN_TITLE.format('own')} = {_PLAIN_TITLE.format('title')} then {_picked(_SEED, _per_topic(B.TOPIC_TITLES))} else own end as value from proposed")
+def rewrite_title(spark, sf):
+    return view(spark, sf, "articles").select("doc_id", B.rewritten_title(F.expr(_PROPOSED), F.col("title"), F.col("structure")).alias("value"))
+
+
+_INTRO = "This article helps parents to find toys that are safe, fit the age and are worth playing with."
+_BUILT = f"{Q.quoted(B.ARTICLE_OPENING.format(intro=_INTRO))} || array_to_string(list_transform(list_concat({_per_topic(B.TOPIC_SECTIONS)}, {Q.listed(B.ARTICLE_POINTS)})[1:8], lambda x: '<li>' || x || '</li>'), '') || {Q.quoted(B.ARTICLE_MIDDLE)} || '<p>With a warm and thoughtful hand, every day''s play can become a memory.</p><p><strong>Next:</strong> ' || {_per_topic(B.TOPIC_CALLS)} || '</p>'"
+
+
+@query("fallback_article", _TOPICS + f"select doc_id, case when length(x) < 3000 then x || {Q.quoted(B.ARTICLE_FILLING)} else x end as value from (select doc_id, {_BUILT} as x from topics)")
+def fallback_article(spark, sf):
+    return view(spark, sf, "articles").select("doc_id", B.fallback_article(F.col("title"), F.col("structure"), F.lit("Warm")).alias("value"))

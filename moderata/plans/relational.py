@@ -85,7 +85,9 @@ def filter_deadline_expired(spark, sf):
     return S.deadline_expired(view(spark, sf, "comments"), "2024-03-02 00:00:00").select("target_type", "target_id")
 
 
-registry.alias("expire_manual_reviews", "filter_deadline_expired")
+@query("expire_manual_reviews", with_views("comments") + "select target_type, target_id, date_diff('minute', manual_review_deadline, timestamp '2024-03-02 00:30:00') as overdue_minutes from comments where not is_deleted and moderation_status = 'ManualReview' and manual_review_deadline <= timestamp '2024-03-02 00:30:00'")
+def expire_manual_reviews(spark, sf):
+    return S.expired_targets(view(spark, sf, "comments"), "2024-03-02 00:30:00")
 
 
 @query("filter_ban_expired", with_views("bans") + "select account_id from bans where is_banned and expires_at <= timestamp '2024-03-05 00:00:00'")
@@ -164,7 +166,7 @@ def sink_status_update(spark, sf):
     return S.updated_status(view(spark, sf, "comments"), changes, "target_id", COMMENTS_AT).select("target_id", "moderation_status", text("manual_review_deadline"))
 
 
-@query("sink_text_update", with_views("reviews") + """, changes as (select review_id, trim(comment) as t from reviews where review_id % 2 = 0)
+@query("sink_text_update", with_views("reviews", "texts_proposed_for") + """, changes as (select review_id, trim(comment) as t from reviews where review_id in (select review_id from texts_proposed_for))
 select r.review_id, coalesce(t <> comment, false) as changed, case when t <> comment then t else comment end as comment from reviews r left join changes using (review_id)""")
 def sink_text_update(spark, sf):
     rows = view(spark, sf, "reviews")
@@ -172,8 +174,8 @@ def sink_text_update(spark, sf):
     return S.updated_text(rows, changes, "review_id").select("review_id", "changed", "comment")
 
 
-@query("retry_state_fold", with_views("comments") + f"""select target_id, cast(case when f then retry_count + 1 else retry_count end as bigint) as retry_count, case when not f then moderation_status when retry_count + 1 >= 3 then 'Failed' else 'Pending' end as moderation_status,
- cast(case when f and retry_count + 1 < 3 then timestamp '{COMMENTS_AT}' else last_retry_at end as varchar) as last_retry_at from (select *, target_id % 3 = 0 as f from comments)""")
+@query("retry_state_fold", with_views("comments", "failed_comments") + f"""select target_id, cast(case when f then retry_count + 1 else retry_count end as bigint) as retry_count, case when not f then moderation_status when retry_count + 1 >= 3 then 'Failed' else 'Pending' end as moderation_status,
+ cast(case when f and retry_count + 1 < 3 then timestamp '{COMMENTS_AT}' else last_retry_at end as varchar) as last_retry_at from (select *, target_id in (select target_id from failed_comments) as f from comments)""")
 def retry_state_fold(spark, sf):
     rows = view(spark, sf, "comments")
     return S.retried(rows, view(spark, sf, "failed_comments"), "target_id", COMMENTS_AT).select("target_id", F.col("retry_count").cast("long").alias("retry_count"), "moderation_status", text("last_retry_at"))
@@ -184,7 +186,7 @@ def pipeline_failure_escalation(spark, sf):
     return S.failure_attempts(view(spark, sf, "review_logs")).select("log_id", "attempt", "next_status")
 
 
-@query("join_reviewer_name", with_views("reviews", "accounts") + "select review_id, coalesce(account_name, 'Customer') as account_name from reviews left join (select * from accounts where account_id % 5 <> 0) a using (account_id)")
+@query("join_reviewer_name", with_views("reviews", "accounts") + "select review_id, coalesce(account_name, 'Customer') as account_name from reviews left join accounts using (account_id)")
 def join_reviewer_name(spark, sf):
     return R.reviewer_names(view(spark, sf, "reviews"), view(spark, sf, "accounts")).select("review_id", "account_name")
 
@@ -204,8 +206,17 @@ def join_ban_reason(spark, sf):
     return R.reason_or_default(rejected, view(spark, sf, "ban_reasons"), "insulting or unsafe content").select("review_id", F.col("reason_id").cast("long").alias("reason_id"))
 
 
-registry.alias("filter_reason_exact", "join_ban_reason")
-registry.alias("default_reason_topk", "join_ban_reason")
+@query("filter_reason_exact", with_views("text_verdicts", "ban_reasons") + f"select review_id, cast((select min(reason_id) from ban_reasons where content = {_REASON}) as bigint) as reason_id from text_verdicts")
+def filter_reason_exact(spark, sf):
+    rows = view(spark, sf, "text_verdicts").select("review_id", F.expr(_REASON).alias("reason_content"))
+    return R.exact_reason(rows, view(spark, sf, "ban_reasons")).select("review_id", F.col("reason_id").cast("long").alias("reason_id"))
+
+
+@query("default_reason_topk", with_views("ban_reasons") + "select cast(reason_id as bigint) as reason_id, content from ban_reasons order by case when content = 'insulting or unsafe content' then 0 else 1 end, reason_id limit 1")
+def default_reason_topk(spark, sf):
+    return R.default_reason(view(spark, sf, "ban_reasons"), "insulting or unsafe content").select(F.col("reason_id").cast("long").alias("reason_id"), "content")
+
+
 _RECENT = f"select account_id, count(*) as n from reviews where not is_deleted and moderation_status = 'Rejected' and updated_at >= timestamp '{REVIEWS_AT}' - interval '30' day group by account_id"
 
 
@@ -239,7 +250,11 @@ def comment_status_stats(spark, sf):
     return R.status_counts(view(spark, sf, "comments"), STATUSES)
 
 
-registry.alias("union_all_targets", "comment_status_stats")
+@query("union_all_targets", with_views("comments") + "select target_type, target_id, account_id, moderation_status from comments where not is_deleted and target_type = 'Comment' union all select target_type, target_id, account_id, moderation_status from comments where not is_deleted and target_type = 'Reply'")
+def union_all_targets(spark, sf):
+    rows = view(spark, sf, "comments")
+    comments, replies = (rows.where(F.col("target_type") == kind).drop("target_type") for kind in ("Comment", "Reply"))
+    return R.all_targets(comments, replies)
 
 
 @query("status_rollup", with_views("comments") + "select target_type, moderation_status, count(*) as n from comments where not is_deleted group by rollup (target_type, moderation_status)")
@@ -261,46 +276,61 @@ _IMAGES = "select image_id, review_id, case image_id % 6 when 0 then 'REJECTED'
 _LEVEL = "case decision when 'REJECTED' then 2 when 'MANUAL_REVIEW' then 1 else 0 end"
 _COMBINED = f""", worst as (select review_id, max(lv) as image_level, arg_min(reason, lpad(cast(2 - lv as varchar), 2, '0') || lpad(cast(image_id as varchar), 20, '0')) as image_reason from (select *, {_LEVEL} as lv from ({_IMAGES})) group by review_id),
 final as (select review_id, greatest(lv, coalesce(image_level, 0)) as level, lv, reason, image_reason from (select *, {_LEVEL} as lv from text_verdicts) left join worst using (review_id))
-select review_id, case level when 2 then 'REJECTED' when 1 then 'MANUAL_REVIEW' else 'APPROVED' end as decision, case when lv = level then reason else image_reason end as reason from final"""
+"""
+_DECIDED = """select review_id, case level when 2 then 'REJECTED' when 1 then 'MANUAL_REVIEW' else 'APPROVED' end as decision, case when lv = level then reason else image_reason end as reason from final"""
 
 
-@query("aggregate_decision", with_views("review_images", "text_verdicts") + _COMBINED)
+@query("aggregate_decision", with_views("review_images", "text_verdicts") + _COMBINED + _DECIDED)
 def aggregate_decision(spark, sf):
-    images = S.active(view(spark, sf, "review_images")).select("image_id", "review_id", F.expr("case image_id % 6 when 0 then 'REJECTED' when 1 then 'MANUAL_REVIEW' else 'APPROVED' end").alias("decision"), F.concat(F.lit("image "), "image_id").alias("reason"))
-    return R.combined(view(spark, sf, "text_verdicts"), images)
+    return R.combined(view(spark, sf, "text_verdicts"), _decided_images(spark, sf))
+
 
+@query("pick_decision_reason", with_views("review_images", "text_verdicts") + _COMBINED + "select review_id, case when lv = level then reason else image_reason end as reason, case when lv = level then 'text' else 'image' end as reason_from from final")
+def pick_decision_reason(spark, sf):
+    return R.decision_reasons(view(spark, sf, "text_verdicts"), _decided_images(spark, sf))
 
-registry.alias("pick_decision_reason", "aggregate_decision")
 
+def _decided_images(spark, sf):
+    return S.active(view(spark, sf, "review_images")).select("image_id", "review_id", F.expr("case image_id % 6 when 0 then 'REJECTED' when 1 then 'MANUAL_REVIEW' else 'APPROVED' end").alias("decision"), F.concat(F.lit("image "), "image_id").alias("reason"))
 
-@query("notify_manual_review", with_views("reviews", "accounts") + "select review_id, account_id as staff_id, 'manual-review:review:' || review_id || ':account:' || account_id as notice_key from (select review_id from reviews where moderation_status = 'ManualReview' and not is_deleted and review_id % 7 = 0) cross join (select account_id from accounts where role_id in (2, 3) and is_active and not is_deleted and account_id % 41 = 0)")
+
+_NOTICES = with_views("reviews", "accounts") + """, members as (select role_id, count(*) as receivers from accounts where role_id in (2, 3) and is_active and not is_deleted group by role_id),
+notices as (select review_id, role_id, receivers, '{"review_id":' || review_id || '}' as payload, 'manual-review:review:' || review_id || ':role:' || role_id as notice_key from reviews, members where moderation_status = 'ManualReview' and not is_deleted)
+"""
+
+
+@query("notify_manual_review", _NOTICES + "select review_id, role_id::bigint as role_id, receivers, payload, notice_key from notices")
 def notify_manual_review(spark, sf):
+    return _notices(spark, sf).withColumn("role_id", F.col("role_id").cast("long"))
+
+
+def _notices(spark, sf):
     reviews = S.active(view(spark, sf, "reviews")).where("moderation_status = 'ManualReview'")
-    return R.manual_review_notices(reviews, S.staff(view(spark, sf, "accounts"), (2, 3))).select("review_id", "staff_id", "notice_key")
+    return R.manual_review_notices(reviews, S.staff(view(spark, sf, "accounts"), (2, 3)))
 
 
-@query("notification_delivery_count", with_views("reviews", "accounts") + "select review_id, count(*) as n from (select review_id from reviews where moderation_status = 'ManualReview' and not is_deleted and review_id % 7 = 0) cross join (select account_id from accounts where role_id in (2, 3) and is_active and not is_deleted and account_id % 41 = 0) group by review_id")
+@query("notification_delivery_count", _NOTICES + "select review_id, sum(receivers)::bigint as n from notices group by review_id")
 def notification_delivery_count(spark, sf):
-    return notify_manual_review(spark, sf).groupBy("review_id").agg(F.count("*").alias("n"))
+    return _notices(spark, sf).groupBy("review_id").agg(F.sum("receivers").alias("n"))
 
 
-@query("notify_rejection", with_views("reviews") + "select 'rejected:review:' || review_id as notice_key from reviews where moderation_status = 'Rejected' and not is_deleted and review_id % 3 <> 0")
+@query("notify_rejection", with_views("reviews", "sent_rejections") + "select 'rejected:review:' || review_id as notice_key from reviews where moderation_status = 'Rejected' and not is_deleted and 'rejected:review:' || review_id not in (select notice_key from sent_rejections)")
 def notify_rejection(spark, sf):
-    key = F.concat(F.lit("rejected:review:"), "review_id").alias("notice_key")
-    rows = S.active(view(spark, sf, "reviews"))
-    return R.new_by_key(rows.where("moderation_status = 'Rejected'").select(key), view(spark, sf, "sent_rejections"), "notice_key")
+    return R.rejection_notices(view(spark, sf, "reviews"), view(spark, sf, "sent_rejections")).select("notice_key")
 
 
-registry.alias("sink_notifications", "notify_rejection")
+@query("sink_notifications", with_views("reviews", "sent_rejections") + """select account_id, 'Review rejected' as title, '{"review_id":' || review_id || '}' as payload, 'rejected:review:' || review_id as notice_key from reviews where moderation_status = 'Rejected' and not is_deleted and 'rejected:review:' || review_id not in (select notice_key from sent_rejections)""")
+def sink_notifications(spark, sf):
+    return R.rejection_notices(view(spark, sf, "reviews"), view(spark, sf, "sent_rejections"))
 
 
-@query("notify_account_locked", with_views("bans") + "select account_id from bans where is_banned and account_id % 2 <> 0")
+@query("notify_account_locked", with_views("bans", "told_accounts") + "select account_id from bans where is_banned and account_id not in (select account_id from told_accounts)")
 def notify_account_locked(spark, sf):
     bans = view(spark, sf, "bans")
     return R.new_by_key(bans.where("is_banned").select("account_id"), view(spark, sf, "told_accounts"), "account_id")
 
 
-@query("upsert_violation_rows", with_views("violations", "bans") + ", c as (select account_id, cast(violation_count as bigint) as n from bans where account_id % 3 = 0) select account_id, n from c union all select distinct account_id, 0 from violations where account_id not in (select account_id from c)")
+@query("upsert_violation_rows", with_views("violations", "bans") + "select account_id, cast(violation_count as bigint) as n from bans union all select distinct account_id, 0 from violations where account_id not in (select account_id from bans)")
 def upsert_violation_rows(spark, sf):
     return R.with_counter_rows(view(spark, sf, "violations"), view(spark, sf, "bans")).select("account_id", F.col("violation_count").cast("long").alias("n"))
 
@@ -343,7 +373,12 @@ def sink_review_log(spark, sf):
     return R.review_log_rows(view(spark, sf, "text_verdicts"))
 
 
-registry.alias("encode_log_json", "sink_review_log")
+@query("encode_log_json", with_views("text_verdicts") + """select review_id, case when flag <> '' or reason <> 'fine' then '{"decision":"' || decision || '"' || case when flag <> '' then ',"flags":["' || flag || '"]' else '' end || case when reason <> 'fine' then ',"reason":"' || reason || '"' else '' end || '}' end as result from text_verdicts""")
+def encode_log_json(spark, sf):
+    """The payload of a log row; fields without a value are left out, and a payload that says nothing more than the decision is null."""
+    flags, reason = F.when(F.col("flag") != "", F.array("flag")), F.when(F.col("reason") != "fine", F.col("reason"))
+    payload = F.to_json(F.struct("decision", flags.alias("flags"), reason.alias("reason")))
+    return view(spark, sf, "text_verdicts").select("review_id", F.when(flags.isNotNull() | reason.isNotNull(), payload).alias("result"))
 
 
 @query("sink_comment_log", with_views("comments") + "select case when target_type = 'Comment' then target_id end as comment_id, case when target_type <> 'Comment' then target_id end as reply_id, moderation_status as action from comments")

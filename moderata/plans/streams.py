@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from moderata.plans import duck as Q
 from moderata.plans import relational
 from moderata.plans.define import Registry
 from moderata.sources.shared import shared_folder
@@ -14,7 +15,7 @@ registry = Registry()
 query = registry.query
 
 
-@query("stream_moderate")
+@query("stream_moderate", f"{with_views('reviews')},\n{Q.review_reasons('reviews', 'review_id', 'comment')}\nselect review_id, found as reason from reasons")
 def stream_moderate(spark, sf):
     return J.drained(J.moderated(J.stream_of(spark, sf, "reviews")), shared_folder(spark))
 
@@ -24,11 +25,13 @@ def stream_violation_state(spark, sf):
     return J.drained(J.violation_state(5, 7)(J.stream_of(spark, sf, "violations")), shared_folder(spark), "update", "account_id")
 
 
-@query("stream_deadlines", with_views("comments") + "select target_id from comments where not is_deleted and moderation_status = 'ManualReview' and manual_review_deadline <= timestamp '2024-03-02 00:00:00'")
-def stream_deadlines(spark, sf):
-    from moderata.operators.selection import deadline_expired
+_CLOCK = "(select max(last_retry_at) - interval '60' minute from comments where not is_deleted)"
+
 
-    return J.drained(deadline_expired(J.stream_of(spark, sf, "comments"), "2024-03-02 00:00:00").select("target_id"), shared_folder(spark))
+@query("stream_deadlines", with_views("comments") + f"select target_id, epoch_us(manual_review_deadline) as deadline from comments where not is_deleted and moderation_status = 'ManualReview' and last_retry_at is not null and manual_review_deadline < {_CLOCK}")
+def stream_deadlines(spark, sf):
+    rows = J.stream_of(spark, sf, "comments").where("not is_deleted and last_retry_at is not null")
+    return J.drained(J.deadlines_passed(rows, "last_retry_at"), shared_folder(spark))
 
 
 @query("stream_notify_once", with_views("violations") + "select distinct 'violation:account:' || account_id as notice_key from violations")
@@ -37,11 +40,13 @@ def stream_notify_once(spark, sf):
     return J.drained(J.notified_once(keys), shared_folder(spark))
 
 
-@query("stream_request_dedup")
+@query("stream_request_dedup", with_views("requests") + "select sha256(request) as request_hash, count(*) >= 1 as kept from requests group by request")
 def stream_request_dedup(spark, sf):
-    return J.drained(J.requests_once(J.stream_of(spark, sf, "requests")).select("event_id", "request_hash"), shared_folder(spark))
+    """Which requests came through: equal ones within the time of a batch's watermark once, so every request at least once."""
+    once = J.requests_once(J.stream_of(spark, sf, "requests")).select("request_hash")
+    return J.drained(once, shared_folder(spark)).groupBy("request_hash").agg((F.count("*") >= 1).alias("kept"))
 
 
-@query("stream_status_counts", with_views("comments") + "select moderation_status, count(*) as n from comments group by moderation_status")
+@query("stream_status_counts", with_views("comments") + "select strftime(created_at, '%Y-%m-%d') as day, moderation_status, count(*) as n from comments group by all")
 def stream_status_counts(spark, sf):
-    return J.drained(J.status_counts(J.stream_of(spark, sf, "comments")), shared_folder(spark), "complete")
+    return J.drained(J.status_counts(J.stream_of(spark, sf, "comments"), "created_at"), shared_folder(spark), "update", ["day", "moderation_status"])

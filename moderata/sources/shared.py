@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a temporary folder of this machine."""
+    """A new path under spark.checkpoint.dir; in local mode, where that is unset, under a temporary folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/moderata-{uuid.uuid4().hex}"
+
+
+def written_once(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and written to the shared folder: what is used twice and dear to compute."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -23,7 +23,7 @@ from {base}""",
     ),
     "review_images": (
         "lineitem",
-        """select l_orderkey * 8 + l_linenumber as image_id, l_orderkey as review_id, 'img/' || cast(l_partkey as varchar(20)) || '.png' as image_url,
+        """select l_orderkey * 8 + l_linenumber as image_id, l_orderkey as review_id, l_suppkey as file_id, 'img/' || cast(l_partkey as varchar(20)) || '.png' as image_url,
  case l_linenumber % 3 when 0 then 'Rejected' when 1 then 'Approved' else 'Pending' end as moderation_status, l_linenumber = 5 as is_deleted
 from {base}""",
     ),
@@ -73,7 +73,9 @@ from {base}""",
  case o_orderkey % 4 when 0 then 'REJECTED' when 1 then 'MANUAL_REVIEW' else 'APPROVED' end as decision,
  (o_orderkey % 10) / 10.0e0 + 0.05e0 as confidence, case o_orderkey % 6 when 0 then 'Spam' when 1 then 'clean' when 2 then 'privacy' when 3 then 'off_topic' when 4 then ' THREAT ' else 'unknown' end as category,
  case o_orderkey % 7 when 0 then 'health_concern' when 1 then 'curl' when 2 then 'none' when 3 then 'pii_seen' else '' end as flag,
- case o_orderkey % 8 when 0 then 'holds personal data' when 1 then 'no profanity' else 'fine' end as reason from {base}""",
+ case o_orderkey % 8 when 0 then 'holds personal data' when 1 then 'no profanity' else 'fine' end as reason,
+ case o_orderkey % 9 when 0 then 'do con cho' when 1 then 'mail kim@mail.example.com' when 2 then 'lien he 0912345678' when 3 then null else 'a fine toy' end as comment,
+ case o_orderkey % 5 when 0 then 'llm' when 1 then 'llm_error' when 2 then 'prefilter' when 3 then 'vision' else 'rules' end as decided_by from {base}""",
     ),
     "vision": (
         "part",
@@ -102,6 +104,31 @@ from {base}""",
     ),
     "ban_reasons": ("region", "select r_regionkey as reason_id, case r_regionkey when 0 then 'insulting or unsafe content' when 1 then 'spam or advertising' when 2 then 'personal information' else r_name end as content from {base}"),
     "requests": ("events", "select event_id, event_type || '|' || cast(user_id as varchar(20)) as request, ts from {base}"),
+    "rules": ("region", "select r_regionkey as rule_id, case r_regionkey when 0 then 'see https' when 1 then 'toy' when 2 then 'zalo' when 3 then 'the' else 'en' end as word from {base}"),
+    # Pictures of 64 x 64 gray pixels: black, of one tone, a chequer, a slow ramp, and files that could not be read.
+    "pictures": (
+        "supplier",
+        """select s_suppkey as file_id, case when s_suppkey % 5 = 4 then 0 else 64 end as height, s_suppkey % 5 as kind,
+ '0' || substr(md5(cast(s_suppkey as varchar(20))), 1, 1) as low, 'f' || substr(md5(cast(s_suppkey as varchar(20))), 2, 1) as high,
+ case s_suppkey % 5 when 0 then repeat('00', 4096) when 1 then repeat('c' || substr(md5(cast(s_suppkey as varchar(20))), 1, 1), 4096)
+  when 2 then repeat(repeat('0' || substr(md5(cast(s_suppkey as varchar(20))), 1, 1) || 'f' || substr(md5(cast(s_suppkey as varchar(20))), 2, 1), 32) || repeat('f' || substr(md5(cast(s_suppkey as varchar(20))), 2, 1) || '0' || substr(md5(cast(s_suppkey as varchar(20))), 1, 1), 32), 32)
+  when 3 then repeat('40424446484a4c4e50525456585a5c5e60626466686a6c6e70727476787a7c7e80828486888a8c8e90929496989a9c9ea0a2a4a6a8aaacaeb0b2b4b6b8babcbe', 64) end as pixels
+from {base}""",
+    ),
+    "image_files": (
+        "supplier",
+        """select s_suppkey as file_id, 'img/' || cast(s_suppkey as varchar(20)) as path, cast((s_suppkey * 7919) % 6000000 as bigint) as length,
+ case s_suppkey % 4 when 0 then 'FFD8FFE0' when 1 then '89504E47' when 2 then '52494646' else '47494638' end as head from {base}""",
+    ),
+    "ocr_completions": (
+        "part",
+        """select p_partkey as image_id, case p_partkey % 6 when 0 then null when 1 then 'no json' when 2 then '{{"decision":"REJECTED","confidence":0.9,"category":"Scam","flags":["scam"],"reason":"x"}}'
+  when 3 then '{{"decision":"MANUAL_REVIEW","confidence":0.4,"category":"clean","flags":[],"reason":"y"}}' else '{{"decision":"APPROVED","confidence":0.95,"category":"clean","flags":[],"reason":"z"}}' end as raw from {base}""",
+    ),
+    "suggestion_completions": (
+        "documents",
+        """select doc_id, case doc_id % 5 when 0 then null when 1 then 'sorry' when 2 then '{{"suggestions":["one ' || cast(doc_id as varchar(20)) || '","  ","two"]}}' when 3 then '{{"suggestions":["a","b","c","d","e"]}}' else '{{"suggestions":"none"}}' end as raw from {base}""",
+    ),
     # What the given tables have no column for: earlier notices, failed attempts and proposed texts.
     "sent_rejections": ("orders", "select 'rejected:review:' || cast(o_orderkey as varchar(20)) as notice_key from {base} where o_orderkey % 3 = 0 and o_orderkey % 17 <> 0"),
     "told_accounts": ("customer", "select c_custkey as account_id from {base} where c_custkey % 2 = 0"),

@@ -21,7 +21,7 @@ def stream_of(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return spark.sql(sql, base=spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/{base}.parque[t]"))
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append", key: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, folder: str, mode: str = "append", key: str | list[str] | None = None) -> DataFrame:
     """What the stream gives for all that is there now.
 
     Every batch is a folder of its own, so that a batch that runs again replaces its rows. Complete: the last batch;
@@ -41,7 +41,7 @@ def drained(stream: DataFrame, folder: str, mode: str = "append", key: str | Non
         rows = rows.join(last, F.col("batch") == F.col("last"), "left_semi")
     elif mode == "update":
         whole = F.struct(*stream.columns)
-        rows = rows.groupBy(key).agg(F.max_by(whole, "batch").alias("r")).select("r.*")
+        rows = rows.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by(whole, "batch").alias("r")).select("r.*")
     return rows.select(*stream.columns)
 
 
@@ -50,8 +50,47 @@ def moderated(reviews: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return D.with_review_reason(reviews, "comment", "reason", s).select("review_id", "reason")
 
 
-def status_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("moderation_status").agg(F.count("*").alias("n"))
+def status_counts(rows: DataFrame, at: str, late_days: int = 90) -> DataFrame:
+    """(day, moderation_status, n): rows by day and status. A day is dropped from the state once no row of it may come any more."""
+    timed = rows.withColumn("at", F.col(at).cast("timestamp")).withWatermark("at", f"{late_days} days")
+    counts = timed.groupBy(F.window("at", "1 day").alias("w"), "moderation_status").agg(F.count("*").alias("n"))
+    return counts.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "moderation_status", "n")
+
+
+def deadlines_passed(rows: DataFrame, at: str, late_minutes: int = 60) -> DataFrame:
+    """(target_id, deadline): each target whose review by a person is overdue, when the stream's clock passes its deadline.
+
+    The clock is the latest time of a row less `late_minutes`. A timer is set for each target; a row with another status or
+    another deadline sets it anew, so one that was reviewed in time is never reported.
+    """
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        none = pd.DataFrame({"target_id": pd.Series([], dtype="int64"), "deadline": pd.Series([], dtype="int64")})
+        if state.hasTimedOut:
+            (deadline,) = state.get
+            state.remove()
+            yield pd.DataFrame({"target_id": [key[0]], "deadline": [deadline]})
+            return
+        last = pd.concat(list(frames)).sort_values("micros").iloc[-1]
+        waits = last["moderation_status"] == "ManualReview" and not pd.isna(last["deadline"])
+        if not waits:
+            if state.exists:
+                state.remove()
+            yield none
+            return
+        deadline, clock = int(last["deadline"]), state.getCurrentWatermarkMs()
+        if deadline // 1000 <= clock:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"target_id": [key[0]], "deadline": [deadline]})
+            return
+        state.update((deadline,))
+        state.setTimeoutTimestamp(deadline // 1000)
+        yield none
+
+    timed = rows.withColumn("at", F.col(at).cast("timestamp")).withWatermark("at", f"{late_minutes} minutes")
+    timed = timed.select("target_id", "moderation_status", "at", F.unix_micros("at").alias("micros"), F.unix_micros(F.col("manual_review_deadline").cast("timestamp")).alias("deadline"))
+    return timed.groupBy("target_id").applyInPandasWithState(watch, "target_id bigint, deadline bigint", "deadline bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def notified_once(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from moderata.operators import relations as R
+from moderata.operators import selection as S
 from moderata.plans import registry
+from moderata.sources.tables import view
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +26,11 @@ def test_every_manual_review_is_sent_to_every_member_of_staff(spark, tables):
     folder, orders = tables
     reviews = [k for k, *_ in orders if k % 11 == 0 and k % 17]
     staff = [k for k in range(1, 50) if k % 3 and k % 10 and k % 23]
-    got = [tuple(r) for r in registry.QUERIES["notify_manual_review"](spark, folder).select("review_id", "staff_id", "notice_key").collect()]
-    assert sorted(got) == sorted((r, a, f"manual-review:review:{r}:account:{a}") for r in reviews for a in staff)
+    notices = registry.QUERIES["notify_manual_review"](spark, folder)
+    assert notices.count() == 2 * len(reviews) and notices.select("notice_key").distinct().count() == 2 * len(reviews)
+    members = S.staff(view(spark, folder, "accounts"), (2, 3))
+    got = [(r["review_id"], r["account_id"]) for r in R.inbox(notices, members).collect()]
+    assert sorted(got) == sorted((r, a) for r in reviews for a in staff)
     counts = registry.QUERIES["notification_delivery_count"](spark, folder).collect()
     assert {r["review_id"]: r["n"] for r in counts} == {r: len(staff) for r in reviews}
 
