@@ -73,8 +73,8 @@ def decision_of(level: Column) -> Column:
 
 
 def combined(texts: DataFrame, images: DataFrame) -> DataFrame:
-    """(review_id, decision, reason): the severest of text and images, with the reason of what brought it, the text first, then the smallest image id."""
-    worst = images.withColumn("level", severity(F.col("decision"))).groupBy("review_id").agg(F.max("level").alias("image_level"), F.min_by("reason", F.struct(-F.col("level"), "image_id")).alias("image_reason"))
+    """(review_id, decision, reason): the severest of text and images, with the reason of what brought it, the text first, then the smallest image id (of rows of one id, the smallest reason)."""
+    worst = images.withColumn("level", severity(F.col("decision"))).groupBy("review_id").agg(F.max("level").alias("image_level"), F.min_by("reason", F.struct(-F.col("level"), "image_id", "reason")).alias("image_reason"))
     out = texts.withColumn("text_level", severity(F.col("decision"))).join(worst, "review_id", "left")
     level = F.greatest("text_level", F.coalesce("image_level", F.lit(0)))
     return out.select("review_id", decision_of(level).alias("decision"), F.when(F.col("text_level") == level, F.col("reason")).otherwise(F.col("image_reason")).alias("reason"))

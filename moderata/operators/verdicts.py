@@ -40,21 +40,28 @@ def parsed(raw: Column) -> Column:
     A JSON value that is no object counts as a failed call: null. Confidence: 1.0 if approved else 0.5 where it is
     missing; 0.5 where it is no number or outside 0 to 1.
     """
-    body = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
-    fenced = F.regexp_extract(body, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    outer = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    body = F.trim(F.when(fenced != "", fenced).when(outer != "", outer).otherwise(body))
-    body = F.regexp_replace(body, r",\s*([\]}])", "$1")
-    fields = F.from_json(body, _RAW, {"mode": "PERMISSIVE"})
-    good = F.try_parse_json(body).isNotNull() if hasattr(F, "try_parse_json") else fields.isNotNull()
-    decision = F.upper(F.coalesce(fields["decision"], F.lit("MANUAL_REVIEW")))
-    decision = F.when(decision.isin(*DECISIONS), decision).otherwise("MANUAL_REVIEW")
-    number = F.when(fields["confidence"].isin("true", "false"), (fields["confidence"] == "true").cast("double")).otherwise(fields["confidence"].try_cast("double"))
-    confidence = F.when(fields["confidence"].isNull(), F.when(decision == "APPROVED", 1.0).otherwise(0.5)).when(number.between(0.0, 1.0), number).otherwise(0.5)
-    flags = F.coalesce(F.from_json(F.when(fields["flags"].startswith("["), fields["flags"]), "array<string>"), F.array().cast("array<string>"))
-    whole = verdict(decision, confidence, F.lower(F.coalesce(fields["category"], F.lit("ambiguous"))), flags, F.coalesce(fields["reason"], F.lit("")))
-    failed = fixed_verdict("MANUAL_REVIEW", 0.0, "ambiguous", "llm_parse_error", "unreadable completion")
-    return F.when(raw.isNull(), F.lit(None)).when(body.startswith("{") & good, whole).when(good, F.lit(None)).otherwise(failed)
+    def outermost(said: Column) -> Column:
+        fenced = F.regexp_extract(said, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+        outer = F.regexp_extract(said, r"(?s)(\{.*\})", 1)
+        plain = said.startswith("{") & said.endswith("}") & ~said.contains("```")  # the common case needs no search
+        return F.when(plain, said).otherwise(T.let(F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(outer, F.lit(""))), lambda x: F.trim(F.coalesce(x, said))))
+
+    def read(body: Column) -> Column:
+        good = F.try_parse_json(body).isNotNull()
+        failed = fixed_verdict("MANUAL_REVIEW", 0.0, "ambiguous", "llm_parse_error", "unreadable completion")
+        return F.when(~good, failed).when(body.startswith("{"), T.let(F.from_json(body, _RAW, {"mode": "PERMISSIVE"}), filled))
+
+    def filled(fields: Column) -> Column:
+        named = F.upper(F.coalesce(fields["decision"], F.lit("MANUAL_REVIEW")))
+        decision = F.when(named.isin(*DECISIONS), named).otherwise("MANUAL_REVIEW")
+        given = fields["confidence"]
+        number = F.when(given.isin("true", "false"), (given == "true").cast("double")).otherwise(given.try_cast("double"))
+        confidence = F.when(given.isNull(), F.when(decision == "APPROVED", 1.0).otherwise(0.5)).when(number.between(0.0, 1.0), number).otherwise(0.5)
+        flags = F.coalesce(F.from_json(F.when(fields["flags"].startswith("["), fields["flags"]), "array<string>"), F.array().cast("array<string>"))
+        return verdict(decision, confidence, F.lower(F.coalesce(fields["category"], F.lit("ambiguous"))), flags, F.coalesce(fields["reason"], F.lit("")))
+
+    said = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
+    return F.when(raw.isNotNull(), T.let(T.let(said, lambda x: F.regexp_replace(outermost(x), r",\s*([\]}])", "$1")), read))
 
 
 def with_verdicts(rows: DataFrame, completions: DataFrame, key: str, first: str = "primary_raw", second: str = "secondary_raw") -> DataFrame:

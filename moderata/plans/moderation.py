@@ -120,7 +120,7 @@ def _flat(df, key="review_id", *more):
 
 @query("join_verdict_fallback", with_views("review_verdicts") + _PARSED + "select review_id, decision, confidence, category, flags from verdicts")
 def join_verdict_fallback(spark, sf):
-    return _flat(V.with_verdicts(view(spark, sf, "reviews").select("review_id"), view(spark, sf, "review_verdicts"), "review_id"))
+    return _flat(V.with_verdicts(view(spark, sf, "reviews").select("review_id"), view(spark, sf, "review_verdicts", True), "review_id"))
 
 
 _PRIMARY = with_views("review_verdicts") + _PARSED.replace("coalesce(primary_raw, secondary_raw)", "primary_raw")
@@ -128,12 +128,12 @@ _PRIMARY = with_views("review_verdicts") + _PARSED.replace("coalesce(primary_raw
 
 @query("parse_verdict_json", _PRIMARY + "select v.review_id, case when j is not null then decision end as decision, case when j is not null then confidence end as confidence, case when j is not null then category end as category, case when j is not null then v.flags end as flags from verdicts v join fields using (review_id)")
 def parse_verdict_json(spark, sf):
-    return _flat(view(spark, sf, "review_verdicts").select("review_id", V.parsed(F.col("primary_raw")).alias("verdict")))
+    return _flat(view(spark, sf, "review_verdicts", True).select("review_id", V.parsed(F.col("primary_raw")).alias("verdict")))
 
 
 @query("scan_model_verdicts", with_views("review_verdicts") + "select review_id, 'primary' as provider, primary_raw as completion from review_verdicts where primary_raw is not null union all select review_id, 'secondary', secondary_raw from review_verdicts where secondary_raw is not null")
 def scan_model_verdicts(spark, sf):
-    return V.providers_as_rows(view(spark, sf, "review_verdicts"), "review_id")
+    return V.providers_as_rows(view(spark, sf, "review_verdicts", True), "review_id")
 
 
 _DECIDED_BY = "case when contains(flags, 'llm_call_failed') then 'llm_error' else 'llm' end"
@@ -141,7 +141,7 @@ _DECIDED_BY = "case when contains(flags, 'llm_call_failed') then 'llm_error' els
 
 @query("review_verdict", with_views("review_verdicts") + _PARSED + f"select review_id, decision, confidence, category, flags, {_DECIDED_BY} as decided_by from verdicts")
 def review_verdict(spark, sf):
-    rows = V.reviewed(view(spark, sf, "reviews").select("review_id"), view(spark, sf, "review_verdicts"), "review_id")
+    rows = V.reviewed(view(spark, sf, "reviews").select("review_id"), view(spark, sf, "review_verdicts", True), "review_id")
     return rows.select("review_id", *[F.col("verdict")[k].alias(k) for k in ("decision", "confidence", "category")], F.array_join(F.col("verdict")["flags"], ",").alias("flags"), "decided_by")
 
 
@@ -168,7 +168,7 @@ settled as (select review_id, case when low or health or rep then 'MANUAL_REVIEW
 @query("apply_business_rules", with_views("review_verdicts", "reviews") + _RULED + "select review_id, decision, confidence, category, flags from settled")
 def apply_business_rules(spark, sf):
     rows = R.with_recent_rejects(view(spark, sf, "reviews").select("review_id", "account_id", "is_deleted", "moderation_status", "updated_at"), REVIEWS_AT)
-    return _flat(V.with_business_rules(V.with_verdicts(rows, view(spark, sf, "review_verdicts"), "review_id")))
+    return _flat(V.with_business_rules(V.with_verdicts(rows, view(spark, sf, "review_verdicts", True), "review_id")))
 
 
 def _as_verdict(spark, sf):
@@ -203,7 +203,7 @@ def map_reason_category(spark, sf):
 
 @query("coerce_decision", with_views("review_verdicts") + "select review_id, case when upper(trim(d)) in ('APPROVED', 'REJECTED') then upper(trim(d)) else 'MANUAL_REVIEW' end as value from (select review_id, primary_raw->>'$.decision' as d from review_verdicts where primary_raw is not null)")
 def coerce_decision(spark, sf):
-    return view(spark, sf, "review_verdicts").where("primary_raw is not null").select("review_id", V.coerced(F.get_json_object("primary_raw", "$.decision")).alias("value"))
+    return view(spark, sf, "review_verdicts", True).where("primary_raw is not null").select("review_id", V.coerced(F.get_json_object("primary_raw", "$.decision")).alias("value"))
 
 
 @query("project_model_version", with_views("text_verdicts") + "select review_id, case when decided_by like 'llm%' then 'text-1' when decided_by like 'vision%' then 'image-1' end as value from text_verdicts")
@@ -236,7 +236,7 @@ def score_with(spark, sf):
 
 
 def _completions(spark, sf):
-    return view(spark, sf, "review_verdicts").withColumnRenamed("review_id", "target_id")
+    return view(spark, sf, "review_verdicts", True).withColumnRenamed("review_id", "target_id")
 
 
 def _classified(kept: str) -> str:
@@ -257,7 +257,7 @@ def _classified(kept: str) -> str:
 
 @query("classify_comments", _classified("true") + "select target_id, decision, confidence, category, flags from classified")
 def classify_comments(spark, sf):
-    return _flat(V.classified_comments(view(spark, sf, "comments"), _completions(spark, sf)), "target_id")
+    return _flat(V.classified_comments(view(spark, sf, "comments", True), _completions(spark, sf)), "target_id")
 
 
 _JUDGED = (
@@ -271,13 +271,13 @@ _JUDGED = (
 @query("review_text_pipeline", _JUDGED + "select review_id, decision, confidence, category, flags from judged")
 def review_text_pipeline(spark, sf):
     reviews = view(spark, sf, "reviews")
-    return _flat(V.judged_reviews(reviews, view(spark, sf, "review_verdicts"), R.recent_rejects(reviews, REVIEWS_AT)))
+    return _flat(V.judged_reviews(view(spark, sf, "reviews", True), view(spark, sf, "review_verdicts", True), R.recent_rejects(reviews, REVIEWS_AT)))
 
 
 @query("moderate_comments", _classified("not is_deleted") + f", told as (select target_type, target_id, account_id, decision, case decision when 'APPROVED' then 'Approved' when 'REJECTED' then 'Rejected' else 'ManualReview' end as moderation_status, case when decision = 'REJECTED' then {Q.reason_category('category', 'flags', 'reason', 'comment', 'p', 'n')} end as reason_category from classified)\nselect t.*, (select count(*) from told x where x.decision = 'REJECTED' and x.account_id = t.account_id) as violations from told t")
 def moderate_comments(spark, sf):
     """Verdict, status and ban reason of every comment, and the violations of its account so far in the batch."""
-    done = V.classified_comments(S.active(view(spark, sf, "comments")), _completions(spark, sf))
+    done = V.classified_comments(S.active(view(spark, sf, "comments", True)), _completions(spark, sf))
     v = F.col("verdict")
     rows = done.select("target_type", "target_id", "account_id", v["decision"].alias("decision"), S.status_of(v["decision"]).alias("moderation_status"), F.when(v["decision"] == "REJECTED", V.reason_category(v["category"], v["flags"], v["reason"], F.col("comment"))).alias("reason_category"))
     rows = written_once(rows)  # both the rows and their counts read it
@@ -432,15 +432,15 @@ def review_image_pipeline(spark, sf):
 
 
 @query("moderate_reviews", _JUDGED + _IMAGE_PIPELINE + """, level_of as (select *, case decision when 'REJECTED' then 2 when 'MANUAL_REVIEW' then 1 else 0 end as lv from final_images),
-worst as (select review_id, max(lv) as image_level, arg_min(reason, (2 - lv) * 1000000000000 + image_id) as image_reason from level_of group by review_id),
+worst as (select review_id, max(lv) as image_level, first(reason order by lv desc, image_id, reason) as image_reason from level_of group by review_id),
 both_ as (select j.review_id, case j.decision when 'REJECTED' then 2 when 'MANUAL_REVIEW' then 1 else 0 end as lv, j.reason, image_level, image_reason from judged j left join worst using (review_id) where not j.is_deleted),
 final as (select *, greatest(lv, coalesce(image_level, 0)) as level from both_)
 select review_id, ['APPROVED', 'MANUAL_REVIEW', 'REJECTED'][level + 1] as decision, case when lv = level then reason else image_reason end as reason, ['Approved', 'ManualReview', 'Rejected'][level + 1] as moderation_status from final""")
 def moderate_reviews(spark, sf):
     """Text and image verdicts of all reviews that are not deleted, their status and the reason for it."""
-    reviews = S.active(view(spark, sf, "reviews"))
+    reviews = S.active(view(spark, sf, "reviews", True))
     every = view(spark, sf, "reviews")
-    texts = V.judged_reviews(reviews, view(spark, sf, "review_verdicts"), R.recent_rejects(every, REVIEWS_AT)).select("review_id", "verdict.decision", "verdict.reason")
+    texts = V.judged_reviews(reviews, view(spark, sf, "review_verdicts", True), R.recent_rejects(every, REVIEWS_AT)).select("review_id", "verdict.decision", "verdict.reason")
     images = _judged_images(spark, sf).select("image_id", "review_id", "decision", "reason")
     return R.combined(texts, images).withColumn("moderation_status", S.status_of(F.col("decision")))
 

@@ -137,10 +137,17 @@ from {base}""",
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A moderation table; only the columns that a query uses are read."""
+def view(spark: SparkSession, sf_dir: str, name: str, analysed: bool = False) -> DataFrame:
+    """A moderation table; only the columns that a query uses are read. analysed: its texts cost more than to move them."""
     base, sql = VIEWS[name]
-    return spark.sql(sql, base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+    rows = spark.sql(sql, base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
+    return spread(rows) if analysed or base == "documents" else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Long texts that a small input holds in fewer splits than there are cores, dealt over all cores; larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) * 2 <= cores and rows.rdd.getNumPartitions() < cores else rows
 
 
 def with_views(*names: str) -> str:
