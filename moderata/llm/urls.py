@@ -53,10 +53,16 @@ class Rule:
         return tuple(found[:-1] if self.path and TOKEN.search(self.name.lower()[-1]) else found)
 
 
-#: Adverts, gambling, adult and piracy pages: what blocks a URL that no host rule decides.
-PATTERNS = tuple(
-    Rule("block", pattern=rf"(?i)(?<![a-z0-9]){word}(?![a-z0-9])", tokens=(word,))
-    for word in ("adserver", "adult", "bet", "casino", "crack", "keygen", "porn", "sex", "torrent", "warez", "xxx")
+def words(*literals: str) -> Rule:
+    """A rule that blocks URLs with these words one after the other, whatever signs stand between them."""
+    return Rule("block", pattern=r"(?i)(?<![a-z0-9])" + "[^a-z0-9]+".join(literals) + r"(?![a-z0-9])", tokens=literals)
+
+
+#: Adverts, gambling, adult and piracy pages: what blocks a URL that no host rule decides. Of several words the rarest one
+#: in the given URLs leads to the rule.
+PATTERNS = (
+    words("adserver"), words("adult"), words("bet"), words("casino"), words("crack"), words("keygen"), words("porn"), words("sex"), words("torrent"), words("warez"), words("xxx"),
+    words("ad", "click"), words("affiliate", "id"), words("banner", "ads"), words("free", "spins"), words("live", "cams"), words("full", "movie", "download"), words("buy", "followers"), words("payday", "loan"),
 )
 
 
@@ -93,8 +99,9 @@ def token_counts(urls: DataFrame, wanted: Sequence[str]) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], patterns: Sequence[Rule] = PATTERNS, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict): the longest fitting host rule decides, else any fitting pattern blocks, else allow.
 
-    Of host rules of one length the later one in the list wins. One row for each row; a null URL, or one without
-    `://`, has an empty host and path and is allowed unless a pattern matches. Other columns are not read.
+    Of host rules of one length the later one in the list wins. One row for each row, repeated rows and ids too; an
+    empty table gives an empty result. A null URL, or one without `://`, has an empty host and path and is allowed unless
+    a pattern matches. Other columns are not read.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
