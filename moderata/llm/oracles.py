@@ -85,7 +85,28 @@ least as (select x, least(x, min(y)) as component_id from reach group by x)
 select d.doc_id as doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
 from d left join n using (doc_id) left join least on least.x = d.doc_id"""
 
+#: The 50-byte strings with their smallest document, the last string to be
+#: removed that starts before each byte, and the bytes that none of these reaches.
+REPEATED_PASSAGES = """
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+strings as (select doc_id, i, array_slice(b, i + 1, i + 50) as w from (select doc_id, b, unnest(range(0, greatest(n - 49, 0))) as i from d)),
+gone as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by w) as least from strings) where least < doc_id),
+marked as (select b.doc_id, b.i, last_value(case when g.i is not null then g.i end ignore nulls) over (partition by b.doc_id order by b.i) >= b.i - 49 as cut from (select doc_id, unnest(range(0, n)) as i from d) b left join gone g on g.doc_id = b.doc_id and g.i = b.i),
+bytes as (select m.doc_id, m.i, coalesce(cut, false) as cut, coalesce(lag(cut) over (partition by m.doc_id order by m.i), false) as before, hex(array_slice(b, m.i + 1, m.i + 1)) as x from marked m join d using (doc_id)),
+told as (select doc_id, count(*) filter (cut) as n_removed, count(*) filter (cut and not before) as n_spans, string_agg(x, '' order by i) filter (not cut) as kept from bytes group by doc_id)
+select d.doc_id as doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join told using (doc_id)"""
+
+_BITS = "array_to_string(list_transform(string_split(sha, ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), '')"
+_FIVE = " + ".join(f"{16 >> k} * (substr(bits, 5 * i + {k + 1}, 1) = '1')::int" for k in range(5))
+ARCHIVES = f"""
+with p as (select page_id, url, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as sha from pages),
+b as (select *, {_BITS} as bits, max(page_id) over (partition by sha) as whole from p)
+select page_id, url, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') as payload_digest,
+ case when page_id = whole then 'response' else 'revisit' end as record_type, case when page_id <> whole then whole end as refers_to from b"""
+
 SQL = {
+    "op1_suffix_array_dedup": REPEATED_PASSAGES,
+    "op2_warc_round_trip": ARCHIVES,
     "op4_benchmark_decontamination": CONTAMINATION,
     "op5_minhash_near_dedup": NEAR_DUPLICATES,
     "op7_url_filters": _urls(),
