@@ -24,6 +24,8 @@ from moderata.llm.shared import materialised
 from moderata.llm.token_counts import CHUNK, OVERLAP
 
 STEP_BYTES = 4 << 20
+#: Texts up to this size are encoded by their units, which is faster; the memory for that is a multiple of it.
+LONG_BYTES = 1 << 20
 #: Documents are placed by falling length; lengths of one band (a share of the capacity) propose at the same time.
 BANDS = 64
 #: Ranks of a length that are joined with their intervals as one group.
@@ -77,9 +79,9 @@ def sweeps(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple
 
 
 def _encoded(model: bpe.Bpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, offsets); a text beyond a chunk is encoded by overlapping chunks."""
+    """(ids of all texts, offsets); a text beyond LONG_BYTES is encoded by overlapping chunks."""
     _, offsets = flat.flatten(texts)
-    long = np.diff(offsets) > CHUNK
+    long = np.diff(offsets) > LONG_BYTES
     ids, at = model.encode(pc.if_else(pa.array(long), "", texts))
     if not long.any():
         return ids, at
