@@ -1,5 +1,6 @@
 """Case tables in our own words for normalisation, detectors and prefilters."""
 
+import os
 import random
 import re
 import unicodedata
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from moderata.functions import detect as D
 from moderata.functions import text as T
+from moderata.plans import registry
 
 
 def evaluated(spark, values, column):
@@ -90,3 +92,12 @@ def test_comment_verdicts(spark):
 def test_prefilters_are_native(spark, build):
     plan = build(spark.range(1).select(F.col("id").cast("string").alias("t")), "t", "v")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow", plan)
+
+
+@pytest.mark.parametrize("name, most", [("review_prefilter", 20_000), ("comment_prefilter", 30_000), ("safety_check", 15_000), ("screen_blog_requests", 20_000), ("finalize_articles", 15_000), ("join_verdict_fallback", 10_000)])
+def test_what_rules_share_is_not_copied_into_each(spark, name, most):
+    """An expression that the optimizer copied into its users shows as a plan many times as long."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < most
