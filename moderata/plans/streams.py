@@ -40,11 +40,10 @@ def stream_notify_once(spark, sf):
     return J.drained(J.notified_once(keys), shared_folder(spark))
 
 
-@query("stream_request_dedup", with_views("requests") + "select sha256(request) as request_hash, count(*) >= 1 as kept from requests group by request")
+@query("stream_request_dedup")
 def stream_request_dedup(spark, sf):
-    """Which requests came through: equal ones within the time of a batch's watermark once, so every request at least once."""
-    once = J.requests_once(J.stream_of(spark, sf, "requests")).select("request_hash")
-    return J.drained(once, shared_folder(spark)).groupBy("request_hash").agg((F.count("*") >= 1).alias("kept"))
+    """Which of equal events comes through depends on their arrival, so there is no SQL; tests/test_operators.py has the rule."""
+    return J.drained(J.requests_once(J.stream_of(spark, sf, "requests")).select("event_id", "request_hash"), shared_folder(spark))
 
 
 @query("stream_status_counts", with_views("comments") + "select strftime(created_at, '%Y-%m-%d') as day, moderation_status, count(*) as n from comments group by all")

@@ -1,5 +1,9 @@
 """Operators whose behaviour their SQL doesn't show, on small tables."""
 
+import hashlib
+import os
+from collections import defaultdict
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +11,8 @@ from pyspark.sql import functions as F
 from moderata.operators import blog as B
 from moderata.operators import verdicts as V
 from moderata.operators import vision as I
+from moderata.plans import registry
+from moderata.sources.tables import view
 
 
 def test_models_are_asked_in_batches_and_may_stay_silent(spark):
@@ -50,3 +56,19 @@ def test_articles_without_a_model(spark):
         assert 3000 <= len(r["a"]) <= 10_000 and "<h2>" in r["a"] and "warm and" in r["a"]
         assert r["title"] in B.TOPIC_TITLES[r["topic"]] or r["title"] == B.DEFAULT_TITLE
     assert rows.select(B.output_fault(B.fallback_article(F.col("t"), F.col("s"), F.lit("Warm"))).alias("v")).where("v is not null").count() == 0
+
+
+def test_equal_requests_come_through_once_in_a_while(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    given = {r["event_id"]: (hashlib.sha256(r["request"].encode()).hexdigest(), r["at"]) for r in view(spark, sf, "requests").select("event_id", "request", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")).collect()}
+    kept = defaultdict(list)
+    for r in registry.QUERIES["stream_request_dedup"](spark, sf).collect():
+        own, at = given[r["event_id"]]
+        assert own == r["request_hash"]
+        kept[own].append(at)
+    assert kept.keys() == {own for own, _ in given.values()}
+    for times in kept.values():
+        times.sort()
+        assert all(b - a > 300 for a, b in zip(times, times[1:]))
