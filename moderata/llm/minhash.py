@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = materialised(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
     copies = named.select("id", "k1", "k2", "n").join(first.where("last > rep").select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     copies = materialised(copies)
-    reps = named.join(copies.select(F.col("u").alias("id")).distinct(), "id", "left_anti")
+    # By set and id: an id whose one text is a copy may still be the representative of another.
+    reps = named.join(first.select("k1", "k2", "n", F.col("rep").alias("id")), ["k1", "k2", "n", "id"], "left_semi")
     banded = reps.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("band"))
     leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1").select("band", "lead")
     members = materialised(banded.join(leads, "band"))
@@ -250,7 +251,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = materialised(asking.unionByName(holding).groupBy("band", "asker", "holder").applyInArrow(_search(percent), _MEMBER))
     more = found.join(sets, "id").groupBy("band", "asker", "holder").applyInArrow(_confirm(percent), "u bigint, v bigint")
     links = links.unionByName(materialised(more.distinct()))
-    groups = components(links.unionByName(copies))
+    # Copies of one set follow their representative, so that they take no part in the rounds of the search for components;
+    # only ids of several sets are nodes that link their representatives.
+    both = copies.unionByName(first.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
+    homes = materialised(both.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("other")).where("u != v or v != other"))
+    knots = copies.join(homes.where("v != other").select("u"), "u", "left_semi")
+    linked = materialised(components(links.unionByName(knots)))
+    follow = homes.where("v = other").join(linked.withColumnRenamed("id", "v"), "v", "left").select(F.col("u").alias("id"), F.coalesce("component", "v").alias("component"))
+    groups = linked.unionByName(follow)
     return (
         sketches.select("id", F.col("n").alias("n_shingles"))
         .join(groups, "id", "left")

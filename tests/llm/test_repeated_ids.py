@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("moderata.llm")
-from moderata.llm import suffix_dedup  # noqa: E402
+from moderata.llm import minhash, suffix_dedup  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +48,13 @@ def test_texts_of_one_id_are_cut_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["text"] for r in suffix_dedup.remove_repeated_passages(docs).collect())
     assert got == sorted([shared, "first", "second ", "other:", rows[4][1]])
+
+
+def test_an_id_of_several_texts_links_the_copies_of_each(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(n))
+    a, b, c = say(60), say(60), say(60)
+    rows = [(1, a), (2, a), (2, b), (3, f"{b} more"), (4, c), (5, c), (6, c), (6, b), (6, b), (7, f"{c} more"), (8, say(60)), (9, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x["doc_id"] or 0, x["component_id"], x["kept"]) for x in minhash.near_duplicates(docs).collect())
+    assert got == [(0, None, True), (1, 1, True), *[(d, 1, False) for d in (2, 2, 3, 4, 5, 6, 6, 6, 7)], (8, 8, True), (9, 9, True)]
