@@ -104,6 +104,52 @@ b as (select *, {_BITS} as bits, max(page_id) over (partition by sha) as whole f
 select page_id, url, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') as payload_digest,
  case when page_id = whole then 'response' else 'revisit' end as record_type, case when page_id <> whole then whole end as refers_to from b"""
 
+#: The CRC-32 of an ASCII string, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split({s}, ''), lambda c: ascii(c)::bigint), lambda a, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295::bigint), 4294967295)"
+
+
+def _repair() -> str:
+    """The rows one by one, with the least (cost, edits) of each place of the wanted form so far."""
+
+    def plus(place: str, cost: str, letter: str) -> str:
+        return f"{{'c': {place}.c + {cost}, 'a': {place}.a || '{letter}'}}"
+
+    def least(*found: str) -> str:
+        return f"list_min([{', '.join(found)}])"
+
+    none = "{'c': 1000000000::bigint, 'a': ''}"
+    start = [none if p else "{'c': 0::bigint, 'a': ''}" for p in range(4)]
+
+    def moved(places: tuple[str, ...], initial: str) -> list[str]:
+        out = []
+        for p in places:
+            out.append(plus(p, f"case when must then 1000000000 when initial = '{initial}' then extra else 1000000000 end", "K"))
+            if initial != "s":
+                out.append(plus(p, "case when must then 1000000000 else 3 + extra end", "R"))
+        return out
+
+    return rf"""
+with recursive kinds as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format(s="coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations),
+rows as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(0, case kind when 3 then 2 else 1 end)) as copy from kinds where kind <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen, substr(role, 1, 1) as initial, regexp_replace(text, '[ 	-]+$', '') as said from rows),
+faults as (select *, said = '' as is_blank, said <> '' and seen > 1 as is_duplicate, said <> '' and seen = 1 and not regexp_matches(said, '[.!?]$') as is_truncated, lag(initial) over (partition by conv_id order by i) as before from placed),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (is_blank) as blank, count(*) filter (is_duplicate) as duplicate, count(*) filter (is_truncated) as truncated,
+ count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, max(i) as n from faults group by conv_id),
+edits(conv_id, i, p0, p1, p2, p3) as (
+ select conv_id, 0::bigint, {start[0]}, {start[1]}, {{'c': 3::bigint, 'a': 'I'}}, {{'c': 6::bigint, 'a': 'II'}} from told
+ union all
+ select conv_id, i, p0, p1, q2, {least("p3", plus("q2", "3", "I"))} from (select *, {least("p2", plus("p0", "3", "I"), plus("p1", "3", "I"), plus("p3", "3", "I"))} as q2 from (
+  select e.conv_id as conv_id, f.i as i, {plus("e.p0", "4", "D")} as p0, {least(plus("e.p1", "4", "D"), *moved(("e.p0",), "s"))} as p1, {least(plus("e.p2", "4", "D"), *moved(("e.p0", "e.p1", "e.p3"), "u"))} as p2, {least(plus("e.p3", "4", "D"), *moved(("e.p2",), "a"))} as p3
+  from edits e join (select *, is_blank or is_duplicate as must, case when is_truncated then 3 else 0 end as extra from faults) f on e.conv_id is not distinct from f.conv_id and f.i = e.i + 1))),
+best as (select t.*, list_min([p0, p3]) as b from told t join edits e on t.conv_id is not distinct from e.conv_id and t.n = e.i),
+letters as (select conv_id, k, substr(b.a, k, 1) as edit, b.a as audit from (select *, unnest(range(1, length(b.a) + 1)) as k from best)),
+counted as (select *, count(*) filter (edit <> 'I') over w as i, count(*) filter (edit <> 'D') over w - 1 as place, count(*) filter (edit <> 'D') over (partition by conv_id) % 2 as odd from letters window w as (partition by conv_id order by k)),
+turns as (select c.conv_id as conv_id, k, case when edit = 'K' then f.role when (place - odd) % 2 = 0 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else f.text end as turn from counted c left join faults f on c.conv_id is not distinct from f.conv_id and c.i = f.i where edit <> 'D'),
+repaired as (select conv_id, sha256(string_agg(turn, chr(10) order by k)) as sha from turns group by conv_id)
+select o.conv_id as conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(b.c, 0) as cost, coalesce(b.a, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join best on o.conv_id is not distinct from best.conv_id left join repaired r on o.conv_id is not distinct from r.conv_id"""
+
+
 SQL = {
     "op1_suffix_array_dedup": REPEATED_PASSAGES,
     "op2_warc_round_trip": ARCHIVES,
@@ -111,4 +157,5 @@ SQL = {
     "op5_minhash_near_dedup": NEAR_DUPLICATES,
     "op7_url_filters": _urls(),
     "op10_quality_rules": _quality(),
+    "op11_turn_repair": _repair(),
 }

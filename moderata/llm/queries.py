@@ -95,6 +95,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moderata.llm.turn_repair import damaged, digests, repair
+
+    rows = _table(spark, sf_dir, "conversations")
+    audits, turns = repair(damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    known = rows.select(F.col("conv_id").cast("bigint").alias("known_id")).distinct()
+    sums = digests(turns).withColumnRenamed("conv_id", "sum_id")
+    told = known.join(audits, F.col("known_id").eqNullSafe(F.col("conv_id")), "left").join(sums, F.col("known_id").eqNullSafe(F.col("sum_id")), "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return told.select(F.col("known_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -106,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 SQL: dict[str, str] = oracles.SQL
