@@ -131,7 +131,8 @@ def _repair() -> str:
     return rf"""
 with recursive kinds as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format(s="coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations),
 rows as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(0, case kind when 3 then 2 else 1 end)) as copy from kinds where kind <> 0),
-placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen, substr(role, 1, 1) as initial, regexp_replace(text, '[ 	-]+$', '') as said from rows),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen, substr(role, 1, 1) as initial, regexp_replace(text, '[ 	-
+]+$', '') as said from rows),
 faults as (select *, said = '' as is_blank, said <> '' and seen > 1 as is_duplicate, said <> '' and seen = 1 and not regexp_matches(said, '[.!?]$') as is_truncated, lag(initial) over (partition by conv_id order by i) as before from placed),
 told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (is_blank) as blank, count(*) filter (is_duplicate) as duplicate, count(*) filter (is_truncated) as truncated,
  count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, max(i) as n from faults group by conv_id),
@@ -150,6 +151,23 @@ select o.conv_id as conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as bl
 from (select distinct conv_id from conversations) o left join best on o.conv_id is not distinct from best.conv_id left join repaired r on o.conv_id is not distinct from r.conv_id"""
 
 
+#: Words that equal the word so many places before, stretch by stretch of one lag.
+RUNS = rf"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w, row_number() over () as r, {_CRC.format(s="coalesce(doc_id::varchar, '')")} as h from documents),
+p as (select *, len(w) as n, h // 10 as g, (h // 10) % greatest(len(w), 1) as a from d),
+changed as (select r, doc_id, case when h % 10 = 0 and doc_id is not null then list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end as w from p),
+words as (select r, unnest(range(0, len(w))) as i, unnest(w) as x from changed),
+pairs as (select r, i, x, x || ' ' || lead(x) over (partition by r order by i) as xx from words),
+matches as (select b.r as r, b.i as i, b.i - a.i as q from pairs a join pairs b on a.r = b.r and a.xx = b.xx and a.i < b.i),
+stretches as (select r, q, min(i) - q as start, max(i) + 2 as stop from (select r, q, i, i - row_number() over (partition by r, q order by i) as s from matches) group by r, q, s),
+runs as (select r, start, stop - start as length, min(q) as period from stretches where stop - start >= greatest(12, 2 * q) group by r, start, stop),
+told as (select r, count(*) as n_runs, max_by({{'start': start, 'length': length, 'period': period}}, [length, -start, -period]) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by r),
+cut as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (select r, string_agg(x, ' ' order by i) as text from words anti join cut using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period, 1000 * best.length // best.period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from changed left join told using (r) left join kept using (r)"""
+
+
 SQL = {
     "op1_suffix_array_dedup": REPEATED_PASSAGES,
     "op2_warc_round_trip": ARCHIVES,
@@ -158,4 +176,5 @@ SQL = {
     "op7_url_filters": _urls(),
     "op10_quality_rules": _quality(),
     "op11_turn_repair": _repair(),
+    "op13_periodic_runs": RUNS,
 }

@@ -108,6 +108,18 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("known_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moderata.llm.sketches import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from moderata.llm.periodic import digests, periodic_runs, with_repeats
+
+    return digests(periodic_runs(with_repeats(_table(spark, sf_dir, "documents")), least=12))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -120,6 +132,8 @@ QUERIES: dict[str, Query] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
     "op11_turn_repair": op11_turn_repair,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = oracles.SQL
