@@ -41,23 +41,30 @@ SPELLED_GUN, SPELLED_PHONE = r"\bg\s+un\b", r"\bs\s+d\s+t\b"
 SINGLE_LETTERS = r"\b([a-hj-np-z0-9])\s+([a-hj-np-z0-9])\b"
 
 
-def _decompositions() -> tuple[str, str, list[tuple[str, str]]]:
-    """From the Unicode database: single letters and their base letters, and the characters with a longer decomposition."""
-    single, base, longer = [], [], []
-    for code in (*range(0xA0, 0x370), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+def _ranges(codes: list[int]) -> str:
+    """The codes as the inside of a character class."""
+    starts = [c for c in codes if c - 1 not in (known := set(codes))] if codes else []
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ((a, next(c for c in range(a, 0x110001) if c not in known) - 1) for a in starts))
+
+
+def _decompositions() -> tuple[str, str, str, str]:
+    """From the Unicode database: Latin letters with one base letter each, and these; the characters that need no more than that; the combining marks."""
+    single, base, enough = [], [], []
+    blocks = (range(0x370), range(0x1E00, 0x1F00), range(0x2010, 0x2060), range(0x2600, 0x27C0), range(0xFE00, 0xFE10), range(0x1F300, 0x1FB00))
+    for code in (c for block in blocks for c in block):
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if plain == chr(code) or not plain:
-            continue
-        if len(plain) == 1:
+        if plain == chr(code) or unicodedata.combining(chr(code)):
+            enough.append(code)
+        elif len(plain) == 1:
+            enough.append(code)
             single.append(chr(code))
             base.append(plain)
-        else:
-            longer.append((chr(code), plain))
-    return "".join(single), "".join(base), longer
+    marks = [c for c in range(0x110000) if unicodedata.combining(chr(c))]
+    return "".join(single), "".join(base), f"[^{_ranges(enough)}]", f"[{_ranges(marks)}]"
 
 
-_SINGLE, _BASE, _LONGER = _decompositions()
-_MARKS = r"[\p{Mn}&&[^︀-️]]"
+_SINGLE, _BASE, _FURTHER, _MARKS = _decompositions()
+_LATIN_MARKS = r"[\x{300}-\x{36F}&&[^\x{34F}]]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,12 +78,17 @@ def squeeze(c: Column) -> Column:
 
 
 def unmarked(c: Column) -> Column:
-    """Compatibility-decomposed, without combining marks."""
-    out = F.translate(c, _SINGLE, _BASE)
-    for char, plain in _LONGER:
-        if char in "ﬀﬁﬂﬃﬄﬅﬆ½¼¾…™":
-            out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.regexp_replace(out, _MARKS, "")
+    """Compatibility-decomposed, without combining marks.
+
+    Latin letters, punctuation and emoji go by a table; a text with any other character (mathematical, circled, wide,
+    ligatures, signs for whole words) is decomposed by the Unicode library that Spark itself sorts text with.
+    """
+
+    def either(text: Column) -> Column:
+        whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+        return F.when(text.rlike(_FURTHER), F.regexp_replace(whole, _MARKS, "")).otherwise(F.regexp_replace(F.translate(text, _SINGLE, _BASE), _LATIN_MARKS, ""))
+
+    return let(c, either)
 
 
 def normalize(c: Column) -> Column:
