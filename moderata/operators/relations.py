@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,16 @@ def with_recent_rejects(reviews: DataFrame, as_of: str, s: Settings = DEFAULT) -
 
 
 def trailing_rejects(reviews: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Each review with the rejects of its account in the days up to it, itself included."""
-    days = F.datediff(F.col("created_at"), F.lit("1970-01-01").cast("date"))
-    window = Window.partitionBy("account_id").orderBy("day").rangeBetween(-s.offender_window_days, 0)
-    rejected = F.col("moderation_status") == "Rejected"
-    return active(reviews).withColumn("day", days).withColumn("trailing", F.sum(rejected.cast("long")).over(window)).drop("day")
+    """Each review with the rejects of its account in the days up to it, itself included; null for a review without a time.
+
+    Rejects are counted for each account and day first, and days are summed for each account; reviews meet the sums by
+    account and day. So no task holds an account's reviews, only its days. A null account is one account.
+    """
+    rows = active(reviews).withColumn("day", F.datediff(F.col("created_at"), F.lit("1970-01-01").cast("date")))
+    window = Window.partitionBy("a").orderBy("d").rangeBetween(-s.offender_window_days, 0)
+    days = rows.where("day is not null").groupBy(F.col("account_id").alias("a"), F.col("day").alias("d")).agg(F.count_if(F.col("moderation_status") == "Rejected").alias("n"))
+    sums = days.select("a", "d", F.sum("n").over(window).alias("trailing"))
+    return rows.join(sums, F.col("account_id").eqNullSafe(F.col("a")) & (F.col("day") == F.col("d")), "left").drop("a", "d", "day")
 
 
 def status_counts(rows: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
@@ -147,40 +154,116 @@ def lockouts(violations: DataFrame, threshold: int, days: int, cap: int = DEFAUL
     """(account_id, n, locks, until): the counter, the number of locks and the end of the last one after all violations in order.
 
     A violation adds one, up to the cap; from the threshold on it sets the lock's end `days` later. The first violation
-    after that end finds the counter reset. Only (account, time, id) is shuffled; a task streams its accounts in time
-    order and holds one account's state, so that a frequent account is no array in memory.
+    after that end finds the counter reset. Rows without a time don't count; a null account is one account.
+
+    Violations are sorted by account and time over all tasks. Each slice of an account is one function from the state before
+    it to the state after it, and the functions of an account are applied in turn, one for each partition that holds a part
+    of it; so an account of any length is folded by many tasks.
     """
-    rows = violations.select("account_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id").repartition("account_id").sortWithinPartitions("account_id", "at", "event_id")
-    return rows.mapInArrow(_locked(threshold, days * 86_400_000_000, cap), "account_id bigint, n bigint, locks bigint, until bigint")
+    if threshold > cap:  # the counter never gets there
+        timed = violations.where(F.col("ts").isNotNull())
+        return timed.groupBy("account_id").agg(F.least(F.count("*"), F.lit(cap)).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("locks"), F.lit(None).cast("bigint").alias("until"))
+    slices = F.array_sort(F.collect_list(F.struct("part", "first_at", "after"))).alias("slices")
+    start = F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in (("n", 0), ("locks", 0), ("until", None))])
+
+    def apply(state: Column, one: Column) -> Column:
+        over = state["until"] <= one["first_at"]
+        entry = F.when(state["until"].isNull(), state["n"]).when(over, 0).otherwise(threshold)
+        found = F.get(one["after"], F.least(entry, F.lit(threshold)).cast("int"))
+        n = F.coalesce(found["n"], F.least(state["n"] + found["more"], F.lit(cap)))
+        return F.struct(n.cast("bigint").alias("n"), (state["locks"] + found["locks"]).alias("locks"), found["until"].alias("until"))
 
+    found = lockout_slices(violations, threshold, days, cap).groupBy("account_id").agg(slices)
+    return found.select("account_id", F.aggregate("slices", start, apply).alias("s")).select("account_id", "s.n", "s.locks", "s.until")
 
-def _locked(threshold: int, span: int, cap: int):
+
+def lockout_slices(violations: DataFrame, threshold: int, days: int, cap: int = DEFAULT.counter_cap) -> DataFrame:
+    """(account_id, part, first_at, size, after): each account's violations in one partition as a function of the state before them.
+
+    after[k]: the state from a counter of k that is not locked; after[threshold]: from a lock that still holds at first_at,
+    where a null n says that `more` are added to the counter as it was. The first slice of a partition may go on from the
+    one before it and has all entries; any other one starts its account and has only that of the counter 0.
+    """
+    timed = violations.where(F.col("ts").isNotNull())
+    rows = timed.select("account_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    ordered = rows.repartitionByRange("account_id", "at", "event_id").sortWithinPartitions("account_id", "at")
+    states = "array<struct<n:bigint, more:bigint, locks:bigint, until:bigint>>"
+    return ordered.mapInArrow(_sliced(threshold, days * 86_400_000_000, cap), f"account_id bigint, part bigint, first_at bigint, size bigint, after {states}")
+
+
+def _after(at: np.ndarray, threshold: int, span: int, cap: int, entries: list[int]) -> list[tuple]:
+    """(n, more, locks, until) after violations at these times, for each entry: the counter before them, or the threshold for a lock that holds."""
+    size = len(at)
+    resets = np.flatnonzero(np.diff(at) >= span) + 1  # a lock that holds before these is over at them
+    known: dict[int, tuple[int, int, int | None]] = {}
+
+    def fresh(first: int) -> tuple[int, int, int | None]:
+        """From a counter of 0 before the violation at `first`: lock, and from the next reset on the same again."""
+        path = []
+        while first not in known:
+            path.append(first)
+            lock = first + threshold - 1
+            if lock >= size:
+                known[first] = (size - first, 0, None)
+                break
+            k = int(np.searchsorted(resets, lock, side="right"))
+            if k == len(resets):
+                known[first] = (min(size - first, cap), 1, int(at[-1]) + span)
+                break
+            first = int(resets[k])
+        for before in reversed(path):
+            if before not in known:
+                n, locks, until = known[first]
+                known[before] = (n, locks + 1, until)
+            first = before
+        return known[first]
+
+    out = []
+    for entry in entries:
+        # The first violation that finds a lock over: after the one that locks, or from the start if a lock holds.
+        lock = threshold - entry - 1 if entry < threshold else -1
+        k = int(np.searchsorted(resets, lock, side="right"))
+        new = int(entry < threshold)
+        if lock >= size:
+            out.append((entry + size, 0, 0, None))
+        elif k < len(resets):
+            n, locks, until = fresh(int(resets[k]))
+            out.append((n, 0, locks + new, until))
+        elif new:
+            out.append((min(entry + size, cap), 0, 1, int(at[-1]) + span))
+        else:
+            out.append((None, size, 0, int(at[-1]) + span))
+    return out
+
+
+def _sliced(threshold: int, span: int, cap: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, account, n, locks, until = False, None, 0, 0, None
-        done: list[tuple] = []
+        part, first, held = TaskContext.get().partitionId(), True, []
+        schema = pa.schema([("account_id", pa.int64()), ("part", pa.int64()), ("first_at", pa.int64()), ("size", pa.int64()), ("after", pa.list_(pa.struct([(k, pa.int64()) for k in ("n", "more", "locks", "until")])))])
 
-        def emit() -> pa.RecordBatch:
-            columns = list(zip(*done, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["account_id", "n", "locks", "until"])
+        def told(account: int | None, at: np.ndarray, entries: list[int]) -> dict:
+            states = [dict(zip(("n", "more", "locks", "until"), x, strict=True)) for x in _after(at, threshold, span, cap, entries)]
+            return {"account_id": account, "part": part, "first_at": int(at[0]), "size": len(at), "after": states}
 
         for batch in batches:
-            for own, at_ in zip(batch.column("account_id").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                if not begun or own != account:
-                    if begun:
-                        done.append((account, n, locks, until))
-                    begun, account, n, locks, until = True, own, 0, 0, None
-                over = until is not None and until <= at_
-                n = min((0 if over else n) + 1, cap)
-                if n >= threshold:
-                    locks += until is None or over
-                    until = at_ + span
-                elif over:
-                    until = None
-            yield emit()
-            done.clear()
-        if begun:
-            done.append((account, n, locks, until))
-        yield emit()
+            if not batch.num_rows:
+                continue
+            out, accounts = [], batch.column("account_id")
+            at = batch.column("at").to_numpy()
+            same = accounts.fill_null(0).to_numpy()
+            known = accounts.is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((same[1:] != same[:-1]) | (known[1:] != known[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                account = accounts[a].as_py()
+                if held and held[0] != account:
+                    out.append(told(held[0], np.concatenate(held[1]), list(range(threshold + 1)) if first else [0]))
+                    first, held = False, []
+                held = held or [account, []]
+                held[1].append(at[a:b])
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([told(held[0], np.concatenate(held[1]), list(range(threshold + 1)) if first else [0])], schema)
 
     return fold
 
