@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from moderata.config import DECISIONS, DEFAULT, STAFF_ROLES, STATUSES, Settings
 from moderata.operators.selection import active, at
+from moderata.sources.shared import shared_folder
 
 
 def reviewer_names(reviews: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -277,27 +278,161 @@ def unlocked(bans: DataFrame, as_of: str) -> DataFrame:
 def reused_requests(requests: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Each request with the time of the answer that it reuses: that of the first equal one of the last reuse_seconds; a reuse does not prolong it.
 
-    The distinct times of a request stream through one task in order, with one anchor as state; events are joined to them.
+    A null request is one request; a row without a time reuses nothing.
     """
     rows = requests.select("event_id", "request", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    times = rows.select(F.col("request").alias("own"), F.col("at").alias("time")).distinct().repartition("own").sortWithinPartitions("own", "time")
-    anchors = times.mapInArrow(_anchors(s.reuse_seconds * 1_000_000), "own string, time bigint, anchor bigint")
-    same = F.col("request").eqNullSafe(F.col("own")) & F.col("at").eqNullSafe(F.col("time"))
-    return rows.join(anchors, same).select("event_id", "request", "anchor")
+    times = rows.where("at is not null").select(F.col("request").alias("own"), F.col("at").alias("time")).distinct()
+    same = F.col("request").eqNullSafe(F.col("own")) & (F.col("at") == F.col("time"))
+    return rows.join(anchors(times, s.reuse_seconds * 1_000_000), same, "left").select("event_id", "request", "anchor")
 
 
-def _anchors(span: int):
+def anchors(times: DataFrame, span: int) -> DataFrame:
+    """(own, time, anchor) of distinct (own, time): the first time of each is an anchor, and so is the first one more than `span` after an anchor.
+
+    Each time points to the first one beyond its span. Times are sorted over all tasks, and pointers followed within a
+    partition; only where a partition goes on with the key that the one before it ended with, the anchor depends on others.
+    Of such a slice the times near its start are kept with the last anchor that each leads to, and these pointers across
+    slices are doubled until each slice knows where it is entered. What the driver sees is a row of each partition.
+    """
+    spark = times.sparkSession
+    folder = shared_folder(spark)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    ordered = times.repartitionByRange("own", "time").sortWithinPartitions("own", "time")
+    found = written(ordered.mapInArrow(_walked(span), "own string, time bigint, anchor bigint, exit bigint, part bigint, opens boolean"), "walked")
+    key = F.struct("own", "time")
+    ends = found.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.max(F.when(F.col("opens"), F.col("time"))).alias("last"), F.max_by("anchor", key).alias("anchor"))
+    parts = sorted(ends.collect(), key=lambda r: r["part"])
+    going_on = [b["part"] for a, b in zip(parts, parts[1:], strict=False) if a["hi"]["own"] == b["lo"]["own"]]
+    if not going_on:
+        return found.select("own", "time", "anchor")
+    # Chains of slices: (part, time of its last row), and the last anchor before the first of them.
+    chains, before = [], {}
+    for a, b in zip(parts, parts[1:], strict=False):
+        if a["hi"]["own"] == b["lo"]["own"]:
+            if not (chains and chains[-1][-1][0] == a["part"] and a["lo"]["own"] == a["hi"]["own"]):
+                chains.append([])
+                before[len(chains) - 1] = a["anchor"]
+            chains[-1].append((b["part"], b["last"]))
+    at = {part: (c, k) for c, chain in enumerate(chains) for k, (part, _) in enumerate(chain)}
+    lasts = [np.array([last for _, last in chain], np.int64) for chain in chains]
+
+    def entered(c: int, k: int, exit_: int) -> int | None:
+        """The slice from place k of a chain on that holds a time beyond the span of this anchor."""
+        k += int(np.searchsorted(lasts[c][k:], exit_ + span, side="right"))
+        return chains[c][k][0] if k < len(chains[c]) else None
+
+    def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [entered(at[p][0], at[p][1] + 1, e) for p, e in zip(batch.column("part").to_pylist(), batch.column("exit").to_pylist(), strict=True)]
+            yield batch.append_column("to_part", pa.array(out, pa.int64()))
+
+    slices = spark.createDataFrame([(p,) for p in going_on], "slice bigint")
+    opened = found.where("opens").join(slices, F.col("part") == F.col("slice"), "left_semi")
+    nodes = written(opened.where("exit is not null").select("part", "time", "exit").mapInArrow(pointed, "part bigint, time bigint, exit bigint, to_part bigint"), "nodes")
+    starts = [(-1 - c, before[c], before[c], entered(c, 0, before[c])) for c in range(len(chains))]
+    asked = nodes.unionByName(spark.createDataFrame(starts, nodes.schema)).where("to_part is not null")
+    # The first time beyond what is asked, in the slice where it lies: of a slice's times and questions from late to early, the last time seen.
+    places = nodes.select(F.col("part").alias("slice"), F.col("time").alias("value"), F.lit(None).cast("bigint").alias("from_part"), F.lit(None).cast("bigint").alias("from_time"), F.col("time").alias("to_time"))
+    questions = asked.select(F.col("to_part").alias("slice"), (F.col("exit") + span).alias("value"), F.col("part").alias("from_part"), F.col("time").alias("from_time"), F.lit(None).cast("bigint").alias("to_time"))
+    later = Window.partitionBy("slice").orderBy(F.col("value").desc(), F.col("from_part").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    links = places.unionByName(questions).withColumn("to_time", F.last("to_time", ignorenulls=True).over(later)).where("from_part is not null")
+    links = written(links.select("from_part", "from_time", F.col("slice").alias("to_part"), "to_time"), "links0")
+    reached = written(links.where("from_part < 0").select(F.col("to_part").alias("part"), F.col("to_time").alias("time")), "reached0")
+    for k in range(1, max(map(len, chains)).bit_length() + 1):
+        on = [F.col("part") == F.col("from_part"), F.col("time") == F.col("from_time")]
+        further = reached.join(links, on).select(F.col("to_part").alias("part"), F.col("to_time").alias("time"))
+        doubled = links.alias("a").join(links.alias("b"), (F.col("a.to_part") == F.col("b.from_part")) & (F.col("a.to_time") == F.col("b.from_time")))
+        reached = written(reached.unionByName(further).distinct(), f"reached{k}")
+        links = written(doubled.select("a.from_part", "a.from_time", "b.to_part", "b.to_time"), f"links{k}")
+    entries = {r["part"]: (r["time"], r["exit"]) for r in reached.join(nodes, ["part", "time"]).collect()}  # one of a slice at most
+    first = {}
+    for c, chain in enumerate(chains):
+        anchor = before[c]
+        for part, _ in chain:
+            first[part] = (anchor, entries[part][0] if part in entries else None)
+            anchor = entries[part][1] if part in entries else anchor
+    again = opened.repartition("part").sortWithinPartitions("part", "time").select("own", "time", "part").mapInArrow(_entered(span, first), "own string, time bigint, anchor bigint")
+    rest = found.join(slices, (F.col("part") == F.col("slice")) & F.col("opens"), "left_anti")
+    return rest.select("own", "time", "anchor").unionByName(again)
+
+
+def _chain(time: np.ndarray, span: int, anchor: np.ndarray, start: int) -> None:
+    """Fills in the anchors from one on."""
+    after = np.searchsorted(time, time + span, side="right")
+    while start < len(time):
+        anchor[start : after[start]] = time[start]
+        start = int(after[start])
+
+
+def _walked(span: int):
+    """Anchors as if every key began with its partition; of a partition's first key also the last anchor that each of its first times leads to."""
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        request, anchor, begun = None, None, False
+        part, opens, held = TaskContext.get().partitionId(), True, None
+
+        def told(own: str | None, time: np.ndarray) -> pa.RecordBatch:
+            n, anchor, exit_ = len(time), np.empty(len(time), np.int64), pa.nulls(len(time), pa.int64())
+            _chain(time, span, anchor, 0)
+            if opens:
+                to = np.searchsorted(time, time + span, side="right")
+                leads = np.where(to < n, to, np.arange(n))
+                while True:
+                    further = leads[leads]
+                    if (further == leads).all():
+                        break
+                    leads = further
+                exit_ = pa.array(time[leads], mask=np.arange(n) > to[0])
+            return pa.RecordBatch.from_arrays([pa.array([own] * n, pa.string()), pa.array(time), pa.array(anchor), exit_, pa.array(np.full(n, part)), pa.array(np.full(n, opens))], ["own", "time", "anchor", "exit", "part", "opens"])
+
         for batch in batches:
+            own, time = batch.column("own").to_numpy(zero_copy_only=False), batch.column("time").to_numpy()
+            cuts = (np.flatnonzero(own[1:] != own[:-1]) + 1).tolist()
             out = []
-            for own, time in zip(batch.column("own").to_pylist(), batch.column("time").to_pylist(), strict=True):
-                if not begun or own != request:
-                    request, anchor, begun = own, None, True
-                if anchor is None or time - anchor > span:
-                    anchor = time
-                out.append(anchor)
-            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("time"), pa.array(out, pa.int64())], ["own", "time", "anchor"])
+            for a, b in zip([0, *cuts], [*cuts, len(time)], strict=True):
+                if a < b:
+                    if held is not None and held[0] != own[a]:
+                        out.append(told(held[0], np.concatenate(held[1])))
+                        opens, held = False, None
+                    held = held or (own[a], [])
+                    held[1].append(time[a:b])
+            yield from out
+        if held is not None:
+            yield told(held[0], np.concatenate(held[1]))
+
+    return fold
+
+
+def _entered(span: int, first: dict[int, tuple[int, int | None]]):
+    """Anchors of slices that go on: up to where a slice is entered those of the anchor before it, from there on its own."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def told() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            time = whole.column("time").to_numpy()
+            before, entry = first[part]
+            anchor = np.full(len(time), before)
+            if entry is not None:
+                _chain(time, span, anchor, int(np.searchsorted(time, entry)))
+            return pa.RecordBatch.from_arrays([whole.column("own"), whole.column("time"), pa.array(anchor)], ["own", "time", "anchor"])
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            cuts = (np.flatnonzero(np.diff(parts)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+                if a < b:
+                    if held and part != int(parts[a]):
+                        yield told()
+                        held.clear()
+                    part = int(parts[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield told()
 
     return fold
 

@@ -84,3 +84,29 @@ def test_trailing_rejects_of_a_hot_account(spark):
     assert {x["review_id"]: x["trailing"] for x in found.collect()} == want
     # What is summed in order are days, not reviews.
     assert found.where("false").count() == 0 and "Window" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("spread", [60, 4_000, 400_000, 40_000_000])
+def test_a_hot_request_is_followed_through_many_tasks(spark, dealt, spread):
+    """From all times within one span to one time in a span; the pointers cross up to sixteen slices."""
+    r = random.Random(spread)
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"r{r.randrange(30)}", r.randrange(spread) if i % 90 else None) for i in range(5000)]
+    rows += [(5000 + i, "hot", rows[3 * i + 3][2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, request string, t long").withColumn("ts", F.timestamp_seconds("t")).repartition(5)
+    want, anchor = {}, {}
+    for i, request, t in sorted(rows, key=lambda x: (x[2] is not None, x[2])):
+        if t is None:
+            want[i] = None
+            continue
+        if request not in anchor or t - anchor[request] > 300:
+            anchor[request] = t
+        want[i] = anchor[request] * 1_000_000
+    assert {x["event_id"]: x["anchor"] for x in R.reused_requests(df).collect()} == want
+    times = df.where("t is not null").select(F.col("request").alias("own"), F.col("t").alias("time")).distinct()
+    ordered = times.repartitionByRange("own", "time").sortWithinPartitions("own", "time").mapInArrow(R._walked(300), "own string, time bigint, anchor bigint, exit bigint, part bigint, opens boolean")
+    sizes = [x["count"] for x in ordered.where("own = 'hot'").groupBy("part").count().collect()]
+    assert spread == 60 or len(sizes) >= 4 and max(sizes) <= times.count() / 8
+
+
+def test_no_requests(spark):
+    assert R.reused_requests(spark.createDataFrame([], "event_id long, request string, ts timestamp")).count() == 0
