@@ -611,7 +611,7 @@ def suggestions_fill(spark, sf):
     return view(spark, sf, "articles").select("doc_id", F.array_join(B.filled(F.array("title", F.lit("  "), F.lit(None).cast("string")), fallback), "|").alias("value"))
 
 
-@query("join_rules_dim", with_views("texts", "rules") + "select doc_id, (select arg_min(lower(word), rule_id) from rules where contains(lower(coalesce(text, '')), lower(word))) as rule from texts")
+@query("join_rules_dim", with_views("texts", "rules") + "select doc_id, (select arg_min(lower(word), rule_id) from rules where word <> '' and contains(lower(coalesce(text, '')), lower(word))) as rule from texts")
 def join_rules_dim(spark, sf):
     return B.first_rule(view(spark, sf, "texts").select("doc_id", "text"), view(spark, sf, "rules"), "text").select("doc_id", "rule")
 

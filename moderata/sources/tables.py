@@ -104,7 +104,8 @@ from {base}""",
     ),
     "ban_reasons": ("region", "select r_regionkey as reason_id, case r_regionkey when 0 then 'insulting or unsafe content' when 1 then 'spam or advertising' when 2 then 'personal information' else r_name end as content from {base}"),
     "requests": ("events", "select event_id, event_type || '|' || cast(user_id as varchar(20)) as request, ts from {base}"),
-    "rules": ("region", "select r_regionkey as rule_id, case r_regionkey when 0 then 'see https' when 1 then 'toy' when 2 then 'zalo' when 3 then 'the' else 'en' end as word from {base}"),
+    # As many rules as a third of the documents: pieces of their texts, and a few words.
+    "rules": ("documents", "select doc_id as rule_id, case doc_id % 500 when 498 then 'see https' when 495 then 'Zalo' when 492 then '' else substr(text, cast(1 + doc_id % 40 as int), cast(11 + doc_id % 7 as int)) end as word from {base} where doc_id % 3 = 0"),
     # Pictures of 64 x 64 gray pixels: black, of one tone, a chequer, a slow ramp, and files that could not be read.
     "pictures": (
         "supplier",

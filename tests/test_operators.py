@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 from collections import defaultdict
 
 import pandas as pd
@@ -33,13 +34,25 @@ def test_flags_are_there_once(spark):
     assert [r["v"] for r in rows.select(V.with_flag(F.col("f"), "b").alias("v")).collect()] == [["a", "b"], ["b", "a"], ["b"]]
 
 
-def test_rules_in_their_order_and_their_limit(spark):
-    texts = spark.createDataFrame([(1, "A toy from Zalo"), (2, "nothing"), (3, None)], "i int, text string")
-    rules = spark.createDataFrame([(2, "toy"), (1, "ZALO")], "rule_id int, word string")
-    assert [r["rule"] for r in B.first_rule(texts, rules, "text").orderBy("i").collect()] == ["zalo", None, None]
-    assert [r["rule"] for r in B.first_rule(texts, rules.where("rule_id < 0"), "text").collect()] == [None] * 3
-    with pytest.raises(ValueError):
-        B.first_rule(texts, rules, "text", limit=1)
+def test_rules_in_their_order(spark):
+    texts = spark.createDataFrame([(1, "A toy from Zalo"), (2, "nothing"), (3, None), (4, "the toyshop"), (5, "")], "i int, text string")
+    rules = spark.createDataFrame([(2, "toy"), (1, "ZALO"), (7, "hop"), (7, "shop"), (0, ""), (0, None), (9, "zalo")], "rule_id int, word string")
+    for block in (1, 2, 1000):
+        assert [r["rule"] for r in B.first_rule(texts, rules, "text", block).orderBy("i").collect()] == ["zalo", None, None, "toy", None]
+    assert [r["rule"] for r in B.first_rule(texts.where("i = 4"), rules.where("rule_id = 7"), "text").collect()] == ["hop"]
+    assert [r["rule"] for r in B.first_rule(texts, rules.where("rule_id < 0"), "text").collect()] == [None] * 5
+    assert B.first_rule(texts.where("i < 0"), rules, "text").count() == 0
+
+
+def test_any_number_of_rules(spark):
+    r = random.Random(1)
+    words = list({"".join(r.choices("abcdefgh đ", k=r.randint(7, 12))) for _ in range(100_000)})
+    rules = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "rule_id int, word string")
+    said = [(i, "".join(r.choices("abcdefgh đ", k=200)) + (words[-1 - i] if i % 2 else "").upper()) for i in range(60)] + [(99, "x" * 200_000 + words[5])]
+    want = {i: min((k for k, w in enumerate(words) if w in t.lower()), default=None) for i, t in said}
+    texts = spark.createDataFrame(said, "i int, text string")
+    for block in (40_000, B.RULES_BLOCK):
+        assert {x["i"]: x["rule"] for x in B.first_rule(texts, rules, "text", block).collect()} == {i: None if k is None else words[k] for i, k in want.items()}
 
 
 def test_files_that_gave_no_picture(spark):
