@@ -70,6 +70,20 @@ def packed(sketch: Sketch) -> bytes:
     return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
+def difference(own: Sketch, new: Sketch) -> bytes:
+    """A sketch as what it lacks and adds against another: a bit for each hash of the other, then its bound and the hashes added."""
+    bits = np.packbits(np.isin(own[1], new[1], assume_unique=True)).tobytes()
+    return bits + packed((new[0], np.setdiff1d(new[1], own[1], assume_unique=True)))
+
+
+def changed(own: Sketch, data: bytes) -> Sketch:
+    """The sketch that differs so from its own."""
+    n = len(own[1])
+    bound, added = unpacked(data[(n + 7) // 8 :])
+    stays = np.unpackbits(np.frombuffer(data[: (n + 7) // 8], np.uint8), count=n).astype(bool)
+    return bound, np.sort(np.concatenate((own[1][stays], added)))
+
+
 def unpacked(data: bytes) -> Sketch:
     whole = np.zeros((len(data) // 5, 8), np.uint8)
     whole[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
@@ -77,8 +91,9 @@ def unpacked(data: bytes) -> Sketch:
     return int(values[0]) + 1, values[1:]
 
 
-_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_DDL = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+#: As written: checksums and sketches as bytes, the edited text's sketch by its difference.
+_FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_DDL = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited(text: str, following: str) -> str:
@@ -88,11 +103,11 @@ def edited(text: str, following: str) -> str:
 
 
 def _compared(texts: list[str], following: list[str], own: list[Sketch], after: list[Sketch]) -> list[pa.Array]:
-    changed = pa.array([edited(a, b) for a, b in zip(texts, following, strict=True)], pa.large_string())
-    new = sketches(changed)
-    sums = [hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in changed]
+    after_edit = pa.array([edited(a, b) for a, b in zip(texts, following, strict=True)], pa.large_string())
+    new = sketches(after_edit)
+    sums = [hashlib.sha256(x.as_buffer() or b"").digest() for x in after_edit]
     near = [[likeness(a, b) for a, b in zip(own, other, strict=True)] for other in (new, after)]
-    found = ([len(x) for x in texts], sums, [packed(x) for x in own], [packed(x) for x in new], *near)
+    found = ([len(x) for x in texts], sums, [packed(x) for x in own], [difference(x, y) for x, y in zip(own, new, strict=True)], *near)
     return [pa.array(x, kind) for x, (_, kind) in zip(found, _FIELDS, strict=True)]
 
 
@@ -126,6 +141,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([x.column("id"), *_compared(a.to_pylist(), b.to_pylist(), sketches(a), sketches(b))], ["id", *[f for f, _ in _FIELDS]])
 
 
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints in hexadecimal digits, both whole."""
+    for batch in batches:
+        own = batch.column("fingerprint").to_pylist()
+        new = [packed(changed(unpacked(a), b)).hex() for a, b in zip(own, batch.column("edited_fingerprint").to_pylist(), strict=True)]
+        at = batch.schema.get_field_index
+        batch = batch.set_column(at("fingerprint"), "fingerprint", pa.array([x.hex() for x in own], pa.string()))
+        yield batch.set_column(at("edited_fingerprint"), "edited_fingerprint", pa.array(new, pa.string()))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each whole text.
 
@@ -148,5 +173,5 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     heads = found.where("first").select(F.col("part").alias("head"), F.col("text").alias("following"))
     last = found.where("waits").select("id", "part", "text").join(following, F.col("part") == F.col("own")).join(heads, F.col("after") == F.col("head"))
     last = last.select("id", "text", "following").mapInArrow(_pairs, f"id {kind}, {_DDL}")
-    whole = found.where("not waits").select(*last.columns).unionByName(last)
-    return whole.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", *[F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")], "near_edited", "near_next")
+    whole = found.where("not waits").select(*last.columns).unionByName(last).withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
+    return whole.mapInArrow(_shown, f"id {kind}, {_DDL.replace('binary', 'string')}").withColumnRenamed("id", id_col)
