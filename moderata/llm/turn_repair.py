@@ -318,12 +318,14 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     space = lambda c: F.coalesce(F.col(c), F.lit(" ")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), space("role"), space("text"))
-    key = ["conv_id", "turn", "role", "text"]
-    rows = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    # The first row of each role and text, joined by grouping, so that a text said over and over is no hot key.
+    # The first row of each role and text is marked by grouping, not by a join, so that a text said over and over is no hot
+    # key; the marks travel with a hash in place of the text.
+    rows = rows.withColumn("sum", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     first = F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn"))["turn"]
-    firsts = rows.groupBy("conv_id", "role", "text").agg(first.alias("turn")).select(*key, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("is_first"))
-    rows = rows.select(*key, "n", F.lit(False).alias("is_first")).unionByName(firsts).groupBy(*key).agg(F.sum("n").alias("n"), F.max("is_first").alias("is_first"))
+    marks = rows.groupBy("conv_id", "role", "sum").agg(first.alias("turn")).withColumns({"text": F.lit(None).cast("string"), "n": F.lit(0), "is_first": F.lit(True)})
+    rows = rows.withColumns({"n": F.lit(1), "is_first": F.lit(False)}).unionByName(marks)
+    rows = rows.groupBy("conv_id", "turn", "role", "sum").agg(F.max("text").alias("text"), F.sum("n").alias("n"), F.max("is_first").alias("is_first")).drop("sum")
+    key = ["conv_id", "turn", "role", "text"]
     said = F.regexp_replace("text", r"[\x20\x09-\x0D]+\z", "")
     rows = rows.withColumn("is_blank", said == "").withColumn("is_cut", ~said.rlike(r"[.!?]\z"))
     blocks = materialised(rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_blocks, _BLOCKS_DDL))
