@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moderata.config import DECISIONS, DEFAULT, STAFF_ROLES, STATUSES, Settings
+from moderata.config import DECISIONS, DEFAULT, STATUSES, Settings
 from moderata.operators.selection import active, at
 from moderata.sources.shared import shared_folder
 
@@ -88,21 +88,47 @@ def combined(texts: DataFrame, images: DataFrame) -> DataFrame:
     return out.select("review_id", decision_of(level).alias("decision"), F.when(F.col("text_level") == level, F.col("reason")).otherwise(F.col("image_reason")).alias("reason"))
 
 
-def manual_review_notices(reviews: DataFrame, staff: DataFrame, roles: tuple[int, ...] = STAFF_ROLES) -> DataFrame:
-    """(review_id, role_id, receivers, payload, notice_key): one notice for each review and role that has staff.
+# The kind of recipient of each role, and the form of the keys that a delivery is known by.
+RECIPIENTS = {2: "ADMIN", 3: "STAFF"}
+DELIVERY_KEY = "moderation:review:%d:account:%d"
+REASON_CHARS = 200
 
-    Notices are addressed to a role and resolved when its members read them (`inbox`), so that their number is that of
-    the reviews times that of the roles, however many members a role has. Staff is counted once for each role.
-    """
-    members = staff.groupBy("role_id").agg(F.count("*").alias("receivers"))
-    addressed = reviews.select("review_id", F.explode(F.array(*[F.lit(x) for x in roles])).alias("role_id"))
-    key = F.concat(F.lit("manual-review:review:"), F.col("review_id"), F.lit(":role:"), F.col("role_id"))
-    return addressed.join(members, "role_id").select("review_id", "role_id", "receivers", F.to_json(F.struct("review_id")).alias("payload"), key.alias("notice_key"))
 
+def manual_review_notices(reviews: DataFrame, staff: DataFrame, *, spread: int = 32, members: int = 1000) -> DataFrame:
+    """(account_id, review_id, recipient_type, title, message, payload, action_target, notice_key): a delivery for each review and member of staff.
 
-def inbox(notices: DataFrame, members: DataFrame) -> DataFrame:
-    """The notices of the given members: an equal join on the role."""
-    return members.select("account_id", "role_id").join(notices, "role_id").select("account_id", "review_id", "notice_key")
+    reviews: review_id, account_name, reason (null: empty; cut to 200 characters). Rows of one id are one review or member.
+    Each pair is a row to be sent. Pairs meet in a grid of `spread` parts of the reviews and as many parts of the staff as
+    hold about `members` each, by an equal join on both parts: no task holds all of either side, and no role is a hot key.
+    """
+    staff = staff.dropDuplicates(["account_id"])
+    parts = max(1, -(-staff.count() // members))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = reviews.dropDuplicates(["review_id"]).select("review_id", "account_name", F.substring(F.coalesce("reason", F.lit("")), 1, REASON_CHARS).alias("reason"), part("review_id", spread).alias("x"), every(parts).alias("y"))
+    sent_to = staff.select("account_id", "role_id", every(spread).alias("x"), part("account_id", parts).alias("y"))
+    kinds = F.create_map(*[F.lit(v) for pair in RECIPIENTS.items() for v in pair])
+    return asked.join(sent_to, ["x", "y"]).select(
+        "account_id",
+        "review_id",
+        F.coalesce(F.try_element_at(kinds, "role_id"), F.lit("STAFF")).alias("recipient_type"),
+        F.lit("A review waits for you").alias("title"),
+        F.format_string("%s wrote a review that a person has to judge. Why: %s", "account_name", "reason").alias("message"),
+        F.to_json(F.struct("review_id", "reason")).alias("payload"),
+        F.format_string("/admin/product-reviews?reviewId=%d", "review_id").alias("action_target"),
+        F.format_string(DELIVERY_KEY, "review_id", "account_id").alias("notice_key"),
+    )
+
+
+def deliveries_by_review(reviews: DataFrame, staff: DataFrame) -> DataFrame:
+    """(review_id, n): how many members of staff a review is sent to; none of the deliveries is made for it."""
+    members = staff.agg(F.count_distinct("account_id").alias("n")).where("n > 0")
+    return reviews.select("review_id").distinct().join(members, F.lit(True))
+
+
+def inbox(notices: DataFrame) -> DataFrame:
+    """(account_id, n, latest): the deliveries of each account, and the latest review among them."""
+    return notices.groupBy("account_id").agg(F.count("*").alias("n"), F.max("review_id").alias("latest"))
 
 
 def all_targets(comments: DataFrame, replies: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from moderata.config import DECISIONS, DEFAULT, STATUS_OF, STATUSES, Settings
 
@@ -93,6 +96,57 @@ def verdict_faults(verdicts: DataFrame) -> DataFrame:
     return faults(verdicts, {"confidence": F.col("confidence").between(0, 1), "decision": F.col("decision").isin(*DECISIONS)})
 
 
+def quarantined(faulted: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(accepted, refused, counts): the rows with and without `faults` as two tables, and how many of each there are.
+
+    One pass: rows are written to the folder, split by whether they are refused, and counted on the way (`observe`).
+    counts: rows, refused. An empty table gives two empty ones.
+    """
+    seen, refused = Observation(), F.col("faults") != ""
+    watched = faulted.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(refused).alias("refused"))
+    watched.withColumn("quarantine", refused).write.partitionBy("quarantine").parquet(folder)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in faulted.schema)
+    rows = faulted.sparkSession.read.schema(f"{fields}, quarantine boolean").parquet(folder)
+    accepted, held = (rows.where(F.col("quarantine") == x).select(*faulted.columns) for x in (False, True))
+    return accepted, held, {k: seen.get[k] for k in ("rows", "refused")}
+
+
+#: Parts of a snapshot; a commit rewrites those that hold a changed key.
+SNAPSHOT_PARTS = 64
+
+
+def snapshot(rows: DataFrame, key: str, folder: str, parts: int = SNAPSHOT_PARTS) -> None:
+    """Writes the rows as a table in parts by their key."""
+    rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartition("part").write.partitionBy("part").parquet(f"{folder}/table")
+
+
+def committed(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The snapshot as it is."""
+    return spark.read.schema(StructType([*schema, StructField("part", IntegerType())])).parquet(f"{folder}/table").select(*schema.names)
+
+
+def commit(changes: DataFrame, key: str, folder: str, schema: StructType, change: Callable[[DataFrame, DataFrame], DataFrame], name: str, parts: int = SNAPSHOT_PARTS) -> None:
+    """Brings changes into a snapshot: change(rows, changes) over the parts that hold one of their keys; other parts are not read or written.
+
+    The new parts are written beside the table first, then take the place of the old ones (dynamic overwrite). A commit
+    that runs again under its name, after a failure or a success, puts the same parts there.
+    """
+    spark, part = changes.sparkSession, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    staged, whole = f"{folder}/staged/{name}", StructType([*schema, StructField("part", IntegerType())])
+    if not finished(spark, staged):
+        touched = [r["part"] for r in changes.select(part.alias("part")).distinct().collect()]  # of `parts` at most
+        rows = spark.read.schema(whole).parquet(f"{folder}/table").where(F.col("part").isin(touched)).drop("part")
+        change(rows, changes).select(*schema.names).withColumn("part", part).write.mode("overwrite").parquet(staged)
+    new = spark.read.schema(whole).parquet(staged).repartition("part")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder}/table")
+
+
+def finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a job has written the folder to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def status_of(decision: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])[decision]
 

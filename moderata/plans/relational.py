@@ -8,6 +8,7 @@ from moderata.config import STATUSES
 from moderata.operators import relations as R
 from moderata.operators import selection as S
 from moderata.plans.define import Registry, text
+from moderata.sources.shared import shared_folder
 from moderata.sources.tables import view, with_views
 
 registry = Registry()
@@ -109,20 +110,33 @@ def _failures(logs):
     return logs.where((F.col("moderator") == "AI") & (F.col("action") == "ManualReview") & F.col("result").contains("llm_call_failed"))
 
 
-@query("validate_reviews", with_views("reviews") + f"select review_id, concat_ws(',', case when rating between 1 and 4 then null else 'rating' end, case when moderation_status in {STATUSES[:5]} then null else 'status' end) as faults from reviews")
-def validate_reviews(spark, sf):
-    rows = view(spark, sf, "reviews")
-    return S.faults(rows, {"rating": F.col("rating").between(1, 4), "status": F.col("moderation_status").isin(*STATUSES[:5])}).select("review_id", "faults")
+_CHECKS = {
+    "review_inputs": ("review_id", S.review_faults, f"case when rating between 1 and 5 then null else 'rating' end, case when moderation_status in {STATUSES} then null else 'status' end"),
+    "comment_inputs": ("target_id", S.comment_faults, f"case when coalesce(retry_count, 0) >= 0 then null else 'retry_count' end, case when moderation_status in {STATUSES} then null else 'status' end, case when target_type in ('Comment', 'Reply') then null else 'type' end"),
+    "verdict_inputs": ("review_id", S.verdict_faults, "case when confidence between 0 and 1 then null else 'confidence' end, case when decision in ('APPROVED', 'MANUAL_REVIEW', 'REJECTED') then null else 'decision' end"),
+}
 
 
-@query("validate_comments", with_views("comments") + f"select target_id, concat_ws(',', case when coalesce(retry_count, 0) >= 0 then null else 'retry_count' end, case when moderation_status in {STATUSES} then null else 'status' end, case when target_type in ('Comment', 'Reply') then null else 'type' end) as faults from comments")
-def validate_comments(spark, sf):
-    return S.comment_faults(view(spark, sf, "comments")).select("target_id", "faults")
+def _validated(source):
+    key, judge, _ = _CHECKS[source]
 
+    def run(spark, sf):
+        """The accepted rows and those in quarantine, from their two tables."""
+        accepted, refused, _ = S.quarantined(judge(view(spark, sf, source)), shared_folder(spark))
+        return accepted.select(key, "faults").unionByName(refused.select(key, "faults"))
 
-@query("validate_verdicts", with_views("text_verdicts") + "select review_id, concat_ws(',', case when confidence + 0.1e0 between 0 and 1 then null else 'confidence' end, case when decision in ('APPROVED', 'MANUAL_REVIEW', 'REJECTED') then null else 'decision' end) as faults from text_verdicts")
-def validate_verdicts(spark, sf):
-    return S.verdict_faults(view(spark, sf, "text_verdicts").withColumn("confidence", F.col("confidence") + 0.1)).select("review_id", "faults")
+    return run
+
+
+for _name, _source in (("validate_reviews", "review_inputs"), ("validate_comments", "comment_inputs"), ("validate_verdicts", "verdict_inputs")):
+    query(_name, with_views(_source) + f"select {_CHECKS[_source][0]}, concat_ws(',', {_CHECKS[_source][2]}) as faults from {_source}")(_validated(_source))
+
+
+@query("validation_counts", with_views(*_CHECKS) + " union all ".join(f"select '{k}' as source, count(*) as n_rows, count(*) filter (concat_ws(',', {sql}) <> '') as n_refused from {k}" for k, (_, _, sql) in _CHECKS.items()))
+def validation_counts(spark, sf):
+    """What validation counts on the way, for each source."""
+    counts = {k: S.quarantined(judge(view(spark, sf, k)), shared_folder(spark))[2] for k, (_, judge, _) in _CHECKS.items()}
+    return spark.createDataFrame([(k, c["rows"], c["refused"]) for k, c in counts.items()], "source string, n_rows long, n_refused long")
 
 
 @query("project_decision_status", with_views("text_verdicts") + "select review_id, case decision when 'APPROVED' then 'Approved' when 'REJECTED' then 'Rejected' when 'MANUAL_REVIEW' then 'ManualReview' end as status from text_verdicts")
@@ -162,16 +176,25 @@ def rank_claim_order(spark, sf):
 select c.target_id, coalesce(s, moderation_status) as moderation_status, cast(case when s is null then manual_review_deadline when s = 'ManualReview' then timestamp '2024-03-02 05:00:00' end as varchar) as manual_review_deadline
 from comments c left join changes using (target_id)""")
 def sink_status_update(spark, sf):
+    """A snapshot of the comments, read back after the changes were committed to it."""
+    rows, folder = view(spark, sf, "comments"), shared_folder(spark)
     changes = view(spark, sf, "text_verdicts").select(F.col("review_id").alias("target_id"), S.status_of(F.col("decision")).alias("moderation_status"))
-    return S.updated_status(view(spark, sf, "comments"), changes, "target_id", COMMENTS_AT).select("target_id", "moderation_status", text("manual_review_deadline"))
+    S.snapshot(rows, "target_id", folder)
+    S.commit(changes, "target_id", folder, rows.schema, lambda old, new: S.updated_status(old, new, "target_id", COMMENTS_AT), "statuses")
+    return S.committed(spark, folder, rows.schema).select("target_id", "moderation_status", text("manual_review_deadline"))
 
 
 @query("sink_text_update", with_views("reviews", "texts_proposed_for") + """, changes as (select review_id, trim(comment) as t from reviews where review_id in (select review_id from texts_proposed_for))
 select r.review_id, coalesce(t <> comment, false) as changed, case when t <> comment then t else comment end as comment from reviews r left join changes using (review_id)""")
 def sink_text_update(spark, sf):
-    rows = view(spark, sf, "reviews")
+    """As `sink_status_update`, for sanitised texts; which rows changed shows against the snapshot before."""
+    rows, folder = view(spark, sf, "reviews"), shared_folder(spark)
     changes = rows.join(view(spark, sf, "texts_proposed_for"), "review_id", "left_semi").select("review_id", F.trim("comment").alias("comment"))
-    return S.updated_text(rows, changes, "review_id").select("review_id", "changed", "comment")
+    S.snapshot(rows, "review_id", folder)
+    S.commit(changes, "review_id", folder, rows.schema, lambda old, new: S.updated_text(old, new, "review_id"), "texts")
+    now = S.committed(spark, folder, rows.schema).select("review_id", "comment")
+    before = rows.select("review_id", F.col("comment").alias("old"))
+    return now.join(before, "review_id").select("review_id", (~F.col("comment").eqNullSafe(F.col("old"))).alias("changed"), "comment")
 
 
 @query("retry_state_fold", with_views("comments", "failed_comments") + f"""select target_id, cast(case when f then retry_count + 1 else retry_count end as bigint) as retry_count, case when not f then moderation_status when retry_count + 1 >= 3 then 'Failed' else 'Pending' end as moderation_status,
@@ -294,24 +317,36 @@ def _decided_images(spark, sf):
     return S.active(view(spark, sf, "review_images")).select("image_id", "review_id", F.expr("case image_id % 6 when 0 then 'REJECTED' when 1 then 'MANUAL_REVIEW' else 'APPROVED' end").alias("decision"), F.concat(F.lit("image "), "image_id").alias("reason"))
 
 
-_NOTICES = with_views("reviews", "accounts") + """, members as (select role_id, count(*) as receivers from accounts where role_id in (2, 3) and is_active and not is_deleted group by role_id),
-notices as (select review_id, role_id, receivers, '{"review_id":' || review_id || '}' as payload, 'manual-review:review:' || review_id || ':role:' || role_id as notice_key from reviews, members where moderation_status = 'ManualReview' and not is_deleted)
+_NOTICES = with_views("reviews", "accounts", "text_verdicts", "staff") + """, members as (select account_id, role_id from staff where role_id in (2, 3) and is_active and not is_deleted),
+waiting as (select r.review_id, coalesce(account_name, 'Customer') as account_name, substr(coalesce(t.reason, ''), 1, 200) as reason from reviews r left join accounts a using (account_id) left join text_verdicts t on t.review_id = r.review_id where r.moderation_status = 'ManualReview' and not r.is_deleted),
+notices as (select account_id, review_id, case role_id when 2 then 'ADMIN' else 'STAFF' end as recipient_type, 'A review waits for you' as title, account_name || ' wrote a review that a person has to judge. Why: ' || reason as message,
+ '{"review_id":' || review_id || ',"reason":"' || reason || '"}' as payload, '/admin/product-reviews?reviewId=' || review_id as action_target, 'moderation:review:' || review_id || ':account:' || account_id as notice_key from waiting, members)
 """
 
 
-@query("notify_manual_review", _NOTICES + "select review_id, role_id::bigint as role_id, receivers, payload, notice_key from notices")
+@query("notify_manual_review", _NOTICES + "select * from notices")
 def notify_manual_review(spark, sf):
-    return _notices(spark, sf).withColumn("role_id", F.col("role_id").cast("long"))
+    return R.manual_review_notices(_waiting(spark, sf), _staff(spark, sf))
 
 
-def _notices(spark, sf):
-    reviews = S.active(view(spark, sf, "reviews")).where("moderation_status = 'ManualReview'")
-    return R.manual_review_notices(reviews, S.staff(view(spark, sf, "accounts"), (2, 3)))
+def _staff(spark, sf):
+    return S.staff(view(spark, sf, "staff"), (2, 3))
 
 
-@query("notification_delivery_count", _NOTICES + "select review_id, sum(receivers)::bigint as n from notices group by review_id")
+def _waiting(spark, sf):
+    reviews = S.active(view(spark, sf, "reviews")).where("moderation_status = 'ManualReview'").select("review_id", "account_id")
+    said = view(spark, sf, "text_verdicts").select("review_id", "reason")
+    return R.reviewer_names(reviews, view(spark, sf, "accounts")).join(said, "review_id", "left")
+
+
+@query("notification_delivery_count", _NOTICES + "select review_id, count(*) as n from notices group by review_id")
 def notification_delivery_count(spark, sf):
-    return _notices(spark, sf).groupBy("review_id").agg(F.sum("receivers").alias("n"))
+    return R.deliveries_by_review(_waiting(spark, sf), _staff(spark, sf))
+
+
+@query("notice_inbox", _NOTICES + "select account_id, count(*) as n, max(review_id) as latest from notices group by account_id")
+def notice_inbox(spark, sf):
+    return R.inbox(R.manual_review_notices(_waiting(spark, sf), _staff(spark, sf)))
 
 
 @query("notify_rejection", with_views("reviews", "sent_rejections") + "select 'rejected:review:' || review_id as notice_key from reviews where moderation_status = 'Rejected' and not is_deleted and 'rejected:review:' || review_id not in (select notice_key from sent_rejections)")

@@ -104,6 +104,23 @@ from {base}""",
     ),
     "ban_reasons": ("region", "select r_regionkey as reason_id, case r_regionkey when 0 then 'insulting or unsafe content' when 1 then 'spam or advertising' when 2 then 'personal information' else r_name end as content from {base}"),
     "requests": ("events", "select event_id, event_type || '|' || cast(user_id as varchar(20)) as request, ts from {base}"),
+    # A few who judge, and rows as they arrive before they are validated.
+    "staff": ("customer", "select c_custkey as account_id, cast(1 + c_custkey % 3 as int) as role_id, c_custkey % 10 <> 0 as is_active, c_custkey % 23 = 0 as is_deleted from {base} where c_custkey % 40 = 1"),
+    "review_inputs": (
+        "orders",
+        """select o_orderkey as review_id, cast(case o_orderkey % 20 when 0 then 0 when 1 then 6 when 2 then null else 1 + o_orderkey % 5 end as int) as rating,
+ case o_orderkey % 23 when 0 then 'Unknown' when 1 then null when 2 then 'Failed' else 'Pending' end as moderation_status from {base}""",
+    ),
+    "comment_inputs": (
+        "conversations",
+        """select conv_id*100+turn as target_id, cast(case (conv_id+turn) % 9 when 0 then -1 when 1 then null else turn % 4 end as int) as retry_count,
+ case (conv_id+turn) % 11 when 0 then 'pending' else 'Approved' end as moderation_status, case role when 'assistant' then 'Reply' when 'system' then 'System' else 'Comment' end as target_type from {base}""",
+    ),
+    "verdict_inputs": (
+        "orders",
+        """select o_orderkey as review_id, case o_orderkey % 12 when 0 then null when 1 then 1.05e0 when 2 then -0.01e0 else (o_orderkey % 10) / 10.0e0 end as confidence,
+ case o_orderkey % 14 when 0 then 'MAYBE' when 1 then null when 2 then 'REJECTED' else 'APPROVED' end as decision from {base}""",
+    ),
     # As many rules as a third of the documents: pieces of their texts, and a few words.
     "rules": ("documents", "select doc_id as rule_id, case doc_id % 500 when 498 then 'see https' when 495 then 'Zalo' when 492 then '' else substr(text, cast(1 + doc_id % 40 as int), cast(11 + doc_id % 7 as int)) end as word from {base} where doc_id % 3 = 0"),
     # Pictures of 64 x 64 gray pixels: black, of one tone, a chequer, a slow ramp, and files that could not be read.
