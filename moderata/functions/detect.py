@@ -59,9 +59,9 @@ def phone_candidate(c: Column) -> Column:
     return F.exists(F.regexp_extract_all(c, F.lit(PHONE_CANDIDATE), F.lit(0)), phone_like)
 
 
-def bank_number(c: Column) -> Column:
+def bank_number(c: Column, plain: Column | None = None) -> Column:
     """A group of 9 to 14 digits that is no phone number, with a cue in the text or a separator in it."""
-    cue = T.normalize(c).rlike(BANK_CUE)
+    cue = (T.normalize(c) if plain is None else plain).rlike(BANK_CUE)
 
     def suits(token: Column) -> Column:
         digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
@@ -94,7 +94,7 @@ def username_like(token: Column) -> Column:
     return (low != "") & ~low.rlike(r"^\d+$") & ~low.isin(*NO_USERNAMES) & (low.rlike(r"[_.\d]") | (F.length(low) >= 9))
 
 
-def social_contact(c: Column) -> Column:
+def social_contact(c: Column, plain: Column | None = None) -> Column:
     """How a comment asks for contact elsewhere (a code), or null."""
     def judged(plain: Column) -> Column:
         platform = plain.rlike(rf"(?iU)\b{PLATFORM}\b")
@@ -107,7 +107,7 @@ def social_contact(c: Column) -> Column:
             .when(platform & (named(NAME_AFTER) | named(NAME_BEFORE)), "social_username")
         )
 
-    return T.let(T.normalize(c), judged)
+    return T.let(T.normalize(c) if plain is None else plain, judged)
 
 
 def repeated_unit(token: Column) -> Column:
@@ -123,7 +123,7 @@ def gibberish_token(token: Column) -> Column:
     return (F.length(token) >= 6) & ((cluster >= 5) | ((cluster >= 4) & (vowels / F.length(token) <= 0.30)) | (vowels == 0))
 
 
-def meaningless(c: Column) -> Column:
+def meaningless(c: Column, plain: Column | None = None) -> Column:
     """Why a comment says nothing (a code), or null."""
     def judged(plain: Column, tokens: Column, distinct: Column) -> Column:
         compact = F.regexp_replace(plain, r"(?U)\s+", "")
@@ -147,7 +147,7 @@ def meaningless(c: Column) -> Column:
         return (letters >= 12) & T.let(odd, lambda n: (n >= 2) & (n / medium >= 0.6))
 
     with_tokens = lambda plain, tokens: T.let(F.array_distinct(tokens), lambda distinct: judged(plain, tokens, distinct))
-    return T.let(T.normalize(c), lambda plain: T.let(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)), lambda tokens: with_tokens(plain, tokens)))
+    return T.let(T.normalize(c) if plain is None else plain, lambda plain: T.let(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)), lambda tokens: with_tokens(plain, tokens)))
 
 
 def bad_emoji(c: Column) -> Column:
@@ -168,7 +168,7 @@ def bad_emoji(c: Column) -> Column:
 
 
 #: The columns of the stages; each is used more than once, so the optimizer keeps them apart.
-_STAGES = ("_first", "_why", "_body", "_clean", "_empty", "_emoji", "_social")
+_STAGES = ("_first", "_why", "_body", "_plain", "_clean", "_empty", "_emoji", "_social")
 
 
 def _staged(df: DataFrame, column: str, s: Settings) -> DataFrame:
@@ -190,7 +190,7 @@ def _blank(c: Column) -> Column:
 def with_review_reason(df: DataFrame, column: str, name: str, s: Settings = DEFAULT) -> DataFrame:
     """A column that says why a review text is rejected before any model sees it (a code), or null."""
     body = F.col("_body")
-    both = lambda x: F.when(T.profane(body) | T.profane(x), "profanity").otherwise(F.coalesce(sensitive(body), sensitive(x)))
+    both = lambda x: F.when(T.profane(body) | T.profane(x, cleaned=True), "profanity").otherwise(F.coalesce(sensitive(body), sensitive(x)))
     df = _staged(df, column, s)
     reason = (
         F.when(F.col("_why").isNotNull(), F.col("_why"))
@@ -204,8 +204,9 @@ def with_review_reason(df: DataFrame, column: str, name: str, s: Settings = DEFA
 
 def with_comment_verdict(df: DataFrame, column: str, name: str, s: Settings = DEFAULT) -> DataFrame:
     """A column struct<category, reason> of a rejected comment, or null."""
-    body = F.col("_body")
-    df = _staged(df, column, s)
+    body, plain = F.col("_body"), F.col("_plain")
+    # The normal form is a stage of its own, which four rules share.
+    df = _staged(df, column, s).withColumn("_plain", T.normalize(body))
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     verdict = lambda category, reason: F.struct(as_column(category).alias("category"), as_column(reason).alias("reason"))
     named = lambda category, reason: T.let(reason, lambda x: F.when(x.isNotNull(), verdict(category, x)))
@@ -214,15 +215,15 @@ def with_comment_verdict(df: DataFrame, column: str, name: str, s: Settings = DE
         .when(_blank(body), verdict("spam", "empty"))
         .when((body != F.col(column)) & T.dominated(body, s), verdict("spam", "repeat_share"))
         .otherwise(F.coalesce(
-            named("spam", meaningless(body)),
+            named("spam", meaningless(body, plain)),
             T.let(bad_emoji(body), lambda x: F.when(x.isNotNull(), verdict(x, "bad_emoji"))),
             F.when(body.rlike(URL), verdict("spam", "url")),
-            named("spam", social_contact(body)),
+            named("spam", social_contact(body, plain)),
             F.when(email(body), verdict("privacy", "email"))
             .when(phone_candidate(body), verdict("privacy", "phone"))
-            .when(bank_number(body), verdict("privacy", "bank"))
+            .when(bank_number(body, plain), verdict("privacy", "bank"))
             .when(address(body), verdict("privacy", "address"))
-            .when(T.profane(body), verdict("offensive", "profanity")),
+            .when(T.profane(body, plain), verdict("offensive", "profanity")),
         ))
     )
     return _without_stages(df.withColumn(name, found))

@@ -5,6 +5,7 @@ Java's classes are ASCII unless (?U) is set; every pattern that must see Vietnam
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -44,7 +45,8 @@ SINGLE_LETTERS = r"\b([a-hj-np-z0-9])\s+([a-hj-np-z0-9])\b"
 def _ranges(codes: list[int]) -> str:
     """The codes as the inside of a character class."""
     starts = [c for c in codes if c - 1 not in (known := set(codes))] if codes else []
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ((a, next(c for c in range(a, 0x110001) if c not in known) - 1) for a in starts))
+    name = lambda c: chr(c) if c > 0xFF else rf"\x{{{c:X}}}"
+    return "".join(f"{name(a)}-{name(b)}" for a, b in ((a, next(c for c in range(a, 0x110001) if c not in known) - 1) for a in starts))
 
 
 def _decompositions() -> tuple[str, str, str, str]:
@@ -64,7 +66,7 @@ def _decompositions() -> tuple[str, str, str, str]:
 
 
 _SINGLE, _BASE, _FURTHER, _MARKS = _decompositions()
-_LATIN_MARKS = r"[\x{300}-\x{36F}&&[^\x{34F}]]"
+_LATIN_MARKS = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,9 +74,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: White space that is more or other than one space: all that has to be replaced.
+_UNEVEN_SPACE = r"(?U)(?: \s|[\s&&[^ ]])\s*"
+
+
 def squeeze(c: Column) -> Column:
     """White space in one space each, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(c, _UNEVEN_SPACE, " "))
+
+
+def _alternatives(words: list[str]) -> str:
+    """The words as a pattern that tells them apart letter by letter."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(words):
+        heads.setdefault(word[:1], []).append(word[1:])
+    return "|".join(re.escape(head) + (_group(rest) if any(rest) else "") if head else "" for head, rest in sorted(heads.items(), key=lambda x: x[0] == ""))
+
+
+def _group(rest: list[str]) -> str:
+    return rest[0] if len(rest) == 1 else f"(?:{_alternatives(rest)})"
 
 
 def unmarked(c: Column) -> Column:
@@ -86,7 +104,8 @@ def unmarked(c: Column) -> Column:
 
     def either(text: Column) -> Column:
         whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
-        return F.when(text.rlike(_FURTHER), F.regexp_replace(whole, _MARKS, "")).otherwise(F.regexp_replace(F.translate(text, _SINGLE, _BASE), _LATIN_MARKS, ""))
+        by_table = F.translate(text, _SINGLE + _LATIN_MARKS, _BASE)  # what has no letter in its place goes
+        return F.when(~text.rlike(r"[^\x00-\x7F]"), text).when(text.rlike(_FURTHER), F.regexp_replace(whole, _MARKS, "")).otherwise(by_table)
 
     return let(c, either)
 
@@ -95,7 +114,7 @@ def normalize(c: Column) -> Column:
     """Lower case, letters for look-alikes, no marks, single spaces; punctuation stays. Null is empty."""
     lower = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
     plain = F.replace(F.translate(lower, "".join(LEET), "".join(LEET.values())), F.lit("đ"), F.lit("d"))
-    return F.regexp_replace(unmarked(plain), r"(?U)\s+", " ")
+    return F.regexp_replace(unmarked(plain), _UNEVEN_SPACE, " ")
 
 
 def numbers_as_digits(c: Column) -> Column:
@@ -106,21 +125,32 @@ def numbers_as_digits(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """The deep normal form: typed accents and tone suffixes undone, letters and digits only, spelled-out numbers and letters joined."""
-    out = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
-    for accent in TYPED_ACCENTS:
-        out = F.regexp_replace(out, accent, "")
+    """The deep normal form: typed accents and tone suffixes undone, letters and digits only, spelled-out numbers and letters joined.
+
+    Steps that few texts need are behind a look for the characters that they are about.
+    """
+
+    def where(x: Column, pattern: str, step: Callable[[Column], Column]) -> Column:
+        return let(x, lambda y: F.when(y.rlike(pattern), step(y)).otherwise(y))
+
+    def accents(x: Column) -> Column:
+        for accent in TYPED_ACCENTS:
+            x = F.regexp_replace(x, accent, "")
+        return x
+
+    def quotes(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, TONE_SUFFIX, ""), r"(?U)['`](?=\s|$)", "")
+        return F.regexp_replace(x, "(?<=[a-zA-Z])['`](?=[a-zA-Z])", "")
+
+    out = where(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")), r"[\^+*]", accents)
     # Words that keep their "ow" are matched whole and put back; from any other word a "w" after o, u or a goes.
-    kept = "(?:" + "|".join(OW_WORDS) + r")(?!\S)|(?:" + "|".join(w for w in OW_WORDS if len(w) > 3) + r")\S*"
-    out = F.regexp_replace(squeeze(out), rf"((?<!\S)(?:{kept}))|(?<=[oua])w", "$1")
+    kept = f"(?:{_alternatives(list(OW_WORDS))})(?!\\S)|(?:{_alternatives([w for w in OW_WORDS if len(w) > 3])})\\S*"
+    out = where(squeeze(out), "[oua]w", lambda x: F.regexp_replace(x, rf"((?<!\S)(?:{kept}))|(?<=[oua])w", "$1"))
     out = F.replace(F.replace(out, F.lit("đ"), F.lit("d")), F.lit("dd"), F.lit("d"))
-    out = F.regexp_replace(out, r"[\^+*\\]", "")
-    out = F.regexp_replace(out, TONE_SUFFIX, "")
-    out = F.regexp_replace(out, r"(?U)['`](?=\s|$)", "")
-    out = F.regexp_replace(out, "(?<=[a-zA-Z])['`](?=[a-zA-Z])", "")
+    out = where(F.translate(out, "^+*\\", ""), "['`]", quotes)
     out = F.regexp_replace(unmarked(out), TONE_DIGIT, "")
     out = numbers_as_digits(squeeze(F.regexp_replace(out, r"(?U)[^\p{L}\p{N}\s]", "")))
-    out = F.regexp_replace(F.regexp_replace(out, SPELLED_GUN, "gun"), SPELLED_PHONE, "sdt")
+    out = where(out, "g un|s d t", lambda x: F.regexp_replace(F.regexp_replace(x, SPELLED_GUN, "gun"), SPELLED_PHONE, "sdt"))
     return squeeze(F.regexp_replace(out, SINGLE_LETTERS, "$1$2"))
 
 
@@ -129,13 +159,22 @@ def alnum_count(c: Column) -> Column:
 
 
 def dominance(c: Column) -> Column:
-    """The largest share of one character; 0 for an empty text."""
-    most = F.array_max(F.transform(F.array_distinct(F.split(c, "")), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit("")))))
-    return F.when(F.length(c) > 0, most / F.length(c)).otherwise(0.0)
+    """The largest share of one character; 0 for an empty text. The characters are sorted once, whatever their number."""
+    same = F.regexp_extract_all(F.array_join(F.array_sort(F.split(c, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    return F.when(F.length(c) > 0, F.array_max(F.transform(same, lambda x: F.length(x))) / F.length(c)).otherwise(0.0)
 
 
 def dominated(c: Column, s: Settings = DEFAULT) -> Column:
-    return (F.length(c) > s.dominance_from) & (dominance(c) > s.dominance_share)
+    """Whether one character has more than its share of a text that is long enough.
+
+    A character of more than 0.7 of a text beyond 20 characters stands three times in a row somewhere, so that only such ones are counted.
+    """
+    size = F.length(c)
+    if s.dominance_share < 0.7:
+        return (size > s.dominance_from) & (dominance(c) > s.dominance_share)
+    share = lambda x: (size - F.length(F.replace(c, x, F.lit("")))) / size
+    often = F.exists(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?s)(.)\1\1"), F.lit(1))), lambda x: share(x) > s.dominance_share)
+    return F.when(size > F.lit(max(20, s.dominance_from)), often).otherwise((size > s.dominance_from) & (dominance(c) > s.dominance_share))
 
 
 _JOINER = r"[︀-️\x{1F3FB}-\x{1F3FF}‍⃣\p{Mn}\p{Me}]"
@@ -187,12 +226,21 @@ def _between(words: tuple[str, ...]) -> str:
     return r"[\W_]+".join(r"[\W_]*".join(word) for word in words)
 
 
-def profane(c: Column) -> Column:
-    """Severe profanity: marked words anywhere, plain and spaced-out spellings between word edges of the normal form."""
-    worded = "(?iU)" + "|".join(PROFANE_PATTERNS)
-    spaced = r"(?iU)(?<![a-z0-9])(?:" + "|".join(_between(p) for p in (*SPACED_PHRASES, *((w,) for w in SPACED_WORDS))) + r")(?![a-z0-9])"
-    marked = F.lower(c).rlike("|".join(PROFANE_WORDS))
-    return F.coalesce(marked | let(normalize(c), lambda plain: plain.rlike(worded) | plain.rlike(spaced)), F.lit(False))
+#: The plain patterns behind one look at the letters that they can begin with, so that each place is asked once for its edge.
+_WORDED = r"(?U)(?=[" + "".join(sorted({p.removeprefix(r"\b")[0] for p in PROFANE_PATTERNS})) + r"])\b(?:" + "|".join(p.removeprefix(r"\b") for p in PROFANE_PATTERNS) + ")"
+_SPACED = r"(?U)(?<![a-z0-9])(?:" + "|".join(_between(p) for p in (*SPACED_PHRASES, *((w,) for w in SPACED_WORDS))) + r")(?![a-z0-9])"
+_MARKED = f"(?:{_alternatives(list(PROFANE_WORDS))})"
+
+
+def profane(c: Column, plain: Column | None = None, cleaned: bool = False) -> Column:
+    """Severe profanity: marked words anywhere, plain and spaced-out spellings between word edges of the normal form.
+
+    plain: the normal form, where it is known. cleaned: the text is a result of `clean`, which has that form up to
+    characters written for letters.
+    """
+    if plain is None:
+        plain = F.translate(c, "".join(LEET), "".join(LEET.values())) if cleaned else normalize(c)
+    return F.coalesce(F.lower(c).rlike(_MARKED) | let(F.lower(plain), lambda x: x.rlike(_WORDED) | x.rlike(_SPACED)), F.lit(False))
 
 
 def plain_title(c: Column) -> Column:

@@ -65,7 +65,7 @@ def decided(annotations: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(…, decision, flag, reason): gates, labels, then the recognised text as it is and cleaned, then whether a toy is seen."""
     labels, ocr = F.col("labels"), F.col("ocr")
     rows = annotations.withColumn("violation", F.coalesce(safe_search(F.col("adult"), F.col("violence"), F.col("racy")), label_violation(labels, s)))
-    found = lambda cleaned: F.coalesce(F.when(T.profane(ocr) | T.profane(cleaned), F.lit("profanity")), D.sensitive(ocr), D.sensitive(cleaned))
+    found = lambda cleaned: F.coalesce(F.when(T.profane(ocr) | T.profane(cleaned, cleaned=True), F.lit("profanity")), D.sensitive(ocr), D.sensitive(cleaned))
     rows = rows.withColumn("text_reason", F.when(F.coalesce(ocr, F.lit("")) != "", T.let(T.clean(ocr), found)))
     flag = F.when(F.col("violation").isNotNull(), "hard_violation").when(F.col("text_reason") == "profanity", "text_profanity").when(F.col("text_reason").isNotNull(), "text_violation").when(~toy_found(labels, s), "no_toy_label")
     reason = F.coalesce("violation", "text_reason", F.when(~toy_found(labels, s), top_labels(labels, 5)).otherwise(top_labels(labels, 3)))

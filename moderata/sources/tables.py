@@ -162,10 +162,18 @@ def view(spark: SparkSession, sf_dir: str, name: str, analysed: bool = False) ->
     return spread(rows) if analysed or base == "documents" else rows
 
 
+#: A table of less than so many bytes (Spark's estimate) for each core may lie in fewer splits than there are cores.
+SPLIT_BYTES = 16 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Long texts that a small input holds in fewer splits than there are cores, dealt over all cores; larger inputs stay as they are read."""
+    """Texts of a small input dealt over all cores, as a file may hold them in one split; larger inputs stay as they are read.
+
+    Decided by the size that the optimizer estimates for the plan: no file is listed and no plan converted for it.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) * 2 <= cores and rows.rdd.getNumPartitions() < cores else rows
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
 
 
 def with_views(*names: str) -> str:
