@@ -172,7 +172,7 @@ def spread(rows: DataFrame) -> DataFrame:
     Decided by the size that the optimizer estimates for the plan: no file is listed and no plan converted for it.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
 
 
