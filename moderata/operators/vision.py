@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,29 +97,41 @@ def _resized(gray: np.ndarray, size: int) -> np.ndarray:
     return np.rint(rows[:, x0] * (1 - fx) + rows[:, x1] * fx)
 
 
-def _statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            if row.height <= 0:
-                out.append((row.origin, None, None, None))
-                continue
-            pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, -1).astype(float)
-            gray = pixels[..., 0] if pixels.shape[2] == 1 else np.rint(pixels[..., 2] * 0.299 + pixels[..., 1] * 0.587 + pixels[..., 0] * 0.114)
-            padded = np.pad(_resized(gray, 512), 1, mode="reflect")
-            edges = padded[:-2, 1:-1] + padded[2:, 1:-1] + padded[1:-1, :-2] + padded[1:-1, 2:] - 4 * padded[1:-1, 1:-1]
-            out.append((row.origin, float(gray.mean()), float(gray.std()), float(edges.var())))
-        yield pd.DataFrame(out, columns=["origin", "brightness", "deviation", "sharpness"])
+def _statistics(wanted: Callable[[float, float], bool]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def statistics(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                if row.height <= 0:
+                    out.append((row.origin, None, None, None))
+                    continue
+                pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, -1).astype(float)
+                gray = pixels[..., 0] if pixels.shape[2] == 1 else np.rint(pixels[..., 2] * 0.299 + pixels[..., 1] * 0.587 + pixels[..., 0] * 0.114)
+                brightness, deviation, sharpness = float(gray.mean()), float(gray.std()), None
+                if wanted(brightness, deviation):
+                    padded = np.pad(_resized(gray, 512), 1, mode="reflect")
+                    edges = padded[:-2, 1:-1] + padded[2:, 1:-1] + padded[1:-1, :-2] + padded[1:-1, 2:] - 4 * padded[1:-1, 1:-1]
+                    sharpness = float(edges.var())
+                out.append((row.origin, brightness, deviation, sharpness))
+            yield pd.DataFrame(out, columns=["origin", "brightness", "deviation", "sharpness"])
+
+    return statistics
 
 
 def screened(images: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Spark's image rows with brightness, deviation, sharpness and what is wrong with the picture, or null."""
-    return faulty(pixel_statistics(images), s)
+    """Spark's image rows with brightness, deviation, sharpness and what is wrong with the picture, or null.
+
+    The sharpness is measured only where brightness and deviation are in order, and null otherwise.
+    """
+    return faulty(pixel_statistics(images, lambda brightness, deviation: brightness >= s.dark_below and deviation >= s.flat_below), s)
 
 
-def pixel_statistics(images: DataFrame) -> DataFrame:
-    """(origin, brightness, deviation, sharpness) of Spark's image rows; nulls for a picture that could not be read."""
-    return images.select("image.origin", "image.height", "image.width", "image.data").mapInPandas(_statistics, "origin string, brightness double, deviation double, sharpness double")
+def pixel_statistics(images: DataFrame, wanted: Callable[[float, float], bool] = lambda brightness, deviation: True) -> DataFrame:
+    """(origin, brightness, deviation, sharpness) of Spark's image rows; nulls for a picture that could not be read.
+
+    wanted: whether the sharpness of a picture of that brightness and deviation is asked for.
+    """
+    return images.select("image.origin", "image.height", "image.width", "image.data").mapInPandas(_statistics(wanted), "origin string, brightness double, deviation double, sharpness double")
 
 
 def faulty(stats: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -14,7 +14,8 @@ from moderata.operators import vision as I
 from moderata.plans import duck as Q
 from moderata.plans.define import Registry
 from moderata.plans.relational import REVIEWS_AT
-from moderata.sources.shared import written_once
+from moderata.sources.files import read_files, read_pictures, write_pictures
+from moderata.sources.shared import shared_folder, written_once
 from moderata.sources.tables import view, with_views
 
 registry = Registry()
@@ -373,10 +374,18 @@ def image_quality_screen(spark, sf):
     return _faults(spark, sf).select("file_id", "fault")
 
 
+def _stored(spark, sf):
+    """A folder of the pictures as files."""
+    folder = shared_folder(spark)
+    write_pictures(view(spark, sf, "pictures"), folder)
+    return folder
+
+
 @query("image_load_failures", _STATS + "select file_id, 'REJECTED' as decision, 'image_load_failed' as flag from faults where fault = 'image_load_failed'")
 def image_load_failures(spark, sf):
-    readable = _faults(spark, sf).where("fault is distinct from 'image_load_failed'")  # as a reader that drops what is no picture
-    return I.unreadable(view(spark, sf, "image_files").select("file_id"), readable, "file_id")
+    """The files, of those that are there, that decode as no picture."""
+    folder = _stored(spark, sf)
+    return I.unreadable(read_files(spark, folder).select("file_id"), read_pictures(spark, folder).select("file_id", F.lit(None).cast("string").alias("fault")), "file_id")
 
 
 _FILES = with_views("image_files")
@@ -386,9 +395,10 @@ def _files(spark, sf):
     return view(spark, sf, "image_files").select("file_id", "path", "length", F.unhex("head").alias("content"))
 
 
-@query("scan_image_files", f"{_FILES}select file_id, path, length, head from image_files")
+@query("scan_image_files", with_views("pictures") + "select file_id, lpad(file_id::varchar, 20, '0') || '.bmp' as name, (case when kind = 4 then 13 else 54 + 1024 + 4096 end)::bigint as length, case when kind = 4 then '6E6F7420' else '424D3614' end as head from pictures")
 def scan_image_files(spark, sf):
-    return _files(spark, sf).select("file_id", "path", "length", F.hex(F.substring("content", 1, 4)).alias("head"))
+    """Size and first bytes of the pictures' files, as they are read back."""
+    return read_files(spark, _stored(spark, sf)).select("file_id", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.hex(F.substring("content", 1, 4)).alias("head"))
 
 
 @query("image_size_gate", f"{_FILES}select file_id, case when length < 10240 then 'too_small' when length > 5242880 then 'too_large' when not (head like 'FFD8FF%' or head in ('89504E47', '52494646')) then 'unknown_format' end as refused from image_files")

@@ -99,3 +99,18 @@ def test_a_steady_request_is_not_one_array(spark):
         want[i] = (request, anchor[request] * 1_000_000)
     assert {r["event_id"]: (r["request"], r["anchor"]) for r in out.collect()} == want
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pictures_are_read_back_as_they_were_written(spark, tmp_path):
+    from moderata.sources import files
+
+    pixels = bytes(range(0, 210, 2)) * 2
+    rows = spark.createDataFrame([(1, 10, pixels.hex()), (2, 0, None), (3, 10, None), (10**15, 1, "00ff7f")], "file_id long, height int, pixels string")
+    folder = f"file://{tmp_path}/pictures"
+    for _ in range(2):  # again, as a task that failed would
+        files.write_pictures(rows, folder)
+    assert {r["file_id"]: r["length"] for r in files.read_files(spark, folder).collect()} == {1: 54 + 1024 + 240, 2: 13, 3: 13, 10**15: 54 + 1024 + 4}
+    got = {r["file_id"]: r["image"] for r in files.read_pictures(spark, folder).collect()}
+    assert got.keys() == {1, 10**15}
+    image = got[1]
+    assert (image["height"], image["width"]) == (10, 21) and bytes(image["data"])[:: image["nChannels"]] == pixels
