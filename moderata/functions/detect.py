@@ -11,7 +11,8 @@ from moderata.functions import text as T
 # What each detector searches for.
 URL = r"(?i)https?://|www\.|bit\.ly|tinyurl\.com"
 EMAIL = r"(?iU)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b"
-SPELLED_EMAIL = r"(?iU)\b[a-z0-9._%+-]+(?:\s*(?:dot|\[dot\]|\(dot\))\s*[a-z0-9._%+-]+)*\s*(?:\bat\b|@|\[at\]|\(at\))\s*[a-z0-9.-]+\s*(?:dot|\.|\[dot\]|\(dot\))\s*[a-z]{2,}\b"
+# Of a name in parts joined by dots the last part with a letter or digit is enough, and two parts of signs behind it.
+SPELLED_EMAIL = r"(?iU)\b[a-z0-9._%+-]+(?:\s*(?:dot|\.|\[dot\]|\(dot\))\s*[.%+-]{1,8}){0,2}\s*(?:at|@|\[at\]|\(at\))\s*[a-z0-9.-]+\s*(?:dot|\.|\[dot\]|\(dot\))\s*[a-z]{2,}\b"
 PHONE = r"(?iU)(?<!\w)(?:0|\+84)[35789](?:\s*[0-9]){8}(?!\w)"
 PHONE_CANDIDATE = r"(?iU)(?<!\w)(?:\+?84|0)(?:[\s.\-]?\d){8,10}(?!\w)"
 LONG_NUMBER = r"(?<!\d)(?:\d[\s.\-]?){9,14}(?!\d)"
@@ -43,10 +44,10 @@ BAD_EMOJI = {"🤤": "adult", "🔞": "adult", "🖕": "offensive", "🤬": "off
 
 
 def email(c: Column) -> Column:
-    """A plain or spelled-out address; the costlier pattern runs only where its parts occur."""
+    """A plain or spelled-out address ("at" also inside a word); the costlier pattern runs only where its parts occur."""
     low = F.lower(c)
     parts = (low.contains("@") | low.contains("at")) & (low.contains(".") | low.contains("dot"))
-    return F.when(c.contains("@") & c.rlike(EMAIL), True).when(parts & low.rlike(r"(?U)(?:\bat\b|@|\[at\]|\(at\))"), c.rlike(SPELLED_EMAIL)).otherwise(False)
+    return F.when(c.contains("@") & c.rlike(EMAIL), True).when(parts, c.rlike(SPELLED_EMAIL)).otherwise(False)
 
 
 def phone_like(token: Column) -> Column:

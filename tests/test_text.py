@@ -61,7 +61,7 @@ def test_profanity(spark):
 
 
 def test_contacts(spark):
-    check(spark, {"a.b@mail.example.com": True, "kim at mail dot com": True, "kim [at] mail (dot) org": True, "look at the toy. nice": False, "we dot the i": False, "": False}, D.email)
+    check(spark, {"a.b@mail.example.com": True, "kim at mail dot com": True, "kim [at] mail (dot) org": True, "look at the toy. nice": False, "we dot the i": False, "": False, "kimatmail.example": True, "that is. Good": True, "john dot smith at mail dot com.": True, "a.b.c (dot) d @ mail . org": True, "great. Nice": False, "at": False}, D.email)
     check(spark, {"0912345678": True, "ring 0912 345 678": True, "+84912345678": True, "0912-345-678": True, "on 12/05/2024": False, "order 1234567": False, "weighs 500 g": False, "code 123456789012": False}, D.phone_candidate)
     check(spark, {"stk 123456789": True, "123-456-789-012": True, "1234567890123": False, "ring 0912345678": False}, D.bank_number)
     check(spark, {"12 Long Street, Ward 5, District 10, Big City": True, "good, cheap, and nice to hold": False, "12 Long Street": False}, D.address)
