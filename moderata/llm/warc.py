@@ -30,8 +30,12 @@ FRAME_MAGIC = 0xFD2FB528
 FILE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 64 << 20, 2 << 20, 32 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-#: The target of a page without a URL; a URL that reads the same is written with its first letter encoded.
+#: The target of a page without a URL.
 NO_URL = "about:blank"
+#: Our own header, where a URL can't stand as it is: `none` for a page without one, `percent` where characters that would
+#: end or change the line, and the percent sign with them, are encoded.
+ESCAPE = "X-Target-Escape"
+_BREAKS = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]|^[\s<]|[\s>]$|^$")
 
 
 def digest(payload: bytes) -> str:
@@ -39,16 +43,19 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def target(url: str | None) -> str:
-    """A URL as a header value that `url_of` turns back into exactly the same text."""
+def target(url: str | None) -> list[tuple[str, str]]:
+    """The header fields for a URL, from which `url_of` gives exactly the same text: as it is, unless that would break the line."""
     if url is None:
-        return NO_URL
-    out = urllib.parse.quote(url, safe="!#$&'()*+,/:;=?@[]~")
-    return f"%{ord(out[0]):02X}{out[1:]}" if out == NO_URL else out
+        return [("WARC-Target-URI", NO_URL), (ESCAPE, "none")]
+    if not _BREAKS.search(url):
+        return [("WARC-Target-URI", url)]
+    return [("WARC-Target-URI", urllib.parse.quote(url, safe="!#$&'()*+,/:;=?@[]~") or "%"), (ESCAPE, "percent" if url else "empty")]
 
 
-def url_of(value: str) -> str | None:
-    return None if value == NO_URL else urllib.parse.unquote(value)
+def url_of(fields: dict[str, str]) -> str | None:
+    """The URL of a record; that of another writer as it stands there."""
+    value, escape = fields["warc-target-uri"].removeprefix("<").removesuffix(">"), fields.get(ESCAPE.lower())
+    return {"none": None, "empty": "", "percent": urllib.parse.unquote(value)}.get(escape, value)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -60,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", name(page_id)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", target(url)),
+        *target(url),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
         *([("WARC-Profile", PROFILE), ("WARC-Refers-To", name(refers_to))] if revisit else []),
         ("Content-Type", "application/http;msgtype=response"),
@@ -75,15 +82,42 @@ class Invalid(ValueError):
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    out = {}
-    for line in head.split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    """The fields of a header by lower-case names; folded lines are joined, bytes that are not UTF-8 are Latin-1."""
+    out: dict[str, str] = {}
+    last = None
+    for line in head.split(b"\r\n") if head else []:
+        try:
+            text = line.decode()
+        except UnicodeDecodeError:
+            text = line.decode("latin-1")
+        if text[:1] in (" ", "\t") and last is not None:
+            out[last] = f"{out[last]} {text.strip()}".strip()
+            continue
+        name, colon, value = text.partition(":")
         if not colon:
             raise Invalid(f"no header field: {line[:80]!r}")
-        out[name.strip().lower().decode()] = value.strip().decode()
+        last = name.strip().lower()
+        out[last] = value.strip()
     return out
 
 
+def _joined_chunks(body: bytes) -> bytes:
+    """The content of a body in chunks."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise Invalid("bad chunk")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if body[end + 2 + n : end + 4 + n] != b"\r\n":
+            raise Invalid("a chunk is cut off")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
 def _page_id(name: str) -> int | None:
     """The page_id in a record's name; null for names that other writers give."""
     found = re.fullmatch(r"<?urn:page:(-?\d+)>?", name)
@@ -103,7 +137,9 @@ def parse(data: bytes) -> dict | None:
     """The fields of one record, with its headers, lengths and digests checked; null for a record that holds no page.
 
     Pages are in response, revisit and resource records; others (warcinfo, request, metadata, conversion, continuation)
-    are only checked. A payload digest is computed where the record names none in base32.
+    are only checked. A payload digest is computed where the record names none in base32. The payload of another writer
+    is taken as it is stored, chunks joined; the length that its HTTP header states is not asked of a body that is named
+    as compressed, which may be stored plain. A digest may be that of the body with its chunks.
     """
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
@@ -128,18 +164,22 @@ def parse(data: bytes) -> dict | None:
     http, gap, payload = block.partition(b"\r\n\r\n") if kind != "resource" and block.startswith(b"HTTP/") else (b"", b"-", block)
     if not gap or kind == "revisit" and "warc-profile" not in fields:
         raise Invalid(f"bad {kind} record")
-    size = _fields(http.partition(b"\r\n")[2]).get("content-length") if http else None
+    told = _fields(http.partition(b"\r\n")[2]) if http else {}
+    size = told.get("content-length") if "content-encoding" not in told and told.get("content-length", "").isdecimal() else None
+    stored = payload
+    if kind == "response" and "chunked" in told.get("transfer-encoding", "").lower() and re.match(rb"[0-9A-Fa-f]+[ \t]*(;|\r\n)", payload):
+        payload, size = _joined_chunks(payload), None
     if kind == "revisit":
         if payload or not named or "warc-refers-to" not in fields:
             raise Invalid("bad revisit record")
-    elif size is not None and len(payload) != int(size) or named and _digest_differs(named, payload):
+    elif size is not None and len(payload) != int(size) or named and _digest_differs(named, payload) and _digest_differs(named, stored):
         raise Invalid("payload differs from its length or digest")
     base32 = re.fullmatch("sha1:([A-Z2-7]{32})", named)
     return {
         "page_id": _page_id(fields["warc-record-id"]),
-        "url": url_of(fields["warc-target-uri"].removeprefix("<").removesuffix(">")),
+        "url": url_of(fields),
         "payload_bytes": int(size) if kind == "revisit" and size is not None else len(payload),
-        "payload_digest": base32[1] if base32 else named.partition(":")[2] if kind == "revisit" else digest(payload),
+        "payload_digest": base32[1] if base32 and payload is stored else named.partition(":")[2] if kind == "revisit" else digest(payload),
         "record_type": kind,
         "refers_to": _page_id(fields["warc-refers-to"]) if kind == "revisit" else None,
         "payload": payload if kind != "revisit" else None,
@@ -156,7 +196,7 @@ class Writer:
     """One archive; its dictionary is trained on the records before SAMPLE_BYTES, a bounded sample."""
 
     def __init__(self, store: fs.FileSystem, path: str):
-        self.out, self.path = store.open_output_stream(path), path
+        self.out, self.path = store.open_output_stream(path, compression=None), path
         self.sample: list[bytes] | None = []
         self.n = self.size = 0
 
@@ -221,6 +261,21 @@ def read_archive(stream: pa.NativeFile, chunk: int = 1 << 20) -> Iterator[bytes]
         yield b"".join(out)
 
 
+def _records(stream: pa.NativeFile, keep_broken: bool) -> Iterator[bytes | None]:
+    """The records of an archive; None at the end of one that breaks off, if such are kept."""
+    try:
+        yield from read_archive(stream)
+    except (Invalid, zstandard.ZstdError):
+        if not keep_broken:
+            raise
+        yield None
+
+
+def broken(data: bytes) -> dict:
+    """The row of a record that breaks the format."""
+    return dict.fromkeys(RECORD.names) | {"record_type": "broken", "payload_bytes": len(data), "payload": data}
+
+
 def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> DataFrame:
     """(path, records): a manifest of the archives that hold a record for each page.
 
@@ -259,11 +314,12 @@ MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64())])
 RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def read_archives(manifest: DataFrame, root: str, *, with_payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, root: str, *, with_payload: bool = True, keep_broken: bool = False) -> DataFrame:
     """The records of the archives of a manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload].
 
-    One row for each page record of each archive, none for an empty manifest. An archive that breaks the format, or holds
-    another number of records than its manifest says, fails the job. root: a URI of the file system that the paths are of.
+    One row for each page record of each archive, none for an empty manifest. A record or archive that breaks the format,
+    or another number of records than the manifest says, fails the job; with keep_broken each is a row of its own instead,
+    of record_type `broken` (its payload as it is), and of an archive the records before the break come out. root: a URI of the file system that the paths are of.
     """
     schema = RECORD if with_payload else RECORD.remove(len(RECORD) - 1)
 
@@ -272,17 +328,22 @@ def read_archives(manifest: DataFrame, root: str, *, with_payload: bool = True)
         for batch in batches:
             for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows, size, seen = [], 0, 0
-                with store.open_input_stream(path) as stream:
-                    for data in read_archive(stream):
-                        row = parse(data)
-                        seen += 1
+                with store.open_input_stream(path, compression=None) as stream:
+                    for data in _records(stream, keep_broken):
+                        try:
+                            row = parse(data) if data is not None else broken(b"")
+                        except Invalid:
+                            if not keep_broken:
+                                raise
+                            row = broken(data)
+                        seen += data is not None
                         if row:
                             rows.append({k: row[k] for k in schema.names})
-                            size += len(data)
+                            size += len(data or b"")
                         if size >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, size = [], 0
-                if seen != records:
+                if seen != records and not keep_broken:
                     raise Invalid(f"{path}: {seen} records, not {records}")
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

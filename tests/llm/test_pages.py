@@ -37,6 +37,62 @@ def test_records_of_other_writers():
             warc.parse(bad)
 
 
+def made(kind, block, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(block)), "WARC-Target-URI": "http://a/x%20b?q=100%25", **more}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_urls_stand_in_the_archive_as_they_are():
+    for url in ("http://x/a%20b", "a%20b?q=100%25", "http://é.example/ö#%", "http://a/<x>'`{}|\\^"):
+        assert f"\r\nWARC-Target-URI: {url}\r\n".encode() in warc.record(1, url, b"x", None, False)
+    assert warc.parse(made("response", b"HTTP/1.1 200 OK\r\n\r\nx"))["url"] == "http://a/x%20b?q=100%25"
+
+
+@pytest.mark.parametrize(("head", "body", "payload"), [
+    (b"HTTP/1.1 200 OK", b"no fields", b"no fields"),
+    (b"HTTP/1.1 200 OK\r\nX-Long: a\r\n  b\r\n\tc\r\nServer: y", b"folded", b"folded"),
+    (b"HTTP/1.1 200 OK\r\nX-Name: caf\xe9", b"latin", b"latin"),
+    (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", b"4\r\nwiki\r\n6;x=y\r\npedia \r\n0\r\n\r\n", b"wikipedia "),
+    (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", b"<p>stored plain", b"<p>stored plain"),
+    (b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Length: 3", b"<p>stored plain", b"<p>stored plain"),
+])
+def test_ordinary_records_of_other_writers(head, body, payload):
+    block = head + b"\r\n\r\n" + body
+    for named in (None, payload, body):
+        got = warc.parse(made("response", block, **({} if named is None else {"WARC-Payload-Digest": f"sha1:{warc.digest(named)}"})))
+        assert (got["payload"], got["payload_bytes"], got["payload_digest"]) == (payload, len(payload), warc.digest(payload))
+    with pytest.raises(warc.Invalid):
+        warc.parse(made("response", block, **{"WARC-Payload-Digest": f"sha1:{warc.digest(b'other')}"}))
+
+
+def test_a_bad_record_costs_itself(spark, tmp_path):
+    import zstandard
+
+    good = [warc.record(k, f"http://a/{k}", b"page %d" % k, None, False) for k in range(4)]
+    bad = [good[0][:-1], b"nothing", made("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nx")]
+    frames = [zstandard.compress(x) for x in (good[0], bad[0], good[1], bad[1], bad[2], good[2])]
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(frames) + zstandard.compress(good[3])[:-3])
+    manifest = spark.createDataFrame([(str(tmp_path / "a.warc.zst"), 7)], "path string, records long")
+    got = warc.read_archives(manifest, f"file://{tmp_path}", keep_broken=True).collect()
+    assert [r["page_id"] for r in got if r["record_type"] == "response"] == [0, 1, 2]
+    assert [bytes(r["payload"]) for r in got if r["record_type"] == "broken"] == [*bad, b""]
+    with pytest.raises(Exception, match="Invalid|header|bytes"):
+        warc.read_archives(manifest, f"file://{tmp_path}").collect()
+
+
+def test_the_file_itself_is_the_archive(spark, tmp_path):
+    """A dictionary in a skippable frame comes first, a frame for each record follows, and nothing is around them."""
+    import struct
+
+    rows = [(k, f"http://a/{k}", f"<p>page {k} of the same kind, with words in it that are alike {k * 7}" * 20) for k in range(200)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}").collect()
+    data = open(manifest[0]["path"], "rb").read()
+    assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_MAGIC
+    behind = 8 + struct.unpack("<I", data[4:8])[0]
+    assert struct.unpack("<I", data[behind : behind + 4])[0] == warc.FRAME_MAGIC
+    assert sum(m["records"] for m in manifest) == 200 and data.count(struct.pack("<I", warc.FRAME_MAGIC), behind) >= 200
+
+
 @pytest.fixture(scope="module")
 def pages(spark, tmp_path_factory):
     r = random.Random(3)
