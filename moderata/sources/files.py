@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ def write_pictures(pictures: DataFrame, folder: str) -> None:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
         system.create_dir(path, recursive=True)
         for batch in batches:
             for row in batch.to_pylist():
