@@ -26,7 +26,7 @@ U64 = np.uint64
 BITS, SHARE, LEAST = 40, 8, 64
 WIDTH = 5
 FULL = 1 << BITS
-STEP_BYTES = 1 << 22
+STEP_BYTES = flat.STEP_BYTES
 
 #: A sketch: the bound below which it is complete, and its sorted hashes.
 Sketch = tuple[int, np.ndarray]
