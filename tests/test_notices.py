@@ -17,3 +17,9 @@ def test_texts_of_a_notice_are_made_once_for_a_review_not_for_each_pair(spark):
     staff = spark.range(20).select(F.col("id").alias("account_id"), F.lit(3).alias("role_id"))
     above = _plan(R.manual_review_notices(reviews, staff)).split("Join")[0]
     assert "to_json" not in above and "format_string" not in above
+
+
+def test_deliveries_are_counted_for_all_accounts_of_staff(spark):
+    accounts = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").toPandas()["c_custkey"]
+    members = sum(1 for k in accounts if 1 + k % 3 in (2, 3) and k % 10 and k % 23)
+    assert {r["n"] for r in registry.QUERIES["notification_delivery_count"](spark, SF).collect()} == {members}
