@@ -23,3 +23,11 @@ def test_deliveries_are_counted_for_all_accounts_of_staff(spark):
     accounts = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").toPandas()["c_custkey"]
     members = sum(1 for k in accounts if 1 + k % 3 in (2, 3) and k % 10 and k % 23)
     assert {r["n"] for r in registry.QUERIES["notification_delivery_count"](spark, SF).collect()} == {members}
+
+
+def test_an_inbox_is_counted_without_its_deliveries(spark):
+    assert "Generate" not in _plan(registry.QUERIES["notice_inbox"](spark, SF))
+    reviews = spark.createDataFrame([(1,), (5,), (5,), (3,)], "review_id long")
+    staff = spark.createDataFrame([(7, 3), (8, 2), (7, 3)], "account_id long, role_id int")
+    assert sorted(tuple(r) for r in R.deliveries_by_account(reviews, staff).collect()) == [(7, 3, 5), (8, 3, 5)]
+    assert R.deliveries_by_account(reviews.where("review_id < 0"), staff).count() == 0
