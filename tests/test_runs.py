@@ -38,3 +38,10 @@ def test_letters_in_few_ranges_are_the_letters(spark):
     rows = spark.createDataFrame([(c,) for c in chars], "t string").select("t", F.lower("t").rlike(B.VIETNAMESE_LETTER).alias("v")).collect()
     assert {r["t"] for r in rows if r["v"]} == {c for c in chars if set(c.lower()) & letters}
     assert len(re.findall("-", B.VIETNAMESE_LETTER)) < 20
+
+
+def test_checked_forms_are_made_in_one_pass(spark):
+    texts = ["", "  a \t b ", "Ấm  áp!!-- no_1", "x 　y", "😀 z ﬁ", "--", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(B.checked(F.col("t")).alias("a"), B.checked(F.col("t"), strip=False).alias("b"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3
+    assert [tuple(r) for r in rows.collect()] == [("", ""), ("a b", "a b"), ("am ap no 1", "ấm áp no_1"), ("x y", "x y"), ("z fi", "z ﬁ"), ("", ""), ("", "")]
