@@ -31,3 +31,12 @@ def test_an_inbox_is_counted_without_its_deliveries(spark):
     staff = spark.createDataFrame([(7, 3), (8, 2), (7, 3)], "account_id long, role_id int")
     assert sorted(tuple(r) for r in R.deliveries_by_account(reviews, staff).collect()) == [(7, 3, 5), (8, 3, 5)]
     assert R.deliveries_by_account(reviews.where("review_id < 0"), staff).count() == 0
+
+
+def test_notices_of_a_review_come_in_the_order_of_the_accounts(spark):
+    reviews = spark.range(20).select(F.col("id").alias("review_id"), F.lit("a").alias("account_name"), F.lit("b").alias("reason"))
+    staff = spark.range(300).select((F.col("id") * 7919 % 1000).alias("account_id"), F.lit(3).alias("role_id")).repartition(8)
+    got = {}
+    for r in R.manual_review_notices(reviews, staff, spread=4).collect():
+        got.setdefault(r["review_id"], []).append(r["account_id"])
+    assert got == {k: sorted(i * 7919 % 1000 for i in range(300)) for k in range(20)}
